@@ -55,10 +55,13 @@ def hillshade(p, q, azimuth: float, altitude: float = 25.0, z_factor: float = 1.
 def hillshade_multi(p, q, altitude: float = 25.0, z_factor: float = 1.0) -> Column:
     """Four lights, each weighted by the squared sine between light and aspect."""
     p, q = _c(p), _c(q)
-    aspect = F.atan2(-p, q)
+    steep = p * p + q * q
     total, weight = F.lit(0.0), F.lit(0.0)
     for azimuth in MULTI_AZIMUTHS:
-        w = F.pow(F.sin(F.lit(math.radians(azimuth)) - aspect), 2.0)
+        sin_az, cos_az = math.sin(math.radians(azimuth)), math.cos(math.radians(azimuth))
+        # sin(azimuth - aspect) from the gradient; level ground counts as facing north
+        across = q * F.lit(sin_az) + p * F.lit(cos_az)
+        w = F.when(steep > 0, across * across / steep).otherwise(F.lit(sin_az * sin_az))
         total = total + w * hillshade(p, q, azimuth, altitude, z_factor)
         weight = weight + w
     return total / weight
@@ -111,6 +114,11 @@ def deviation(z, smooth_z, smooth_z2) -> Column:
     return (z - m) / (F.sqrt(F.greatest(m2 - m * m, F.lit(0.0))) + 1e-3)
 
 
+def deviation_code(value: Column, limit: float = 2.5) -> Column:
+    """Deviation within +-limit as a code (own range)."""
+    return code_unit((_c(value) + F.lit(float(limit))) / F.lit(2.0 * limit))
+
+
 def e4mstp_channel(mstp_code, svf_code, opos_code, oneg_code, slope_code_, fine_code, broad_code,
                    exponent: float = 0.8) -> Column:
     """One colour channel of the composite in the manner of e4MSTP.

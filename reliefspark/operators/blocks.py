@@ -58,7 +58,7 @@ def cells_to_blocks(cells: DataFrame, values: Sequence[str], side: int = BLOCK)
     )
     bands = {v: "double" for v in values}
 
-    def scatter(key, part: pa.Table) -> pa.Table:
+    def scatter(key, part):
         slots = part.column("slot").to_numpy()
         columns = {k: pa.array([v.as_py()]) for k, v in zip(KEYS, key)}
         for name in values:
@@ -119,7 +119,7 @@ def exchange(
                     [pa.array(ids, pa.string()), pa.array(rows, pa.int64()), pa.array(cols, pa.int64()),
                      pa.array(parts, pa.int32()), nested], schema=message_schema)
 
-    def receive(key, table: pa.Table) -> pa.Table:
+    def receive(key, table):
         raster, brow, bcol = (v.as_py() for v in key)
         payload = table.column("payload")
         parts = {p: _unnest(payload[i]) for i, p in enumerate(table.column("part").to_pylist())}
@@ -136,7 +136,9 @@ def exchange(
 
     messages = blocks.select(*KEYS, *bands).mapInArrow(
         emit, f"{_KEY_SCHEMA}, part int, payload array<double>")
-    return messages.groupBy(*KEYS).applyInArrow(receive, f"{_KEY_SCHEMA}, {_bands_schema(out)}")
+    # an explicit width: adaptive execution sizes partitions by bytes, but a kernel costs per block
+    width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.repartition(width, *KEYS).groupBy(*KEYS).applyInArrow(receive, f"{_KEY_SCHEMA}, {_bands_schema(out)}")
 
 
 def with_halo(
@@ -185,7 +187,12 @@ def with_halo(
     return exchange(blocks, bands, send, combine, out, side)
 
 
-def fill_domain(blocks: DataFrame, domain: DataFrame, bands: Sequence[str], side: int = BLOCK) -> DataFrame:
-    """Blocks for every key of ``domain`` (raster_id, brow, bcol); absent ones are all NULL."""
+def fill_domain(blocks: DataFrame, domain: DataFrame, bands: Sequence[str], side: int = BLOCK,
+                carry: Sequence[str] = ()) -> DataFrame:
+    """Blocks for every key of ``domain`` (raster_id, brow, bcol); absent ones are all NULL.
+
+    ``carry`` names bands of the domain itself to keep.
+    """
     empty = F.array_repeat(F.lit(None).cast("double"), side * side)
-    return domain.join(blocks, list(KEYS), "left").select(*KEYS, *[F.coalesce(F.col(b), empty).alias(b) for b in bands])
+    return domain.join(blocks, list(KEYS), "left").select(
+        *KEYS, *carry, *[F.coalesce(F.col(b), empty).alias(b) for b in bands])

@@ -10,6 +10,8 @@ of many cells does not move whole blocks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -36,8 +38,8 @@ def _before(z: np.ndarray, position: np.ndarray, value: np.ndarray) -> tuple[np.
     return np.arange(side)[None, :] - found, values
 
 
-def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK) -> DataFrame:
-    """Filled copy of ``band`` for every block given; pass the blocks to be filled, empty ones too."""
+def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep: Sequence[str] = ()) -> DataFrame:
+    """``band`` filled for every block given (pass empty ones too); bands in ``keep`` stay as they are."""
     steps = -(-reach // side)
     # the four views turn every direction into "look back along the row"
     views = (lambda a: a, lambda a: a[:, ::-1], lambda a: a.T, lambda a: a.T[:, ::-1])
@@ -45,7 +47,7 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK) -> D
 
     def send(brow, bcol, arrays):
         z = arrays[0]
-        yield brow, bcol, 0, z
+        yield brow, bcol, 0, np.stack(arrays)
         for way, (dr, dc) in enumerate(moves):
             position, value = _last_known(views[way](z))
             if (position >= 0).any():
@@ -55,7 +57,7 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK) -> D
     def combine(brow, bcol, parts):
         if 0 not in parts:
             return None
-        z = parts[0].reshape(side, side)
+        z, *kept = parts[0].reshape(1 + len(keep), side, side)
         weighted, weights = [], []
         for way, view in enumerate(views):
             position, value = np.full(side, -np.inf), np.full(side, np.nan)
@@ -78,6 +80,7 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK) -> D
         value_sum = ((weighted[0] + weighted[1]) + weighted[2]) + weighted[3]
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.where(total > 0, value_sum / total, np.nan)
-        return {band: np.where(np.isnan(z), mean, z)}
+        return {band: np.where(np.isnan(z), mean, z), **dict(zip(keep, kept))}
 
-    return exchange(blocks, [band], send, combine, {band: "double"}, side)
+    bands = [band, *keep]
+    return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import _c, floor_long
 from reliefspark.operators import fill
-from reliefspark.operators.blocks import BLOCK, blocks_to_cells, cells_to_blocks, fill_domain
+from reliefspark.operators.blocks import BLOCK, KEYS, blocks_to_cells, cells_to_blocks, fill_domain
 
 # ASPRS classes and default settings of the feature model.
 NOISE_CLASSES = (7, 18)
@@ -199,36 +199,48 @@ def fill_cells(cells: DataFrame, value: str, domain: DataFrame, reach_cells: int
     return blocks_to_cells(fill.fill_holes(dense, value, reach_cells, side), [value], side)
 
 
+def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
+               side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
+    """Bare-earth model as blocks with band ``z``.
+
+    ``domain`` names the blocks to fill (from the catalogue, for instance); without it one more scan
+    of the point positions finds them.
+    """
+    lowest = address(ground_or_all(points, classes), grid).groupBy("row", "col").agg(F.min("z").alias("z"))
+    lowest = lowest.withColumn("raster_id", F.lit("all"))
+    domain = tile_blocks(points, grid, side) if domain is None else domain
+    dense = fill_domain(cells_to_blocks(lowest, ["z"], side), domain, ["z"], side)
+    return fill.fill_holes(dense, "z", int(max_fill_m / grid.res), side)
+
+
 def points_to_dtm(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
-                  side: int = BLOCK) -> DataFrame:
+                  side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
     """Bare-earth model: ``raster_id, row, col, z``."""
-    ground = ground_or_all(points, classes)
-    lowest = (
-        address(ground, grid).groupBy("row", "col").agg(F.min("z").alias("z")).withColumn("raster_id", F.lit("all")))
-    return fill_cells(lowest, "z", tile_blocks(points, grid, side), int(max_fill_m / grid.res), side)
+    return blocks_to_cells(dtm_blocks(points, grid, classes, max_fill_m, side, domain), ["z"], side)
 
 
-def feature_cells(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,
-                  classes_low: Sequence[int] = LOW_CLASSES, classes_ground: Sequence[int] = GROUND_CLASSES,
-                  ref_ground: Sequence[int] = REFERENCE_CLASSES, max_fill_m: float = 200.0,
-                  side: int = BLOCK) -> DataFrame:
-    """Per cell: raw ground, filled reference ground, and the low object re-injected into ground holes.
+def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,
+                   classes_low: Sequence[int] = LOW_CLASSES, classes_ground: Sequence[int] = GROUND_CLASSES,
+                   ref_ground: Sequence[int] = REFERENCE_CLASSES, max_fill_m: float = 200.0,
+                   side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
+    """Blocks with bands ``z_ref`` (filled reference ground), ``z_ground`` (raw) and ``z_low``.
 
-    Only cells without ground can take a low object, so only their candidate points are joined.  Both
-    join sides carry a small salt; the following per-cell minimum then shuffles anyway, which lets
-    adaptive execution split a cell that holds a large share of the points.
+    ``z_low`` is the lowest point of the height band in cells without ground.  One aggregate feeds all
+    three bands.  Only cells without ground can take a low object, so only their candidate points are
+    joined.  Both join sides carry a small salt: the following per-cell minimum then shuffles anyway,
+    which lets adaptive execution split a cell that holds a large share of the points.
     """
     useful = drop_noise(points)
     low, ground = list(classes_low), list(classes_ground) or [-1]
+    bands = ("z_ref", "z_ground", "z_any_low")
     raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_any_low": low})
-    domain = tile_blocks(useful, grid, side)
-    reference = fill_cells(
-        raw.filter(F.col("z_ref").isNotNull()), "z_ref", domain, int(max_fill_m / grid.res), side)
-    known = raw.select("row", "col", "z_ground", "z_any_low")
-    cells = reference.join(known, ["row", "col"], "full_outer")
+    domain = tile_blocks(useful, grid, side) if domain is None else domain
+    dense = fill_domain(cells_to_blocks(raw, bands, side), domain, bands, side)
+    blocks = fill.fill_holes(dense, "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:])
     salts = 4
     holes = (
-        cells.filter(F.col("z_ground").isNull() & F.col("z_any_low").isNotNull() & F.col("z_ref").isNotNull())
+        blocks_to_cells(blocks, bands, side)
+        .filter(F.col("z_ground").isNull() & F.col("z_any_low").isNotNull() & F.col("z_ref").isNotNull())
         .select("row", "col", "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
     candidates = address(keep_classes(useful, low), grid).select(
@@ -237,12 +249,11 @@ def feature_cells(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax:
     injected = (
         candidates.join(holes, ["row", "col", "salt"])
         .filter((height >= hmin) & (height <= hmax))
-        .groupBy("row", "col").agg(F.min("z").alias("z_low"))
-    )
-    return (
-        cells.join(injected, ["row", "col"], "left")
-        .select(F.lit("all").alias("raster_id"), "row", "col", "z_ground", "z_ref", "z_low")
+        .groupBy("row", "col").agg(F.min("z").alias("z_low")).withColumn("raster_id", F.lit("all"))
     )
+    return fill_domain(
+        cells_to_blocks(injected, ["z_low"], side), blocks.select(*KEYS, "z_ref", "z_ground"), ["z_low"], side,
+        carry=("z_ref", "z_ground"))
 
 
 def points_to_dfm(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: float = 200.0, **settings) -> DataFrame:
@@ -250,11 +261,16 @@ def points_to_dfm(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m:
 
     Without ground classes the result is a slice: the objects alone, everything else unknown.
     """
-    cells = feature_cells(points, grid, max_fill_m=max_fill_m, side=side, **settings)
-    model = cells.select("raster_id", "row", "col", F.coalesce("z_ground", "z_low").alias("z")).dropna(subset=["z"])
+    return blocks_to_cells(dfm_blocks(points, grid, side, max_fill_m, **settings), ["z"], side)
+
+
+def dfm_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: float = 200.0, **settings) -> DataFrame:
+    """The feature model as blocks with band ``z``."""
+    bands = feature_blocks(points, grid, max_fill_m=max_fill_m, side=side, **settings)
+    model = bands.select(*KEYS, F.zip_with("z_ground", "z_low", lambda g, low: F.coalesce(g, low)).alias("z"))
     if "classes_ground" in settings and not list(settings["classes_ground"]):
         return model
-    return fill_cells(model, "z", tile_blocks(drop_noise(points), grid, side), int(max_fill_m / grid.res), side)
+    return fill.fill_holes(model, "z", int(max_fill_m / grid.res), side)
 
 
 def height_above_ground(points: DataFrame, ground: DataFrame, grid: Grid) -> DataFrame:

@@ -94,7 +94,7 @@ def pixel_tiles(pixels: DataFrame, value: str = "v") -> DataFrame:
         (F.pmod("prow", F.lit(TILE)) * TILE + F.pmod("pcol", F.lit(TILE))).cast("int").alias("slot"),
         F.col(value).cast("int").alias("v"))
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
+    def pack(part):
         image = np.zeros(TILE * TILE, dtype=np.uint8)
         image[part["slot"].to_numpy()] = part["v"].to_numpy()
         first = part.iloc[0]

@@ -68,7 +68,7 @@ def classify(tags: DataFrame, filters: DataFrame) -> DataFrame:
     ``tags`` is ``object_id, key, value``.  The filter table is a handful of rows by construction.
     """
     fits = F.col("any_value") | F.array_contains("wanted", F.col("value"))
-    hits = tags.join(F.broadcast(filters), "key").filter(fits)
+    hits = tags.join(filters, "key").filter(fits)
     return best_per_key(hits.select("object_id", "key", "value", "position"), ["object_id"], [F.col("position"), F.col("value")]).drop("position")
 
 
@@ -228,7 +228,7 @@ def feature_tiles(features: DataFrame, zoom_min: int, zoom_max: int) -> DataFram
     # one row per painted pixel, combined before the shuffle: a crowded tile stays at 65536 pixels
     painted = placed.mapInPandas(paint, schema).groupBy("zoom", "x", "y", "prow", "pcol").agg(F.max("alpha").alias("alpha"))
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
+    def pack(part):
         image = np.zeros((TILE, TILE, 4), dtype=np.uint8)
         alpha = part["alpha"].to_numpy().astype(np.uint8)
         image[part["prow"].to_numpy(), part["pcol"].to_numpy(), 3] = alpha

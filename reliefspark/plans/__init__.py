@@ -1,0 +1,11 @@
+"""Registered queries over the input tables, by subject."""
+
+from importlib import import_module
+
+SUBJECTS = ("point_queries", "relief_queries")
+
+
+def load() -> None:
+    """Import every subject so that its queries are registered."""
+    for subject in SUBJECTS:
+        import_module(f"{__name__}.{subject}")
