@@ -258,15 +258,18 @@ def lonlat_from_lambert93(x, y) -> Column:
 def _krueger(flattening: float):
     n = flattening / (2 - flattening)
     radius = EARTH_RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+             61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+            17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+             56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
     return n, radius, alpha, beta, delta
 
 
 def transverse_mercator_from_lonlat(lon, lat, lon0, scale=0.9996, false_east=500000.0, false_north=0.0,
                                     flattening=WGS84_F) -> Column:
-    """Transverse Mercator (x, y), Krueger series to third order (UTM with the default values)."""
+    """Transverse Mercator (x, y), Krueger series to fourth order (UTM with the default values)."""
     n, radius, alpha, _, _ = _krueger(flattening)
     k = 2 * math.sqrt(n) / (1 + n)
     phi = F.radians(_c(lat))

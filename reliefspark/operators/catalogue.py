@@ -261,7 +261,7 @@ def cross_recognised(tiles: DataFrame, providers: DataFrame) -> DataFrame:
     of a country travel as one short array, so no pairs are formed.
     """
     patterns = providers.groupBy("country").agg(F.collect_list(F.struct("code", "pattern")).alias("patterns"))
-    others = F.filter("patterns", lambda p: (p.code != F.col("code")) & F.col("tile_name").rlike(p.pattern))
+    others = F.filter("patterns", lambda p: (p.code != F.col("code")) & F.rlike("tile_name", p.pattern))
     return (
         tiles.join(patterns, "country").withColumn("taken_by", F.transform(others, lambda p: p.code))
         .filter(F.size("taken_by") > 0)

@@ -158,17 +158,17 @@ def multiscale_deviation(blocks: DataFrame, res: float, band: str = "z", side: i
     """Bands ``local, meso, broad``: per scale band the deviation of largest magnitude (own reducer)."""
     sigmas = [metres / res for limits in shade.MSTP_BANDS.values() for metres in limits]
     smooth = gaussian(blocks, sigmas, band, squares=True, side=side)
-    columns = []
-    for i, name in enumerate(shade.MSTP_BANDS):
-        low, high = 2 * i, 2 * i + 1
-        zipped = F.arrays_zip("z", f"g{low}", f"s{low}", f"g{high}", f"s{high}")
 
-        def strongest(v, low=low, high=high):
+    def strongest(low, high):
+        def pick(v):
             first = shade.deviation(v.z, v[f"g{low}"], v[f"s{low}"])
             second = shade.deviation(v.z, v[f"g{high}"], v[f"s{high}"])
             return F.when(F.abs(second) > F.abs(first), second).otherwise(first)
 
-        columns.append(F.transform(zipped, strongest).alias(name))
+        layers = ["z", f"g{low}", f"s{low}", f"g{high}", f"s{high}"]
+        return F.transform(F.arrays_zip(*layers), pick)
+
+    columns = [strongest(2 * i, 2 * i + 1).alias(name) for i, name in enumerate(shade.MSTP_BANDS)]
     return smooth.select("raster_id", "brow", "bcol", *columns)
 
 

@@ -53,7 +53,7 @@ def parse_tag_filters(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     value = F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("*")))
     one = tokens.filter(key != "").select(
         *by, key.alias("key"), "position", value.isin("*", "").alias("bare"),
-        F.explode(F.transform(F.split(value, ","), F.trim)).alias("value"))
+        F.explode(F.transform(F.split(value, ","), lambda v: F.trim(v))).alias("value"))
     return one.groupBy(*by, "key").agg(
         F.bool_or("bare").alias("any_value"),
         F.array_sort(F.collect_set(F.when(~F.col("bare"), F.col("value")))).alias("values"),
@@ -164,13 +164,14 @@ def ring_segments(features: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
-def segment_tiles(segments: DataFrame, zoom: int) -> DataFrame:
+def segment_tiles(segments: DataFrame, zoom: int | Column) -> DataFrame:
     """Tiles each lon/lat segment crosses at a zoom (``x, y``).
 
     The segment is cut into its tile columns first and each column yields only the rows the segment
     runs through, so a long diagonal costs its length and not its bounding rectangle.
     """
-    n = float(2**zoom)
+    count = geo.pow2(zoom)
+    n = count.cast("double")
 
     def across(lon):
         return (F.col(lon) + 180.0) / 360.0 * n
@@ -179,7 +180,7 @@ def segment_tiles(segments: DataFrame, zoom: int) -> DataFrame:
         return (F.lit(1.0) - F.asinh(F.tan(F.radians(F.col(lat)))) / F.pi()) / 2.0 * n
 
     def clamp(i):
-        return F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(2**zoom - 1).cast("bigint"), floor_long(i)))
+        return F.greatest(F.lit(0).cast("bigint"), F.least(count - 1, floor_long(i)))
 
     flat = segments.withColumn("_ax", across("ax")).withColumn("_ay", down("ay")).withColumn(
         "_bx", across("bx")).withColumn("_by", down("by"))
@@ -197,36 +198,106 @@ def segment_tiles(segments: DataFrame, zoom: int) -> DataFrame:
         clamp(F.least(entry, leaving)), clamp(F.greatest(entry, leaving))))).drop("_ax", "_ay", "_bx", "_by")
 
 
+_PIXELS = "zoom int, x bigint, y bigint, prow int, pcol int, alpha int"
+
+
+def line_pixels(segments: DataFrame) -> DataFrame:
+    """Pixels of segments in their tiles: ``zoom, x, y`` and lon/lat ends in, one row per pixel out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            tile_x, tile_y = part["x"].to_numpy(), part["y"].to_numpy()
+            n = 2.0 ** part["zoom"].to_numpy()
+            ends = []
+            for lon, lat in (("ax", "ay"), ("bx", "by")):
+                ends.append(((part[lon].to_numpy() + 180.0) / 360.0 * n - tile_x) * TILE)
+                ends.append(((1.0 - np.arcsinh(np.tan(np.radians(part[lat].to_numpy()))) / np.pi) / 2.0 * n - tile_y) * TILE)
+            ax, ay, dx, dy = ends[0], ends[1], ends[2] - ends[0], ends[3] - ends[1]
+            low, high = np.zeros(len(part)), np.ones(len(part))
+            # cut to the tile before stepping, so far-away ends cost nothing
+            for a, d in ((ax, dx), (ay, dy)):
+                safe = np.where(d == 0, 1.0, d)
+                t0, t1 = (-1 - a) / safe, (TILE - a) / safe
+                low = np.where(d == 0, low, np.maximum(low, np.minimum(t0, t1)))
+                high = np.where(d == 0, high, np.minimum(high, np.maximum(t0, t1)))
+            width = np.maximum(high - low, 0.0)
+            steps = np.where(high < low, 0, (np.maximum(np.abs(dx), np.abs(dy)) * width).astype(int) * 2 + 2)
+            which = np.repeat(np.arange(len(part)), steps)
+            order = np.arange(len(which)) - np.repeat(np.cumsum(steps) - steps, steps)
+            t = low[which] + order / np.maximum(steps[which] - 1, 1) * width[which]
+            cols, rows = np.floor(ax[which] + t * dx[which]), np.floor(ay[which] + t * dy[which])
+            fits = (cols >= 0) & (cols < TILE) & (rows >= 0) & (rows < TILE)
+            yield pd.DataFrame({
+                "zoom": part["zoom"].to_numpy()[which][fits], "x": tile_x[which][fits], "y": tile_y[which][fits],
+                "prow": rows[fits].astype("int32"), "pcol": cols[fits].astype("int32"), "alpha": LINE_ALPHA}).drop_duplicates()
+
+    return segments.select("zoom", "x", "y", "ax", "ay", "bx", "by").mapInPandas(run, _PIXELS)
+
+
+def fill_pixels(polygons: DataFrame) -> DataFrame:
+    """Inner pixels of polygons in their tiles (``zoom, x, y, rings``) by the even-odd rule."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = []
+            for row in part.itertuples():
+                rows, cols = _inside(row.rings, row.zoom, row.x, row.y)
+                found.append(pd.DataFrame({"zoom": row.zoom, "x": row.x, "y": row.y, "prow": rows, "pcol": cols, "alpha": FILL_ALPHA}))
+            if found:
+                yield pd.concat(found)
+
+    return polygons.select("zoom", "x", "y", "rings").mapInPandas(run, _PIXELS)
+
+
+def _inside(rings, zoom: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the tile pixels whose centre lies inside; only the covered window is tested."""
+    n = 2.0**zoom
+    edges = []
+    for ring in rings:
+        lonlat = np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
+        px = ((lonlat[:, 0] + 180.0) / 360.0 * n - x) * TILE
+        py = ((1.0 - np.arcsinh(np.tan(np.radians(lonlat[:, 1]))) / np.pi) / 2.0 * n - y) * TILE
+        edges.append(np.column_stack([px, py, np.roll(px, -1), np.roll(py, -1)]))
+    edge = np.vstack(edges)
+    r0, r1 = (int(np.clip(v, 0, TILE)) for v in (np.floor(edge[:, 1].min()), np.ceil(edge[:, 1].max())))
+    c0, c1 = (int(np.clip(v, 0, TILE)) for v in (np.floor(edge[:, 0].min()), np.ceil(edge[:, 0].max())))
+    inside = np.zeros((r1 - r0, c1 - c0), dtype=bool)
+    across, down = np.arange(c0, c1) + 0.5, np.arange(r0, r1) + 0.5
+    for ax, ay, bx, by in edge:
+        if ay != by:
+            rows = np.flatnonzero((min(ay, by) <= down) & (down < max(ay, by)))
+            cut = ax + (down[rows] - ay) / (by - ay) * (bx - ax)
+            inside[rows] ^= across[None, :] > cut[:, None]
+    rows, cols = np.nonzero(inside)
+    return (rows + r0).astype("int32"), (cols + c0).astype("int32")
+
+
 def feature_tiles(features: DataFrame, zoom_min: int, zoom_max: int) -> DataFrame:
-    """Transparent tiles of lines and polygons: ``zoom, x, y, pixels (RGBA), painted``.
+    """Transparent tiles of lines and polygons: ``zoom, x, y, data, painted, fill_pixels``.
 
-    Lines go to the tiles they cross, polygons to the tiles of their box; holes are left out by the
-    even-odd rule.  First every tile of one geometry is painted as a coverage mask; masks of a tile
-    are then combined with a maximum, in steps that never hold more than one tile per group.
+    Segments go to the tiles they cross, polygon surfaces to the tiles of their box; holes are left out
+    by the even-odd rule.  The (geometry, tile) pairs are spread evenly before painting, the pixels of a
+    tile are merged before the shuffle, and a group never holds more than the 65536 pixels of one tile.
     """
     if zoom_min < 13:
         raise ValueError("transparent tiles start at zoom 13")
-    box = geom.rings_bbox("rings")
     zooms = F.explode(F.sequence(F.lit(zoom_min), F.lit(zoom_max)))
-    flat = features.select("feature_id", "kind", "rings", box.alias("box")).withColumn("zoom", zooms)
-    placed = (
-        flat.withColumn("x", F.explode(F.sequence(geo.tile_x(F.col("box").x0, F.col("zoom")), geo.tile_x(F.col("box").x1, F.col("zoom")))))
-        .withColumn("y", F.explode(F.sequence(geo.tile_y(F.col("box").y1, F.col("zoom")), geo.tile_y(F.col("box").y0, F.col("zoom")))))
-        .drop("box")
+    outlined = features.withColumn("rings", F.when(
+        F.col("kind") == "Polygon", F.transform("rings", geom.close_ring)).otherwise(F.col("rings")))
+    lines = segment_tiles(ring_segments(outlined).withColumn("zoom", zooms), F.col("zoom"))
+    box = F.col("box")
+    surfaces = (
+        outlined.filter(F.col("kind") == "Polygon")
+        .select("feature_id", "rings", geom.rings_bbox("rings").alias("box")).withColumn("zoom", zooms)
+        .withColumn("x", F.explode(F.sequence(geo.tile_x(box.x0, F.col("zoom")), geo.tile_x(box.x1, F.col("zoom")))))
+        .withColumn("y", F.explode(F.sequence(geo.tile_y(box.y1, F.col("zoom")), geo.tile_y(box.y0, F.col("zoom")))))
+    )
+    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ("feature_id", "zoom", "x", "y")
+    painted = (
+        line_pixels(lines.repartition(width, *spread)).unionByName(fill_pixels(surfaces.repartition(width, *spread)))
+        .groupBy("zoom", "x", "y", "prow", "pcol").agg(F.max("alpha").alias("alpha"))
     )
-    schema = "zoom int, x bigint, y bigint, prow int, pcol int, alpha int"
-
-    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for row in part.itertuples():
-                mask = _paint_tile(row.kind, row.rings, int(row.zoom), int(row.x), int(row.y))
-                rows, cols = np.nonzero(mask)
-                if len(rows):
-                    yield pd.DataFrame({"zoom": int(row.zoom), "x": int(row.x), "y": int(row.y), "prow": rows.astype("int32"),
-                                        "pcol": cols.astype("int32"), "alpha": mask[rows, cols].astype("int32")})
-
-    # one row per painted pixel, combined before the shuffle: a crowded tile stays at 65536 pixels
-    painted = placed.mapInPandas(paint, schema).groupBy("zoom", "x", "y", "prow", "pcol").agg(F.max("alpha").alias("alpha"))
 
     def pack(part):
         image = np.zeros((TILE, TILE, 4), dtype=np.uint8)
@@ -241,48 +312,6 @@ def feature_tiles(features: DataFrame, zoom_min: int, zoom_max: int) -> DataFram
         pack, "zoom int, x bigint, y bigint, data binary, painted int, fill_pixels int")
 
 
-def _paint_tile(kind: str, rings, zoom: int, x: int, y: int) -> np.ndarray:
-    """Alpha mask of one geometry in one tile."""
-    mask = np.zeros((TILE, TILE), dtype=np.uint8)
-    n = 2.0**zoom
-    lines = []
-    for ring in rings:
-        lonlat = np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
-        px = ((lonlat[:, 0] + 180.0) / 360.0 * n - x) * TILE
-        py = ((1.0 - np.arcsinh(np.tan(np.radians(lonlat[:, 1]))) / np.pi) / 2.0 * n - y) * TILE
-        lines.append(np.column_stack([px, py]))
-    if kind == "Polygon":
-        centres = np.arange(TILE) + 0.5
-        inside = np.zeros((TILE, TILE), dtype=bool)
-        for line in lines:
-            for (ax, ay), (bx, by) in zip(line[:-1], line[1:]):
-                if ay == by:
-                    continue
-                rows = np.flatnonzero((np.minimum(ay, by) <= centres) & (centres < np.maximum(ay, by)))
-                cut = ax + (centres[rows] - ay) / (by - ay) * (bx - ax)
-                inside[rows] ^= centres[None, :] > cut[:, None]
-        mask[inside] = FILL_ALPHA
-    for line in lines:
-        for (ax, ay), (bx, by) in zip(line[:-1], line[1:]) if len(line) > 1 else [(line[0], line[0])]:
-            # cut to the tile before stepping, so far-away ends cost nothing
-            low, high = 0.0, 1.0
-            for a, d in ((ax, bx - ax), (ay, by - ay)):
-                if d == 0:
-                    if not -1 <= a <= TILE:
-                        high = -1.0
-                else:
-                    t0, t1 = sorted(((-1 - a) / d, (TILE - a) / d))
-                    low, high = max(low, t0), min(high, t1)
-            if low > high:
-                continue
-            length = max(abs(bx - ax), abs(by - ay)) * (high - low)
-            t = np.linspace(low, high, int(length) * 2 + 2)
-            cols, rows = np.floor(ax + t * (bx - ax)).astype(int), np.floor(ay + t * (by - ay)).astype(int)
-            fits = (cols >= 0) & (cols < TILE) & (rows >= 0) & (rows < TILE)
-            mask[rows[fits], cols[fits]] = LINE_ALPHA
-    return mask
-
-
 # -- files and areas ------------------------------------------------------------------------------
 
 def merge_files(files: dict[str, DataFrame]) -> DataFrame:
@@ -322,7 +351,7 @@ def area_around(x, y, width_km) -> Column:
 
 
 def _degrees_name(value: Column) -> Column:
-    return F.replace(F.format_string("%.5f", value.cast("double")), F.lit("."), F.lit("_"))
+    return F.replace(F.format_string("%.5f", F.bround(value.cast("double"), 5)), F.lit("."), F.lit("_"))
 
 
 def area_name_point(lat, lon) -> Column:

@@ -50,7 +50,7 @@ _FEATURES = [
     "concat('layer_', cast(event_id % 3 as string)) as source",
     "5.5e0 + (user_id % 997)/997e0 as ax", "43e0 + (event_id % 991)/991e0 as ay",
     "5.5e0 + (user_id % 997)/997e0 + ((event_id*7) % 200 - 100)/2e4 as bx",
-    "43e0 + (event_id % 991)/991e0 + ((event_id*13) % 200 - 100)/2e4 as by",
+    "43e0 + (event_id % 991)/991e0 + ((event_id*13) % 200 - 100)/2e4 as `by`",
 ]
 _TILES = [
     "l_orderkey", "l_linenumber", "cast(l_quantity as bigint) as data_len",
@@ -65,7 +65,7 @@ def _with(name: str, columns: list[str], source: str) -> str:
 
 PTS = _with("pts0", _POINTS_BASE, "lineitem") + ", " + _with("pts", _POINTS, "pts0")
 INDEX = _with("idx", _INDEX, "orders")
-FEATURES = _with("feat", _FEATURES, "events")
+FEATURES = _with("feat", [c.replace("`", '"') for c in _FEATURES], "events")
 TILES = (
     _with("tl0", _TILES, "lineitem")
     + """, tl as (select distinct concat('set_', cast(set_no as string)) as set_id, zoom,

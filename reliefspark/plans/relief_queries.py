@@ -473,7 +473,7 @@ def _mosaic(spark, sf_dir):
 
 _SPEC = ("concat(case event_id % 9 when 0 then 'svf' when 1 then 'oneg' when 2 then '315' when 3 then 'lrm' when 4 then 'slope' when 5 then 'foo' "
          "when 6 then 'vat' when 7 then 'multi' else 'opos' end, case user_id % 7 when 0 then '' when 1 then concat(':dist=', cast(10 + user_id % 30 as string)) "
-         "when 2 then concat(':dist=', cast(10 + event_id % 4 as string), '.4,gamma=0.9') when 3 then ':conv=rvt' when 4 then ':dist=abc' when 5 then concat(':sigma=', cast(3 + user_id % 5 as string)) "
+         "when 2 then concat(':dist=', cast(10 + event_id % 4 as string), case when event_id % 2 = 0 then '.4' else '.1' end, ',gamma=', case when user_id % 2 = 0 then '0.9' else '0.92' end) when 3 then ':conv=rvt' when 4 then ':dist=abc' when 5 then concat(':sigma=', cast(3 + user_id % 5 as string)) "
          "else ':elevation=35' end)")
 _SQL_SPEC = f"""s as (select event_id, {_SPEC} as spec from events),
     k as (select event_id, split_part(spec, ':', 1) as type, case when contains(spec, ':') then split_part(spec, ':', 2) else '' end as t from s),
