@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ("point_queries", "relief_queries", "catalogue_queries", "tile_queries", "vector_queries", "state_queries")
+SUBJECTS = ("point_queries", "relief_queries", "catalogue_queries", "tile_queries", "vector_queries", "state_queries", "source_queries")
 
 
 def load() -> None:
