@@ -113,6 +113,8 @@ def exchange(
                     parts.append(part)
                     flat = np.ascontiguousarray(values, dtype=np.float64).reshape(-1)
                     payload.append(pa.array(flat))
+                if not ids:
+                    continue
                 lengths = np.concatenate([[0], np.cumsum([len(p) for p in payload])]).astype(np.int32)
                 nested = pa.ListArray.from_arrays(pa.array(lengths), pa.concat_arrays(payload))
                 yield pa.RecordBatch.from_arrays(

@@ -38,16 +38,27 @@ def _before(z: np.ndarray, position: np.ndarray, value: np.ndarray) -> tuple[np.
     return np.arange(side)[None, :] - found, values
 
 
-def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep: Sequence[str] = ()) -> DataFrame:
-    """``band`` filled for every block given (pass empty ones too); bands in ``keep`` stay as they are."""
+def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep: Sequence[str] = (),
+               tile: int | None = None) -> DataFrame:
+    """``band`` filled for every block given; bands in ``keep`` stay as they are.
+
+    With ``tile`` (blocks per tile side) every block also calls up the other blocks of its nominal tile,
+    so tiles are filled completely even where whole blocks hold no data.
+    """
     steps = -(-reach // side)
     # the four views turn every direction into "look back along the row"
     views = (lambda a: a, lambda a: a[:, ::-1], lambda a: a.T, lambda a: a.T[:, ::-1])
     moves = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
+    present, nothing = 1 + 4 * steps, np.empty(0)
+
     def send(brow, bcol, arrays):
         z = arrays[0]
         yield brow, bcol, 0, np.stack(arrays)
+        if tile:
+            top, left = brow - brow % tile, bcol - bcol % tile
+            for i in range(tile * tile):
+                yield top + i // tile, left + i % tile, present, nothing
         for way, (dr, dc) in enumerate(moves):
             position, value = _last_known(views[way](z))
             if (position >= 0).any():
@@ -55,9 +66,10 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep
                     yield brow + dr * step, bcol + dc * step, 1 + way * steps + step - 1, np.stack([position, value])
 
     def combine(brow, bcol, parts):
-        if 0 not in parts:
+        if 0 not in parts and present not in parts:
             return None
-        z, *kept = parts[0].reshape(1 + len(keep), side, side)
+        own = parts.get(0, np.full((1 + len(keep)) * side * side, np.nan))
+        z, *kept = own.reshape(1 + len(keep), side, side)
         weighted, weights = [], []
         for way, view in enumerate(views):
             position, value = np.full(side, -np.inf), np.full(side, np.nan)

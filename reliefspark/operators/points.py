@@ -43,6 +43,25 @@ class Grid:
     def col(self, x="x") -> Column:
         return floor_long((_c(x) - F.lit(self.left)) / F.lit(self.res))
 
+    def cell(self, x="x", y="y") -> Column:
+        """Row and column in one number: aggregates and joins on a single long are the fast path."""
+        return cell_key(self.row(y), self.col(x))
+
+
+_COL_SPAN, _COL_SHIFT = 1 << 32, 1 << 31
+
+
+def cell_key(row, col) -> Column:
+    return _c(row) * F.lit(_COL_SPAN) + (_c(col) + F.lit(_COL_SHIFT))
+
+
+def key_row(cell="cell") -> Column:
+    return F.shiftright(_c(cell), 32)
+
+
+def key_col(cell="cell") -> Column:
+    return F.pmod(_c(cell), F.lit(_COL_SPAN)) - F.lit(_COL_SHIFT)
+
 
 # -- guards and filters ---------------------------------------------------------------------------
 
@@ -151,30 +170,32 @@ def tile_blocks(points: DataFrame, grid: Grid, side: int = BLOCK) -> DataFrame:
 
 # -- binning --------------------------------------------------------------------------------------
 
-def bin_min(points: DataFrame, grid: Grid, class_sets: dict[str, Sequence[int]]) -> DataFrame:
-    """Minimum height per cell for several class sets at once: one scan, one aggregate.
+def bin_min(points: DataFrame, grid: Grid, class_sets: dict[str, Sequence[int]],
+            maxima: dict[str, Sequence[int]] | None = None) -> DataFrame:
+    """Minimum height per cell for several class sets at once (and maxima): one scan, one aggregate.
 
     The minimum is combined before the shuffle, so a cell with very many points costs nothing extra.
     """
-    aggregates = [
-        F.min(F.when(F.col("cls").isin(*classes), F.col("z"))).alias(name) for name, classes in class_sets.items()]
-    return (
-        address(keep_classes(points, *class_sets.values()), grid)
-        .groupBy("row", "col").agg(*aggregates).withColumn("raster_id", F.lit("all"))
-    )
+    def of(classes):
+        return F.when(F.col("cls").isin(*classes), F.col("z"))
+
+    aggregates = [F.min(of(c)).alias(n) for n, c in class_sets.items()]
+    aggregates += [F.max(of(c)).alias(n) for n, c in (maxima or {}).items()]
+    names = [*class_sets, *(maxima or {})]
+    cells = keep_classes(points, *class_sets.values()).select(grid.cell().alias("cell"), "z", "cls").groupBy("cell").agg(*aggregates)
+    return cells.select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), *names)
 
 
 def ground_or_all(points: DataFrame, classes: Sequence[int] = (2,), minimum: int = 100) -> DataFrame:
-    """Ground points of every cloud, or all its points where fewer than ``minimum`` are ground."""
+    """Ground points of every cloud, or all its points where fewer than ``minimum`` are ground.
+
+    Ground points never meet a join.  Only the others are matched with the clouds that lack ground,
+    and those are rare, so the runtime filter of the join keeps nearly all of them out of the shuffle.
+    """
     ground = F.col("cls").isin(*classes)
-    poor = (
-        points.groupBy("cloud_id").agg(F.count_if(ground).alias("n_ground"))
-        .filter(F.col("n_ground") < minimum).select("cloud_id", F.lit(True).alias("take_all"))
-    )
-    return (
-        points.join(poor, "cloud_id", "left")
-        .filter(ground | F.coalesce(F.col("take_all"), F.lit(False))).drop("take_all")
-    )
+    poor = points.groupBy("cloud_id").agg(F.count_if(ground).alias("n")).filter(F.col("n") < minimum).select("cloud_id")
+    rest = points.filter(~ground).join(poor, "cloud_id", "left_semi")
+    return points.filter(ground).unionByName(rest.select(*points.columns))
 
 
 def canopy_prefilter(points: DataFrame, grid: Grid, above_m: float = 3.5) -> DataFrame:
@@ -200,60 +221,68 @@ def fill_cells(cells: DataFrame, value: str, domain: DataFrame, reach_cells: int
 
 
 def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
-               side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
-    """Bare-earth model as blocks with band ``z``.
+               side: int = BLOCK, minimum: int | None = 100) -> DataFrame:
+    """Bare-earth model as blocks with band ``z``, filled over every nominal tile that holds ground.
 
-    ``domain`` names the blocks to fill (from the catalogue, for instance); without it one more scan
-    of the point positions finds them.
+    ``minimum`` is the number of ground points below which a cloud counts as unclassified and gives
+    all its points; None skips that check and its scan.
     """
-    lowest = address(ground_or_all(points, classes), grid).groupBy("row", "col").agg(F.min("z").alias("z"))
-    lowest = lowest.withColumn("raster_id", F.lit("all"))
-    domain = tile_blocks(points, grid, side) if domain is None else domain
-    dense = fill_domain(cells_to_blocks(lowest, ["z"], side), domain, ["z"], side)
-    return fill.fill_holes(dense, "z", int(max_fill_m / grid.res), side)
+    used = points.filter(F.col("cls").isin(*classes)) if minimum is None else ground_or_all(points, classes, minimum)
+    lowest = used.select(grid.cell().alias("cell"), "z").groupBy("cell").agg(F.min("z").alias("z"))
+    cells = lowest.select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), "z")
+    return fill.fill_holes(
+        cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, tile=grid.tile_cells // side)
 
 
 def points_to_dtm(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
-                  side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
+                  side: int = BLOCK, minimum: int | None = 100) -> DataFrame:
     """Bare-earth model: ``raster_id, row, col, z``."""
-    return blocks_to_cells(dtm_blocks(points, grid, classes, max_fill_m, side, domain), ["z"], side)
+    return blocks_to_cells(dtm_blocks(points, grid, classes, max_fill_m, side, minimum), ["z"], side)
 
 
 def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,
                    classes_low: Sequence[int] = LOW_CLASSES, classes_ground: Sequence[int] = GROUND_CLASSES,
                    ref_ground: Sequence[int] = REFERENCE_CLASSES, max_fill_m: float = 200.0,
-                   side: int = BLOCK, domain: DataFrame | None = None) -> DataFrame:
+                   side: int = BLOCK) -> DataFrame:
     """Blocks with bands ``z_ref`` (filled reference ground), ``z_ground`` (raw) and ``z_low``.
 
     ``z_low`` is the lowest point of the height band in cells without ground.  One aggregate feeds all
-    three bands.  Only cells without ground can take a low object, so only their candidate points are
-    joined.  Both join sides carry a small salt: the following per-cell minimum then shuffles anyway,
-    which lets adaptive execution split a cell that holds a large share of the points.
+    bands and decides most cells alone: when the lowest low-class point of a cell lies in the band it is
+    the answer, when it lies above or the highest lies below there is none.  Only the cells in between
+    go back to their points.  That join carries a small salt on both sides: the following per-cell
+    minimum then shuffles anyway, which lets adaptive execution split a cell that holds a large share
+    of the points.
     """
     useful = drop_noise(points)
     low, ground = list(classes_low), list(classes_ground) or [-1]
-    bands = ("z_ref", "z_ground", "z_any_low")
-    raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_any_low": low})
-    domain = tile_blocks(useful, grid, side) if domain is None else domain
-    dense = fill_domain(cells_to_blocks(raw, bands, side), domain, bands, side)
-    blocks = fill.fill_holes(dense, "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:])
+    bands = ("z_ref", "z_ground", "z_first", "z_last")
+    raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_first": low}, {"z_last": low})
+    blocks = fill.fill_holes(
+        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], tile=grid.tile_cells // side)
+
+    def in_band(height):
+        return (height >= hmin) & (height <= hmax)
+
     salts = 4
-    holes = (
+    reference, first, last = F.col("z_ref"), F.col("z_first"), F.col("z_last")
+    undecided = (
         blocks_to_cells(blocks, bands, side)
-        .filter(F.col("z_ground").isNull() & F.col("z_any_low").isNotNull() & F.col("z_ref").isNotNull())
-        .select("row", "col", "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .filter(F.col("z_ground").isNull() & (first - reference < hmin) & (last - reference >= hmin))
+        .select(cell_key("row", "col").alias("cell"), "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    candidates = address(keep_classes(useful, low), grid).select(
-        "row", "col", "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
-    height = F.col("z") - F.col("z_ref")
-    injected = (
-        candidates.join(holes, ["row", "col", "salt"])
-        .filter((height >= hmin) & (height <= hmax))
-        .groupBy("row", "col").agg(F.min("z").alias("z_low")).withColumn("raster_id", F.lit("all"))
+    candidates = keep_classes(useful, low).select(
+        grid.cell().alias("cell"), "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
+    found = (
+        candidates.join(undecided.hint("shuffle_hash"), ["cell", "salt"])
+        .filter(in_band(F.col("z") - reference)).groupBy("cell").agg(F.min("z").alias("z_found"))
+        .select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), "z_found")
     )
-    return fill_domain(
-        cells_to_blocks(injected, ["z_low"], side), blocks.select(*KEYS, "z_ref", "z_ground"), ["z_low"], side,
-        carry=("z_ref", "z_ground"))
+    joined = fill_domain(
+        cells_to_blocks(found, ["z_found"], side), blocks, ["z_found"], side, carry=("z_ref", "z_ground", "z_first"))
+    decided = F.transform(
+        F.arrays_zip("z_ref", "z_ground", "z_first", "z_found"),
+        lambda v: F.when(v.z_ground.isNull(), F.when(in_band(v.z_first - v.z_ref), v.z_first).otherwise(v.z_found)))
+    return joined.select(*KEYS, "z_ref", "z_ground", decided.alias("z_low"))
 
 
 def points_to_dfm(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: float = 200.0, **settings) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,25 @@ def pixel_tiles(pixels: DataFrame, value: str = "v") -> DataFrame:
         pack, "zoom int, x bigint, y bigint, pixels binary, filled int")
 
 
+def block_tiles(blocks: DataFrame, band: str, zoom: int | Column) -> DataFrame:
+    """Tiles from blocks of 256 x 256 global Mercator pixels: a block is a tile, so nothing is shuffled."""
+    zoom = F.lit(zoom) if isinstance(zoom, int) else zoom
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images, filled = [], []
+            for values in batch.column(3):
+                image = np.nan_to_num(values.values.to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.uint8)
+                images.append(image.tobytes())
+                filled.append(int((image > 0).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(images, pa.binary()), pa.array(filled, pa.int32())],
+                names=["zoom", "x", "y", "pixels", "filled"])
+
+    rows = blocks.select(zoom.cast("int").alias("zoom"), F.col("bcol").alias("x"), F.col("brow").alias("y"), F.col(band))
+    return rows.mapInArrow(pack, "zoom int, x bigint, y bigint, pixels binary, filled int").filter("filled > 0")
+
+
 def tile_summary(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Per tile the number of known pixels and whether it is full; tiles without data are absent."""
     return (

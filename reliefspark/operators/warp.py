@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import _c, floor_long
+from reliefspark.operators.blocks import exchange
 from reliefspark.operators.catalogue import best_per_key
 
 # Shading types, their parameters, presets.
@@ -52,6 +55,60 @@ def warp_bilinear(cells: DataFrame, targets: DataFrame, source_row: Column, sour
     )
 
 
+def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int) -> DataFrame:
+    """Bilinear warp on blocks: ``band`` on the target grid, in blocks of ``target_side``.
+
+    ``mapping.to_target(row, col)`` and ``mapping.to_source(row, col)`` work on arrays of cell positions
+    (centres at whole numbers).  Every source block goes to the target blocks its outline reaches, one
+    shuffle of arrays in all.  A target block receives about as many source blocks as its footprint
+    covers: before a strong reduction build the pyramid first.
+    """
+    def send(brow, bcol, arrays):
+        if np.isnan(arrays[0]).all():
+            return
+        # positions along the outline, one cell beyond it, since neighbours interpolate towards it
+        steps = np.linspace(-1.0, float(side), 33)
+        low, high = np.full(33, -1.0), np.full(33, float(side))
+        rows = np.concatenate([low, high, steps, steps]) + brow * side
+        cols = np.concatenate([steps, steps, low, high]) + bcol * side
+        to_row, to_col = mapping.to_target(rows, cols)
+        first_row, last_row = (int(math.floor(v / target_side)) for v in (to_row.min() - 1, to_row.max() + 1))
+        first_col, last_col = (int(math.floor(v / target_side)) for v in (to_col.min() - 1, to_col.max() + 1))
+        part = (brow % 4096) * 4096 + bcol % 4096
+        payload = np.concatenate([[brow, bcol], arrays[0].reshape(-1)])
+        for i in range(first_row, last_row + 1):
+            for j in range(first_col, last_col + 1):
+                yield i, j, part, payload
+
+    def combine(brow, bcol, parts):
+        known = {(int(p[0]), int(p[1])): p[2:].reshape(side, side) for p in parts.values()}
+        first_row, first_col = min(k[0] for k in known), min(k[1] for k in known)
+        rows, cols = max(k[0] for k in known) - first_row + 1, max(k[1] for k in known) - first_col + 1
+        # one cell of margin on each side keeps every corner index inside
+        source = np.full((rows * side + 2, cols * side + 2), np.nan)
+        for (i, j), values in known.items():
+            r, c = (i - first_row) * side + 1, (j - first_col) * side + 1
+            source[r:r + side, c:c + side] = values
+        row, col = np.mgrid[0:target_side, 0:target_side].astype(float)
+        from_row, from_col = mapping.to_source(row + brow * target_side, col + bcol * target_side)
+        r0, c0 = np.floor(from_row), np.floor(from_col)
+        fr, fc = from_row - r0, from_col - c0
+        total, weight = np.zeros_like(row), np.zeros_like(row)
+        for dr, dc, w in ((0, 0, (1 - fr) * (1 - fc)), (0, 1, (1 - fr) * fc), (1, 0, fr * (1 - fc)), (1, 1, fr * fc)):
+            i = np.clip(r0 + dr - first_row * side + 1, 0, source.shape[0] - 1).astype(np.int64)
+            j = np.clip(c0 + dc - first_col * side + 1, 0, source.shape[1] - 1).astype(np.int64)
+            value = source[i, j]
+            use = ~np.isnan(value) & (w > 0)
+            total += np.where(use, w * np.where(use, value, 0.0), 0.0)
+            weight += np.where(use, w, 0.0)
+        if not (weight > 0).any():
+            return None
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {band: np.where(weight > 0, total / weight, np.nan)}
+
+    return exchange(blocks, [band], send, combine, {band: "double"}, side)
+
+
 def target_cells(blocks_of_targets: DataFrame, side: int) -> DataFrame:
     """All cells of the given target blocks (raster_id, brow, bcol)."""
     slots = F.sequence(F.lit(0), F.lit(side * side - 1))

@@ -16,11 +16,11 @@ def standing_structures(spark, sf_dir, threshold_m=0.4):
     """Cells where the feature model stands above the bare ground, and by how much."""
     cloud = fx.points(spark, sf_dir)
     feature = P.points_to_dfm(cloud, GRID, side=SIDE)
-    bare = P.points_to_dtm(cloud, GRID, classes=P.GROUND_CLASSES, max_fill_m=100.0, side=SIDE)
+    bare = P.points_to_dtm(cloud, GRID, classes=P.GROUND_CLASSES, max_fill_m=100.0, side=SIDE, minimum=None)
     return P.model_difference(feature, bare, threshold_m)
 
 
-@query("standing_structures", f"""with {FEATURE}, {BARE_RAW},
+@query("standing_structures", f"""with {FEATURE}, bare_raw as (select "row", col, min(z) as z from addr where cls in (2, 9, 66) group by all),
     {sql_fill('bare_raw', 'z', 50, 'bare', 'dom_all')}
     select dfm."row" as "row", dfm.col as col, {sql_mm('dfm.z')} as z_feature_mm, {sql_mm('bare.z')} as z_bare_mm,
       {sql_mm('dfm.z - bare.z')} as delta_mm

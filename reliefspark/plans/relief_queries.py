@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from reliefspark.functions import geo, shade
+from reliefspark.functions.arrays import LambertToPixels
 from reliefspark.operators import focal, warp
 from reliefspark.operators import points as P
 from reliefspark.operators.blocks import blocks_to_cells, cells_to_blocks
@@ -438,8 +439,18 @@ WARP = BARE + f""", c0 as (select {_WLON} as lon, {_WLAT} as lat from bare),
     warped as (select crn."row", crn.col, sum(w*z)/sum(w) as z from crn join bare on bare."row" = sr and bare.col = sc where w > 0 group by all)"""
 
 
+def mercator_blocks(spark, sf_dir, side=256):
+    """The bare-earth model on global Mercator pixels, one block per map tile."""
+    return warp.warp_blocks(bare(spark, sf_dir), "z", LambertToPixels(_PLACE_X, _PLACE_Y, RES, _ZOOM), SIDE, side)
+
+
 @query("warp_bilinear", f"""with {WARP} select "row", col, {sql_mm('z')} as z_mm from warped""")
 def _warp(spark, sf_dir):
+    return blocks_to_cells(mercator_blocks(spark, sf_dir, 64), ["z"], 64).select("row", "col", mm("z").alias("z_mm"))
+
+
+@query("warp_by_cell_join", f"""with {WARP} select "row", col, {sql_mm('z')} as z_mm from warped""")
+def _warp_cells(spark, sf_dir):
     return warp_to_mercator(cells_of(bare(spark, sf_dir), "z"), _ZOOM).select("row", "col", mm("z").alias("z_mm"))
 
 

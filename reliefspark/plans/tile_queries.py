@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions import geo
 from reliefspark.operators import tiles as T
-from reliefspark.operators.blocks import blocks_to_cells, cells_to_blocks
+from reliefspark.operators.blocks import blocks_to_cells
 from reliefspark.plans import fixtures as fx
 from reliefspark.plans.fixtures import FEATURES, TILES
 from reliefspark.plans.registry import query
-from reliefspark.plans.relief_queries import WARP, bare, cells_of, warp_to_mercator
+from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, warp_to_mercator
 from reliefspark.session import table
 
 _ZOOM = 15
@@ -58,14 +58,24 @@ def _summary(spark, sf_dir):
     return T.tile_summary(_pixels(spark, sf_dir))
 
 
+def _pixel_blocks(spark, sf_dir):
+    code = F.transform("z", lambda z: F.floor(z * 10.0).cast("bigint") % 255 + 1)
+    return mercator_blocks(spark, sf_dir).select("raster_id", "brow", "bcol", code.cast("array<double>").alias("v"))
+
+
 @query("tile_packing", f"with {PIXELS} " + _PACK.format(kind="int", more=", 65536 as n_bytes"))
 def _packing(spark, sf_dir):
+    return T.block_tiles(_pixel_blocks(spark, sf_dir), "v", _ZOOM).select("zoom", "x", "y", "filled", F.length("pixels").alias("n_bytes"))
+
+
+@query("tile_packing_from_pixels", f"with {PIXELS} " + _PACK.format(kind="int", more=", 65536 as n_bytes"))
+def _packing_pixels(spark, sf_dir):
     return T.pixel_tiles(_pixels(spark, sf_dir)).select("zoom", "x", "y", "filled", F.length("pixels").alias("n_bytes"))
 
 
 @query("tile_png", f"with {PIXELS} " + _PACK.format(kind="int", more=", 'png' as kind, 256 as width, case when count(*) = 65536 then 0 else 4 end as colour_type"))
 def _png(spark, sf_dir):
-    png = T.png_tiles(T.pixel_tiles(_pixels(spark, sf_dir)))
+    png = T.png_tiles(T.block_tiles(_pixel_blocks(spark, sf_dir), "v", _ZOOM))
     return png.select("zoom", "x", "y", "filled", T.payload_kind("data").alias("kind"),
                       F.conv(F.hex(F.substring("data", 17, 4)), 16, 10).cast("int").alias("width"),
                       F.conv(F.hex(F.substring("data", 26, 1)), 16, 10).cast("int").alias("colour_type"))
@@ -88,8 +98,7 @@ _KEEP = "where exists (select 1 from {src} s where s.prow // 512 = t.prow // 256
     k13 as (select * from r13 t {_KEEP.format(src='k14')})
     select 15 as zoom, prow, pcol, v from px union all select 14, prow, pcol, v from k14 union all select 13, prow, pcol, v from k13""")
 def _pyramid(spark, sf_dir):
-    pixels = _pixels(spark, sf_dir).select(F.lit("p").alias("raster_id"), F.col("prow").alias("row"), F.col("pcol").alias("col"), "v")
-    levels = T.pyramid(cells_to_blocks(pixels, ["v"], T.TILE), 13, 15)
+    levels = T.pyramid(_pixel_blocks(spark, sf_dir), 13, 15)
     result = None
     for zoom in (15, 14, 13):
         cells = blocks_to_cells(levels.filter(F.col("zoom") == zoom), ["v"], T.TILE).filter(F.col("v") > 0)

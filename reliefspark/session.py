@@ -23,6 +23,7 @@ def build_session(app: str = "reliefspark", master: str | None = None, shuffle_p
         # one block row carries up to 0.5 MB of heights: keep Arrow batches small
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", os.environ.get("RELIEF_DRIVER_MEMORY", "12g"))
