@@ -155,21 +155,21 @@ def local_relief(blocks: DataFrame, sigma_px: float = 15.0, band: str = "z", hol
 
 
 def multiscale_deviation(blocks: DataFrame, res: float, band: str = "z", side: int = BLOCK) -> DataFrame:
-    """Bands ``local, meso, broad``: per scale band the deviation of largest magnitude (own reducer)."""
-    sigmas = [metres / res for limits in shade.MSTP_BANDS.values() for metres in limits]
-    smooth = gaussian(blocks, sigmas, band, squares=True, side=side)
+    """Bands ``local, meso, broad``: per scale band the deviation of largest magnitude (own reducer).
 
-    def strongest(low, high):
-        def pick(v):
-            first = shade.deviation(v.z, v[f"g{low}"], v[f"s{low}"])
-            second = shade.deviation(v.z, v[f"g{high}"], v[f"s{high}"])
-            return F.when(F.abs(second) > F.abs(first), second).otherwise(first)
-
-        layers = ["z", f"g{low}", f"s{low}", f"g{high}", f"s{high}"]
-        return F.transform(F.arrays_zip(*layers), pick)
-
-    columns = [strongest(2 * i, 2 * i + 1).alias(name) for i, name in enumerate(shade.MSTP_BANDS)]
-    return smooth.select("raster_id", "brow", "bcol", *columns)
+    Each scale band is smoothed on its own, so the fine ones exchange narrow margins only.
+    """
+    def pick(v):
+        first, second = shade.deviation(v.z, v.g0, v.s0), shade.deviation(v.z, v.g1, v.s1)
+        return F.when(F.abs(second) > F.abs(first), second).otherwise(first)
+
+    result = None
+    for name, limits in shade.MSTP_BANDS.items():
+        smooth = gaussian(blocks, [metres / res for metres in limits], band, squares=True, side=side)
+        one = smooth.select(
+            "raster_id", "brow", "bcol", F.transform(F.arrays_zip("z", "g0", "s0", "g1", "s1"), pick).alias(name))
+        result = one if result is None else result.join(one, ["raster_id", "brow", "bcol"])
+    return result
 
 
 # -- horizons -------------------------------------------------------------------------------------

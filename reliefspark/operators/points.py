@@ -7,10 +7,12 @@ Points: ``cloud_id, x, y, z, cls, withheld``.  Cells sit on one global grid per
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import _c, floor_long
@@ -204,11 +206,11 @@ def canopy_prefilter(points: DataFrame, grid: Grid, above_m: float = 3.5) -> Dat
     Aggregate and join instead of a window: the minimum combines before the shuffle and adaptive
     execution may split a hot cell in the join.
     """
-    addressed = address(points, grid)
-    floor_z = addressed.groupBy("row", "col").agg(F.min("z").alias("z_floor"))
+    addressed = points.withColumn("cell", grid.cell())
+    floor_z = addressed.groupBy("cell").agg(F.min("z").alias("z_floor"))
     return (
-        addressed.join(floor_z, ["row", "col"])
-        .filter(F.col("z") <= F.col("z_floor") + F.lit(above_m)).drop("row", "col", "z_floor")
+        addressed.join(floor_z, "cell")
+        .filter(F.col("z") <= F.col("z_floor") + F.lit(above_m)).drop("cell", "z_floor")
     )
 
 
@@ -304,9 +306,10 @@ def dfm_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: flo
 
 def height_above_ground(points: DataFrame, ground: DataFrame, grid: Grid) -> DataFrame:
     """Points with ``h``, their height over the filled ground cell below them."""
+    floor_z = ground.select(cell_key("row", "col").alias("cell"), F.col("z").alias("z_ground"))
     return (
-        address(points, grid).join(ground.select("row", "col", F.col("z").alias("z_ground")), ["row", "col"])
-        .withColumn("h", F.col("z") - F.col("z_ground"))
+        address(points, grid).withColumn("cell", cell_key("row", "col")).join(floor_z, "cell")
+        .withColumn("h", F.col("z") - F.col("z_ground")).drop("cell")
     )
 
 
@@ -339,21 +342,45 @@ def largest_member(members: DataFrame) -> DataFrame:
 
 # -- text grids -----------------------------------------------------------------------------------
 
+def smallest_gap(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Smallest difference between neighbouring distinct values per key: ``key, gap``.
+
+    Values are range-partitioned by key and value and compared inside each partition; only the ends of
+    each partition's run meet again, so a key with very many values stays spread.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(rows.dtypes)[key]
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = {}
+        for part in batches:
+            for name, values in part.groupby(key, sort=False)[value]:
+                v = values.to_numpy()
+                first, last, gap = found.get(name, (v[0], None, np.inf))
+                ordered = v if last is None else np.concatenate([[last], v])
+                if len(ordered) > 1:
+                    gap = min(gap, np.diff(ordered).min())
+                found[name] = (first, v[-1], gap)
+        yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=[key, "first", "last", "gap"])
+
+    ranged = rows.select(key, F.col(value).cast("double").alias(value)).distinct().repartitionByRange(
+        width, key, value).sortWithinPartitions(key, value)
+    pieces = ranged.mapInPandas(runs, f"{key} {kind}, first double, last double, gap double")
+    # one row per key and partition
+    before = F.lag("last").over(Window.partitionBy(key).orderBy("first"))
+    return pieces.withColumn("gap", F.least("gap", F.col("first") - before)).groupBy(key).agg(F.min("gap").alias("gap")).filter(
+        F.col("gap") < float("inf"))
+
+
 def grid_from_text(points: DataFrame) -> DataFrame:
     """Cells of regular text grids: per file the smallest gap between x values is the resolution.
 
     Input ``cloud_id, x, y, z, line_no``; the last line wins where a cell occurs twice.
     """
-    xs = points.select("cloud_id", "x").distinct()
-    # the gap to the next distinct x, found with a self-join on ranks kept per coarse bucket would need
-    # a known resolution; the column count of one file is bounded, so a window per file is enough
-    from pyspark.sql import Window
-
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy("cloud_id").orderBy("x"))
-    res = xs.withColumn("gap", gap).groupBy("cloud_id").agg(F.min("gap").alias("res"))
+    res = smallest_gap(points, "cloud_id", "x").withColumnRenamed("gap", "res")
     limits = points.groupBy("cloud_id").agg(F.min("x").alias("x_min"), F.max("y").alias("y_max"))
     return (
-        points.join(limits, "cloud_id").join(res, "cloud_id")
+        points.join(limits.join(res, "cloud_id"), "cloud_id")
         .select(
             "cloud_id",
             F.rint((F.col("y_max") - F.col("y")) / F.col("res")).cast("bigint").alias("row"),

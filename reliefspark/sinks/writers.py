@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.functions import geom
 from reliefspark.operators import quality, tiles
 
 
@@ -28,6 +25,18 @@ def write_tiles(tile_rows: DataFrame, meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def write_pyramid(blocks: DataFrame, path: str, zoom_min: int, zoom_max: int, band: str = "v", side: int = tiles.TILE) -> None:
+    """Pyramid levels as one table per zoom; each level reads the stored one above it.
+
+    Nothing is recomputed through several levels and a lost executor costs one level at most.
+    """
+    spark = blocks.sparkSession
+    blocks.write.mode("overwrite").parquet(f"{path}/zoom={zoom_max}")
+    for zoom in range(zoom_max - 1, zoom_min - 1, -1):
+        above = spark.read.parquet(f"{path}/zoom={zoom + 1}")
+        tiles.reduce_once(above, band, side).write.mode("overwrite").parquet(f"{path}/zoom={zoom}")
+
+
 def write_sqlitedb_tables(tile_rows: DataFrame, path: str) -> None:
     """The same tiles in the ``x, y, z, s, image`` layout with its ``info`` table."""
     tiles.to_sqlitedb(tile_rows).write.mode("overwrite").partitionBy("z").parquet(f"{path}/tiles")
@@ -85,8 +94,3 @@ def index_sheet(cells: DataFrame) -> DataFrame:
 def write_manifest(manifest: DataFrame, path: str, run: str) -> None:
     """Manifest of one run as its own partition; earlier runs stay."""
     manifest.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
-
-
-def ring_area_rows(features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bounding boxes of features next to their keys."""
-    return features.select(*keys, geom.rings_bbox("rings").alias("bbox"))

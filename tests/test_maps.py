@@ -319,3 +319,40 @@ def test_warp_moves_a_plane(spark):
     targets = spark.createDataFrame([("r", i, j) for i in range(4) for j in range(4)], "raster_id string, row long, col long")
     out = {(r.row, r.col): r.z for r in warp.warp_bilinear(cells, targets, F.col("row") * 2.0 + 0.5, F.col("col") * 2.0 + 0.25).collect()}
     assert out[(1, 2)] == pytest.approx(2.5 * 10 + 4.25)
+
+
+def test_block_warp_equals_cell_warp(spark):
+    class Shift:
+        """Target grid of half the resolution, moved by a quarter of a cell."""
+
+        def to_target(self, row, col):
+            return (row - 0.5) / 2, (col - 0.25) / 2
+
+        def to_source(self, row, col):
+            return row * 2 + 0.5, col * 2 + 0.25
+
+    rng = np.random.default_rng(8)
+    z = rng.normal(0, 1, (40, 40))
+    z[rng.random(z.shape) < 0.2] = np.nan
+    blocks = to_blocks(spark, z, 8)
+    moved = to_array(warp.warp_blocks(blocks, "z", Shift(), 8, 6), "z", (20, 20), 6)
+    from reliefspark.operators.blocks import blocks_to_cells
+
+    targets = spark.range(400).selectExpr("'r' as raster_id", "floor(id/20) as row", "id % 20 as col")
+    cells = warp.warp_bilinear(blocks_to_cells(blocks, ["z"], 8), targets, F.col("row") * 2.0 + 0.5, F.col("col") * 2.0 + 0.25)
+    want = np.full((20, 20), np.nan)
+    for r in cells.collect():
+        want[r.row, r.col] = r.z
+    assert np.allclose(moved, want, equal_nan=True)
+
+
+def test_stored_pyramid_equals_lazy_one(spark, tmp_path):
+    from reliefspark.sinks.writers import write_pyramid
+
+    rng = np.random.default_rng(9)
+    v = rng.integers(1, 256, (32, 32)).astype(float)
+    blocks = to_blocks(spark, v, 8, "v")
+    write_pyramid(blocks, str(tmp_path / "p"), 3, 5, "v", 8)
+    stored = to_array(spark.read.parquet(str(tmp_path / "p" / "zoom=3")), "v", (8, 8), 8)
+    lazy = to_array(T.pyramid(blocks, 3, 5, "v", 8).filter("zoom = 3").drop("zoom"), "v", (8, 8), 8)
+    assert np.array_equal(stored, lazy) and (stored > 0).all()

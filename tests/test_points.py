@@ -101,3 +101,11 @@ def test_variant_tags(spark):
 def test_bounds_are_half_open(cloud):
     inside = P.clip_bounds(cloud, (0.25, 0.25, 10.25, 10.25))
     assert inside.agg(F.max("x")).first()[0] == 9.75 and inside.agg(F.min("x")).first()[0] == 0.25
+
+
+def test_smallest_gap_over_partitions(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) as k", "cast(id * id % 5003 as double) as v")
+    got = {r.k: r.gap for r in P.smallest_gap(rows, "k", "v").collect()}
+    frame = rows.distinct().toPandas()
+    want = {k: float(np.diff(np.sort(g.v.unique())).min()) for k, g in frame.groupby("k")}
+    assert got == want
