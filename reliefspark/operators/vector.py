@@ -236,38 +236,41 @@ def line_pixels(segments: DataFrame) -> DataFrame:
 
 def fill_pixels(polygons: DataFrame) -> DataFrame:
     """Inner pixels of polygons in their tiles (``zoom, x, y, rings``) by the even-odd rule."""
+    flat = F.flatten("rings")
+    plain = polygons.select(
+        "zoom", "x", "y", F.transform(flat, lambda p: p.x).alias("lon"), F.transform(flat, lambda p: p.y).alias("lat"),
+        F.transform("rings", F.size).alias("sizes"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found = []
-            for row in part.itertuples():
-                rows, cols = _inside(row.rings, row.zoom, row.x, row.y)
-                found.append(pd.DataFrame({"zoom": row.zoom, "x": row.x, "y": row.y, "prow": rows, "pcol": cols, "alpha": FILL_ALPHA}))
-            if found:
-                yield pd.concat(found)
+            zoom, x, y = (part[c].to_numpy() for c in ("zoom", "x", "y"))
+            found = [inside_pixels(lon, lat, sizes, *tile) for lon, lat, sizes, *tile in zip(part["lon"], part["lat"], part["sizes"], zoom, x, y)]
+            counts = [len(rows) for rows, _ in found]
+            if sum(counts):
+                yield pd.DataFrame({
+                    "zoom": np.repeat(zoom, counts), "x": np.repeat(x, counts), "y": np.repeat(y, counts),
+                    "prow": np.concatenate([r for r, _ in found]), "pcol": np.concatenate([c for _, c in found]), "alpha": FILL_ALPHA})
 
-    return polygons.select("zoom", "x", "y", "rings").mapInPandas(run, _PIXELS)
+    return plain.mapInPandas(run, _PIXELS)
 
 
-def _inside(rings, zoom: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+def inside_pixels(lon, lat, sizes, zoom: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the tile pixels whose centre lies inside; only the covered window is tested."""
     n = 2.0**zoom
-    edges = []
-    for ring in rings:
-        lonlat = np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
-        px = ((lonlat[:, 0] + 180.0) / 360.0 * n - x) * TILE
-        py = ((1.0 - np.arcsinh(np.tan(np.radians(lonlat[:, 1]))) / np.pi) / 2.0 * n - y) * TILE
-        edges.append(np.column_stack([px, py, np.roll(px, -1), np.roll(py, -1)]))
-    edge = np.vstack(edges)
-    r0, r1 = (int(np.clip(v, 0, TILE)) for v in (np.floor(edge[:, 1].min()), np.ceil(edge[:, 1].max())))
-    c0, c1 = (int(np.clip(v, 0, TILE)) for v in (np.floor(edge[:, 0].min()), np.ceil(edge[:, 0].max())))
-    inside = np.zeros((r1 - r0, c1 - c0), dtype=bool)
+    px = ((lon + 180.0) / 360.0 * n - x) * TILE
+    py = ((1.0 - np.arcsinh(np.tan(np.radians(lat))) / np.pi) / 2.0 * n - y) * TILE
+    r0, r1 = (int(min(max(v, 0), TILE)) for v in (np.floor(py.min()), np.ceil(py.max())))
+    c0, c1 = (int(min(max(v, 0), TILE)) for v in (np.floor(px.min()), np.ceil(px.max())))
+    inside = np.zeros((max(r1 - r0, 0), max(c1 - c0, 0)), dtype=bool)
     across, down = np.arange(c0, c1) + 0.5, np.arange(r0, r1) + 0.5
-    for ax, ay, bx, by in edge:
-        if ay != by:
-            rows = np.flatnonzero((min(ay, by) <= down) & (down < max(ay, by)))
-            cut = ax + (down[rows] - ay) / (by - ay) * (bx - ax)
-            inside[rows] ^= across[None, :] > cut[:, None]
+    start = 0
+    for size in sizes if inside.size else ():
+        ax, ay = px[start:start + size], py[start:start + size]
+        for a, b, c, d in zip(ax, ay, np.roll(ax, -1), np.roll(ay, -1)):
+            if b != d:
+                rows = np.flatnonzero((min(b, d) <= down) & (down < max(b, d)))
+                inside[rows] ^= across > (a + (down[rows] - b) / (d - b) * (c - a))[:, None]
+        start += size
     rows, cols = np.nonzero(inside)
     return (rows + r0).astype("int32"), (cols + c0).astype("int32")
 

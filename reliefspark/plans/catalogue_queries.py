@@ -83,10 +83,10 @@ def _in_index(spark, sf_dir):
     return C.existing_cells(C.grid_cells(boxes(spark, sf_dir)), fx.tile_index(spark, sf_dir)).select("c_custkey", "key_x", "key_y")
 
 
-@query("cells_outside_index", f"""with {_CELLS_SQL}, old as (select * from (select o_custkey % 40 as key_x, cast(floor(o_custkey/4e1) as bigint) as key_y, o_custkey % 3 as k from orders) where k = 0)
+@query("cells_outside_index", f"""with {_CELLS_SQL}, {INDEX}, old as (select * from idx where vintage = 1996 and survey_month <= 6)
     select c_custkey, count(*) as n_missing from cells where not exists (select 1 from old where old.key_x = cells.key_x and old.key_y = cells.key_y) group by c_custkey""")
 def _outside(spark, sf_dir):
-    idx = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 as key_x", "cast(floor(o_custkey/4e1) as bigint) as key_y", "o_custkey % 3 as k").filter("k = 0")
+    idx = fx.tile_index(spark, sf_dir).filter("vintage = 1996 and survey_month <= 6")
     return C.missing_cells(C.grid_cells(boxes(spark, sf_dir)), idx).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_missing"))
 
 

@@ -35,7 +35,7 @@ _POINTS = [
         + case when cls in (1,3,4) then q*8 when cls = 5 then 600 + q*20 when cls = 7 then -900 else q end)/1e2 as z""",
     "cls", "withheld",
 ]
-_INDEX = [
+INDEX_COLUMNS = [
     "o_orderkey as order_id", "o_custkey % 40 as key_x", "cast(floor(o_custkey/4e1) as bigint) as key_y",
     "cast(year(o_orderdate) as bigint) as vintage", "cast(month(o_orderdate) as bigint) as survey_month",
     "substring(o_orderpriority, 1, 1) as collection",
@@ -64,7 +64,7 @@ def _with(name: str, columns: list[str], source: str) -> str:
 
 
 PTS = _with("pts0", _POINTS_BASE, "lineitem") + ", " + _with("pts", _POINTS, "pts0")
-INDEX = _with("idx", _INDEX, "orders")
+INDEX = _with("idx", INDEX_COLUMNS, "orders")
 FEATURES = _with("feat", [c.replace("`", '"') for c in _FEATURES], "events")
 TILES = (
     _with("tl0", _TILES, "lineitem")
@@ -79,7 +79,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_INDEX)
+    return table(spark, sf_dir, "orders").selectExpr(*INDEX_COLUMNS)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,9 +98,9 @@ def _attributes(spark, sf_dir):
     return indexes.attribute_rows(_docs(spark, sf_dir, doc, indexes.FEATURE_SCHEMA), ["NAME", "BLOK"], ["URL_A", "URL_B"])
 
 
-@query("source_object_listing", f"with {INDEX} select 'NR' || lpad(cast(key_x as string), 2, '0') || lpad(cast(key_y as string), 2, '0') as ref, 'https://s3.example/lidar/dtm/NR' || lpad(cast(key_x as string), 2, '0') || lpad(cast(key_y as string), 2, '0') || '_50CM_' || order_id || '.tif' as url from idx where key_y < 100")
+@query("source_object_listing", f"with {INDEX} select 'NR' || lpad(cast(key_x as string), 2, '0') || lpad(cast(key_y % 100 as string), 2, '0') as ref, 'https://s3.example/lidar/dtm/NR' || lpad(cast(key_x as string), 2, '0') || lpad(cast(key_y % 100 as string), 2, '0') || '_50CM_' || order_id || '.tif' as url from idx")
 def _listing(spark, sf_dir):
-    keys = fx.tile_index(spark, sf_dir).filter("key_y < 100").selectExpr("concat('lidar/dtm/NR', lpad(cast(key_x as string), 2, '0'), lpad(cast(key_y as string), 2, '0'), '_50CM_', cast(order_id as string), '.tif') as value")
+    keys = fx.tile_index(spark, sf_dir).selectExpr("concat('lidar/dtm/NR', lpad(cast(key_x as string), 2, '0'), lpad(cast(key_y % 100 as string), 2, '0'), '_50CM_', cast(order_id as string), '.tif') as value")
     return indexes.listing_rows(keys, "https://s3.example")
 
 
@@ -212,3 +212,17 @@ def _index_sheet(spark, sf_dir):
     cells = o.select(F.col("o_custkey").alias("product"), chunk_key(F.col("o_orderkey") % 4, F.col("o_custkey") % 2 + F.col("o_orderkey") % 3).alias("chunk"),
                      F.col("o_orderkey").cast("double").alias("x0"), F.col("o_totalprice").alias("y0"))
     return writers.index_sheet(cells.withColumn("x1", F.col("x0") + 10.0).withColumn("y1", F.col("y0") + 10.0))
+
+
+@query("sink_coverage_features", """select c_custkey as region, '{"type":"Feature","properties":{"title":"' || case when c_custkey % 5 = 0 then c_name else 'Name p' || c_custkey % 40 end || '","providers":"p' || c_custkey % 40 || '","laz":"' ||
+    case when c_custkey % 40 % 6 = 0 then 'true' else 'false' end || '"},"geometry":{"type":"Polygon","coordinates":[[[' || c_custkey || '.5,1.5],[' || c_custkey + 1 || '.5,1.5],[' || c_custkey + 1 || '.5,2.5],[' || c_custkey || '.5,1.5]]]}}' as json from customer""")
+def _coverage_features(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").selectExpr("concat('p', cast(c_custkey % 40 as string)) as code", "c_custkey % 40 as n").distinct()
+    providers = base.selectExpr("code", "concat('Name ', code) as name").unionByName(
+        base.filter("n % 6 = 0").selectExpr("concat(code, '-laz') as code", "concat('Name ', code, ' cloud') as name"))
+    regions = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as region", "case when c_custkey % 5 = 0 then c_name end as label", "array(concat('p', cast(c_custkey % 40 as string))) as codes")
+    x = F.col("c_custkey") + 0.5
+    ring = F.array(*[F.struct(a.alias("x"), F.lit(b).alias("y")) for a, b in ((x, 1.5), (x + 1.0, 1.5), (x + 1.0, 2.5), (x, 1.5))])
+    outlines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("region"), F.array(ring).alias("rings"))
+    return writers.coverage_features(regions, providers, outlines)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from reliefspark.functions import geo, geom
@@ -13,6 +16,7 @@ from reliefspark.plans.catalogue_queries import BOXES, boxes
 from reliefspark.plans.fixtures import INDEX, PTS
 from reliefspark.plans.registry import query
 from reliefspark.session import table
+from reliefspark.streaming.new_tiles import process_new_tiles
 
 # -- chunks and manifests -------------------------------------------------------------------------
 
@@ -68,11 +72,12 @@ def _outcome(spark, sf_dir):
     return G.chunk_outcome(chunks, deliverables)
 
 
-@query("next_manifest", f"""with {_OUTCOME} select chunk, n_sources = 0 or coalesce(complete, false) as done from o where chunk % 4 = 0
-    union all select o_orderkey, o_orderstatus = 'F' from orders where o_orderkey % 4 <> 0""")
+@query("next_manifest", f"""with {_OUTCOME} select chunk, n_sources = 0 or coalesce(complete, false) as done from o where chunk in (select o_orderkey from orders where o_orderstatus = 'P')
+    union all select o_orderkey, o_orderstatus = 'F' from orders where o_orderstatus <> 'P'""")
 def _next(spark, sf_dir):
     chunks, manifest, deliverables = _chunk_tables(spark, sf_dir)
-    return G.next_manifest(manifest, G.chunk_outcome(chunks.filter("chunk % 4 = 0"), deliverables))
+    current = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").selectExpr("o_orderkey as chunk")
+    return G.next_manifest(manifest, G.chunk_outcome(chunks.join(current, "chunk"), deliverables))
 
 
 @query("config_signature", """select o_orderkey, sha256((10 + o_orderkey % 4) || '|' || '18' || '|' || case when o_custkey % 2 = 0 then 'png' else '-' end || '|' ||
@@ -134,6 +139,21 @@ def _purge_outside(spark, sf_dir):
     return G.purge_outside(idx, idx.filter("vintage >= 1997"), r"^dtm_[0-9]+_1[0-9]_").select("order_id", "tile_name")
 
 
+_NEW = ["key_x", "key_y", "vintage", "order_id"]
+
+
+@query("new_tiles_only", f"""with {INDEX} select key_x, count(*) as n_tiles, max(vintage) as newest from idx group by key_x""")
+def _new_tiles(spark, sf_dir):
+    """The tile index read as a stream of files; a second run finds nothing new."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    run = f"{root.rstrip('/')}/new_tiles_{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "orders").schema
+    for _ in range(2):
+        process_new_tiles(spark, sf_dir, schema, f"{run}/out", f"{run}/progress",
+                          lambda batch: batch.selectExpr(*fx.INDEX_COLUMNS).select(*_NEW), pattern="orders.parquet")
+    return spark.read.parquet(f"{run}/out").groupBy("key_x").agg(F.count(F.lit(1)).alias("n_tiles"), F.max("vintage").alias("newest"))
+
+
 # -- coverage -------------------------------------------------------------------------------------
 
 _PROVIDERS = "concat('p', cast(c_custkey % 40 as string))"

@@ -235,14 +235,12 @@ def _answer(spark, sf_dir):
     return _answers(spark, sf_dir).select("event_id", "answer", "promised")
 
 
-@query("publish_gate", f"""with {_ANSWER}, g as (select tile, count(*) filter (where answer = 'data') as n_data, count(*) filter (where answer = 'absent') as n_absent, count(*) filter (where answer = 'error') as n_error
-      from an where event_id % 10 not in (2, 3) and content_type not in ('application/xml', 'text/html') and head not like '7B%' and (tile % 3 <> 0 or status <> 200) group by tile)
+@query("publish_gate", f"""with {_ANSWER}, g as (select cast(floor(event_id/3e0) as bigint) as product, count(*) filter (where answer = 'data') as n_data, count(*) filter (where answer = 'absent') as n_absent,
+      count(*) filter (where answer = 'error') as n_error from an group by all)
     select *, case when n_error > 0 then 'blocked' when n_data = 0 then 'out of coverage' else 'publish' end as verdict from g""")
 def _gate(spark, sf_dir):
-    kept = _answers(spark, sf_dir).filter(
-        ~(F.col("event_id") % 10).isin(2, 3) & ~F.col("content_type").isin("application/xml", "text/html")
-        & ~F.col("head").startswith("7B") & ((F.col("tile") % 3 != 0) | (F.col("status") != 200)))
-    return T.publish_gate(kept, "tile")
+    answers = _answers(spark, sf_dir).withColumn("product", F.floor(F.col("event_id") / 3.0).cast("bigint"))
+    return T.publish_gate(answers, "product")
 
 
 @query("payload_kind", f"""with fl as (select {', '.join(_FETCH)} from events) select event_id, case when head = '89504E470D0A1A0A' then 'png' when head = 'FFD8FFE0' then 'jpeg' else 'other' end as kind from fl""")

@@ -15,13 +15,13 @@ _TOKEN = ("case event_id % 6 when 0 then event_type when 1 then concat(event_typ
           "when 3 then concat(event_type, ' = ', cast(user_id % 3 as string), ',', cast(user_id % 7 as string)) when 4 then '  ' else concat('natural=w', cast(user_id % 4 as string)) end")
 
 
-@query("tag_filter_parse", f"""with t as (select event_id, user_id % 23 as g, {_TOKEN} as token from events where event_id % 12 > 1),
+@query("tag_filter_parse", f"""with t as (select event_id, cast(floor(event_id/5e0) as bigint) as g, {_TOKEN} as token from events),
     k as (select g, event_id, trim(split_part(token, '=', 1)) as key, case when contains(token, '=') then trim(split_part(token, '=', 2)) else '*' end as v from t),
     u as (select g, event_id, key, v = '*' as bare, trim(unnest(string_split(v, ','))) as value from k where key <> ''),
     a as (select g, key, bool_or(bare) as any_value, min(event_id) as position, string_agg(distinct case when not bare then value end, ',' order by case when not bare then value end) as vals from u group by all)
     select g, key, any_value, position, case when any_value then '' else coalesce(vals, '') end as wanted from a""")
 def _tag_filters(spark, sf_dir):
-    tokens = table(spark, sf_dir, "events").filter("event_id % 12 > 1").selectExpr("event_id as position", "user_id % 23 as g", f"{_TOKEN} as token")
+    tokens = table(spark, sf_dir, "events").selectExpr("event_id as position", "cast(floor(event_id/5e0) as bigint) as g", f"{_TOKEN} as token")
     return V.parse_tag_filters(tokens, by=["g"]).select("g", "key", "any_value", "position", F.concat_ws(",", "wanted").alias("wanted"))
 
 
@@ -38,13 +38,13 @@ def _classify(spark, sf_dir):
     return V.classify(tags, filters).select("object_id", "key", "value")
 
 
-@query("way_lines", """with n as (select event_id as node_id, 5.5e0 + (user_id % 997)/997e0 as lon, 43e0 + (event_id % 991)/991e0 as lat from events where event_id % 17 <> 3),
-    w as (select o_orderkey as way_id, pos, (o_custkey*7 + pos*131 + o_orderkey) % (select max(event_id) + 1 from events) as node_id from orders, range(5) p(pos))
+@query("way_lines", """with n as (select event_id as node_id, 5.5e0 + (user_id % 997)/997e0 as lon, 43e0 + (event_id % 991)/991e0 as lat from events),
+    w as (select o_orderkey as way_id, pos, (o_custkey*7 + pos*131 + o_orderkey) % (select max(event_id) + 500 from events) as node_id from orders, range(5) p(pos))
     select way_id, count(*) as n_vertices, cast(floor(min_by(lon, pos)*1e9 + 5e-1) as bigint) as first_lon, cast(floor(max_by(lat, pos)*1e9 + 5e-1) as bigint) as last_lat from w join n using (node_id) group by way_id""")
 def _ways(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    nodes = events.filter("event_id % 17 <> 3").selectExpr("event_id as node_id", "5.5e0 + (user_id % 997)/997e0 as lon", "43e0 + (event_id % 991)/991e0 as lat")
-    size = events.agg((F.max("event_id") + 1).alias("size"), F.lit(0).alias("k"))
+    nodes = events.selectExpr("event_id as node_id", "5.5e0 + (user_id % 997)/997e0 as lon", "43e0 + (event_id % 991)/991e0 as lat")
+    size = events.agg((F.max("event_id") + 500).alias("size"), F.lit(0).alias("k"))
     way_nodes = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(0).alias("k")).join(size, "k").select(
         F.col("o_orderkey").alias("way_id"), "o_custkey", "size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).select(
         "way_id", "pos", ((F.col("o_custkey") * 7 + F.col("pos") * 131 + F.col("way_id")) % F.col("size")).alias("node_id"))
@@ -162,6 +162,30 @@ def _transparent(spark, sf_dir):
     return tiles.select("zoom", "x", "y", "painted", "fill_pixels", F.length("data").alias("n_bytes"))
 
 
+_PX = "(({lon} + 18e1)/36e1*8192e0*256e0)"
+_PY = "((1e0 - asinh(tan(radians({lat})))/pi())/2e0*8192e0*256e0)"
+
+
+def _sql_crosses(px, py, qx, qy):
+    return (f"case when {py} <> {qy} and least({py}, {qy}) <= r + 5e-1 and r + 5e-1 < greatest({py}, {qy}) "
+            f"and c + 5e-1 > {px} + (r + 5e-1 - {py})/({qy} - {py})*({qx} - {px}) then 1 else 0 end")
+
+
+@query("polygon_fill_pixels", f"""with {FEATURES}, f as (select {_PX.format(lon='ax')} as x0, {_PY.format(lat='ay')} as y0, {_PX.format(lon='bx')} as x1, {_PY.format(lat=_BY)} as y1 from feat),
+    w as (select *, unnest(range(cast(floor(least(y0, y1)) as bigint), cast(ceil(greatest(y0, y1)) as bigint))) as r from f),
+    p as (select *, unnest(range(cast(floor(least(x0, x1)) as bigint), cast(ceil(greatest(x0, x1)) as bigint))) as c from w),
+    i as (select distinct r, c from p where ({_sql_crosses('x1', 'y0', 'x1', 'y1')} + {_sql_crosses('x1', 'y1', 'x0', 'y0')}) % 2 = 1)
+    select 13 as zoom, cast(floor(c/256e0) as bigint) as x, cast(floor(r/256e0) as bigint) as y, count(*) as n_pixels from i group by all""")
+def _fill_pixels(spark, sf_dir):
+    rings = fx.ring_features(spark, sf_dir).select("feature_id", F.transform("rings", geom.close_ring).alias("rings"))
+    box = geom.rings_bbox("rings")
+    placed = (
+        rings.withColumn("zoom", F.lit(13))
+        .withColumn("x", F.explode(F.sequence(geo.tile_x(box.x0, F.lit(13)), geo.tile_x(box.x1, F.lit(13)))))
+        .withColumn("y", F.explode(F.sequence(geo.tile_y(box.y1, F.lit(13)), geo.tile_y(box.y0, F.lit(13))))))
+    return V.fill_pixels(placed).select("zoom", "x", "y", "prow", "pcol").distinct().groupBy("zoom", "x", "y").agg(F.count(F.lit(1)).alias("n_pixels"))
+
+
 @query("page_completeness", """select o_custkey as layer, count(distinct o_orderkey) as n_features, max(9 + o_custkey % 3) as total,
     case when count(distinct o_orderkey) >= max(9 + o_custkey % 3) then 'complete' else 'rejected' end as verdict from orders group by o_custkey""")
 def _pages(spark, sf_dir):

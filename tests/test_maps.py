@@ -152,8 +152,7 @@ def test_filled_pixels_match_point_in_polygon(spark):
     tx, ty = 67700, 47900
     lon = (tx + px[:, 0] / 256) / n * 360 - 180
     lat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (ty + px[:, 1] / 256) / n))))
-    rings = [[{"x": a, "y": b} for a, b in zip(lon, lat)]]
-    rows, cols = V._inside(rings, 17, tx, ty)
+    rows, cols = V.inside_pixels(lon, lat, [9], 17, tx, ty)
     got = np.zeros((256, 256), bool)
     got[rows, cols] = True
     y, x = np.mgrid[0:256, 0:256] + 0.5
