@@ -39,15 +39,14 @@ def _classify(spark, sf_dir):
 
 
 @query("way_lines", """with n as (select event_id as node_id, 5.5e0 + (user_id % 997)/997e0 as lon, 43e0 + (event_id % 991)/991e0 as lat from events),
-    w as (select o_orderkey as way_id, pos, (o_custkey*7 + pos*131 + o_orderkey) % (select max(event_id) + 500 from events) as node_id from orders, range(5) p(pos))
+    w as (select o_orderkey as way_id, pos, o_custkey*7 + pos*3 + o_orderkey % 11 as node_id from orders, range(5) p(pos))
     select way_id, count(*) as n_vertices, cast(floor(min_by(lon, pos)*1e9 + 5e-1) as bigint) as first_lon, cast(floor(max_by(lat, pos)*1e9 + 5e-1) as bigint) as last_lat from w join n using (node_id) group by way_id""")
 def _ways(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     nodes = events.selectExpr("event_id as node_id", "5.5e0 + (user_id % 997)/997e0 as lon", "43e0 + (event_id % 991)/991e0 as lat")
-    size = events.agg((F.max("event_id") + 500).alias("size"), F.lit(0).alias("k"))
-    way_nodes = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(0).alias("k")).join(size, "k").select(
-        F.col("o_orderkey").alias("way_id"), "o_custkey", "size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).select(
-        "way_id", "pos", ((F.col("o_custkey") * 7 + F.col("pos") * 131 + F.col("way_id")) % F.col("size")).alias("node_id"))
+    way_nodes = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("way_id"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")).select(
+        "way_id", "pos", (F.col("o_custkey") * 7 + F.col("pos") * 3 + F.col("way_id") % 11).alias("node_id"))
     lines = V.way_lines(way_nodes, nodes)
     return lines.select("way_id", F.size("line").cast("bigint").alias("n_vertices"),
                         F.floor(F.element_at("line", 1).x * 1e9 + 0.5).cast("bigint").alias("first_lon"),
