@@ -6,7 +6,7 @@ Features: ``feature_id``, ``rings`` (array of vertex arrays), ``kind`` (Point, L
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -125,32 +125,43 @@ def simplify_tolerance(area_km2) -> Column:
     return result.otherwise(SIMPLIFY_LARGEST)
 
 
-def _map_rings(features: DataFrame, change) -> DataFrame:
-    """Apply ``change(vertices, row)`` to every ring; empty rings vanish."""
-    schema = features.schema
+def _map_rings(features: DataFrame, change: Callable[[np.ndarray, float], np.ndarray], setting: Column) -> DataFrame:
+    """Apply ``change(vertices, setting)`` to every ring; empty rings vanish.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            def rings_of(row):
-                done = (change(np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2), row)
-                        for ring in row["rings"])
-                return [[{"x": x, "y": y} for x, y in ring.tolist()] for ring in done if len(ring)]
+    Only coordinates and the setting travel to Python, as plain number arrays.
+    """
+    def run(xs: pd.Series, ys: pd.Series, settings: pd.Series) -> pd.DataFrame:
+        new_xs, new_ys = [], []
+        for ring_xs, ring_ys, value in zip(xs, ys, settings):
+            done = [change(np.column_stack([x, y]), value) for x, y in zip(ring_xs, ring_ys)]
+            new_xs.append([ring[:, 0] for ring in done if len(ring)])
+            new_ys.append([ring[:, 1] for ring in done if len(ring)])
+        return pd.DataFrame({"xs": new_xs, "ys": new_ys})
+
+    # marked so that later filters and columns on the rings reuse the one evaluation
+    moved = F.pandas_udf(run, "xs array<array<double>>, ys array<array<double>>").asNondeterministic()
+
+    def axis(name):
+        return F.transform("rings", lambda ring: F.transform(ring, lambda p: p[name]))
 
-            yield part.assign(rings=[rings_of(row) for _, row in part.iterrows()])
+    def vertex(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
 
-    return features.mapInPandas(run, schema)
+    out = features.withColumn("_moved", moved(axis("x"), axis("y"), setting.cast("double")))
+    rings = F.zip_with("_moved.xs", "_moved.ys", lambda xs, ys: F.zip_with(xs, ys, vertex))
+    return out.withColumn("rings", rings).drop("_moved")
 
 
 def simplify(features: DataFrame, tolerance: str = "tolerance") -> DataFrame:
     """Douglas-Peucker on every ring, tolerance in the unit of the coordinates from a column."""
-    return _map_rings(features, lambda ring, row: geom.simplify_vertices(ring, row[tolerance]))
+    return _map_rings(features, geom.simplify_vertices, F.col(tolerance))
 
 
 def clip_polygons(features: DataFrame, box: Sequence[float]) -> DataFrame:
     """Polygon rings cut to a rectangle; the box test runs before any geometry leaves the JVM."""
     x0, y0, x1, y1 = (float(v) for v in box)
-    near = in_area(features, box)
-    return _map_rings(near, lambda ring, _: geom.clip_ring(ring, x0, y0, x1, y1)).filter(F.size("rings") > 0)
+    clipped = _map_rings(in_area(features, box), lambda ring, _: geom.clip_ring(ring, x0, y0, x1, y1), F.lit(0.0))
+    return clipped.filter(F.size("rings") > 0)
 
 
 # -- segments and tiles ---------------------------------------------------------------------------
