@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm import bpe, decontaminate, language, line_dedup, simhash
+from reliefspark.llm import bpe, decontaminate, language, line_dedup, pii, simhash, url_filter, warc
 from reliefspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,113 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": "[0-9]([ -]?[0-9])+",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]", "iban": pii.PATTERNS["iban"], "ssn": pii.PATTERNS["ssn"], "tel": pii.PATTERNS["tel"]}
+_VALID = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(h, '.'), lambda p: len(ltrim(p, '0')) <= 3 and cast('0' || right(p, 3) as int) <= 255))",
+    "card": "len(d) between 13 and 19 and list_sum(list_transform(range(1, len(d) + 1), lambda i: case when i % 2 = 1 then cast(substr(d, len(d) - i + 1, 1) as int) "
+            "else (2 * cast(substr(d, len(d) - i + 1, 1) as int)) // 10 + (2 * cast(substr(d, len(d) - i + 1, 1) as int)) % 10 end)) % 10 = 0",
+    "phone": "len(d) between 9 and 15",
+    "iban": "len(c) between 15 and 34 and list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(c[5:] || c[:4], ''), "
+            "lambda x: case when x >= 'A' then cast(ascii(x) - 55 as varchar) else x end), ''), ''), lambda x: cast(x as bigint)), lambda a, b: (a * 10 + b) % 97) = 1",
+    "ssn": "true", "tel": "true"}
+
+
+def _pii_sql() -> str:
+    kinds = pii.BASE + pii.FURTHER
+    hits = " union all ".join(
+        f"select doc_id, t, '{kind}' as kind, {n} as place, unnest(regexp_extract_all(t, '{_PLAIN[kind]}')) as h, unnest(string_split_regex(t, '{_PLAIN[kind]}')) as gap, "
+        f"unnest(range(1, len(regexp_extract_all(t, '{_PLAIN[kind]}')) + 1)) as i from t where regexp_matches(t, '{_PLAIN[kind]}')" for n, kind in enumerate(kinds))
+    valid = " ".join(f"when '{kind}' then {_VALID[kind]}" for kind in kinds)
+    points = " ".join(f"when '{kind}' then {pii.POINTS[kind]} + case when regexp_matches(around, '{pii.CONTEXT[kind]}') then {pii.NEAR} else 0 end" for kind in pii.FURTHER)
+    return f"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+raw as (select * from ({hits}) where h is not null),
+placed as (select *, regexp_replace(h, '[^0-9]', '', 'g') as d, replace(h, ' ', '') as c,
+             cast(sum(len(gap) + len(h)) over (partition by doc_id, kind order by i) as bigint) as stop from raw),
+found as (select *, stop - len(h) as start from placed where case kind {valid} end),
+base as (select * from found where place < {len(pii.BASE)}),
+more as (select f.*, lower(substr(t, greatest(start - {pii.BEFORE}, 0) + 1, start - greatest(start - {pii.BEFORE}, 0)) || '|' || substr(t, stop + 1, {pii.BEHIND})) as around
+         from found f where place >= {len(pii.BASE)}
+         and not regexp_matches(case when start > 0 then substr(t, start, 1) else '' end || substr(t, stop + 1, 1), '[A-Za-z0-9+-]')
+         and not exists (select 1 from base b where b.doc_id = f.doc_id and b.start < f.stop and b.stop > f.start)),
+added as (select * from more where case kind {points} end + case when regexp_matches(around, '{pii.COUNTER}') then {pii.AGAINST} else 0 end >= {pii.THRESHOLD}),
+spans as (select doc_id, kind, place, start, kind || ':' || start || ':' || stop as span from base union all select doc_id, kind, place, start, kind || ':' || start || ':' || stop from added),
+said as (select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+           string_agg(span, ',' order by place, start) filter (place < {len(pii.BASE)}) as base, string_agg(span, ',' order by place, start) as spans from spans group by doc_id)
+select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join said using (doc_id)"""
+
+
+@query("op1_pii", _pii_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans and those that checks and context add."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"].isin(*pii.BASE))
+
+    def joined(of):
+        return F.concat_ws(",", F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    def number(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, pii.BASE)
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _url_sql() -> str:
+    def node(url: str) -> str:
+        rest = f"substr({url}, strpos({url}, '://') + 3)"
+        return (f"case when strpos({url}, '://') > 0 then translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "
+                f"|| regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) end")
+
+    quoted = {k: getattr(url_filter, k).replace("'", "''") for k in ("CANONICAL", "REFRESH", "HREF", "TARGET")}
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return f"""
+with recursive rules(verdict, h, p) as (values {rules}),
+pg as (select page_id, {node('url')} as node, html from pages),
+link as (select node as a, unnest([regexp_extract(regexp_extract(html, '{quoted["CANONICAL"]}'), '{quoted["HREF"]}', 1),
+                                   regexp_extract(regexp_extract(html, '{quoted["REFRESH"]}'), '{quoted["TARGET"]}', 1)]) as raw from pg where node is not null),
+full_link as (select a, replace(raw, '&amp;', '&') as link, regexp_extract(a, '^[^/?#]*') as h, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) as p from link where raw <> ''),
+urls as (select a, case when strpos(link, '://') > 0 then link when starts_with(link, '//') then ':' || link when starts_with(link, '/') then '://' || h || link
+           when starts_with(link, '?') then '://' || h || p || link when link = '' or starts_with(link, '#') then null
+           else '://' || h || case when p = '' then '/' else regexp_replace(p, '[^/]*$', '') end || link end as url from full_link),
+edge as (select a, {node('url')} as b from urls),
+both_ways as (select a, b from edge where b is not null union select b, a from edge where b is not null),
+reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+fit as (select n.node, h || p as rule, verdict, row_number() over (partition by n.node order by len(h || p) desc) as k
+        from (select node from pg union select a from both_ways) n join rules
+        on (regexp_extract(node, '^[^/?#]*') = h or ends_with(regexp_extract(node, '^[^/?#]*'), '.' || h)) and starts_with(regexp_extract(node, '^[^/?#]*([^?#]*)', 1), p)),
+best as (select node, rule, verdict from fit where k = 1),
+shared as (select reach.a as node, min(reach.b) as component, bool_or(coalesce(verdict, '') = 'allow') as yes, bool_or(coalesce(verdict, '') = 'block') as no from reach left join best on best.node = reach.b group by reach.a)
+select page_id, coalesce(regexp_extract(pg.node, '^[^/?#]*'), '') as host, coalesce(regexp_extract(pg.node, '^[^/?#]*([^?#]*)', 1), '') as path, rule,
+       coalesce(best.verdict, case when yes then 'allow' when no then 'block' end, 'allow') as verdict, component
+from pg left join best on best.node = pg.node left join shared on shared.node = pg.node"""
+
+
+@query("op3_url_filter", _url_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed and blocked pages, decisions shared by all aliases of a page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op4_warc_archive", """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+o as (select h, max(page_id) as owner from p group by h)
+select page_id, cast(n as bigint) as payload_bytes, sha1(p.h) as payload_digest,
+       case when n < 1000 or page_id = owner then 'response' else 'revisit' end as record_type,
+       case when n < 1000 or page_id = owner then null else owner end as refers_to
+from p join o on p.h = o.h""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive records, read back from the archive."""
+    folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.summary(spark, folder).withColumnRenamed("record_id", "page_id")
