@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm import bpe, decontaminate, language, line_dedup, pii, simhash, url_filter, warc
+from reliefspark.llm import bpe, decontaminate, language, line_dedup, pii, quality, simhash, toxicity, url_filter, warc
 from reliefspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as archive records, read back from the archive."""
     folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.summary(spark, folder).withColumnRenamed("record_id", "page_id")
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text, and whether enough of it is content."""
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; learned from labelled rows that are not held out."""
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(3, "row_id") != 1)
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
