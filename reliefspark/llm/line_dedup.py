@@ -134,7 +134,8 @@ def dropped_lines(lines: DataFrame, min_docs: int, keep_first: bool = False) ->
     # one row per undecided run and partition: its documents, and where it starts
     first = F.min(F.struct("row_hi", "row_lo", "position")).alias("first")
     totals = edges.where("leads").groupBy(*_RUN).agg(F.sum("docs").alias("all_docs"), first).where(F.col("all_docs") >= min_docs)
-    undecided = edges.drop("docs", "leads").join(totals, list(_RUN))
+    # at most two runs per partition: a side with a proven bound, so that no key's rows meet in one task
+    undecided = edges.drop("docs", "leads").join(F.broadcast(totals), list(_RUN))
     if keep_first:
         undecided = undecided.where(F.struct("row_hi", "row_lo", "position") != F.col("first"))
     columns = order[2:]
