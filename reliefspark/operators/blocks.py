@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import floor_long
 
-BLOCK = 256
+#: divides the nominal tile sides in use (1000, 2000 cells)
+BLOCK = 250
 KEYS = ("raster_id", "brow", "bcol")
 _KEY_SCHEMA = "raster_id string, brow bigint, bcol bigint"
 _ARROW = {"double": pa.float64(), "int": pa.int32()}
@@ -88,12 +89,15 @@ def exchange(
     combine: Callable[[int, int, dict[int, np.ndarray]], dict[str, np.ndarray] | None],
     out: dict[str, str],
     side: int = BLOCK,
+    called: DataFrame | None = None,
+    called_part: int = -1,
 ) -> DataFrame:
     """One round of messages between blocks.
 
     ``send(brow, bcol, arrays)`` yields ``(target brow, target bcol, part, values)``; ``combine`` gets
     all parts of one target and returns the output bands, or None when the target is no block.
-    ``part`` must be unique per target.
+    ``part`` must be unique per target.  Every key of ``called`` (raster_id, brow, bcol; distinct) gets an
+    empty message ``called_part``, once, whether or not it is a block.
     """
     message_schema = pa.schema([
         ("raster_id", pa.string()), ("brow", pa.int64()), ("bcol", pa.int64()),
@@ -138,6 +142,8 @@ def exchange(
 
     messages = blocks.select(*KEYS, *bands).mapInArrow(
         emit, f"{_KEY_SCHEMA}, part int, payload array<double>")
+    if called is not None:
+        messages = messages.unionByName(called.select(*KEYS, F.lit(called_part).alias("part"), F.array().cast("array<double>").alias("payload")))
     # an explicit width: adaptive execution sizes partitions by bytes, but a kernel costs per block
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return messages.repartition(width, *KEYS).groupBy(*KEYS).applyInArrow(receive, f"{_KEY_SCHEMA}, {_bands_schema(out)}")

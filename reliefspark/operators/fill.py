@@ -39,26 +39,22 @@ def _before(z: np.ndarray, position: np.ndarray, value: np.ndarray) -> tuple[np.
 
 
 def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep: Sequence[str] = (),
-               tile: int | None = None) -> DataFrame:
+               domain: DataFrame | None = None) -> DataFrame:
     """``band`` filled for every block given; bands in ``keep`` stay as they are.
 
-    With ``tile`` (blocks per tile side) every block also calls up the other blocks of its nominal tile,
-    so tiles are filled completely even where whole blocks hold no data.
+    ``domain`` (distinct raster_id, brow, bcol) names further blocks to fill, so that tiles come out complete
+    even where whole blocks hold no data; each of them costs one empty message.
     """
     steps = -(-reach // side)
     # the four views turn every direction into "look back along the row"
     views = (lambda a: a, lambda a: a[:, ::-1], lambda a: a.T, lambda a: a.T[:, ::-1])
     moves = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
-    present, nothing = 1 + 4 * steps, np.empty(0)
+    present = 1 + 4 * steps
 
     def send(brow, bcol, arrays):
         z = arrays[0]
         yield brow, bcol, 0, np.stack(arrays)
-        if tile:
-            top, left = brow - brow % tile, bcol - bcol % tile
-            for i in range(tile * tile):
-                yield top + i // tile, left + i % tile, present, nothing
         for way, (dr, dc) in enumerate(moves):
             position, value = _last_known(views[way](z))
             if (position >= 0).any():
@@ -95,4 +91,4 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep
         return {band: np.where(np.isnan(z), mean, z), **dict(zip(keep, kept))}
 
     bands = [band, *keep]
-    return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side)
+    return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side, domain, present)

@@ -153,19 +153,27 @@ def address(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumn("row", grid.row()).withColumn("col", grid.col())
 
 
-def tile_blocks(points: DataFrame, grid: Grid, side: int = BLOCK) -> DataFrame:
+def _raster(area: str | None) -> Column:
+    """The raster a point belongs to: the value of its area column, or one raster for all points."""
+    return (F.lit("all") if area is None else F.col(area).cast("string")).alias("raster_id")
+
+
+def tile_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, area: str | None = None) -> DataFrame:
     """Blocks of every nominal tile that holds at least one point: the area a model must fill."""
-    if grid.tile_cells % side:
-        raise ValueError("the block side must divide the tile side")
+    return _blocks_of_tiles(points.select(_raster(area), grid.row().alias("row"), grid.col().alias("col")), grid, side)
+
+
+def _blocks_of_tiles(cells: DataFrame, grid: Grid, side: int) -> DataFrame:
+    """All blocks of the nominal tiles that hold at least one of the cells; the tiles are found once, by key."""
+    if side < 1 or grid.tile_cells % side:
+        raise ValueError(f"the block side must divide the tile side: {side}, {grid.tile_cells}")
     per_tile = grid.tile_cells // side
-    tiles = points.select(
-        floor_long(grid.row() / F.lit(grid.tile_cells)).alias("ty"),
-        floor_long(grid.col() / F.lit(grid.tile_cells)).alias("tx"),
-    ).distinct()
+    tiles = cells.select(
+        "raster_id", floor_long(F.col("row") / F.lit(grid.tile_cells)).alias("ty"), floor_long(F.col("col") / F.lit(grid.tile_cells)).alias("tx")).distinct()
     steps = F.sequence(F.lit(0), F.lit(per_tile - 1))
     return (
         tiles.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-        .select(F.lit("all").alias("raster_id"), (F.col("ty") * per_tile + F.col("dr")).alias("brow"),
+        .select("raster_id", (F.col("ty") * per_tile + F.col("dr")).alias("brow"),
                 (F.col("tx") * per_tile + F.col("dc")).alias("bcol"))
     )
 
@@ -173,9 +181,11 @@ def tile_blocks(points: DataFrame, grid: Grid, side: int = BLOCK) -> DataFrame:
 # -- binning --------------------------------------------------------------------------------------
 
 def bin_min(points: DataFrame, grid: Grid, class_sets: dict[str, Sequence[int]],
-            maxima: dict[str, Sequence[int]] | None = None) -> DataFrame:
+            maxima: dict[str, Sequence[int]] | None = None, area: str | None = None) -> DataFrame:
     """Minimum height per cell for several class sets at once (and maxima): one scan, one aggregate.
 
+    ``area`` names a column (product, chunk); each of its values becomes a raster of its own.
+
     The minimum is combined before the shuffle, so a cell with very many points costs nothing extra.
     """
     def of(classes):
@@ -184,8 +194,8 @@ def bin_min(points: DataFrame, grid: Grid, class_sets: dict[str, Sequence[int]],
     aggregates = [F.min(of(c)).alias(n) for n, c in class_sets.items()]
     aggregates += [F.max(of(c)).alias(n) for n, c in (maxima or {}).items()]
     names = [*class_sets, *(maxima or {})]
-    cells = keep_classes(points, *class_sets.values()).select(grid.cell().alias("cell"), "z", "cls").groupBy("cell").agg(*aggregates)
-    return cells.select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), *names)
+    cells = keep_classes(points, *class_sets.values()).select(_raster(area), grid.cell().alias("cell"), "z", "cls").groupBy("raster_id", "cell").agg(*aggregates)
+    return cells.select("raster_id", key_row().alias("row"), key_col().alias("col"), *names)
 
 
 def ground_or_all(points: DataFrame, classes: Sequence[int] = (2,), minimum: int = 100) -> DataFrame:
@@ -223,29 +233,30 @@ def fill_cells(cells: DataFrame, value: str, domain: DataFrame, reach_cells: int
 
 
 def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
-               side: int = BLOCK, minimum: int | None = 100) -> DataFrame:
+               side: int = BLOCK, minimum: int | None = 100, area: str | None = None) -> DataFrame:
     """Bare-earth model as blocks with band ``z``, filled over every nominal tile that holds ground.
 
     ``minimum`` is the number of ground points below which a cloud counts as unclassified and gives
-    all its points; None skips that check and its scan.
+    all its points; None skips that check and its scan.  ``area`` names a column whose values are models
+    of their own: nothing is filled, and later nothing stretched, across them.
     """
     used = points.filter(F.col("cls").isin(*classes)) if minimum is None else ground_or_all(points, classes, minimum)
-    lowest = used.select(grid.cell().alias("cell"), "z").groupBy("cell").agg(F.min("z").alias("z"))
-    cells = lowest.select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), "z")
+    lowest = used.select(_raster(area), grid.cell().alias("cell"), "z").groupBy("raster_id", "cell").agg(F.min("z").alias("z"))
+    cells = lowest.select("raster_id", key_row().alias("row"), key_col().alias("col"), "z")
     return fill.fill_holes(
-        cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, tile=grid.tile_cells // side)
+        cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, domain=_blocks_of_tiles(cells, grid, side))
 
 
 def points_to_dtm(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
-                  side: int = BLOCK, minimum: int | None = 100) -> DataFrame:
+                  side: int = BLOCK, minimum: int | None = 100, area: str | None = None) -> DataFrame:
     """Bare-earth model: ``raster_id, row, col, z``."""
-    return blocks_to_cells(dtm_blocks(points, grid, classes, max_fill_m, side, minimum), ["z"], side)
+    return blocks_to_cells(dtm_blocks(points, grid, classes, max_fill_m, side, minimum, area), ["z"], side)
 
 
 def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,
                    classes_low: Sequence[int] = LOW_CLASSES, classes_ground: Sequence[int] = GROUND_CLASSES,
                    ref_ground: Sequence[int] = REFERENCE_CLASSES, max_fill_m: float = 200.0,
-                   side: int = BLOCK) -> DataFrame:
+                   side: int = BLOCK, area: str | None = None) -> DataFrame:
     """Blocks with bands ``z_ref`` (filled reference ground), ``z_ground`` (raw) and ``z_low``.
 
     ``z_low`` is the lowest point of the height band in cells without ground.  One aggregate feeds all
@@ -258,9 +269,9 @@ def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax
     useful = drop_noise(points)
     low, ground = list(classes_low), list(classes_ground) or [-1]
     bands = ("z_ref", "z_ground", "z_first", "z_last")
-    raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_first": low}, {"z_last": low})
+    raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_first": low}, {"z_last": low}, area)
     blocks = fill.fill_holes(
-        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], tile=grid.tile_cells // side)
+        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], domain=_blocks_of_tiles(raw, grid, side))
 
     def in_band(height):
         return (height >= hmin) & (height <= hmax)
@@ -270,14 +281,14 @@ def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax
     undecided = (
         blocks_to_cells(blocks, bands, side)
         .filter(F.col("z_ground").isNull() & (first - reference < hmin) & (last - reference >= hmin))
-        .select(cell_key("row", "col").alias("cell"), "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .select("raster_id", cell_key("row", "col").alias("cell"), "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
     candidates = keep_classes(useful, low).select(
-        grid.cell().alias("cell"), "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
+        _raster(area), grid.cell().alias("cell"), "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
     found = (
-        candidates.join(undecided.hint("shuffle_hash"), ["cell", "salt"])
-        .filter(in_band(F.col("z") - reference)).groupBy("cell").agg(F.min("z").alias("z_found"))
-        .select(F.lit("all").alias("raster_id"), key_row().alias("row"), key_col().alias("col"), "z_found")
+        candidates.join(undecided.hint("shuffle_hash"), ["raster_id", "cell", "salt"])
+        .filter(in_band(F.col("z") - reference)).groupBy("raster_id", "cell").agg(F.min("z").alias("z_found"))
+        .select("raster_id", key_row().alias("row"), key_col().alias("col"), "z_found")
     )
     joined = fill_domain(
         cells_to_blocks(found, ["z_found"], side), blocks, ["z_found"], side, carry=("z_ref", "z_ground", "z_first"))

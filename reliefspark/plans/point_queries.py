@@ -30,6 +30,21 @@ def _standing_structures(spark, sf_dir):
         "row", "col", mm("z_feature").alias("z_feature_mm"), mm("z_bare").alias("z_bare_mm"), mm("delta").alias("delta_mm"))
 
 
+_WHOLE = 1000
+DEFAULT_SIDES = PTS + f""", addr as (select *, cast(floor(-y/1e0) as bigint) as "row", cast(floor(x/1e0) as bigint) as col from pts),
+    low as (select "row", col, min(z) as z from addr where cls in (2, 9, 66)
+      or cloud_id in (select cloud_id from addr group by cloud_id having count(*) filter (where cls in (2, 9, 66)) < 100) group by all),
+    whole as (select ty*{_WHOLE} + r as "row", tx*{_WHOLE} + c as col from (select distinct cast(floor("row"/1e3) as bigint) ty,
+      cast(floor(col/1e3) as bigint) tx from low) t, range({_WHOLE}) rr(r), range({_WHOLE}) cc(c)), """ + sql_fill("low", "z", 100, "full_fill", "whole")
+
+
+@query("dtm_default_sides", f"""with {DEFAULT_SIDES} select "row", count(*) as n_cells, max(col) as last_col, cast(sum({sql_mm('z')}) as bigint) as z_sum_mm from full_fill group by "row\"""")
+def _default_sides(spark, sf_dir):
+    """A tile of the default size with blocks of the default size: filled to its very edge."""
+    cells = P.points_to_dtm(fx.points(spark, sf_dir), P.Grid(res=1.0), P.GROUND_CLASSES)
+    return cells.groupBy("row").agg(F.count(F.lit(1)).alias("n_cells"), F.max("col").alias("last_col"), F.sum(mm("z")).alias("z_sum_mm"))
+
+
 @query("cloud_crs_guard", """select o_orderkey as cloud_id,
       case when epsg <> 2154 then 'wrong crs' when lower(unit) not in ('metre', 'meter', 'm') then 'not metric' else 'ok' end as verdict
     from (select o_orderkey, case o_orderkey % 4 when 0 then 2154 when 1 then 2229 when 2 then 2154 end as epsg,

@@ -36,14 +36,17 @@ def cells_of(blocks, *bands):
 
 # -- SQL twins ------------------------------------------------------------------------------------
 
-_NEAR = {"a": (-1, -1), "b": (-1, 0), "c": (-1, 1), "d": (0, -1), "f": (0, 1), "g": (1, -1), "h": (1, 0), "i": (1, 1)}
-_JOINS = " ".join(
-    f'left join bare {n} on {n}."row" = e."row" + ({dr}) and {n}.col = e.col + ({dc})' for n, (dr, dc) in _NEAR.items())
-_N = {n: f"coalesce({n}.z, e.z)" for n in _NEAR}
-GRAD = BARE + f""", grad as (select e."row", e.col,
-    ((({_N['c']} + 2e0*{_N['f']}) + {_N['i']}) - (({_N['a']} + 2e0*{_N['d']}) + {_N['g']}))/{8 * RES:.1f}e0 as p,
-    ((({_N['g']} + 2e0*{_N['h']}) + {_N['i']}) - (({_N['a']} + 2e0*{_N['b']}) + {_N['c']}))/{8 * RES:.1f}e0 as q
-    from bare e {_JOINS})"""
+# neighbours by lag and lead over the full rectangle: every cell has its eight places there
+_N = {n: f"coalesce({n}, z)" for n in "abcdfghi"}
+GRAD = BARE + f""", rect as (select r as "row", c as col, z from (select unnest(range(lo, hi + 1)) as r from (select min("row") as lo, max("row") as hi from bare)),
+      (select unnest(range(lo, hi + 1)) as c from (select min(col) as lo, max(col) as hi from bare)) left join bare on bare."row" = r and bare.col = c),
+    upright as (select "row", col, z, lag(z) over w as b, lead(z) over w as h from rect window w as (partition by col order by "row")),
+    around as (select *, lag(z) over w as d, lead(z) over w as f, lag(b) over w as a, lead(b) over w as c, lag(h) over w as g, lead(h) over w as i
+      from upright window w as (partition by "row" order by col)),
+    grad as (select "row", col,
+      ((({_N['c']} + 2e0*{_N['f']}) + {_N['i']}) - (({_N['a']} + 2e0*{_N['d']}) + {_N['g']}))/{8 * RES:.1f}e0 as p,
+      ((({_N['g']} + 2e0*{_N['h']}) + {_N['i']}) - (({_N['a']} + 2e0*{_N['b']}) + {_N['c']}))/{8 * RES:.1f}e0 as q
+      from around where z is not null)"""
 
 
 def sql_code(unit: str) -> str:
@@ -90,7 +93,7 @@ def sql_gaussian(source: str, sigma: float, name: str, domain: str = "dom", squa
 
 
 HOLED = CELLS + """, src as (select "row", col, min(z) as z from useful where cls in (2, 9, 66) group by all)"""
-_LRM_SIGMA = 3.0
+_LRM_SIGMA = 15.0
 LRM = (
     HOLED + """, med as (select quantile_cont(floor(z*1e2 + 5e-1), 0.5)/1e2 as m from src),
     based as (select d."row", d.col, coalesce(s.z, (select m from med)) as z from dom d left join src s using ("row", col)), """
@@ -98,7 +101,7 @@ LRM = (
     lrm as (select s."row", s.col, s.z - g0.g as v from src s join g0 using ("row", col))"""
 )
 
-_DIST, _DIRS = 3, 8
+_DIST, _DIRS = 20, 16
 
 
 def sql_horizons(sampling: str = "bilinear", suffix: str = "", source: str = "bare") -> str:
@@ -184,8 +187,7 @@ def _lrm(spark, sf_dir):
     return cells_of(focal.local_relief(holed(spark, sf_dir), _LRM_SIGMA, side=SIDE), "lrm").select("row", "col", mm("lrm").alias("lrm_mm"))
 
 
-_MSTP_RES = 10.0
-_MSTP = [(name, [m / _MSTP_RES for m in limits]) for name, limits in shade.MSTP_BANDS.items()]
+_MSTP = [(name, [m / RES for m in limits]) for name, limits in shade.MSTP_BANDS.items()]
 
 
 def _sql_mstp() -> str:
@@ -206,7 +208,7 @@ def _sql_mstp() -> str:
 
 @query("multiscale_deviation", _sql_mstp())
 def _mstp(spark, sf_dir):
-    dev = cells_of(focal.multiscale_deviation(bare(spark, sf_dir), _MSTP_RES, side=SIDE), "local", "meso", "broad")
+    dev = cells_of(focal.multiscale_deviation(bare(spark, sf_dir), RES, side=SIDE), "local", "meso", "broad")
     return dev.select("row", "col", *[F.floor(F.col(b) * 1e2 + 0.5).cast("bigint").alias(b) for b in ("local", "meso", "broad")])
 
 
@@ -257,6 +259,15 @@ def _bounds(spark, sf_dir):
     return b.select(F.floor(F.col("p_low") * 1e4 + 0.5).cast("bigint").alias("p05_1e4"), F.floor(F.col("p_high") * 1e4 + 0.5).cast("bigint").alias("p95_1e4"))
 
 
+@query("stretch_by_area", f"""with {CELLS}, low as (select cast(cast(cloud_id as int) % 2 as varchar) as area, "row", col, min(z) as z from useful where cls in (2, 9, 66) group by all),
+    b as (select area, quantile_cont(floor(z*1e3 + 5e-1), 0.05)/1e3 as p_low, quantile_cont(floor(z*1e3 + 5e-1), 0.95)/1e3 as p_high from low group by area)
+    select area, "row", col, {sql_code('(z - p_low)/(p_high - p_low)')} as code from low join b using (area)""")
+def _by_area(spark, sf_dir):
+    cloud = P.drop_noise(fx.points(spark, sf_dir)).withColumn("area", (F.col("cloud_id").cast("int") % 2).cast("string"))
+    low = P.bin_min(cloud, GRID, {"z": P.GROUND_CLASSES}, area="area")
+    return focal.stretch_codes(low, "z", 0.05, 0.95).select(F.col("raster_id").alias("area"), "row", "col", "code")
+
+
 @query("sky_view_coded", f"""with {BARE}, {sql_horizons()}, {sql_stretch('hor', 'svf_flux', 0.02, 0.98, 4, 'st', 'pow({u}, 2e0)')}
     select "row", col, {sql_code('unit')} as code from st""")
 def _svf_code(spark, sf_dir):

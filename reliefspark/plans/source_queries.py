@@ -9,7 +9,7 @@ from reliefspark.operators import points as P
 from reliefspark.plans import fixtures as fx
 from reliefspark.plans.fixtures import FEATURES, INDEX, PTS
 from reliefspark.plans.registry import query
-from reliefspark.session import table
+from reliefspark.session import staging_folder, table
 from reliefspark.sinks import writers
 from reliefspark.sources import features as SF
 from reliefspark.sources import grids, indexes
@@ -170,6 +170,50 @@ def _features(spark, sf_dir):
                        F.size(F.element_at("rings", 1)).alias("n_vertices"), F.floor(geom.rings_bbox("rings").x0 * 10.0 + 0.5).cast("bigint").alias("x0"))
 
 
+def _stored_lines(spark, features):
+    """The features after a write to the shared folder and a read."""
+    folder = staging_folder(spark, "features")
+    writers.write_geojson(features, folder, by_key=False)
+    return SF.read_feature_lines(spark, f"{folder}/all")
+
+
+@query("geojson_round_trip", f"""with {FEATURES} select feature_id, 'LineString' as kind, 2 as n_vertices, cast(floor(ax*1e7 + 5e-1) as bigint) as x0_1e7,
+    cast(floor(ay*1e7 + 5e-1) as bigint) as y0_1e7, cast(floor("by"*1e7 + 5e-1) as bigint) as y1_1e7 from feat
+    union all select feature_id, 'Polygon', 3, cast(floor(ax*1e7 + 5e-1) as bigint), cast(floor(ay*1e7 + 5e-1) as bigint), cast(floor(ay*1e7 + 5e-1) as bigint) from feat""")
+def _round_trip(spark, sf_dir):
+    fid = F.create_map(F.lit("fid"), F.col("feature_id").cast("string"))
+    both = fx.line_features(spark, sf_dir).unionByName(fx.ring_features(spark, sf_dir)).withColumn("props", fid)
+    ring = F.element_at("rings", 1)
+
+    def step(value):
+        return F.floor(value * 1e7 + 0.5).cast("bigint")
+
+    return _stored_lines(spark, both).select(
+        F.col("props")["fid"].cast("bigint").alias("feature_id"), "kind", F.size(ring).alias("n_vertices"), step(ring[0].x).alias("x0_1e7"), step(ring[0].y).alias("y0_1e7"), step(ring[1].y).alias("y1_1e7"))
+
+
+_MULTI = """concat('{"features":[{"geometry":{"type":"MultiPolygon","coordinates":[[[[X,1],[Y,1],[Y,2],[X,1]],[[X,1.25],[X,1.5],[Y,1.5],[X,1.25]]],[[[X,5],[Y,5],[Y,6],[X,5]]]]},"properties":{"fid":"', cast(feature_id as string),
+    '"}},{"geometry":{"type":"MultiPoint","coordinates":[[X,7],[Y,8],[X,9]]},"properties":{"fid":"', cast(feature_id as string),
+    '"}},{"geometry":{"type":"MultiLineString","coordinates":[[[X,3],[Y,4]],[[Y,5],[X,6],[X,7]]]},"properties":{"fid":"', cast(feature_id as string), '"}}]}') as doc"""
+
+
+@query("multi_geometry_round_trip", f"""with {FEATURES} select feature_id, kind, part, n_rings, n_vertices, cast(floor(y_sum*1e2 + 5e-1) as bigint) as y_sum_1e2 from feat,
+    (values ('Polygon', 0, 2, 8, 10.5e0), ('Polygon', 1, 1, 4, 21e0), ('Point', 0, 1, 1, 7e0), ('Point', 1, 1, 1, 8e0), ('Point', 2, 1, 1, 9e0),
+            ('LineString', 0, 1, 2, 7e0), ('LineString', 1, 1, 3, 18e0)) t(kind, part, n_rings, n_vertices, y_sum)""")
+def _multi(spark, sf_dir):
+    f = fx.features(spark, sf_dir).selectExpr("feature_id", "'m.geojson' as file", _MULTI)
+    x = F.col("feature_id") % 90
+    f = f.withColumn("doc", F.replace(F.replace("doc", F.lit("X"), x.cast("string")), F.lit("Y"), (x + 1).cast("string")))
+    rows = SF.feature_rows(indexes.parsed_json(f.select("file", "doc"), "doc", indexes.FEATURE_SCHEMA))
+    kept = F.map_concat("props", F.create_map(F.lit("part"), F.col("part").cast("string")))
+    back = _stored_lines(spark, rows.withColumn("props", kept))
+    points = F.flatten("rings")
+    y_sum = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p.y)
+    return back.select(
+        F.col("props")["fid"].cast("bigint").alias("feature_id"), "kind", F.col("props")["part"].cast("int").alias("part"), F.size("rings").alias("n_rings"),
+        F.size(points).alias("n_vertices"), F.floor(y_sum * 100.0 + 0.5).cast("bigint").alias("y_sum_1e2"))
+
+
 @query("source_map_object_xml", """select event_id as way_id, user_id + p*3 as node_id, p as pos, event_type as highway from events, (values (0), (1), (2)) t(p)""")
 def _map_xml(spark, sf_dir):
     text = """concat('<way id="', cast(event_id as string), '"><nd ref="', cast(user_id as string), '"/><nd ref="', cast(user_id + 3 as string), '"/><nd ref="', cast(user_id + 6 as string), '"/><tag k="highway" v="', event_type, '"/></way>') as doc"""

@@ -48,7 +48,8 @@ def feature_json(features: DataFrame) -> DataFrame:
     vertex = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p.x, p.y)))
     first = F.element_at(vertex, 1)
     geometry = (
-        F.when(F.col("kind") == "Point", F.to_json(F.struct(F.lit("Point").alias("type"), F.element_at(first, 1).alias("coordinates"))))
+        F.when((F.col("kind") == "Point") & (F.size(F.flatten("rings")) > 1), F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.flatten(vertex).alias("coordinates"))))
+        .when(F.col("kind") == "Point", F.to_json(F.struct(F.lit("Point").alias("type"), F.element_at(first, 1).alias("coordinates"))))
         .when((F.col("kind") == "LineString") & (F.size("rings") == 1), F.to_json(F.struct(F.lit("LineString").alias("type"), first.alias("coordinates"))))
         .when(F.col("kind") == "LineString", F.to_json(F.struct(F.lit("MultiLineString").alias("type"), vertex.alias("coordinates"))))
         .otherwise(F.to_json(F.struct(F.lit("Polygon").alias("type"), vertex.alias("coordinates")))))

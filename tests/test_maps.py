@@ -121,8 +121,8 @@ def ring(*points):
 
 
 FEATURES = "feature_id long, kind string, rings array<array<struct<x:double,y:double>>>, props map<string,string>"
-OUTER = ring((6.0455, 43.3275), (6.0475, 43.3275), (6.0475, 43.3295), (6.0455, 43.3295), (6.0455, 43.3275))
-INNER = ring((6.0461, 43.3281), (6.0469, 43.3281), (6.0469, 43.3289), (6.0461, 43.3289), (6.0461, 43.3281))
+OUTER = ring((7.102, 44.211), (7.106, 44.211), (7.106, 44.214), (7.102, 44.214), (7.102, 44.211))
+INNER = ring((7.103, 44.212), (7.105, 44.212), (7.105, 44.213), (7.103, 44.213), (7.103, 44.212))
 
 
 def test_hole_of_a_polygon_stays_open(spark):

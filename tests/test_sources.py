@@ -113,6 +113,24 @@ def test_geojson_round_trip(spark, tmp_path):
     assert [len(f["geometry"]["coordinates"]) for f in lines if f["geometry"]["type"] == "Polygon"] == [2]
     one = spark.read.text(str(tmp_path / "out" / "by_key" / "key=highway"))
     assert one.count() == 1
+    back = SF.read_feature_lines(spark, str(tmp_path / "out" / "all")).select("kind", "rings", "props").collect()
+    assert sorted(back) == sorted(read.select("kind", "rings", "props").collect())
+    with pytest.raises(Exception, match="no feature collection"):
+        SF.read_features(spark, str(tmp_path / "out" / "all")).collect()
+
+
+def test_parts_of_multi_geometries(spark, tmp_path):
+    def feature(kind, coordinates):
+        return {"type": "Feature", "properties": {"k": "v"}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    square = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    (tmp_path / "m.geojson").write_text(collection(
+        feature("MultiPolygon", [[square, square], [square]]), feature("MultiPoint", [[1, 2], [3, 4], [5, 6]]), feature("Point", [7, 8]), feature("MultiLineString", [square[:2], square])))
+    rows = SF.read_features(spark, str(tmp_path / "m.geojson")).collect()
+    assert sorted((r.kind, r.part, [len(x) for x in r.rings]) for r in rows) == [
+        ("LineString", 0, [2]), ("LineString", 1, [4]), ("Point", 0, [1]), ("Point", 0, [1]), ("Point", 1, [1]), ("Point", 2, [1]), ("Polygon", 0, [4, 4]), ("Polygon", 1, [4])]
+    several = spark.createDataFrame([("Point", [[{"x": 1.0, "y": 2.0}, {"x": 3.0, "y": 4.0}]], {"a": "b"})], "kind string, rings array<array<struct<x:double,y:double>>>, props map<string,string>")
+    assert json.loads(writers.feature_json(several).first().json)["geometry"] == {"type": "MultiPoint", "coordinates": [[1.0, 2.0], [3.0, 4.0]]}
 
 
 def test_map_object_xml(spark, tmp_path):
