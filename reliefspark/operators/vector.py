@@ -197,14 +197,15 @@ def segment_tiles(segments: DataFrame, zoom: int | Column) -> DataFrame:
         "_bx", across("bx")).withColumn("_by", down("by"))
     columns = flat.withColumn("x", F.explode(F.sequence(
         clamp(F.least("_ax", "_bx")), clamp(F.greatest("_ax", "_bx")))))
-    span = F.nullif(F.col("_bx") - F.col("_ax"), F.lit(0.0))
+    span = F.col("_bx") - F.col("_ax")
+    upright = span == 0  # least and greatest skip nulls, so such a segment needs its own branch
 
     def at(edge):
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("_ax")) / span))
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("_ax")) / F.nullif(span, F.lit(0.0))))
         return F.col("_ay") + share * (F.col("_by") - F.col("_ay"))
 
     left, right = at(F.col("x").cast("double")), at(F.col("x").cast("double") + 1.0)
-    entry, leaving = F.coalesce(left, F.col("_ay")), F.coalesce(right, F.col("_by"))
+    entry, leaving = F.when(upright, F.col("_ay")).otherwise(left), F.when(upright, F.col("_by")).otherwise(right)
     return columns.withColumn("y", F.explode(F.sequence(
         clamp(F.least(entry, leaving)), clamp(F.greatest(entry, leaving))))).drop("_ax", "_ay", "_bx", "_by")
 
@@ -213,36 +214,37 @@ _PIXELS = "zoom int, x bigint, y bigint, prow int, pcol int, alpha int"
 
 
 def line_pixels(segments: DataFrame) -> DataFrame:
-    """Pixels of segments in their tiles: ``zoom, x, y`` and lon/lat ends in, one row per pixel out."""
+    """Pixels of segments in their tiles: ``zoom, x, y`` and lon/lat ends in, one row per pixel out.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            tile_x, tile_y = part["x"].to_numpy(), part["y"].to_numpy()
-            n = 2.0 ** part["zoom"].to_numpy()
-            ends = []
-            for lon, lat in (("ax", "ay"), ("bx", "by")):
-                ends.append(((part[lon].to_numpy() + 180.0) / 360.0 * n - tile_x) * TILE)
-                ends.append(((1.0 - np.arcsinh(np.tan(np.radians(part[lat].to_numpy()))) / np.pi) / 2.0 * n - tile_y) * TILE)
-            ax, ay, dx, dy = ends[0], ends[1], ends[2] - ends[0], ends[3] - ends[1]
-            low, high = np.zeros(len(part)), np.ones(len(part))
-            # cut to the tile before stepping, so far-away ends cost nothing
-            for a, d in ((ax, dx), (ay, dy)):
-                safe = np.where(d == 0, 1.0, d)
-                t0, t1 = (-1 - a) / safe, (TILE - a) / safe
-                low = np.where(d == 0, low, np.maximum(low, np.minimum(t0, t1)))
-                high = np.where(d == 0, high, np.minimum(high, np.maximum(t0, t1)))
-            width = np.maximum(high - low, 0.0)
-            steps = np.where(high < low, 0, (np.maximum(np.abs(dx), np.abs(dy)) * width).astype(int) * 2 + 2)
-            which = np.repeat(np.arange(len(part)), steps)
-            order = np.arange(len(which)) - np.repeat(np.cumsum(steps) - steps, steps)
-            t = low[which] + order / np.maximum(steps[which] - 1, 1) * width[which]
-            cols, rows = np.floor(ax[which] + t * dx[which]), np.floor(ay[which] + t * dy[which])
-            fits = (cols >= 0) & (cols < TILE) & (rows >= 0) & (rows < TILE)
-            yield pd.DataFrame({
-                "zoom": part["zoom"].to_numpy()[which][fits], "x": tile_x[which][fits], "y": tile_y[which][fits],
-                "prow": rows[fits].astype("int32"), "pcol": cols[fits].astype("int32"), "alpha": LINE_ALPHA}).drop_duplicates()
-
-    return segments.select("zoom", "x", "y", "ax", "ay", "bx", "by").mapInPandas(run, _PIXELS)
+    The segment is cut to the pixel columns of its tile, and each column yields the rows it runs through:
+    every pixel it touches, no other one.
+    """
+    n = geo.pow2(F.col("zoom")).cast("double")
+
+    def across(lon):
+        return ((F.col(lon) + 180.0) / 360.0 * n - F.col("x")) * float(TILE)
+
+    def down(lat):
+        return ((F.lit(1.0) - F.asinh(F.tan(F.radians(F.col(lat)))) / F.pi()) / 2.0 * n - F.col("y")) * float(TILE)
+
+    def steps(first, last):
+        """Whole numbers of the tile from one value to the other; none when they lie outside."""
+        low, high = F.greatest(floor_long(F.least(first, last)), F.lit(0)), F.least(floor_long(F.greatest(first, last)), F.lit(TILE - 1))
+        return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+    flat = segments.select("zoom", "x", "y", across("ax").alias("_ax"), down("ay").alias("_ay"), across("bx").alias("_bx"), down("by").alias("_by"))
+    columns = flat.withColumn("_c", steps(F.col("_ax"), F.col("_bx")))
+    span = F.col("_bx") - F.col("_ax")
+    upright = span == 0  # least and greatest skip nulls, so such a segment needs its own branch
+
+    def at(edge):
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("_ax")) / F.nullif(span, F.lit(0.0))))
+        return F.col("_ay") + share * (F.col("_by") - F.col("_ay"))
+
+    entry = F.when(upright, F.col("_ay")).otherwise(at(F.col("_c").cast("double")))
+    leaving = F.when(upright, F.col("_by")).otherwise(at(F.col("_c") + 1.0))
+    rows = columns.withColumn("_r", steps(entry, leaving))
+    return rows.select("zoom", "x", "y", F.col("_r").cast("int").alias("prow"), F.col("_c").cast("int").alias("pcol"), F.lit(LINE_ALPHA).cast("int").alias("alpha"))
 
 
 def fill_pixels(polygons: DataFrame) -> DataFrame:

@@ -83,11 +83,10 @@ def _in_index(spark, sf_dir):
     return C.existing_cells(C.grid_cells(boxes(spark, sf_dir)), fx.tile_index(spark, sf_dir)).select("c_custkey", "key_x", "key_y")
 
 
-@query("cells_outside_index", f"""with {_CELLS_SQL}, {INDEX}, old as (select * from idx where vintage = 1996 and survey_month <= 6)
-    select c_custkey, count(*) as n_missing from cells where not exists (select 1 from old where old.key_x = cells.key_x and old.key_y = cells.key_y) group by c_custkey""")
+@query("cells_outside_index", f"""with {_CELLS_SQL}, {INDEX}
+    select c_custkey, count(*) as n_missing from cells where not exists (select 1 from idx where idx.key_x = cells.key_x and idx.key_y = cells.key_y) group by c_custkey""")
 def _outside(spark, sf_dir):
-    idx = fx.tile_index(spark, sf_dir).filter("vintage = 1996 and survey_month <= 6")
-    return C.missing_cells(C.grid_cells(boxes(spark, sf_dir)), idx).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_missing"))
+    return C.missing_cells(C.grid_cells(boxes(spark, sf_dir)), fx.tile_index(spark, sf_dir)).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_missing"))
 
 
 @query("latest_vintage", f"""with {INDEX}, r as (select *, row_number() over (partition by key_x, key_y order by vintage desc, url) as n from idx)
@@ -119,13 +118,12 @@ def _first(spark, sf_dir):
     return C.best_per_key(idx, ["key_x", "key_y"], [F.col("order_id")])
 
 
-@query("campaign_union", f"""with {INDEX}, u as (select key_x, key_y, url, 0 as campaign from idx where vintage = 1997 union all
-      select key_x, key_y, url, 1 from idx where vintage = 1996 union all select key_x, key_y, url, 2 from idx where vintage = 1995),
+@query("campaign_union", f"""with {INDEX}, u as (select key_x, key_y, url, cast(6 - order_id % 7 as int) as campaign from idx),
     r as (select *, row_number() over (partition by key_x, key_y order by campaign, url) as n from u) select key_x, key_y, campaign, url from r where n = 1""")
 def _campaigns(spark, sf_dir):
     idx = fx.tile_index(spark, sf_dir)
-    years = [idx.filter(F.col("vintage") == y).select("key_x", "key_y", "url") for y in (1997, 1996, 1995)]
-    return C.union_campaigns(years, ["key_x", "key_y"], "url").select("key_x", "key_y", "campaign", "url")
+    campaigns = [idx.filter(F.col("order_id") % 7 == 6 - k).select("key_x", "key_y", "url") for k in range(7)]
+    return C.union_campaigns(campaigns, ["key_x", "key_y"], "url").select("key_x", "key_y", "campaign", "url")
 
 
 _COORDS = ("concat('[[[', cast(user_id as string), '.5, ', cast(event_id % 91 as string), '.25, 7.5], [', cast(user_id + 3 as string), '.0, ', "
@@ -174,12 +172,11 @@ def _bbox_or_name(spark, sf_dir):
 
 @query("priority_cover", f"""with {_CELLS_SQL}, {INDEX},
     uc as (select distinct key_x, key_y from cells),
-    i1 as (select key_x, key_y, min(url) as url from idx where collection = '1' group by all), i2 as (select cast(floor(key_x/5e0) as bigint) kx, cast(floor(key_y/5e0) as bigint) ky, min(url) as url from idx where collection = '2' and vintage = 1996 group by all),
-    i3 as (select cast(floor(key_x/1e1) as bigint) kx, cast(floor(key_y/1e1) as bigint) ky, min(url) as url from idx where collection = '3' group by all),
-    c as (select uc.key_x, uc.key_y, case when i1.url is not null then 1 when i2.url is not null then 2 when i3.url is not null then 3 end as priority, coalesce(i1.url, i2.url, i3.url) as url
-      from uc left join i1 using (key_x, key_y) left join i2 on kx = cast(floor(uc.key_x/5e0) as bigint) and ky = cast(floor(uc.key_y/5e0) as bigint)
-      left join i3 on i3.kx = cast(floor(uc.key_x/1e1) as bigint) and i3.ky = cast(floor(uc.key_y/1e1) as bigint))
-    select * from c where priority is not null""")
+    g as (select cast(collection as int) as priority, case collection when '1' then 1e0 when '2' then 1e0 when '3' then 5e0 when '4' then 1e1 else 2e1 end as step, * exclude (collection) from idx),
+    i as (select priority, step, cast(floor(key_x/step) as bigint) as kx, cast(floor(key_y/step) as bigint) as ky, min(url) as url from g group by all),
+    m as (select uc.key_x, uc.key_y, priority, url, row_number() over (partition by uc.key_x, uc.key_y order by priority, url) as n
+      from uc join i on kx = cast(floor(uc.key_x/step) as bigint) and ky = cast(floor(uc.key_y/step) as bigint))
+    select key_x, key_y, cast(priority as int) as priority, url from m where n = 1""")
 def _priority(spark, sf_dir):
     cells = C.grid_cells(boxes(spark, sf_dir)).select("key_x", "key_y").distinct()
     idx = fx.tile_index(spark, sf_dir)
@@ -187,18 +184,18 @@ def _priority(spark, sf_dir):
     def ref(step):
         return F.concat_ws("_", *[F.floor(F.col(k) / step).cast("string") for k in ("key_x", "key_y")])
 
-    grids = {"1km": 1.0, "5km": 5.0, "10km": 10.0}
+    # five collections, the fine grids first; every row of the index belongs to one of them
+    grids = {"1km": 1.0, "5km": 5.0, "10km": 10.0, "20km": 20.0}
+    grid_of = {1: "1km", 2: "1km", 3: "5km", 4: "10km", 5: "20km"}
     index = None
-    for priority, (grid, step) in enumerate(grids.items(), 1):
+    for priority, grid in grid_of.items():
         chosen = idx.filter(F.col("collection") == str(priority))
-        if priority == 2:
-            chosen = chosen.filter("vintage = 1996")
-        part = chosen.select(F.lit(priority).alias("priority"), F.lit(grid).alias("grid"), ref(step).alias("ref"), "url")
+        part = chosen.select(F.lit(priority).alias("priority"), F.lit(grid).alias("grid"), ref(grids[grid]).alias("ref"), "url")
         index = part if index is None else index.unionByName(part)
     return C.priority_cover(cells, index, {g: ref(s) for g, s in grids.items()})
 
 
-@query("index_or_grid", f"""with {INDEX}, i as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx where vintage >= 1998),
+@query("index_or_grid", f"""with {INDEX}, i as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx where order_id % 3 <> 0),
     g as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx),
     f as (select collection as area from idx group by collection having count(*) filter (where order_id % 1499 = 7) > 2)
     select *, 'index' as origin from i union all select g.*, 'grid' from g where area in (select area from f)
@@ -206,7 +203,7 @@ def _priority(spark, sf_dir):
 def _index_or_grid(spark, sf_dir):
     idx = fx.tile_index(spark, sf_dir).withColumnRenamed("collection", "area")
     name = C.tile_name(F.lit("dtm"), "key_x", "key_y")
-    index = idx.filter("vintage >= 1998").select("area", "key_x", "key_y", name.alias("tile_name")).distinct()
+    index = idx.filter("order_id % 3 <> 0").select("area", "key_x", "key_y", name.alias("tile_name")).distinct()
     log = idx.groupBy("area").agg(F.count_if(F.col("order_id") % 1499 == 7).alias("n"), F.count(F.lit(1)).alias("n_found")).select(
         "area", F.greatest(F.lit(0), F.col("n") - 2).alias("n_errors"), "n_found")
     cells = idx.select("area", "key_x", "key_y").distinct()

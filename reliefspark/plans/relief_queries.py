@@ -387,15 +387,31 @@ def _coordinates(spark, sf_dir):
                     r("m.y").alias("mercator_y_dm"), r("b.lon", 1e7).alias("back_lon_1e7"), r("b.lat", 1e7).alias("back_lat_1e7"))
 
 
-@query("utm_round_trip", f"""with {fx.FEATURES} select feature_id, {_r('ax', '1e7')} as lon_1e7, {_r('ay', '1e7')} as lat_1e7,
-      32600 + cast(floor((ax + 18e1)/6e0) as int) + 1 as epsg from feat""")
+def sql_utm() -> str:
+    """CTE ``utm(feature_id, x, y)``: the series to fourth order in the third flattening, written out."""
+    f = geo.WGS84_F
+    n = f / (2 - f)
+    k = 2 * math.sqrt(n) / (1 + n)
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    east = "eta" + "".join(f" + {_e(a)}*cos({2 * j}e0*xi)*sinh({2 * j}e0*eta)" for j, a in enumerate(series, 1))
+    north = "xi" + "".join(f" + {_e(a)}*sin({2 * j}e0*xi)*cosh({2 * j}e0*eta)" for j, a in enumerate(series, 1))
+    return f"""zone as (select feature_id, sin(radians(ay)) as s, radians(ax - (floor((ax + 18e1)/6e0)*6e0 - 177e0)) as lam from feat),
+    conformal as (select feature_id, lam, sinh(atanh(s) - {_e(k)}*atanh({_e(k)}*s)) as t from zone),
+    angle as (select feature_id, atan2(t, cos(lam)) as xi, atanh(sin(lam)/sqrt(1e0 + t*t)) as eta from conformal),
+    utm as (select feature_id, 5e5 + {_e(radius)}*({east}) as x, {_e(radius)}*({north}) as y from angle)"""
+
+
+@query("utm_round_trip", f"""with {fx.FEATURES}, {sql_utm()} select feature_id, {_r('ax', '1e7')} as lon_1e7, {_r('ay', '1e7')} as lat_1e7,
+      32600 + cast(floor((ax + 18e1)/6e0) as int) + 1 as epsg, {_r('x', '1e2')} as east_cm, {_r('y', '1e2')} as north_cm from feat join utm using (feature_id)""")
 def _utm(spark, sf_dir):
     f = fx.features(spark, sf_dir).withColumn("epsg", geo.utm_epsg("ax", "ay"))
     central = (F.col("epsg") - 32600) * 6.0 - 183.0
     f = f.withColumn("t", geo.transverse_mercator_from_lonlat("ax", "ay", central))
     f = f.withColumn("b", geo.lonlat_from_transverse_mercator("t.x", "t.y", central))
     return f.select("feature_id", F.floor(F.col("b.lon") * 1e7 + 0.5).cast("bigint").alias("lon_1e7"),
-                    F.floor(F.col("b.lat") * 1e7 + 0.5).cast("bigint").alias("lat_1e7"), "epsg")
+                    F.floor(F.col("b.lat") * 1e7 + 0.5).cast("bigint").alias("lat_1e7"), "epsg",
+                    F.floor(F.col("t.x") * 1e2 + 0.5).cast("bigint").alias("east_cm"), F.floor(F.col("t.y") * 1e2 + 0.5).cast("bigint").alias("north_cm"))
 
 
 _EX, _EY = sql_lambert("px", "py")
@@ -414,7 +430,6 @@ def _envelope(spark, sf_dir):
 
 _PLACE_X, _PLACE_Y = 900000.0, 6250000.0
 _ZOOM = 15
-_PIXEL = 2 * geo.MERCATOR_HALF / 2**_ZOOM / 256
 
 
 def warp_to_mercator(cells, zoom):
@@ -425,6 +440,9 @@ def warp_to_mercator(cells, zoom):
     hit = cells.select("raster_id", centre.alias("p")).select(
         "raster_id", geo.floor_long((F.lit(geo.MERCATOR_HALF) - geo.mercator_y("p.lat")) / pixel / 64).alias("brow"),
         geo.floor_long((geo.mercator_x("p.lon") + geo.MERCATOR_HALF) / pixel / 64).alias("bcol")).distinct()
+    # the outermost cells reach into blocks that hold no cell centre
+    near = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    hit = hit.withColumn("dr", near).withColumn("dc", near).select("raster_id", (F.col("brow") + F.col("dr")).alias("brow"), (F.col("bcol") + F.col("dc")).alias("bcol")).distinct()
     targets = warp.target_cells(hit, 64)
     back = geo.lambert93_from_lonlat(
         geo.mercator_lon((F.col("col") + 0.5) * pixel - geo.MERCATOR_HALF), geo.mercator_lat(F.lit(geo.MERCATOR_HALF) - (F.col("row") + 0.5) * pixel))
@@ -435,14 +453,21 @@ def warp_to_mercator(cells, zoom):
 
 _WLON, _WLAT = sql_from_lambert(f"((col + 5e-1)*{RES}e0 + {_PLACE_X}e0)", f"({_PLACE_Y}e0 - (\"row\" + 5e-1)*{RES}e0)")
 _WMX, _WMY = sql_mercator("lon", "lat")
-_BLON = f"degrees(((col + 5e-1)*{_e(_PIXEL)} - {_e(geo.MERCATOR_HALF)})/6378137e0)"
-_BLAT = f"degrees(atan(sinh(({_e(geo.MERCATOR_HALF)} - (\"row\" + 5e-1)*{_e(_PIXEL)})/6378137e0)))"
 _BX, _BY = sql_lambert("lon", "lat")
-WARP = BARE + f""", c0 as (select {_WLON} as lon, {_WLAT} as lat from bare),
-    hit as (select distinct cast(floor(({_e(geo.MERCATOR_HALF)} - {_WMY})/{_e(_PIXEL)}/64) as bigint) as br,
-      cast(floor(({_WMX} + {_e(geo.MERCATOR_HALF)})/{_e(_PIXEL)}/64) as bigint) as bc from c0),
+
+
+def sql_warp(zoom: int) -> str:
+    """CTEs up to ``warped(row, col, z)``: the bare-earth model on the Mercator pixels of a zoom."""
+    pixel = _e(2 * geo.MERCATOR_HALF / 2**zoom / 256)
+    half = _e(geo.MERCATOR_HALF)
+    back_lon = f"degrees(((col + 5e-1)*{pixel} - {half})/6378137e0)"
+    back_lat = f"degrees(atan(sinh(({half} - (\"row\" + 5e-1)*{pixel})/6378137e0)))"
+    return BARE + f""", c0 as (select {_WLON} as lon, {_WLAT} as lat from bare),
+    own as (select distinct cast(floor(({half} - {_WMY})/{pixel}/64) as bigint) as br,
+      cast(floor(({_WMX} + {half})/{pixel}/64) as bigint) as bc from c0),
+    hit as (select distinct br + dr as br, bc + dc as bc from own, (values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc)),
     tgt as (select br*64 + r as "row", bc*64 + c as col from hit, range(64) rr(r), range(64) cc(c)),
-    ll as (select "row", col, {_BLON} as lon, {_BLAT} as lat from tgt),
+    ll as (select "row", col, {back_lon} as lon, {back_lat} as lat from tgt),
     pos as (select "row", col, ({_PLACE_Y}e0 - {_BY})/{RES}e0 - 5e-1 as pr, ({_BX} - {_PLACE_X}e0)/{RES}e0 - 5e-1 as pc from ll),
     crn as (select "row", col, cast(floor(pr) as bigint) + dr as sr, cast(floor(pc) as bigint) + dc as sc,
       (case when dr = 1 then pr - floor(pr) else 1e0 - (pr - floor(pr)) end)*(case when dc = 1 then pc - floor(pc) else 1e0 - (pc - floor(pc)) end) as w
@@ -450,9 +475,12 @@ WARP = BARE + f""", c0 as (select {_WLON} as lon, {_WLAT} as lat from bare),
     warped as (select crn."row", crn.col, sum(w*z)/sum(w) as z from crn join bare on bare."row" = sr and bare.col = sc where w > 0 group by all)"""
 
 
-def mercator_blocks(spark, sf_dir, side=256):
+WARP = sql_warp(_ZOOM)
+
+
+def mercator_blocks(spark, sf_dir, side=256, zoom=_ZOOM):
     """The bare-earth model on global Mercator pixels, one block per map tile."""
-    return warp.warp_blocks(bare(spark, sf_dir), "z", LambertToPixels(_PLACE_X, _PLACE_Y, RES, _ZOOM), SIDE, side)
+    return warp.warp_blocks(bare(spark, sf_dir), "z", LambertToPixels(_PLACE_X, _PLACE_Y, RES, zoom), SIDE, side)
 
 
 @query("warp_bilinear", f"""with {WARP} select "row", col, {sql_mm('z')} as z_mm from warped""")

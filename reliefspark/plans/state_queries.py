@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from reliefspark.functions import geo, geom
@@ -15,7 +12,7 @@ from reliefspark.plans import fixtures as fx
 from reliefspark.plans.catalogue_queries import BOXES, boxes
 from reliefspark.plans.fixtures import INDEX, PTS
 from reliefspark.plans.registry import query
-from reliefspark.session import table
+from reliefspark.session import staging_folder, table
 from reliefspark.streaming.new_tiles import process_new_tiles
 
 # -- chunks and manifests -------------------------------------------------------------------------
@@ -133,25 +130,31 @@ def _purge_small(spark, sf_dir):
     return G.purge_small(files, limits).select("o_orderkey", "length", "code")
 
 
-@query("purge_outside_zone", f"""with {INDEX} select order_id, tile_name from idx where regexp_matches(tile_name, '^dtm_[0-9]+_1[0-9]_') and not (vintage >= 1997)""")
+@query("purge_outside_zone", f"""with {INDEX} select order_id, tile_name from idx where regexp_matches(tile_name, '^dtm_[0-9]+_1[0-9]_') and order_id % 4 = 0""")
 def _purge_outside(spark, sf_dir):
     idx = fx.tile_index(spark, sf_dir)
-    return G.purge_outside(idx, idx.filter("vintage >= 1997"), r"^dtm_[0-9]+_1[0-9]_").select("order_id", "tile_name")
+    return G.purge_outside(idx, idx.filter("order_id % 4 <> 0"), r"^dtm_[0-9]+_1[0-9]_").select("order_id", "tile_name")
 
 
 _NEW = ["key_x", "key_y", "vintage", "order_id"]
 
 
-@query("new_tiles_only", f"""with {INDEX} select key_x, count(*) as n_tiles, max(vintage) as newest from idx group by key_x""")
+@query("new_tiles_only", f"""with {INDEX} select key_x, cast(order_id % 2 as int) as generation, cast(order_id % 2 as int) as run, count(*) as n_tiles, max(vintage) as newest from idx group by all""")
 def _new_tiles(spark, sf_dir):
-    """The tile index read as a stream of files; a second run finds nothing new."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    run = f"{root.rstrip('/')}/new_tiles_{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "orders").schema
-    for _ in range(2):
-        process_new_tiles(spark, sf_dir, schema, f"{run}/out", f"{run}/progress",
-                          lambda batch: batch.selectExpr(*fx.INDEX_COLUMNS).select(*_NEW), pattern="orders.parquet")
-    return spark.read.parquet(f"{run}/out").groupBy("key_x").agg(F.count(F.lit(1)).alias("n_tiles"), F.max("vintage").alias("newest"))
+    """Two generations of index files land one after the other, with a run after each and one more at the end.
+
+    The column ``run`` tells which run wrote a row: the second one must give the second generation alone, the last
+    one nothing.
+    """
+    folder = staging_folder(spark, "new_tiles")
+    landed = table(spark, sf_dir, "orders").select("*", (F.col("o_orderkey") % 2).cast("int").alias("generation"))
+    for generation in (0, 1, None):
+        if generation is not None:
+            landed.filter(F.col("generation") == generation).write.mode("append").parquet(f"{folder}/in")
+        process_new_tiles(spark, f"{folder}/in", landed.schema, f"{folder}/out", f"{folder}/progress",
+                          lambda batch: batch.selectExpr(*fx.INDEX_COLUMNS, "generation").select(*_NEW, "generation"))
+    return spark.read.parquet(f"{folder}/out").groupBy("key_x", "generation", F.col("batch").alias("run")).agg(
+        F.count(F.lit(1)).alias("n_tiles"), F.max("vintage").alias("newest"))
 
 
 # -- coverage -------------------------------------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from reliefspark.functions import geo
@@ -10,7 +14,7 @@ from reliefspark.operators.blocks import blocks_to_cells
 from reliefspark.plans import fixtures as fx
 from reliefspark.plans.fixtures import FEATURES, TILES
 from reliefspark.plans.registry import query
-from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, warp_to_mercator
+from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, sql_warp, warp_to_mercator
 from reliefspark.session import table
 
 _ZOOM = 15
@@ -43,40 +47,70 @@ def _native(spark, sf_dir):
                     F.floor(geo.ground_resolution("lat", F.lit(16)) * 1e6 + 0.5).cast("bigint").alias("metres_1e6"))
 
 
-def _pixels(spark, sf_dir):
-    warped = warp_to_mercator(cells_of(bare(spark, sf_dir), "z"), _ZOOM)
+#: deep enough that some tiles are full
+_DEEP = 18
+
+
+def _pixels(spark, sf_dir, zoom=_ZOOM):
+    warped = warp_to_mercator(cells_of(bare(spark, sf_dir), "z"), zoom)
     code = (F.floor(F.col("z") * 10.0).cast("bigint") % 255 + 1).cast("int")
-    return warped.select(F.lit(_ZOOM).alias("zoom"), F.col("row").alias("prow"), F.col("col").alias("pcol"), code.alias("v"))
+    return warped.select(F.lit(zoom).alias("zoom"), F.col("row").alias("prow"), F.col("col").alias("pcol"), code.alias("v"))
+
+
+_PX = """, px as (select "row" as prow, col as pcol, cast(cast(floor(z*1e1) as bigint) % 255 + 1 as int) as v from warped)"""
+PIXELS, DEEP_PIXELS = WARP + _PX, sql_warp(_DEEP) + _PX
+_PACK = f"""select {_DEEP} as zoom, cast(floor(pcol/256e0) as bigint) as x, cast(floor(prow/256e0) as bigint) as y, cast(count(*) as {{kind}}) as filled{{more}} from px group by all"""
+#: every pixel weighs by its place in the tile, so a sum that agrees leaves no room for swapped rows or columns
+_PLACED = "cast(sum(v*(((prow % 256)*256 + pcol % 256) % 997 + 1)) as bigint) as placed_sum"
+
+
+def _placed_sum(read):
+    """Column function: the place-weighted sum of the grey values that ``read`` takes from each payload."""
+    def run(bodies: pd.Series) -> pd.Series:
+        weights = np.arange(256 * 256) % 997 + 1
+        return pd.Series([int((read(body).astype(np.int64).reshape(-1) * weights).sum()) for body in bodies], dtype="int64")
+
+    return F.pandas_udf(run, "bigint")
+
+
+def _raw_grey(body):
+    return np.frombuffer(body, np.uint8)
 
 
-PIXELS = WARP + """, px as (select "row" as prow, col as pcol, cast(cast(floor(z*1e1) as bigint) % 255 + 1 as int) as v from warped)"""
-_PACK = """select 15 as zoom, cast(floor(pcol/256e0) as bigint) as x, cast(floor(prow/256e0) as bigint) as y, cast(count(*) as {kind}) as filled{more} from px group by all"""
+def _png_grey(body):
+    """Grey values of a PNG without filters, with or without alpha."""
+    channels = 2 if body[25] == 4 else 1
+    size = int.from_bytes(body[33:37], "big")
+    rows = np.frombuffer(zlib.decompress(body[41:41 + size]), np.uint8).reshape(256, 1 + 256 * channels)
+    return rows[:, 1::channels]
 
 
-@query("tile_summary", f"with {PIXELS} " + _PACK.format(kind="bigint", more=", count(*) = 65536 as interior"))
+@query("tile_summary", f"with {DEEP_PIXELS} " + _PACK.format(kind="bigint", more=", count(*) = 65536 as interior"))
 def _summary(spark, sf_dir):
-    return T.tile_summary(_pixels(spark, sf_dir))
+    return T.tile_summary(_pixels(spark, sf_dir, _DEEP))
 
 
-def _pixel_blocks(spark, sf_dir):
+def _pixel_blocks(spark, sf_dir, zoom=_ZOOM):
     code = F.transform("z", lambda z: F.floor(z * 10.0).cast("bigint") % 255 + 1)
-    return mercator_blocks(spark, sf_dir).select("raster_id", "brow", "bcol", code.cast("array<double>").alias("v"))
+    return mercator_blocks(spark, sf_dir, zoom=zoom).select("raster_id", "brow", "bcol", code.cast("array<double>").alias("v"))
 
 
-@query("tile_packing", f"with {PIXELS} " + _PACK.format(kind="int", more=", 65536 as n_bytes"))
+@query("tile_packing", f"with {DEEP_PIXELS} " + _PACK.format(kind="int", more=f", {_PLACED}"))
 def _packing(spark, sf_dir):
-    return T.block_tiles(_pixel_blocks(spark, sf_dir), "v", _ZOOM).select("zoom", "x", "y", "filled", F.length("pixels").alias("n_bytes"))
+    tiles = T.block_tiles(_pixel_blocks(spark, sf_dir, _DEEP), "v", _DEEP)
+    return tiles.select("zoom", "x", "y", "filled", _placed_sum(_raw_grey)("pixels").alias("placed_sum"))
 
 
-@query("tile_packing_from_pixels", f"with {PIXELS} " + _PACK.format(kind="int", more=", 65536 as n_bytes"))
+@query("tile_packing_from_pixels", f"with {DEEP_PIXELS} " + _PACK.format(kind="int", more=f", {_PLACED}"))
 def _packing_pixels(spark, sf_dir):
-    return T.pixel_tiles(_pixels(spark, sf_dir)).select("zoom", "x", "y", "filled", F.length("pixels").alias("n_bytes"))
+    tiles = T.pixel_tiles(_pixels(spark, sf_dir, _DEEP))
+    return tiles.select("zoom", "x", "y", "filled", _placed_sum(_raw_grey)("pixels").alias("placed_sum"))
 
 
-@query("tile_png", f"with {PIXELS} " + _PACK.format(kind="int", more=", 'png' as kind, 256 as width, case when count(*) = 65536 then 0 else 4 end as colour_type"))
+@query("tile_png", f"with {DEEP_PIXELS} " + _PACK.format(kind="int", more=f", {_PLACED}, 'png' as kind, 256 as width, case when count(*) = 65536 then 0 else 4 end as colour_type"))
 def _png(spark, sf_dir):
-    png = T.png_tiles(T.block_tiles(_pixel_blocks(spark, sf_dir), "v", _ZOOM))
-    return png.select("zoom", "x", "y", "filled", T.payload_kind("data").alias("kind"),
+    png = T.png_tiles(T.block_tiles(_pixel_blocks(spark, sf_dir, _DEEP), "v", _DEEP))
+    return png.select("zoom", "x", "y", "filled", _placed_sum(_png_grey)("data").alias("placed_sum"), T.payload_kind("data").alias("kind"),
                       F.conv(F.hex(F.substring("data", 17, 4)), 16, 10).cast("int").alias("width"),
                       F.conv(F.hex(F.substring("data", 26, 1)), 16, 10).cast("int").alias("colour_type"))
 

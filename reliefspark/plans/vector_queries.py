@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions import geo, geom
 from reliefspark.operators import vector as V
+from reliefspark.operators.tiles import payload_kind
 from reliefspark.plans import fixtures as fx
 from reliefspark.plans.fixtures import FEATURES
 from reliefspark.plans.registry import query
@@ -106,26 +107,47 @@ def _tolerance(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.simplify_tolerance(F.col("p_retailprice") * F.col("p_size") * F.col("p_size") / 20.0).alias("metres"))
 
 
-@query("simplified_lines", """select o_orderkey, case when o_custkey % 9 > 3 then 3 else 2 end as n_vertices from orders""")
+_WAVE = "sin(o_orderkey + i*i*7e-1)*5e-1"
+
+
+@query("simplified_lines", f"""with recursive v as (select o_orderkey as k, i, i*1e0 as x, {_WAVE} as y from orders, range(12) r(i)),
+    seg(k, s, e) as (select o_orderkey, cast(0 as bigint), cast(11 as bigint) from orders
+      union all select k, case when h = 0 then s else m end, case when h = 0 then m else e end
+      from (select k, s, e, arg_min(i, row(-d, i)) as m, max(d) as d
+            from (select seg.k, s, e, p.i, abs((p.x - a.x)*(b.y - a.y) - (p.y - a.y)*(b.x - a.x))/sqrt((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y)) as d
+                  from seg join v p on p.k = seg.k and p.i > s and p.i < e join v a on a.k = seg.k and a.i = s join v b on b.k = seg.k and b.i = e) group by k, s, e) f,
+        (values (0), (1)) t(h) where d > 0.35e0),
+    kept as (select distinct k, unnest([s, e]) as i from seg)
+    select k as o_orderkey, cast(count(*) as int) as n_vertices, cast(sum(i) as bigint) as x_sum, cast(floor(sum(y)*1e6 + 5e-1) as bigint) as y_sum_1e6 from kept join v using (k, i) group by k""")
 def _simplified(spark, sf_dir):
-    # three vertices, the middle one off the line by 0..8 tenths; tolerance 0.35
-    off = (F.col("o_custkey") % 9) / 10.0
-    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y")) for x, y in ((0, F.lit(0.0)), (1, off), (2, F.lit(0.0)))])
-    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.array(ring).alias("rings"), F.lit(0.35).alias("tolerance"))
-    return V.simplify(lines).select("o_orderkey", F.size(F.element_at("rings", 1)).alias("n_vertices"))
+    # twelve vertices on a wave, so that the line is split several times
+    vertex = F.expr(f"transform(sequence(0, 11), i -> struct(i*1e0 as x, {_WAVE} as y))")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.array(vertex).alias("rings"), F.lit(0.35).alias("tolerance"))
+    ring = F.element_at("rings", 1)
+
+    def total(axis):
+        return F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[axis])
 
+    return V.simplify(lines).select("o_orderkey", F.size(ring).alias("n_vertices"), total("x").cast("bigint").alias("x_sum"), F.floor(total("y") * 1e6 + 0.5).cast("bigint").alias("y_sum_1e6"))
 
-@query("clipped_polygons", """with s as (select o_orderkey, (o_custkey % 20) - 5e0 as x, (o_orderkey % 17) - 4e0 as y, 1e0 + o_custkey % 6 as w from orders),
-    c as (select o_orderkey, greatest(x, 0) x0, least(x + w, 1e1) x1, greatest(y, 0) y0, least(y + w, 1e1) y1 from s)
-    select o_orderkey, (x1 - x0)*(y1 - y0) as area from c where x1 > x0 and y1 > y0""")
+
+# a slanted square cut to a box: the twin adds up the trapezoids between all places where an edge bends
+@query("clipped_polygons", """with s as (select o_orderkey, (o_custkey % 20) - 5e0 as cx, (o_orderkey % 17) - 4e0 as cy, 1.5e0 + o_custkey % 6 as h from orders),
+    b as (select *, unnest([cx - h, cx, cx + h, 0e0, 1e1, cx - (cy + h - 1e1), cx + (cy + h - 1e1), cx - (cy + h), cx + (cy + h), cx - (h - cy), cx + (h - cy), cx - (1e1 - cy + h), cx + (1e1 - cy + h)]) as x from s),
+    c as (select *, greatest(0e0, cx - h) as lo, least(1e1, cx + h) as hi from b),
+    d as (select distinct o_orderkey, cx, cy, h, greatest(lo, least(hi, x)) as x from c where lo < hi),
+    f as (select o_orderkey, x, greatest(0e0, least(1e1, cy + h - abs(x - cx)) - greatest(0e0, cy - h + abs(x - cx))) as y from d),
+    t as (select o_orderkey, (x - lag(x) over w)*(y + lag(y) over w)/2e0 as part from f window w as (partition by o_orderkey order by x))
+    select o_orderkey, cast(floor(sum(part)*1e6 + 5e-1) as bigint) as area_1e6 from t group by o_orderkey having sum(part) > 0""")
 def _clipped(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "(o_custkey % 20) - 5e0 as x", "(o_orderkey % 17) - 4e0 as y", "1e0 + o_custkey % 6 as w")
-    x, y, w = F.col("x"), F.col("y"), F.col("w")
-    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))])
-    clipped = V.clip_polygons(o.select("o_orderkey", F.array(ring).alias("rings")), (0, 0, 10, 10))
-    box = geom.rings_bbox("rings")
-    # an axis-parallel square stays one, so its area is that of its box
-    return clipped.select("o_orderkey", ((box.x1 - box.x0) * (box.y1 - box.y0)).alias("area")).filter("area > 0")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "(o_custkey % 20) - 5e0 as x", "(o_orderkey % 17) - 4e0 as y", "15e-1 + o_custkey % 6 as h")
+    x, y, h = F.col("x"), F.col("y"), F.col("h")
+    corners = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x - h, y), (x, y - h), (x + h, y), (x, y + h), (x - h, y))])
+    clipped = V.clip_polygons(o.select("o_orderkey", F.array(corners).alias("rings")), (0, 0, 10, 10))
+    ring = F.element_at("rings", 1)
+    sides = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: p.x * q.y - q.x * p.y)
+    area = F.abs(F.aggregate(sides, F.lit(0.0), lambda acc, v: acc + v)) / 2.0
+    return clipped.select("o_orderkey", F.floor(area * 1e6 + 0.5).cast("bigint").alias("area_1e6"))
 
 
 _SEG = ["l_orderkey", "l_linenumber", "l_partkey % 100 as ax", "l_suppkey % 90 as ay", "(l_partkey*7) % 100 as bx", "(l_orderkey*3) % 90 as bb"]
@@ -154,13 +176,6 @@ def _segment_tiles(spark, sf_dir):
     return V.segment_tiles(V.ring_segments(fx.line_features(spark, sf_dir)), 14).select("feature_id", "x", "y")
 
 
-@query("transparent_tiles")
-def _transparent(spark, sf_dir):
-    both = fx.line_features(spark, sf_dir).unionByName(fx.ring_features(spark, sf_dir)).select("feature_id", "kind", "rings")
-    tiles = V.feature_tiles(both, 13, 13)
-    return tiles.select("zoom", "x", "y", "painted", "fill_pixels", F.length("data").alias("n_bytes"))
-
-
 _PX = "(({lon} + 18e1)/36e1*8192e0*256e0)"
 _PY = "((1e0 - asinh(tan(radians({lat})))/pi())/2e0*8192e0*256e0)"
 
@@ -185,6 +200,25 @@ def _fill_pixels(spark, sf_dir):
     return V.fill_pixels(placed).select("zoom", "x", "y", "prow", "pcol").distinct().groupBy("zoom", "x", "y").agg(F.count(F.lit(1)).alias("n_pixels"))
 
 
+# outlines of lines and rings as every pixel column they cross and, in it, every row between entry and exit
+@query("transparent_tiles", f"""with {FEATURES}, f as (select {_PX.format(lon='ax')} as x0, {_PY.format(lat='ay')} as y0, {_PX.format(lon='bx')} as x1, {_PY.format(lat=_BY)} as y1 from feat),
+    seg as (select x0 as px, y0 as py, x1 as qx, y1 as qy from f union all select x0, y0, x1, y0 from f union all select x1, y0, x1, y1 from f union all select x1, y1, x0, y0 from f),
+    cols as (select *, unnest(range(cast(floor(least(px, qx)) as bigint), cast(floor(greatest(px, qx)) as bigint) + 1)) as c from seg),
+    cut as (select *, case when px <> qx then py + greatest(0e0, least(1e0, (c - px)/(qx - px)))*(qy - py) else py end as e,
+      case when px <> qx then py + greatest(0e0, least(1e0, (c + 1 - px)/(qx - px)))*(qy - py) else qy end as l from cols),
+    line as (select distinct c, unnest(range(cast(floor(least(e, l)) as bigint), cast(floor(greatest(e, l)) as bigint) + 1)) as r from cut),
+    w as (select *, unnest(range(cast(floor(least(y0, y1)) as bigint), cast(ceil(greatest(y0, y1)) as bigint))) as r from f),
+    p as (select *, unnest(range(cast(floor(least(x0, x1)) as bigint), cast(ceil(greatest(x0, x1)) as bigint))) as c from w),
+    fill as (select distinct c, r from p where ({_sql_crosses('x1', 'y0', 'x1', 'y1')} + {_sql_crosses('x1', 'y1', 'x0', 'y0')}) % 2 = 1),
+    px as (select c, r, max(k) as k from (select c, r, 1 as k from line union all select c, r, 0 from fill) group by c, r)
+    select 13 as zoom, cast(floor(c/256e0) as bigint) as x, cast(floor(r/256e0) as bigint) as y, cast(count(*) as int) as painted,
+      cast(count(*) filter (where k = 0) as int) as fill_pixels, 'png' as payload from px group by all""")
+def _transparent(spark, sf_dir):
+    both = fx.line_features(spark, sf_dir).unionByName(fx.ring_features(spark, sf_dir)).select("feature_id", "kind", "rings")
+    tiles = V.feature_tiles(both, 13, 13)
+    return tiles.select("zoom", "x", "y", "painted", "fill_pixels", payload_kind("data").alias("payload"))
+
+
 @query("page_completeness", """select o_custkey as layer, count(distinct o_orderkey) as n_features, max(9 + o_custkey % 3) as total,
     case when count(distinct o_orderkey) >= max(9 + o_custkey % 3) then 'complete' else 'rejected' end as verdict from orders group by o_custkey""")
 def _pages(spark, sf_dir):

@@ -134,6 +134,13 @@ def test_hole_of_a_polygon_stays_open(spark):
     assert 0 < donut < full
 
 
+def test_upright_segments_meet_all_their_tiles(spark):
+    line = ring((6.04, 43.30), (6.04, 43.50))
+    tiles = V.segment_tiles(V.ring_segments(spark.createDataFrame([(1, "LineString", [line], {})], FEATURES)), 12).collect()
+    rows = sorted(t.y for t in tiles)
+    assert len({t.x for t in tiles}) == 1 and rows == list(range(rows[0], rows[-1] + 1)) and len(rows) > 2
+
+
 def test_transparent_tiles_of_a_line(spark):
     line = ring((6.040, 43.326), (6.045, 43.330), (6.050, 43.333))
     tiles = V.feature_tiles(spark.createDataFrame([(1, "LineString", [line], {})], FEATURES), 15, 17).collect()
