@@ -20,23 +20,24 @@ SMOOTH_CUT = 4.0
 
 def horn_gradient(blocks: DataFrame, res: float, band: str = "z", side: int = BLOCK) -> DataFrame:
     """Bands ``p`` (to the east) and ``q`` (to the south); an unknown neighbour counts as the centre."""
+    return with_halo(blocks, [band], lambda z: _horn(z, res), {"p": "double", "q": "double"}, (1, 1), side)
 
-    def kernel(z):
-        centre = z[1:-1, 1:-1]
 
-        def near(dr, dc):
-            value = z[1 + dr:z.shape[0] - 1 + dr, 1 + dc:z.shape[1] - 1 + dc]
-            return np.where(np.isnan(value), centre, value)
+def _horn(z: np.ndarray, res: float) -> dict[str, np.ndarray]:
+    """Gradient of an array that is one cell wider on every side."""
+    centre = z[1:-1, 1:-1]
 
-        a, b, c = near(-1, -1), near(-1, 0), near(-1, 1)
-        d, f = near(0, -1), near(0, 1)
-        g, h, i = near(1, -1), near(1, 0), near(1, 1)
-        return {
-            "p": (((c + 2.0 * f) + i) - ((a + 2.0 * d) + g)) / (8.0 * res),
-            "q": (((g + 2.0 * h) + i) - ((a + 2.0 * b) + c)) / (8.0 * res),
-        }
+    def near(dr, dc):
+        value = z[1 + dr:z.shape[0] - 1 + dr, 1 + dc:z.shape[1] - 1 + dc]
+        return np.where(np.isnan(value), centre, value)
 
-    return with_halo(blocks, [band], kernel, {"p": "double", "q": "double"}, (1, 1), side)
+    a, b, c = near(-1, -1), near(-1, 0), near(-1, 1)
+    d, f = near(0, -1), near(0, 1)
+    g, h, i = near(1, -1), near(1, 0), near(1, 1)
+    return {
+        "p": (((c + 2.0 * f) + i) - ((a + 2.0 * d) + g)) / (8.0 * res),
+        "q": (((g + 2.0 * h) + i) - ((a + 2.0 * b) + c)) / (8.0 * res),
+    }
 
 
 def shade_columns(requests: dict[str, dict], altitude: float = 25.0) -> list[Column]:
@@ -194,11 +195,11 @@ def ray_samples(dist_px: int, directions: int, sampling: str = "bilinear"):
 
 
 def horizons(blocks: DataFrame, res: float, dist_px: int = 20, directions: int = 16, band: str = "z",
-             sampling: str = "bilinear", side: int = BLOCK) -> DataFrame:
+             sampling: str = "bilinear", side: int = BLOCK, gradient: bool = False) -> DataFrame:
     """Sky view (both conventions) and both opennesses from one walk over the rays.
 
     Bands ``svf_flux, svf_rvt, opos, oneg``.  A sample with an unknown cell is skipped; a direction
-    without any sample counts as level.
+    without any sample counts as level.  With ``gradient`` the same exchange also gives ``p`` and ``q``.
     """
     rays = ray_samples(dist_px, directions, sampling)
     reach = dist_px + 1
@@ -224,10 +225,13 @@ def horizons(blocks: DataFrame, res: float, dist_px: int = 20, directions: int =
             sums["svf_rvt"] += 1.0 - up / np.sqrt(1.0 + up * up)
             sums["opos"] += 0.5 - np.arctan(high) / math.pi
             sums["oneg"] += 0.5 - np.arctan(low) / math.pi
-        return {name: np.where(np.isnan(centre), np.nan, s / directions) for name, s in sums.items()}
+        result = {name: np.where(np.isnan(centre), np.nan, s / directions) for name, s in sums.items()}
+        if gradient:
+            result |= _horn(z[reach - 1:reach + height + 1, reach - 1:reach + width + 1], res)
+        return result
 
-    return with_halo(
-        blocks, [band], kernel, {n: "double" for n in ("svf_flux", "svf_rvt", "opos", "oneg")}, (reach, reach), side)
+    names = ("svf_flux", "svf_rvt", "opos", "oneg") + ("p", "q") * gradient
+    return with_halo(blocks, [band], kernel, {n: "double" for n in names}, (reach, reach), side)
 
 
 # -- stretches ------------------------------------------------------------------------------------
@@ -259,3 +263,79 @@ def stretch_codes(cells: DataFrame, value: str, low: float, high: float, exponen
         cells.join(bounds, "raster_id").withColumn("unit", unit)
         .withColumn("code", shade.code_unit(F.col("unit"))).drop("p_low", "p_high")
     )
+
+
+def block_bounds(blocks: DataFrame, bands: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """Percentiles of several bands in one aggregate: ``raster_id, bounds`` with a (low, high) struct per band.
+
+    ``bands`` maps a band to its two shares and the digits its values are rounded to.  As in
+    ``percentile_bounds`` the values are counted first, so what meets is bounded by the range of values.
+    """
+    def steps(name: str, digits: int) -> Column:
+        known = F.filter(name, lambda v: v.isNotNull())
+        return F.transform(known, lambda v: F.struct(F.lit(name).alias("band"), F.floor(v * float(10**digits) + 0.5).cast("bigint").alias("step")))
+
+    values = F.explode(F.concat(*[steps(name, digits) for name, (_, _, digits) in bands.items()])).alias("v")
+    counts = blocks.select("raster_id", values).groupBy("raster_id", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def bounds(name: str, low: float, high: float, digits: int) -> Column:
+        own = F.when(F.col("v.band") == name, F.col("v.step"))
+        ends = [(F.percentile(own, F.lit(float(share)), F.col("n")) / float(10**digits)).alias(end) for share, end in ((low, "low"), (high, "high"))]
+        return F.struct(*ends).alias(name)
+
+    return counts.groupBy("raster_id").agg(F.struct(*[bounds(name, *spec) for name, spec in bands.items()]).alias("bounds"))
+
+
+def stretched_blocks(blocks: DataFrame, bands: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """The blocks with each of the bands replaced by its 0..1 stretch between two percentiles of its raster."""
+    bounds = block_bounds(blocks, bands)  # one row per raster
+    out = blocks.join(bounds, "raster_id")
+    for name in bands:
+        low, high = F.col(f"bounds.{name}.low"), F.col(f"bounds.{name}.high")
+        out = out.withColumn(name, _stretched(name, low, high))
+    return out.drop("bounds")
+
+
+def _stretched(name: str, low: Column, high: Column) -> Column:
+    return F.transform(name, lambda v: shade.stretch(v, low, high))
+
+
+def vat_blocks(blocks: DataFrame, res: float, dist_px: int = 20, directions: int = 16, side: int = BLOCK) -> DataFrame:
+    """Band ``code``: the VAT-style blend.  One exchange, one aggregate for both stretches, no join of cells."""
+    layers = horizons(blocks, res, dist_px, directions, side=side, gradient=True).select("raster_id", "brow", "bcol", "svf_flux", "opos", "p", "q")
+    layers = stretched_blocks(layers, {"svf_flux": (0.02, 0.98, 4), "opos": (0.02, 0.98, 4)})
+    code = F.transform(
+        F.arrays_zip("svf_flux", "opos", "p", "q"),
+        lambda v: F.when(v.p.isNotNull(), shade.vat_code(shade.code_unit(v.svf_flux), shade.code_unit(v.opos), shade.slope_code(v.p, v.q))))
+    return layers.select("raster_id", "brow", "bcol", code.alias("code"))
+
+
+def rrim_blocks(blocks: DataFrame, res: float, sigma_px: float = 15.0, side: int = BLOCK) -> DataFrame:
+    """Bands ``r`` and ``gb``: slope in red over the stretched local relief; gradient and relief meet block by block."""
+    keys = ["raster_id", "brow", "bcol"]
+    relief = stretched_blocks(local_relief(blocks, sigma_px, holes="skip", side=side), {"lrm": (0.05, 0.95, 3)})
+    both = horn_gradient(blocks, res, side=side).join(relief, keys)
+    red = F.zip_with("p", "q", lambda p, q: shade.rrim_red(shade.slope_degrees(p, q)))
+    return both.select(*keys, red.alias("r"), F.transform("lrm", shade.rrim_grey).alias("gb"))
+
+
+def e4mstp_blocks(blocks: DataFrame, res: float, dist_px: int = 20, directions: int = 16, sigmas_m: tuple[float, float] = (1.5, 8.0), side: int = BLOCK) -> DataFrame:
+    """Bands ``r, g, b`` of the composite in the manner of e4MSTP, from layers computed here.
+
+    Red carries the broad, green the middle and blue the local deviation.  Horizons, gradient and residuals are
+    computed once and meet block by block.
+    """
+    keys = ["raster_id", "brow", "bcol"]
+    sky = horizons(blocks, res, dist_px, directions, side=side, gradient=True).select(*keys, "svf_flux", "opos", "oneg", "p", "q")
+    smooth = gaussian(blocks, [m / res for m in sigmas_m], side=side)
+    residuals = smooth.select(*keys, F.zip_with("z", "g0", lambda z, g: z - g).alias("fine"), F.zip_with("z", "g1", lambda z, g: z - g).alias("wide"))
+    wide = {"svf_flux": (0.02, 0.98, 4), "opos": (0.02, 0.98, 4), "oneg": (0.02, 0.98, 4), "fine": (0.05, 0.95, 3), "wide": (0.05, 0.95, 3)}
+    layers = stretched_blocks(sky.join(residuals, keys), wide).join(multiscale_deviation(blocks, res, side=side), keys)
+    zipped = F.arrays_zip("svf_flux", "opos", "oneg", "fine", "wide", "p", "q", "local", "meso", "broad")
+
+    def channel(scale: str) -> Column:
+        code = shade.code_unit
+        return F.transform(zipped, lambda v: F.when(v.p.isNotNull(), shade.e4mstp_channel(
+            shade.deviation_code(v[scale]), code(v.svf_flux), code(v.opos), code(v.oneg), shade.slope_code(v.p, v.q), code(v.fine), code(v.wide))))
+
+    return layers.select(*keys, channel("broad").alias("r"), channel("meso").alias("g"), channel("local").alias("b"))

@@ -337,6 +337,15 @@ def model_difference(feature: DataFrame, bare: DataFrame, threshold_m: float | N
     return delta if threshold_m is None else delta.filter(F.col("delta") > F.lit(float(threshold_m)))
 
 
+def block_difference(feature: DataFrame, bare: DataFrame, threshold_m: float, side: int = BLOCK) -> DataFrame:
+    """``model_difference`` of two models as blocks: they meet block by block, and only cells above the threshold become rows."""
+    both = feature.select(*KEYS, F.col("z").alias("z_feature")).join(bare.select(*KEYS, F.col("z").alias("z_bare")), list(KEYS))
+    delta = F.zip_with("z_feature", "z_bare", lambda a, b: F.when(a - b > F.lit(float(threshold_m)), a - b))
+    # all bands are empty but where the difference stands out
+    out = both.withColumn("delta", delta).filter(F.exists("delta", lambda d: d.isNotNull()))
+    return blocks_to_cells(out, ["z_feature", "z_bare", "delta"], side).filter(F.col("delta").isNotNull())
+
+
 def class_histogram(points: DataFrame, area_m2: float | None = None) -> DataFrame:
     """Points and height range per cloud and class, with the density when the area is known."""
     counts = points.groupBy("cloud_id", "cls").agg(

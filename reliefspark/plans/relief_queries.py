@@ -190,8 +190,9 @@ def _lrm(spark, sf_dir):
 _MSTP = [(name, [m / RES for m in limits]) for name, limits in shade.MSTP_BANDS.items()]
 
 
-def _sql_mstp() -> str:
-    ctes, columns, joins = [], [], []
+def _mstp_parts() -> tuple[str, dict[str, str], str]:
+    """(CTEs, the deviation of each band as an expression, the joins to ``bare``)."""
+    ctes, columns, joins = [], {}, []
     for name, (low, high) in _MSTP:
         for tag, sigma in (("a", low), ("b", high)):
             ctes += [sql_gaussian("bare", sigma, f"{name}_{tag}", "dom_all"), sql_gaussian("bare", sigma, f"{name}_{tag}s", "dom_all", square=True)]
@@ -202,11 +203,22 @@ def _sql_mstp() -> str:
             return f"((bare.z - {m})/(sqrt(greatest({m2} - {m}*{m}, 0e0)) + 1e-3))"
 
         best = f"case when abs({dev('b')}) > abs({dev('a')}) then {dev('b')} else {dev('a')} end"
-        columns.append(f"cast(floor(({best})*1e2 + 5e-1) as bigint) as {name}")
-    return f"with {BARE}, {', '.join(ctes)} select bare.\"row\" as \"row\", bare.col as col, {', '.join(columns)} from bare {' '.join(joins)}"
+        columns[name] = best
+    return ", ".join(ctes), columns, " ".join(joins)
 
 
-@query("multiscale_deviation", _sql_mstp())
+_MSTP_CTES, _MSTP_DEV, _MSTP_JOINS = _mstp_parts()
+_MSTP_HEAD = f"with {BARE}, {_MSTP_CTES} select bare.\"row\" as \"row\", bare.col as col, "
+
+
+@query("multiscale_deviation_rgb", _MSTP_HEAD + ", ".join(f"{sql_code(f'(({_MSTP_DEV[b]}) + 2.5e0)/5e0')} as {c}" for c, b in (("r", "broad"), ("g", "meso"), ("b", "local"))) + f" from bare {_MSTP_JOINS}")
+def _mstp_rgb(spark, sf_dir):
+    """One byte per scale: broad in red, middle in green, local in blue."""
+    dev = cells_of(focal.multiscale_deviation(bare(spark, sf_dir), RES, side=SIDE), "local", "meso", "broad")
+    return dev.select("row", "col", *[shade.deviation_code(F.col(b)).alias(c) for c, b in (("r", "broad"), ("g", "meso"), ("b", "local"))])
+
+
+@query("multiscale_deviation", _MSTP_HEAD + ", ".join(f"cast(floor(({v})*1e2 + 5e-1) as bigint) as {k}" for k, v in _MSTP_DEV.items()) + f" from bare {_MSTP_JOINS}")
 def _mstp(spark, sf_dir):
     dev = cells_of(focal.multiscale_deviation(bare(spark, sf_dir), RES, side=SIDE), "local", "meso", "broad")
     return dev.select("row", "col", *[F.floor(F.col(b) * 1e2 + 0.5).cast("bigint").alias(b) for b in ("local", "meso", "broad")])
@@ -290,12 +302,7 @@ _BARE_LRM = f"""{_GREY}, blrm as (select bare."row", bare.col, bare.z - gl.g as
     select "row", col, cast(floor(pow(greatest(0e0, least(1e0, degrees(atan(sqrt(p*p + q*q)))/45e0)), 0.7e0)*255e0) as int) as r,
       cast(floor(pow(unit, 0.8e0)*255e0) as int) as gb from grad join st using ("row", col)""")
 def _rrim(spark, sf_dir):
-    ground = bare(spark, sf_dir)
-    slope = cells_of(focal.horn_gradient(ground, RES, side=SIDE), "p", "q")
-    lrm = cells_of(focal.local_relief(ground, _LRM_SIGMA, holes="skip", side=SIDE), "lrm")
-    grey = focal.stretch_codes(lrm, "lrm", 0.05, 0.95)
-    return slope.join(grey, ["raster_id", "row", "col"]).select(
-        "row", "col", shade.rrim_red(shade.slope_degrees("p", "q")).alias("r"), shade.rrim_grey("unit").alias("gb"))
+    return cells_of(focal.rrim_blocks(bare(spark, sf_dir), RES, _LRM_SIGMA, SIDE), "r", "gb").select("row", "col", "r", "gb")
 
 
 def _sql_vat(s: str, o: str, p: str, exponent: float) -> str:
@@ -310,14 +317,7 @@ def _sql_vat(s: str, o: str, p: str, exponent: float) -> str:
       from grad join sv using ("row", col) join op using ("row", col))
     select "row", col, {_sql_vat('s', 'o', 'p', 2.0)} as code from c""")
 def _vat(spark, sf_dir):
-    ground = bare(spark, sf_dir)
-    hor = cells_of(focal.horizons(ground, RES, _DIST, _DIRS, side=SIDE), "svf_flux", "opos")
-    slope = cells_of(focal.horn_gradient(ground, RES, side=SIDE), "p", "q").select(
-        "raster_id", "row", "col", shade.slope_code("p", "q").alias("slope"))
-    keys = ["raster_id", "row", "col"]
-    svf = focal.stretch_codes(hor, "svf_flux", 0.02, 0.98, digits=4).select(*keys, "opos", F.col("code").alias("svf"))
-    both = focal.stretch_codes(svf, "opos", 0.02, 0.98, digits=4).select(*keys, "svf", F.col("code").alias("o"))
-    return both.join(slope, keys).select("row", "col", shade.vat_code("svf", "o", "slope").alias("code"))
+    return cells_of(focal.vat_blocks(bare(spark, sf_dir), RES, _DIST, _DIRS, SIDE), "code").select("row", "col", "code")
 
 
 _E4 = ["l_orderkey", "l_linenumber"] + [
@@ -336,6 +336,29 @@ def _e4(spark, sf_dir):
     return c.select("l_orderkey", "l_linenumber", shade.e4mstp_channel("m", "s", "o", "g", "p", "f", "b").alias("code"))
 
 
+def _sql_e4(m: str) -> str:
+    shaded = "((o/255e0 - g/255e0 + 1e0)/2e0*5e-1 + (f/255e0 + b/255e0)/2e0*5e-1)*(1e0 - p/255e0*5e-1)*(0.75e0 + s/255e0*0.25e0)"
+    mix = f"(sh*0.1e0 + (case when sh <= 5e-1 then sh*({m}/255e0)*2e0 else 1e0 - (1e0 - sh)*(1e0 - {m}/255e0)*2e0 end)*0.9e0)".replace("sh", f"({shaded})")
+    return f"case when o = 0 then 0 else cast(floor(pow(greatest(0e0, least(1e0, {mix})), 0.8e0)*254e0 + 1e0) as int) end"
+
+
+def _sql_e4_layers() -> str:
+    residual = ", ".join(f"{sql_gaussian('bare', m / RES, f'gs{i}', 'dom_all')}, rs{i} as (select bare.\"row\", bare.col, bare.z - gs{i}.g as v from bare join gs{i} using (\"row\", col))" for i, m in enumerate((1.5, 8.0)))
+    stretches = ", ".join([sql_stretch("hor", "svf_flux", 0.02, 0.98, 4, "sv"), sql_stretch("hor", "opos", 0.02, 0.98, 4, "op"), sql_stretch("hor", "oneg", 0.02, 0.98, 4, "og"),
+                           sql_stretch("rs0", "v", 0.05, 0.95, 3, "sf"), sql_stretch("rs1", "v", 0.05, 0.95, 3, "sb")])
+    dev = ", ".join(f"{sql_code(f'(({_MSTP_DEV[b]}) + 2.5e0)/5e0')} as {c}" for c, b in (("mr", "broad"), ("mg", "meso"), ("mb", "local")))
+    return f"""{_MSTP_CTES}, {residual}, {sql_horizons()}, {stretches},
+    m as (select bare."row", bare.col, {dev} from bare {_MSTP_JOINS}),
+    c as (select grad."row", grad.col, mr, mg, mb, {sql_code('sv.unit')} as s, {sql_code('op.unit')} as o, {sql_code('og.unit')} as g, {sql_slope_code()} as p, {sql_code('sf.unit')} as f, {sql_code('sb.unit')} as b
+      from grad join m using ("row", col) join sv using ("row", col) join op using ("row", col) join og using ("row", col) join sf using ("row", col) join sb using ("row", col))"""
+
+
+@query("e4mstp_style_rgb", f"""with {GRAD}, {_sql_e4_layers()} select "row", col, {_sql_e4('mr')} as r, {_sql_e4('mg')} as g, {_sql_e4('mb')} as b from c""")
+def _e4_rgb(spark, sf_dir):
+    """The composite from layers that are computed for it, in three bands."""
+    return cells_of(focal.e4mstp_blocks(bare(spark, sf_dir), RES, _DIST, _DIRS, side=SIDE), "r", "g", "b").select("row", "col", "r", "g", "b")
+
+
 # -- coordinates and warps ------------------------------------------------------------------------
 
 _E2 = math.sqrt(geo.GRS80_F * (2 - geo.GRS80_F))
