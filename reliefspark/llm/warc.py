@@ -54,10 +54,12 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 1000, id_col:
     kind = F.when((F.col("size") < min_bytes) | F.col("record_id").eqNullSafe(F.col("owner")), "response").otherwise("revisit")
     headers = narrow.join(owners, "payload_key").withColumn("kind", kind)
     headers.select("record_id", _header(F.col("kind"), F.col("record_id"), F.col("url"), F.col("sha1"), F.col("size"), F.col("owner")).alias("header"), "payload_key").write.parquet(f"{folder}/headers")
-    # the owner's bytes only; the join leaves its rows sorted, so equal rows of one owner fall together at no cost
-    first = rows.select("payload_key", "record_id", "payload").join(
-        owners.withColumnRenamed("payload_key", "owned"), (F.col("payload_key") == F.col("owned")) & F.col("record_id").eqNullSafe(F.col("owner")), "left_semi")
-    first.dropDuplicates(["payload_key", "record_id"]).select("payload_key", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    # the owner's bytes only; one column names key and owner, so that equal rows fall together where the join has put them
+    def named(record_id: str) -> Column:
+        return F.concat_ws(":", "payload_key", F.col(record_id).cast("string")).alias("named")
+
+    first = rows.select("payload_key", "payload", named("record_id")).join(owners.select(named("owner")), "named", "left_semi")
+    first.dropDuplicates(["named"]).select("payload_key", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
