@@ -21,6 +21,8 @@ ORDERS = (2, 3, 4)
 SLOTS = 1 << 15
 #: rows per language that are learned from: those with the smallest hashes of their id
 SAMPLE = 400
+#: parts in which a language's rows are ranked first
+PARTS = 256
 #: bytes looked at together
 STEP = 1 << 20
 _SPREAD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -138,10 +140,14 @@ def sample_rows(docs: DataFrame, wanted: Column, per_lang: int, id_col: str, tex
     The hashes are ranked over the narrow columns; only the chosen rows, a bounded number, are read with their text.
     """
     ranked = docs.where(wanted & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("row_id"), F.col(lang_col).cast("string").alias("lang")).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("row_id"), "row_id"))
-    chosen = ranked.withColumn("place", place).where(F.col("place") <= per_lang).select("row_id", "lang")
-    ids = chosen.collect()  # per_lang ids for each language
+        F.col(id_col).alias("row_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("rank"))
+    # the first of each language are among the first of its parts; the parts keep a language's rows out of one task
+    parts = F.pmod(F.col("rank"), F.lit(PARTS))
+    for group in (["lang", parts], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("rank", "row_id"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= per_lang).drop("place")
+    chosen = ranked.select("row_id", "lang").distinct()
+    ids = chosen.collect()  # at most per_lang ids for each language
     if not ids:
         return []
     keys = docs.sparkSession.createDataFrame(ids, chosen.schema)
