@@ -55,13 +55,13 @@ def warp_bilinear(cells: DataFrame, targets: DataFrame, source_row: Column, sour
     )
 
 
-def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int) -> DataFrame:
+def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int, most_sources: int = 256) -> DataFrame:
     """Bilinear warp on blocks: ``band`` on the target grid, in blocks of ``target_side``.
 
     ``mapping.to_target(row, col)`` and ``mapping.to_source(row, col)`` work on arrays of cell positions
     (centres at whole numbers).  Every source block goes to the target blocks its outline reaches, one
     shuffle of arrays in all.  A target block receives about as many source blocks as its footprint
-    covers: before a strong reduction build the pyramid first.
+    covers; where that would be over ``most_sources`` the job fails: build the pyramid first.
     """
     def send(brow, bcol, arrays):
         if np.isnan(arrays[0]).all():
@@ -74,6 +74,9 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
         to_row, to_col = mapping.to_target(rows, cols)
         first_row, last_row = (int(math.floor(v / target_side)) for v in (to_row.min() - 1, to_row.max() + 1))
         first_col, last_col = (int(math.floor(v / target_side)) for v in (to_col.min() - 1, to_col.max() + 1))
+        footprint = target_side * target_side / max((to_row.max() - to_row.min()) * (to_col.max() - to_col.min()), 1e-9)
+        if footprint > most_sources:
+            raise ValueError(f"a target block would gather {footprint:.0f} source blocks: reduce first")
         part = (brow % 4096) * 4096 + bcol % 4096
         payload = np.concatenate([[brow, bcol], arrays[0].reshape(-1)])
         for i in range(first_row, last_row + 1):

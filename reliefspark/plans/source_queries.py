@@ -24,7 +24,10 @@ _GEOJSON_DOC = """concat('{"type":"FeatureCollection","features":[{"type":"Featu
 
 
 def _docs(spark, sf_dir, expression, schema):
-    return indexes.parsed_json(fx.tile_index(spark, sf_dir).selectExpr("order_id", expression), "doc", schema)
+    """Documents written to the shared folder, one per line, and scanned from there."""
+    folder = staging_folder(spark, "documents")
+    fx.tile_index(spark, sf_dir).selectExpr(expression).write.text(folder)
+    return indexes.read_document_lines(spark, folder, schema)
 
 
 @query("source_geojson_index", f"with {INDEX} select key_x, key_y, url from idx where order_id % 3 <> 0 and order_id % 7 <> 0")
@@ -158,6 +161,26 @@ def _block_window(spark, sf_dir):
     return grids.block_window(blocks, (60, 140), (0, 99), 50).groupBy("brow", "bcol").agg(F.count(F.lit(1)).alias("n_points"))
 
 
+@query("cloud_window_scan", f"""with {PTS} select cls, count(*) as n_points, min(z) as z_min, max(x) as x_max from pts
+    where x between 100 and 300.05 and y between -300 and -100.05 group by cls""")
+def _window_scan(spark, sf_dir):
+    """A window of a stored cloud: whole tiles are left out by partition, the rest by Parquet statistics."""
+    folder = staging_folder(spark, "cloud")
+    grids.write_points(fx.points(spark, sf_dir), folder, tile_m=100.0)
+    window = grids.read_points(spark, folder, (100, -300, 300.05, -100.05), tile_m=100.0)
+    return window.groupBy("cls").agg(F.count(F.lit(1)).alias("n_points"), F.min("z").alias("z_min"), F.max("x").alias("x_max"))
+
+
+@query("several_clouds_as_one", f"""with {PTS} select cloud_id, count(*) as n_points, min(z) as z_min, count(suppkey) as n_supp from pts group by cloud_id""")
+def _several(spark, sf_dir):
+    """Clouds stored apart and read as one."""
+    cloud, folders = fx.points(spark, sf_dir), []
+    for part in range(2):
+        folders.append(staging_folder(spark, f"cloud-{part}"))
+        grids.write_points(cloud.filter(F.col("suppkey") % 2 == part), folders[-1], tile_m=100.0)
+    return grids.read_points(spark, folders).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("z").alias("z_min"), F.count("suppkey").alias("n_supp"))
+
+
 @query("source_geojson_features", f"""with {FEATURES} select feature_id, 'file_' || feature_id % 3 || '.geojson' as source, case when feature_id % 2 = 0 then 'LineString' else 'Polygon' end as kind, key as tag,
     case when feature_id % 2 = 0 then 2 else 4 end as n_vertices, cast(floor((feature_id % 90)*1e1 + 5e-1) as bigint) as x0 from feat""")
 def _features(spark, sf_dir):

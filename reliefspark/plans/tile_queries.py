@@ -12,10 +12,12 @@ from reliefspark.functions import geo
 from reliefspark.operators import tiles as T
 from reliefspark.operators.blocks import blocks_to_cells
 from reliefspark.plans import fixtures as fx
-from reliefspark.plans.fixtures import FEATURES, TILES
+from reliefspark.plans.fixtures import BARE, FEATURES, TILES, mm, sql_mm
 from reliefspark.plans.registry import query
 from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, sql_warp, warp_to_mercator
-from reliefspark.session import table
+from reliefspark.session import staging_folder, table
+from reliefspark.sinks import writers
+from reliefspark.sources.features import read_tile_set
 
 _ZOOM = 15
 
@@ -115,6 +117,26 @@ def _png(spark, sf_dir):
                       F.conv(F.hex(F.substring("data", 26, 1)), 16, 10).cast("int").alias("colour_type"))
 
 
+@query("tile_set_write_read", f"with {DEEP_PIXELS} " + _PACK.format(kind="int", more=f", {_PLACED}, 'png' as declared"))
+def _stored_set(spark, sf_dir):
+    """A tile set written to the shared folder and read back with its metadata."""
+    folder = staging_folder(spark, "tile_set")
+    tiles = T.block_tiles(_pixel_blocks(spark, sf_dir, _DEEP), "v", _DEEP)
+    writers.write_tiles(tiles, tiles.select(F.lit("format").alias("name"), F.lit("png").alias("value")).distinct(), folder)
+    stored, meta = read_tile_set(spark, folder)
+    rows = stored.select(F.col("zoom").cast("int").alias("zoom"), "x", "y", "filled", _placed_sum(_raw_grey)("pixels").alias("placed_sum"), F.lit("format").alias("name"))
+    return rows.join(meta.withColumnRenamed("value", "declared"), "name").drop("name")
+
+
+@query("raster_write_read", f"""with {BARE} select "row", count(*) as n_cells, cast(sum({sql_mm('z')}) as bigint) as z_sum_mm from bare group by "row\"""")
+def _stored_raster(spark, sf_dir):
+    """Raster blocks checked, written to the shared folder and read back."""
+    folder = staging_folder(spark, "raster")
+    writers.write_raster(writers.checked_raster(bare(spark, sf_dir), "z"), folder)
+    cells = cells_of(spark.read.parquet(folder), "z")
+    return cells.groupBy("row").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(mm("z")).alias("z_sum_mm"))
+
+
 def _sql_reduce(source: str, name: str) -> str:
     """CTE ``name(prow, pcol, v)``: one pyramid step."""
     return f"""{name} as (select (prow + dr) // 2 as prow, (pcol + dc) // 2 as pcol,

@@ -9,8 +9,12 @@ from reliefspark.operators import quality, tiles
 
 
 def write_raster(blocks: DataFrame, path: str) -> None:
-    """Raster blocks by raster and block row."""
-    blocks.repartitionByRange("raster_id", "brow", "bcol").write.mode("overwrite").partitionBy("raster_id").parquet(path)
+    """Raster blocks by raster and block row.
+
+    Neighbours share a file through a coarse key: a range partitioning would run the kernels before it twice.
+    """
+    near = [F.floor(F.col(k) / F.lit(16)) for k in ("brow", "bcol")]
+    blocks.repartition("raster_id", *near).sortWithinPartitions("raster_id", "brow", "bcol").write.mode("overwrite").partitionBy("raster_id").parquet(path)
 
 
 def checked_raster(blocks: DataFrame, band: str) -> DataFrame:
@@ -21,7 +25,8 @@ def checked_raster(blocks: DataFrame, band: str) -> DataFrame:
 
 def write_tiles(tile_rows: DataFrame, meta: DataFrame, path: str) -> None:
     """Tile set: one row per tile, by zoom, and its metadata table."""
-    tile_rows.repartitionByRange("zoom", "y", "x").write.mode("overwrite").partitionBy("zoom").parquet(f"{path}/tiles")
+    near = [F.floor(F.col(k) / F.lit(64)) for k in ("x", "y")]
+    tile_rows.repartition("zoom", *near).sortWithinPartitions("zoom", "y", "x").write.mode("overwrite").partitionBy("zoom").parquet(f"{path}/tiles")
     meta.write.mode("overwrite").parquet(f"{path}/metadata")
 
 

@@ -87,13 +87,14 @@ def read_ascii_grids(spark: SparkSession, path: str, epsg: int) -> DataFrame:
 # -- stored points and blocks ---------------------------------------------------------------------
 
 def write_points(points: DataFrame, path: str, tile_m: float = 1000.0) -> None:
-    """Points by tile: range-partitioned and sorted, so windows prune folders and row groups.
+    """Points by tile, sorted, so windows prune folders and row groups.
 
-    The range keys include the position inside the tile, which splits a crowded tile over tasks.
+    A tile is dealt out in strips, which splits a crowded one over tasks.
     """
     keyed = points.withColumn("tile_x", floor_long(F.col("x") / tile_m)).withColumn("tile_y", floor_long(F.col("y") / tile_m))
     (
-        keyed.repartitionByRange("tile_x", "tile_y", "y", "x").sortWithinPartitions("tile_x", "tile_y", "y", "x")
+        # strips of a tile, so that a full tile is not one task; a range partitioning would read the source twice
+        keyed.repartition("tile_x", "tile_y", F.floor(F.col("y") * 8.0 / tile_m)).sortWithinPartitions("tile_x", "tile_y", "y", "x")
         .write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(path)
     )
 

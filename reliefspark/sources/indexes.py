@@ -161,6 +161,11 @@ def cloud_name_rows(lines: DataFrame) -> DataFrame:
     return lines.select(name.alias("name"), F.element_at(F.split(name, "-"), 1).alias("sheet")).filter("name <> ''").distinct()
 
 
+def read_document_lines(spark: SparkSession, path: str, schema: str = FEATURE_SCHEMA) -> DataFrame:
+    """Files with one JSON document per line, the file kept; large files are read in splits."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("file", F.col("_metadata.file_path"))
+
+
 def parsed_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     """Documents from a text column, as ``read_documents`` gives them from files."""
     others = [c for c in df.columns if c != column]
