@@ -20,10 +20,10 @@ from itertools import accumulate, islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import per_worker, text_bytes
+from reliefspark.llm.common import per_worker, slices, text_bytes
 
 #: pieces and pairs remembered per worker; both memories are emptied when full
-PIECE_MEMORY, PAIR_MEMORY = 600_000, 1_000_000
+PIECE_MEMORY, PAIR_MEMORY = 400_000, 500_000
 #: marks that are a piece of their own behind a word and before a space
 _MARKS = frozenset(".,;:!?)*%$&#")
 
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         coder = per_worker(("bpe", ranks_path, pattern), lambda: Encoder(tokens.value, pattern))
         sha, names = hashlib.sha256, coder.names.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             counts, id_sums, text_sums, lists = [], [], [], []
             for text in batch.column(1):
                 ids = coder.encode(text.as_py() or "")

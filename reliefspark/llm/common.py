@@ -45,6 +45,28 @@ def per_worker(key: tuple, build: Callable[[], object]) -> object:
     return store[key]
 
 
+#: bytes of text that a kernel looks at together
+SLICE = 8 << 20
+
+
+def slices(batches: Iterator, column: int = 1, size: int = SLICE) -> Iterator:
+    """The rows of Arrow batches in parts of about ``size`` bytes of text (at least one row), which bounds what a kernel
+    builds beside them; what Arrow holds for nothing is given back at the end of the task."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+    pa.default_memory_pool().release_unused()
+
+
 def byte_texts(array) -> Iterator[bytes]:
     """UTF-8 bytes of every text of an Arrow column; a null is an empty text."""
     import pyarrow as pa

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import byte_texts, per_worker, text_bytes
+from reliefspark.llm.common import byte_texts, per_worker, slices, text_bytes
 
 #: bytes to their normal form: 0-9, a-z and everything beyond ASCII stay, A-Z are lower-cased, the rest are spaces
 NORMAL = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -76,64 +76,64 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     """
     source = text_bytes(docs, id_col, text_col)
     kind = source.schema["row_id"].dataType.simpleString()
-    names = ["row_id", "text", "hits", "items"]
+    between = f"row_id {kind}, text string, hits binary, items array<string>"
+    final = f"row_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     out = source.select("*", F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    spark = docs.sparkSession
-    for block in item_blocks(benchmark, text_col="text", block_bytes=block_bytes):
-        held = spark.sparkContext.broadcast(block)
+    blocks = item_blocks(benchmark, text_col="text", block_bytes=block_bytes) or [[]]
+    for i, block in enumerate(blocks):
+        last = i == len(blocks) - 1
+        held = docs.sparkSession.sparkContext.broadcast(block)
         mark = hashlib.sha256(repr((sorted(block), width)).encode()).hexdigest()
+        out = out.mapInArrow(_pass_over(held, mark, width, last), final if last else between)
+    return out.select(F.col("row_id").alias(id_col), *out.columns[1:])
+
 
-        def run(batches: Iterator, held=held, mark=mark) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            windows = per_worker(("windows", mark), lambda: Windows(held.value, width))
-            for batch in batches:
-                if windows.empty:
-                    yield batch
-                    continue
-                hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for i, text in enumerate(byte_texts(batch.column(1))):
-                    words = text.translate(NORMAL).split()
-                    found, owners = windows.scan(words)
-                    if found:
-                        bits = np.zeros(len(words), bool)
-                        for first, size in found:
-                            bits[first:first + size] = True
-                        bits = np.packbits(bits).tobytes()
-                        hits[i] = bytes(a | b for a, b in zip(hits[i], bits)) if hits[i] else bits
-                        items[i] = sorted({*items[i], *owners})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names)
-
-        out = out.mapInArrow(run, f"row_id {kind}, text string, hits binary, items array<string>")
-
-    def finish(batches: Iterator) -> Iterator:
-        import re
+def _pass_over(held, mark: str, width: int, last: bool):
+    """Scans texts with one automaton and adds to the hit words and items; the last pass gives counts and spans."""
 
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        places = re.compile(rb"[^ ]+").finditer
-        for batch in batches:
+        windows = per_worker(("windows", mark), lambda: Windows(held.value, width))
+        for batch in slices(batches):
+            hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             n_words, n_hit, spans = [], [], []
-            for text, hit in zip(byte_texts(batch.column(1)), batch.column(2)):
+            for i, text in enumerate(byte_texts(batch.column(1))):
                 normal = text.translate(NORMAL)
-                n = len(normal.split())
-                n_words.append(n)
-                if not hit.is_valid:
-                    n_hit.append(0)
-                    spans.append([])
-                    continue
-                bits = np.unpackbits(np.frombuffer(hit.as_py(), np.uint8))[:n]
-                edges = np.flatnonzero(np.diff(np.r_[0, bits, 0].astype(np.int8)))
-                ends = [m.span() for m in places(normal)]
-                n_hit.append(int(bits.sum()))
-                spans.append([{"start": len(text[:ends[a][0]].decode()), "end": len(text[:ends[b - 1][1]].decode())} for a, b in zip(edges[::2], edges[1::2])])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(spans, kind)],
-                ["row_id", "n_words", "n_hit", "items", "spans"])
-
-    out = out.mapInArrow(finish, f"row_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
-    return out.select(F.col("row_id").alias(id_col), *out.columns[1:])
+                words = normal.split()
+                found, owners = ((), ()) if windows.empty else windows.scan(words)
+                if found:
+                    bits = np.zeros(len(words), bool)
+                    for first, size in found:
+                        bits[first:first + size] = True
+                    bits = np.packbits(bits).tobytes()
+                    hits[i] = bytes(a | b for a, b in zip(hits[i], bits)) if hits[i] else bits
+                    items[i] = sorted({*items[i], *owners})
+                if last:
+                    n_words.append(len(words))
+                    stretches, n = _stretches(text, normal, hits[i]) if hits[i] else ([], 0)
+                    spans.append(stretches)
+                    n_hit.append(n)
+            items = pa.array(items, pa.list_(pa.string()))
+            if last:
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                columns = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, pa.array(spans, kind)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row_id", "n_words", "n_hit", "items", "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.binary()), items], ["row_id", "text", "hits", "items"])
+
+    return run
+
+
+def _stretches(text: bytes, normal: bytes, hit: bytes) -> tuple[list[dict], int]:
+    """Stretches of hit words in code points of the original text, and the number of hit words."""
+    import re
+
+    import numpy as np
+
+    places = [m.span() for m in re.finditer(rb"[^ ]+", normal)]
+    bits = np.unpackbits(np.frombuffer(hit, np.uint8))[:len(places)]
+    edges = np.flatnonzero(np.diff(np.r_[0, bits, 0].astype(np.int8)))
+    stretches = [{"start": len(text[:places[a][0]].decode()), "end": len(text[:places[b - 1][1]].decode())} for a, b in zip(edges[::2], edges[1::2])]
+    return stretches, int(bits.sum())

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import byte_texts, text_bytes
+from reliefspark.llm.common import byte_texts, slices, text_bytes
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 15
@@ -24,7 +24,7 @@ SAMPLE = 400
 #: parts in which a language's rows are ranked first
 PARTS = 256
 #: bytes looked at together
-STEP = 1 << 20
+STEP = 1 << 18
 _SPREAD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, wanted: Column, per_lang: int = SAMPLE, id_col: st
         def has_letter(text: bytes) -> bool:
             return bool(plain(text)) or any(map(str.isalpha, text.decode()))
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = list(byte_texts(batch.column(1)))
             scores, unsure = np.zeros(len(texts)), np.zeros(len(texts), bool)
             known = np.array([bool(langs) and has_letter(t) for t in texts], bool)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reliefspark.llm.common import byte_texts, stored
+from reliefspark.llm.common import byte_texts, slices, stored
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _RUN = ("key_hi", "key_lo")
@@ -42,7 +42,7 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in slices(batches, 2):
             sums, places, counts = [], [], []
             for text in byte_texts(batch.column(2)):
                 before = len(places)
@@ -186,7 +186,7 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id",
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts = [], []
             for text, keep in zip(byte_texts(batch.column(1)), batch.column(2)):
                 lines = text.split(b"\n")

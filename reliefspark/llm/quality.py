@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import byte_texts, text_bytes
+from reliefspark.llm.common import byte_texts, slices, text_bytes
 
 #: labelled rows of each kind that are learned from: those with the smallest hashes of their id
 SAMPLE = 500
@@ -225,7 +225,7 @@ def judge(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, content:
         import pyarrow as pa
 
         field = held.value
-        for batch in batches:
+        for batch in slices(batches):
             columns = [[] for _ in names[1:]]
             for text in byte_texts(batch.column(1)):
                 words = text.split()

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import byte_texts, stored, text_bytes
+from reliefspark.llm.common import byte_texts, slices, stored, text_bytes
 from reliefspark.llm.graph import components
 
 BUCKET = 1 << 14
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
                 ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
             return np.packbits(2 * ones > len(sums)).tobytes()
 
-        for batch in batches:
+        for batch in slices(batches):
             found = b"".join(map(fingerprint, byte_texts(batch.column(1))))
             values = np.frombuffer(found, ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["row_id", "fp"])

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import byte_texts, per_worker, text_bytes
+from reliefspark.llm.common import byte_texts, per_worker, slices, text_bytes
 from reliefspark.llm.quality import sample_rows
 
 WINDOW, STRIDE = 32, 16
@@ -355,7 +355,7 @@ def score(docs: DataFrame, labels: DataFrame, wanted: Column, per_class: int = S
         box = per_worker(("toxicity",), dict)
         if box.get("mark") != mark:
             box["mark"], box["scorer"] = build()
-        for batch in batches:
+        for batch in slices(batches):
             texts = list(byte_texts(batch.column(1)))
             scores = box["scorer"].score(texts) if box["scorer"] else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row_id", "score"])
