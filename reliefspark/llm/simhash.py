@@ -77,14 +77,14 @@ def _signed(mask: int) -> int:
 
 def _buckets(classes: DataFrame, bucket: int) -> DataFrame:
     """``fp, path, part``: the buckets that each fingerprint goes to, none with more than ``bucket`` members."""
-    spark = classes.sparkSession
     masks = {1: 0}
     found, open_ = [], classes.select("fp", F.lit(1).alias("path"))
     while True:
         next_masks = {4 * path + k: mask for path, old in masks.items() for k, mask in enumerate(_thirds(old))}
-        # at most 81 rows in the last round
-        dealt = spark.createDataFrame([(path >> 2, path, _signed(mask)) for path, mask in next_masks.items()], "old int, next int, mask long")
-        rows = open_.join(F.broadcast(dealt), F.col("path") == F.col("old")).select("fp", F.col("next").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
+        # at most 81 entries in the last round, three for each path
+        dealt = F.array(*[F.struct(F.lit(path >> 2).alias("old"), F.lit(path).alias("next"), F.lit(_signed(mask)).cast("long").alias("mask")) for path, mask in next_masks.items()])
+        rows = open_.select("fp", F.explode(F.filter(dealt, lambda x: x["old"] == F.col("path"))).alias("x"))
+        rows = rows.select("fp", F.col("x.next").alias("path"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("part"))
         masks = next_masks
         largest = 1 << min(64 - mask.bit_count() for mask in masks.values())
         if largest <= bucket or max(64 - mask.bit_count() for mask in masks.values()) <= 14:
