@@ -122,7 +122,7 @@ def _stored_set(spark, sf_dir):
     """A tile set written to the shared folder and read back with its metadata."""
     folder = staging_folder(spark, "tile_set")
     tiles = T.block_tiles(_pixel_blocks(spark, sf_dir, _DEEP), "v", _DEEP)
-    writers.write_tiles(tiles, tiles.select(F.lit("format").alias("name"), F.lit("png").alias("value")).distinct(), folder)
+    writers.write_tiles(tiles, spark.createDataFrame([("format", "png")], "name string, value string"), folder)
     stored, meta = read_tile_set(spark, folder)
     rows = stored.select(F.col("zoom").cast("int").alias("zoom"), "x", "y", "filled", _placed_sum(_raw_grey)("pixels").alias("placed_sum"), F.lit("format").alias("name"))
     return rows.join(meta.withColumnRenamed("value", "declared"), "name").drop("name")
