@@ -198,7 +198,8 @@ class Encoder:
         ids = self.encode_piece(piece.encode())
         if len(self.pieces) >= PIECE_MEMORY:
             self.pieces.clear()
-        if len(piece) <= 64:
+        # white space is cut by what is around it, so the word loop must not find such a piece
+        if len(piece) <= 64 and not piece.isspace():
             self.pieces[piece] = ids
         return ids
 

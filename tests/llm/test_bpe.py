@@ -27,6 +27,12 @@ def test_random_texts_and_all_characters():
             assert own.decode(ids) == text.encode()
 
 
+def test_white_space_does_not_depend_on_earlier_texts():
+    own, other = bpe.Encoder(bpe.read_ranks(RANKS), PATTERN), library()
+    for text in ("a \u00a0 b", "a \u00a0 \u00a0 b", "a \u00a0 \u00a0 \u00a0 \u00a0 b", "a  b", "a   b", "a \n b", "a \n \n b \t \t c", " \u00a0", "x \u00a0 \u00a0"):
+        assert own.encode(text) == other.encode_ordinary(text), text
+
+
 def test_memories_may_be_emptied(monkeypatch):
     monkeypatch.setattr(bpe, "PIECE_MEMORY", 3)
     monkeypatch.setattr(bpe, "PAIR_MEMORY", 3)
