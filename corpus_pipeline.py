@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm import bpe, decontaminate, language, line_dedup, simhash
@@ -11,10 +11,20 @@ from reliefspark.llm.queries import PATTERN, RANKS, remainder
 from reliefspark.session import table
 
 
+def row_key() -> Column:
+    """Names a row by its text and id, never null.  Rows of one key are judged alike, rows that share only an id are not."""
+    return F.concat_ws(":", F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256), F.col("doc_id").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose key is not in the column ``gone``."""
+    return docs.join(gone, row_key() == F.col("gone"), "left_anti")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go.  A null id has no language row to join and is judged by its text alone."""
-    rejected = language.identify(docs, remainder(4) != 2).where("lang_pred = 'und'").select(F.col("doc_id").alias("gone"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """Documents with a language: those without a letter go.  Every row is judged by its text alone, also if it has no id."""
+    found = language.identify(docs.select("doc_id", "text", "lang", row_key().alias("gone")), remainder(4) != 2, key_col="gone")
+    return without(docs, found.where("lang_pred = 'und'").select("gone"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +36,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("stays"), "left_semi")
+    """One row of each group of near copies stays: the one with the smallest id, null ids last, then with the smallest digest."""
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key().alias("key")).alias("name")
+    found = simhash.near_duplicates(docs.select(name, "text"), id_col="name").where("name.key = component_id.key")
+    first = found.select(F.col("name.key").alias("first")).distinct()
+    # equal keys are equal texts under one id; one of them stays
+    return docs.join(first, row_key() == F.col("first")).dropDuplicates(["first"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a ten-word window of a benchmark item go."""
-    hit = decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("gone"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """Rows with a ten-word window of a benchmark item go."""
+    hit = decontaminate.scan(docs.select("text", row_key().alias("gone")), table(spark, sf_dir, "benchmark"), id_col="gone")
+    return without(docs, hit.where("n_hit > 0").select("gone"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,10 +156,15 @@ def sample_rows(docs: DataFrame, wanted: Column, per_lang: int, id_col: str, tex
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, str(r.row_id)))]
 
 
-def identify(docs: DataFrame, wanted: Column, per_lang: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The id, ``lang_pred``, ``score`` (0 to 1) and ``ambiguous`` of every row; learned from the rows ``wanted`` names."""
+def identify(docs: DataFrame, wanted: Column, per_lang: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             key_col: str | None = None) -> DataFrame:
+    """The id, ``lang_pred``, ``score`` (0 to 1) and ``ambiguous`` of every row; learned from the rows ``wanted`` names.
+
+    With ``key_col`` the rows are named by that column in place of the id, which then counts for learning only.
+    """
+    name = key_col or id_col
     held = docs.sparkSession.sparkContext.broadcast(train(sample_rows(docs, wanted, per_lang, id_col, text_col, lang_col)))
-    source = text_bytes(docs, id_col, text_col)
+    source = text_bytes(docs, name, text_col)
     kind = source.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -186,4 +191,4 @@ def identify(docs: DataFrame, wanted: Column, per_lang: int = SAMPLE, id_col: st
                 [batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure)], ["row_id", "lang_pred", "score", "ambiguous"])
 
     out = source.mapInArrow(run, f"row_id {kind}, lang_pred string, score double, ambiguous boolean")
-    return out.select(F.col("row_id").alias(id_col), *out.columns[1:])
+    return out.select(F.col("row_id").alias(name), *out.columns[1:])

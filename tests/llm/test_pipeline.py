@@ -48,3 +48,22 @@ def test_near_copies_leave_one(spark):
     rows = [(i, "one text that comes in many copies for this test") for i in range(5)] + [(9, "quite another text with words of its own in it")]
     stage = dict(pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, awkward(spark, rows), SF).collect()) == [0, 9]
+
+
+def left(spark, name, rows):
+    out = dict(pipeline.STAGES)[name](spark, awkward(spark, rows), SF)
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
+def test_rows_without_or_with_shared_ids_are_judged_alone(spark):
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) >= 10)
+    clean = ["some clean words of the first row", "other clean words stand here instead", "a third row with words of its own"]
+    good = [(None, clean[0]), (None, clean[1]), (5, clean[2]), *[(i, "words to learn the language from") for i in range(20, 30)]]
+    assert left(spark, "language_id", [*good, (None, "12 34"), (None, None), (5, "---")]) == sorted(good, key=repr)
+    assert left(spark, "benchmark_decontamination", [*good, (None, leak), (5, leak), (None, None)]) == sorted([*good, (None, None)], key=repr)
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = "one text that comes in many copies for this test", "quite another text with words of its own in it", "the last of these has nothing to do with the rest"
+    rows = [(None, one), (None, one), (None, two), (3, three), (3, three), (4, three), (3, one), (4, "a fifth text shares only the number of its row with others")]
+    assert left(spark, "simhash_near_dedup", rows) == sorted([(3, one), (None, two), (3, three), rows[-1]], key=repr)
