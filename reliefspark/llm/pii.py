@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, checks confirm them (Luhn for cards, mod 97 for account numbers, ranges for
 addresses), words nearby raise or lower the score.  The four base kinds are always reported when their check holds;
-the further kinds ``iban``, ``ssn`` and ``tel`` need a score of at least ``THRESHOLD`` and no base span below them.
+the further kinds ``iban``, ``ssn`` and ``tel`` need a score of at least ``THRESHOLD``, ``ssn`` and ``tel`` also no base
+span below them.  An ``iban`` has the length of its country, whatever follows; of other countries it is the longest run.
 
 Patterns are possessive and anchored at the first character of a run, so a long run costs linear time and no stack.
 A null text is an empty one.  Repeated rows are searched one by one.
@@ -27,6 +28,23 @@ PATTERNS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "tel": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}",
 }
+#: countries by the length of their account numbers
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Heads of account numbers; group 1 is the whole candidate, so that a false head takes nothing from a number behind it."""
+    def run(length: int) -> str:
+        whole, rest = divmod(length - 4, 4)
+        return rf"(?: ?[A-Z0-9]{{4}}){{{whole}}}" + rf" ?[A-Z0-9]{{{rest}}}" * bool(rest)
+
+    known = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}{run(n)}" for n, names in LENGTHS.items())
+    return rf"(?<![A-Za-z0-9+-])(?=[A-Z]{{2}}[0-9]{{2}})(?=({known}|(?!{'|'.join(LENGTHS.values()).replace(' ', '|')}){PATTERNS['iban']}))[A-Z]{{2}}[0-9]{{2}}"
+
+
 #: hundredths
 POINTS = {"email": 80, "ip": 70, "card": 80, "phone": 60, "iban": 90, "ssn": 30, "tel": 30}
 NEAR, AGAINST, THRESHOLD = 40, -30, 50
@@ -65,8 +83,9 @@ _CHECKS: dict[str, Callable[[Column], Column]] = {
 
 def _spans(text: Column, kind: str) -> Column:
     """Confirmed matches of a pattern as code point spans: lengths of matches and of what is between them add up."""
-    pattern = PATTERNS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # of an account number the pattern takes its head only
+    pattern, group, taken = (_iban(), 1, lambda hit: F.lit(4)) if kind == "iban" else (PATTERNS[kind], 0, F.length)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
     pairs = F.filter(F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap"))), lambda x: x["hit"].isNotNull())
     state = f"struct<at:int,found:{_SPANS}>"
@@ -75,7 +94,7 @@ def _spans(text: Column, kind: str) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(_CHECKS[kind](x["hit"]), F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found")).cast(state)
+        return F.struct((start + taken(x["hit"])).alias("at"), F.when(_CHECKS[kind](x["hit"]), F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found")).cast(state)
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found")).cast(state)
     return F.aggregate(pairs, begin, step, lambda acc: acc["found"])
@@ -108,21 +127,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.select(id_col, "text", *[F.when(has.get(kind, F.lit(True)) & (F.col("digits") if kind != "email" else F.lit(True)), _spans(text, kind)).otherwise(none).alias(kind) for kind in BASE + FURTHER])
     found = found.withColumn("base", F.concat(*map(F.col, BASE)))
 
-    def free(span: Column) -> Column:
-        return _alone(text, span) & ~F.exists("base", lambda other: (other["start"] < span["end"]) & (other["end"] > span["start"]))
+    def free(kind: str) -> Callable[[Column], Column]:
+        # a sum modulo 97 says more than digits that pass as a card by chance: both are told
+        if kind == "iban":
+            return lambda span: _alone(text, span)
+        return lambda span: _alone(text, span) & ~F.exists("base", lambda other: (other["start"] < span["end"]) & (other["end"] > span["start"]))
 
     parts = [_scored(text, F.col(kind), kind) for kind in BASE]
-    parts += [F.filter(_scored(text, F.filter(kind, free), kind), lambda x: x["score"] * 100 >= THRESHOLD) for kind in FURTHER]
+    parts += [F.filter(_scored(text, F.filter(kind, free(kind)), kind), lambda x: x["score"] * 100 >= THRESHOLD) for kind in FURTHER]
     return found.select(id_col, "text", F.concat(*parts).alias("spans"))
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """Replaces every span of ``find`` by ``[kind]``; of overlapping spans the first one counts."""
+    """Replaces every span of ``find`` by ``[kind]``; overlapping spans go together under the first one's kind."""
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         grown = F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), grown.alias("out")))
+        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), grown.alias("out")))
 
     return found.withColumn("text", F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text")))))

@@ -57,3 +57,35 @@ def test_redaction_and_empty_table(spark):
 def test_no_python_in_the_plan(spark, capsys):
     pii.find(awkward(spark)).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def iban(country, account):
+    rest = 98 - int("".join(str(int(c, 36)) for c in f"{account}{country}00")) % 97
+    return f"{country}{rest:02}{account}"
+
+
+def test_account_numbers_beside_other_tokens_and_cards(spark):
+    numbers = [iban("AT", "1904300234573201"), iban("ES", "21000418450200051332"), iban("SE", "50000000058398257466"), iban("PL", "109010140000071219812874"), iban("DE", "370400440532013000"), iban("NO", "86011117947")]
+    numbers += [" ".join(n[i:i + 4] for i in range(0, len(n), 4)) for n in numbers]
+    rows, want = [], []
+    for number in numbers:
+        for before, behind in (("", " 250"), ("", " BIC "), ("", " CODE"), ("", ""), ("GB12 ", " X1"), ("paid ", ".")):
+            rows.append((len(rows), before + number + behind))
+            want.append([("iban", len(before), len(before) + len(number))])
+    # the digits of this one pass as a card by chance
+    chance = next(n for k in range(1000) for n in [iban("GB", f"NWBK{60161331926000 + k}")] if luhn(n[8:]))
+    rows.append((len(rows), f"account {chance} today"))
+    want.append([("card", 16, 30), ("iban", 8, 30)])
+    found = pii.find(awkward(spark, rows))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found.collect()}
+    assert [[s for s in got[i] if s[0] == "iban"] for i, _ in rows[:-1]] == want[:-1]
+    assert got[len(rows) - 1] == want[-1]
+    assert {r.doc_id: r.text for r in pii.redacted(found).collect()}[len(rows) - 1] == "account [iban] today"
+
+
+def test_redaction_leaves_no_part_of_overlapping_spans(spark):
+    number = iban("GB", "NWBK60161331926819")
+    tail = next(t for t in (f"{k:04}" for k in range(10)) if luhn(number[8:] + t))
+    found = pii.find(awkward(spark, [(1, f"account {number} {tail} end")]))
+    assert [s.kind for s in found.first().spans] == ["card", "iban"]
+    assert [r.text for r in pii.redacted(found).collect()] == ["account [iban] end"]
