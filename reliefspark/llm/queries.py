@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm import bpe, decontaminate, fim, language, line_dedup, pii, quality, simhash, toxicity, url_filter, warc
+from reliefspark.llm import bpe, decontaminate, fim, language, line_dedup, mixing, phrases, pii, quality, simhash, toxicity, url_filter, warc
 from reliefspark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,3 +233,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents"))
     back = fim.restored(F.col("form"), F.col("output"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op12_context_mixing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text; learned from the rows that are not held out."""
+    found = mixing.score(table(spark, sf_dir, "documents"), remainder(5) != 1)
+    held_out = F.coalesce(remainder(5) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op13_phrase_mining", r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+spot as (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from (select lang, w, unnest(range(1, 6)) as m from w) where len(w) >= m),
+f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from spot group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f where m = 1 group by lang),
+c as (select lang, phrase, m, f as a from f where m > 1 and f >= 100),
+cut as (select *, array_to_string(string_split(phrase, ' ')[1:k], ' ') as first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as rest from (select *, unnest(range(1, m)) as k from c)),
+scored as (select cut.lang, cut.phrase, a, k, fl.f as l, fr.f as r, n, cast(cast(1000 as hugeint) * a * n // (cast(fl.f as hugeint) * fr.f) as bigint) as score
+           from cut join f fl on fl.lang = cut.lang and fl.phrase = cut.first join f fr on fr.lang = cut.lang and fr.phrase = cut.rest join n on n.lang = cut.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+kept as (select * from best b where not exists (select 1 from c where c.lang = b.lang and c.a = b.a and len(c.phrase) > len(b.phrase) and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept)
+select * from ranked where rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest word combinations of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
