@@ -179,3 +179,34 @@ FEATURE_RAW = (
       where coalesce(raw.z_ground, low.z_low) is not null)"""
 )
 FEATURE = FEATURE_RAW + ", " + sql_fill("merged", "z", 100, "dfm")
+
+
+def land(lines: DataFrame, folder: str) -> str:
+    """Writes ``name, line, value`` rows as text files ``<folder>/<name>`` and returns the folder.
+
+    Files are written as deliveries have them, one file a name, through the file system of the folder.
+    """
+    from reliefspark.sources.las import file_system
+
+    def write(batches):
+        import pyarrow as pa
+
+        system, base = file_system(folder)
+        now, out, n = None, None, 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != now:
+                    if out:
+                        out.close()
+                    now, path, n = name, f"{base}/{name}", n + 1
+                    system.create_dir(path.rpartition("/")[0])
+                    out = system.open_output_stream(path)
+                out.write((value + "\n").encode())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartition(width, "name").sortWithinPartitions("name", "line").select("name", "value")
+    dealt.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return folder

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.operators import quality, tiles
@@ -98,5 +98,10 @@ def index_sheet(cells: DataFrame) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, run: str) -> None:
-    """Manifest of one run as its own partition; earlier runs stay."""
+    """Manifest of one run as its own partition; earlier runs stay, a repeated write of a run replaces what it left."""
     manifest.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """All manifests with the column ``run``."""
+    return spark.read.parquet(path)

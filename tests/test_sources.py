@@ -48,10 +48,47 @@ def test_las_points(spark, tmp_path, fmt):
     rows = df.orderBy("cloud_id", "x").collect()
     assert len(rows) == 11 and [r.cls for r in rows[:4]] == [2, 7, 9, 1] and [r.withheld for r in rows[:4]] == [False, False, False, True]
     assert rows[4].x == pytest.approx(5.0) and rows[4].z == pytest.approx(105.0)
-    heads = las.las_headers(spark, str(tmp_path / "*.las")).orderBy("cloud_id").collect()
+    heads = las.las_headers(spark, str(tmp_path)).orderBy("cloud_id").collect()
     assert heads[0].n_points == 10 and heads[0].min_x == 0.0 and heads[0].max_y == pytest.approx(12.25)
 
 
+def test_las_filters_prune_files_and_records(spark, tmp_path):
+    for k in range(8):
+        las_file(tmp_path / f"c{k}.las", np.arange(10) + 100.0 * k, np.arange(10) + 5.0, np.arange(10) + 50.0 * k, [2] * 10)
+    (tmp_path / "notes.txt").write_text("no cloud")
+    las.register(spark)
+
+    def planned(where):
+        reader = las.LasReader({"path": f"file:{tmp_path}"})
+        list(reader.pushFilters(where))
+        splits = reader.partitions()
+        rows = [r for s in splits for b in reader.read(s) for r in b.to_pylist()]
+        return reader.planned, len(rows)
+
+    assert planned([]) == ((8, 8), 80)
+    assert planned([las.GreaterThanOrEqual(("x",), 305.0), las.LessThan(("x",), 404.0)]) == ((8, 2), 5 + 5)
+    assert planned([las.EqualTo(("z",), 102.0)]) == ((8, 1), 1) and planned([las.EqualTo(("cloud_id",), "c3.las")]) == ((8, 1), 10)
+    assert planned([las.GreaterThan(("y",), 14.5)]) == ((8, 0), 0)
+    window = las.read_las(spark, str(tmp_path), (305, 0, 403, 20))
+    assert sorted(r.x for r in window.collect()) == [305, 306, 307, 308, 309, 400, 401, 402, 403]
+    assert window.rdd.getNumPartitions() == 2
+
+
+def test_las_write_and_read_again(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i % 2}", float(x), float(y), float(z), int(c), bool(i % 7 == 0)) for i, (x, y, z, c) in enumerate(
+        zip(rng.integers(0, 90000, 500) / 100 + 4e6, rng.integers(-30000, 0, 500) / 100, rng.integers(0, 9999, 500) / 100, rng.integers(0, 70, 500)))]
+    points = spark.createDataFrame(rows, las.SCHEMA)
+    for _ in range(2):  # a repeated write leaves the same files
+        written = las.write_las(points, str(tmp_path / "out"), tile_m=100.0, per_file=60).collect()
+    assert len(list((tmp_path / "out").glob("*.las"))) == len(written) > 6 and max(r.n_points for r in written) <= 60
+    back = las.read_las(spark, str(tmp_path / "out")).collect()
+    got = sorted((r.cloud_id.split("_")[0], round(r.x, 2), round(r.y, 2), round(r.z, 2), r.cls, r.withheld) for r in back)
+    assert got == sorted((c, round(x, 2), round(y, 2), round(z, 2), k, w) for c, x, y, z, k, w in rows)
+    heads = {r.cloud_id: r for r in las.las_headers(spark, str(tmp_path / "out")).collect()}
+    assert {n: (h.n_points, round(h.min_x, 2), round(h.max_y, 2)) for n, h in heads.items()} == {r.cloud_id: (r.n_points, round(r.min_x, 2), round(r.max_y, 2)) for r in written}
+
+
 def test_compressed_las_is_refused(tmp_path):
     las_file(tmp_path / "a.las", [1.0], [1.0], [1.0], [2])
     data = bytearray((tmp_path / "a.las").read_bytes())
@@ -83,6 +120,32 @@ def test_csv_tile_and_ascii_grid(spark, tmp_path):
     assert (asc[0].left, asc[0].top, asc[0].epsg) == (10.0, 24.0, 2154)
 
 
+def test_text_grids_over_many_splits(spark, tmp_path):
+    """A grid whose lines break anywhere, read by many tasks; a blank line and several files stand between."""
+    nx, ny = 90, 400
+    z = np.arange(nx * ny) * 7 % 1000
+    for k in range(3):
+        rows = [" ".join(map(str, z[i:i + 53 + k])) + " " for i in range(0, nx * ny, 53 + k)]
+        head = f"ncols {nx}\nnrows {ny}\nxllcorner {k}\nyllcorner 0\ncellsize 1\n"
+        (tmp_path / f"g{k}.asc").write_text(head + "\n".join(rows[:9]) + "\n\n" + "\n".join(rows[9:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        lines = grids.numbered_lines(spark, str(tmp_path), " ")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        cells = grids.read_ascii_grids(spark, str(tmp_path), 2154).toPandas()
+        numbers = lines.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("line").alias("d"), F.max("line").alias("m")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(numbers) == 3 and all(r.n == r.d == r.m + 1 for r in numbers)
+    for _, one in cells.groupby("raster_id"):
+        got = np.full((ny, nx), -1)
+        got[one.row, one.col] = one.z
+        assert (got.ravel() == z).all()
+
+
 def collection(*features):
     return json.dumps({"type": "FeatureCollection", "features": list(features)})
 
