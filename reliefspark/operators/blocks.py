@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,3 +205,43 @@ def fill_domain(blocks: DataFrame, domain: DataFrame, bands: Sequence[str], side
     empty = F.array_repeat(F.lit(None).cast("double"), side * side)
     return domain.join(blocks, list(KEYS), "left").select(
         *KEYS, *carry, *[F.coalesce(F.col(b), empty).alias(b) for b in bands])
+
+
+def at_cells(rows: DataFrame, blocks: DataFrame, band: str, side: int = BLOCK, salts: int = 8) -> DataFrame:
+    """Rows with ``raster_id, row, col`` and, as a further column ``band``, what the blocks say at their cells (NULL: nothing).
+
+    Rows and blocks meet in one sorted stream per (raster, block, salt): a block comes first and is held while its rows
+    pass, so no group is collected, however many rows a block has.  The salt deals the rows of a crowded block out over
+    ``salts`` tasks; the block itself is sent to each.  No row per cell is ever made.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int").alias("salt")
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("own")
+    keyed = rows.select(
+        F.col("raster_id").cast("string").alias("raster_id"), floor_long(F.col("row") / F.lit(side)).alias("brow"), floor_long(F.col("col") / F.lit(side)).alias("bcol"), salt,
+        (F.pmod(F.col("row"), F.lit(side)) * side + F.pmod(F.col("col"), F.lit(side))).cast("int").alias("slot"), own, F.lit(None).cast("array<double>").alias("held"))
+    kind = keyed.schema["own"].dataType.simpleString()
+    sent = blocks.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).alias("slot"), F.lit(None).cast(kind).alias("own"), F.col(band).alias("held"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, values = None, None
+        for batch in batches:
+            slots, brow, bcol = (batch.column(i).to_numpy() for i in (4, 1, 2))
+            raster = batch.column(0)
+            out = np.full(len(slots), np.nan)
+            starts = [0, *np.flatnonzero(slots < 0).tolist(), len(slots)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if a < b and slots[a] < 0:
+                    now, values = (raster[a].as_py(), brow[a], bcol[a]), _unnest(batch.column(6)[a])
+                if now is not None and a < b:
+                    same = pa.compute.equal(raster.slice(a, b - a), now[0]).to_numpy(zero_copy_only=False) & (brow[a:b] == now[1]) & (bcol[a:b] == now[2]) & (slots[a:b] >= 0)
+                    out[a:b][same] = values[slots[a:b][same]]
+            points = slots >= 0
+            if points.any():
+                keep = pa.array(points)
+                yield pa.RecordBatch.from_arrays([batch.column(5).filter(keep), pa.array(out[points], mask=np.isnan(out[points]))], ["own", "found"])
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*KEYS, "salt", "slot"]
+    stream = keyed.unionByName(sent).repartition(width, *KEYS, "salt").sortWithinPartitions(*order)
+    found = stream.mapInArrow(meet, f"own {kind}, found double")
+    return found.select("own.*", F.col("found").alias(band))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import _c, floor_long
 from reliefspark.operators import fill
-from reliefspark.operators.blocks import BLOCK, KEYS, blocks_to_cells, cells_to_blocks, fill_domain
+from reliefspark.operators.blocks import BLOCK, KEYS, at_cells, blocks_to_cells, cells_to_blocks, fill_domain
 
 # ASPRS classes and default settings of the feature model.
 NOISE_CLASSES = (7, 18)
@@ -210,17 +210,17 @@ def ground_or_all(points: DataFrame, classes: Sequence[int] = (2,), minimum: int
     return points.filter(ground).unionByName(rest.select(*points.columns))
 
 
-def canopy_prefilter(points: DataFrame, grid: Grid, above_m: float = 3.5) -> DataFrame:
-    """Points at most ``above_m`` over the lowest point of their (coarse) cell.
+def canopy_prefilter(points: DataFrame, grid: Grid, above_m: float = 3.5, area: str | None = None) -> DataFrame:
+    """Points at most ``above_m`` over the lowest point of their (coarse) cell, within their own area.
 
     Aggregate and join instead of a window: the minimum combines before the shuffle and adaptive
     execution may split a hot cell in the join.
     """
-    addressed = points.withColumn("cell", grid.cell())
-    floor_z = addressed.groupBy("cell").agg(F.min("z").alias("z_floor"))
+    addressed = points.select("*", _raster(area).alias("_raster"), grid.cell().alias("_cell"))
+    floor_z = addressed.groupBy("_raster", "_cell").agg(F.min("z").alias("_floor"))
     return (
-        addressed.join(floor_z, "cell")
-        .filter(F.col("z") <= F.col("z_floor") + F.lit(above_m)).drop("cell", "z_floor")
+        addressed.join(floor_z, ["_raster", "_cell"])
+        .filter(F.col("z") <= F.col("_floor") + F.lit(above_m)).select(*[F.col(f"`{c}`") for c in points.columns])
     )
 
 
@@ -315,13 +315,15 @@ def dfm_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: flo
     return fill.fill_holes(model, "z", int(max_fill_m / grid.res), side)
 
 
-def height_above_ground(points: DataFrame, ground: DataFrame, grid: Grid) -> DataFrame:
-    """Points with ``h``, their height over the filled ground cell below them."""
-    floor_z = ground.select(cell_key("row", "col").alias("cell"), F.col("z").alias("z_ground"))
-    return (
-        address(points, grid).withColumn("cell", cell_key("row", "col")).join(floor_z, "cell")
-        .withColumn("h", F.col("z") - F.col("z_ground")).drop("cell")
-    )
+def height_above_ground(points: DataFrame, ground: DataFrame, grid: Grid, side: int = BLOCK, area: str | None = None) -> DataFrame:
+    """Points with ``row, col, z_ground`` and ``h``, their height over the filled ground cell below them.
+
+    ``ground`` are blocks with band ``z`` (``dtm_blocks``).  With ``area`` a point is measured against the ground of its own
+    area only.  Points over unknown ground are left out.
+    """
+    placed = points.select("*", _raster(area), grid.row().alias("row"), grid.col().alias("col"))
+    found = at_cells(placed, ground.select(*KEYS, F.col("z").alias("z_ground")), "z_ground", side).filter(F.col("z_ground").isNotNull())
+    return found.withColumn("h", F.col("z") - F.col("z_ground"))
 
 
 def height_band(points: DataFrame, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,

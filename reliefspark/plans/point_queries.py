@@ -146,11 +146,38 @@ def _dtm(spark, sf_dir):
     from useful p join bare using ("row", col) where cls in (1, 3, 4) and p.z - bare.z >= 0.4e0 and p.z - bare.z <= 2.5e0""")
 def _band(spark, sf_dir):
     cloud = fx.points(spark, sf_dir)
-    ground = P.points_to_dtm(cloud, GRID, P.GROUND_CLASSES, 100.0, SIDE)
-    measured = P.height_above_ground(P.keep_classes(P.drop_noise(cloud), P.LOW_CLASSES), ground, GRID)
+    ground = P.dtm_blocks(cloud, GRID, P.GROUND_CLASSES, 100.0, SIDE)
+    measured = P.height_above_ground(P.keep_classes(P.drop_noise(cloud), P.LOW_CLASSES), ground, GRID, SIDE)
     return P.height_band(measured).select("row", "col", "cls", mm("z").alias("z_mm"), mm("h").alias("h_mm"))
 
 
+_AREAS = PTS + """, a as (select *, cast(suppkey % 3 as string) as area, cast(floor(-y/2e0) as bigint) as "row", cast(floor(x/2e0) as bigint) as col,
+    cast(floor(-y/5e0) as bigint) r5, cast(floor(x/5e0) as bigint) c5 from pts)"""
+
+
+def _by_area(spark, sf_dir):
+    """Three surveys of the same ground, each an area of its own."""
+    return fx.points(spark, sf_dir).withColumn("area", (F.col("suppkey") % 3).cast("string"))
+
+
+@query("height_band_by_area", f"""with {_AREAS}, g as (select area, "row", col, min(z) as z from a where cls in (2, 9, 66) group by all)
+    select area, "row", col, cls, {sql_mm('a.z')} as z_mm, {sql_mm('a.z - g.z')} as h_mm from a join g using (area, "row", col)
+    where cls in (1, 3, 4) and not withheld and a.z - g.z >= 0.4e0 and a.z - g.z <= 2.5e0""")
+def _band_by_area(spark, sf_dir):
+    """Every point is measured against the ground of its own survey, also where all surveys know the cell."""
+    cloud = _by_area(spark, sf_dir)
+    ground = P.dtm_blocks(cloud, GRID, P.GROUND_CLASSES, 0.0, SIDE, minimum=None, area="area")
+    measured = P.height_above_ground(P.keep_classes(P.drop_noise(cloud), P.LOW_CLASSES), ground, GRID, SIDE, area="area")
+    return P.height_band(measured).select("area", "row", "col", "cls", mm("z").alias("z_mm"), mm("h").alias("h_mm"))
+
+
+@query("canopy_by_area", f"""with {_AREAS}, m as (select area, r5, c5, min(z) as z0 from a group by all)
+    select area, cls, count(*) as n_kept, {sql_mm('max(z)')} as z_max_mm from a join m using (area, r5, c5) where z <= z0 + 3.5e0 group by area, cls""")
+def _canopy_by_area(spark, sf_dir):
+    kept = P.canopy_prefilter(_by_area(spark, sf_dir), P.Grid(res=5.0), area="area")
+    return kept.groupBy("area", "cls").agg(F.count(F.lit(1)).alias("n_kept"), F.max("z").alias("z")).select("area", "cls", "n_kept", mm("z").alias("z_max_mm"))
+
+
 @query("feature_reinjection", f"""with {FEATURE_RAW} select "row", col, {sql_mm('z_low')} as low_mm from low""")
 def _reinjection(spark, sf_dir):
     cells = blocks_to_cells(P.feature_blocks(fx.points(spark, sf_dir), GRID, side=SIDE), ["z_low"], SIDE)
@@ -206,8 +233,7 @@ def _text_grid(spark, sf_dir):
     from dfm join bare using ("row", col) group by all""")
 def _difference(spark, sf_dir):
     cloud = fx.points(spark, sf_dir)
-    delta = P.model_difference(
-        P.points_to_dfm(cloud, GRID, side=SIDE), P.points_to_dtm(cloud, GRID, P.GROUND_CLASSES, 100.0, SIDE))
+    delta = P.block_difference(P.dfm_blocks(cloud, GRID, SIDE), P.dtm_blocks(cloud, GRID, P.GROUND_CLASSES, 100.0, SIDE), -1e9, SIDE)
     return delta.groupBy(F.floor(F.col("row") / 10.0).cast("bigint").alias("band")).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("delta") > 0.4).alias("n_high"),
         F.count_if(F.col("delta") < 0).alias("n_below"))
