@@ -195,17 +195,20 @@ def _priority(spark, sf_dir):
     return C.priority_cover(cells, index, {g: ref(s) for g, s in grids.items()})
 
 
-@query("index_or_grid", f"""with {INDEX}, i as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx where order_id % 3 <> 0),
+@query("index_or_grid", f"""with {INDEX}, last as (select collection, max(vintage) as vintage from idx group by all),
+    i as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx join last using (collection, vintage)),
     g as (select distinct collection as area, key_x, key_y, 'dtm_' || key_x || '_' || key_y || '.tif' as tile_name from idx),
-    f as (select collection as area from idx group by collection having count(*) filter (where order_id % 1499 = 7) > 2)
+    f as (select collection as area from idx group by collection having sum(case when size < 3e3 then 1 else 0 end) > 11 or min(size) > 2e3)
     select *, 'index' as origin from i union all select g.*, 'grid' from g where area in (select area from f)
       and not exists (select 1 from i where i.area = g.area and i.key_x = g.key_x and i.key_y = g.key_y)""")
 def _index_or_grid(spark, sf_dir):
+    """The index of an area lists its last vintage; reading it failed where many deliveries came in cut short."""
     idx = fx.tile_index(spark, sf_dir).withColumnRenamed("collection", "area")
     name = C.tile_name(F.lit("dtm"), "key_x", "key_y")
-    index = idx.filter("order_id % 3 <> 0").select("area", "key_x", "key_y", name.alias("tile_name")).distinct()
-    log = idx.groupBy("area").agg(F.count_if(F.col("order_id") % 1499 == 7).alias("n"), F.count(F.lit(1)).alias("n_found")).select(
-        "area", F.greatest(F.lit(0), F.col("n") - 2).alias("n_errors"), "n_found")
+    last = idx.groupBy("area").agg(F.max("vintage").alias("vintage"))
+    index = idx.join(last, ["area", "vintage"]).select("area", "key_x", "key_y", name.alias("tile_name")).distinct()
+    short = F.count_if(F.col("size") < 3e3)
+    log = idx.groupBy("area").agg(F.when((short > 11) | (F.min("size") > 2e3), short + 1).otherwise(0).alias("n_errors"), F.count(F.lit(1)).alias("n_found"))
     cells = idx.select("area", "key_x", "key_y").distinct()
     return C.index_or_grid(index, cells, log, lambda: C.tile_name(F.lit("dtm"), "key_x", "key_y"))
 

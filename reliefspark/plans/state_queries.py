@@ -130,10 +130,13 @@ def _purge_small(spark, sf_dir):
     return G.purge_small(files, limits).select("o_orderkey", "length", "code")
 
 
-@query("purge_outside_zone", f"""with {INDEX} select order_id, tile_name from idx where regexp_matches(tile_name, '^dtm_[0-9]+_1[0-9]_') and order_id % 4 = 0""")
+@query("purge_outside_zone", f"""with {INDEX}, zone as (select distinct l_orderkey from lineitem where l_returnflag = 'R')
+    select order_id, tile_name from idx where regexp_matches(tile_name, '^dtm_[0-9]+_1[0-9]_') and order_id not in (select l_orderkey from zone)""")
 def _purge_outside(spark, sf_dir):
+    """The zone names the tiles of all orders with a returned part."""
     idx = fx.tile_index(spark, sf_dir)
-    return G.purge_outside(idx, idx.filter("order_id % 4 <> 0"), r"^dtm_[0-9]+_1[0-9]_").select("order_id", "tile_name")
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order_id")).distinct()
+    return G.purge_outside(idx, idx.join(returned, "order_id", "left_semi"), r"^dtm_[0-9]+_1[0-9]_").select("order_id", "tile_name")
 
 
 _NEW = ["key_x", "key_y", "vintage", "order_id"]
