@@ -16,15 +16,24 @@ def row_key() -> Column:
     return F.concat_ws(":", F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256), F.col("doc_id").cast("string"))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose key is not in the column ``gone``."""
-    return docs.join(gone, row_key() == F.col("gone"), "left_anti")
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Documents whose key is not in the column ``name`` of ``gone``; they have no column of that name."""
+    return docs.join(gone.select(name), row_key() == F.col(name), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter go.  Every row is judged by its text alone, also if it has no id."""
-    found = language.identify(docs.select("doc_id", "text", "lang", row_key().alias("gone")), remainder(4) != 2, key_col="gone")
-    return without(docs, found.where("lang_pred = 'und'").select("gone"))
+    gone = spare(docs, "gone")
+    found = language.identify(docs.select("doc_id", "text", "lang", row_key().alias(gone)), remainder(4) != 2, key_col=gone)
+    return without(docs, found.where("lang_pred = 'und'"), gone)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +48,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies stays: the one with the smallest id, null ids last, then with the smallest digest."""
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key().alias("key")).alias("name")
     found = simhash.near_duplicates(docs.select(name, "text"), id_col="name").where("name.key = component_id.key")
-    first = found.select(F.col("name.key").alias("first")).distinct()
+    first = spare(docs, "first")
+    stays = found.select(F.col("name.key").alias(first)).distinct()
     # equal keys are equal texts under one id; one of them stays
-    return docs.join(first, row_key() == F.col("first")).dropDuplicates(["first"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(stays, row_key() == F.col(first)).dropDuplicates([first]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a ten-word window of a benchmark item go."""
-    hit = decontaminate.scan(docs.select("text", row_key().alias("gone")), table(spark, sf_dir, "benchmark"), id_col="gone")
-    return without(docs, hit.where("n_hit > 0").select("gone"))
+    gone = spare(docs, "gone")
+    hit = decontaminate.scan(docs.select("text", row_key().alias(gone)), table(spark, sf_dir, "benchmark"), id_col=gone)
+    return without(docs, hit.where("n_hit > 0"), gone)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
