@@ -3,7 +3,7 @@
 from pyspark.sql import types as T
 
 #: names that operators use for themselves
-EXTRA = ("row_id", "fp", "n_tokens", "key_hi", "row_hi", "hits", "items", "doc", "keep", "n_lines", "n_dropped", "kept_text", "spans", "score", "component", "lang_pred", "digits", "path", "node", "size")
+EXTRA = ("row_id", "fp", "n_tokens", "key_hi", "row_hi", "hits", "items", "doc", "keep", "n_lines", "n_dropped", "kept_text", "spans", "score", "component", "lang_pred", "digits", "path", "node", "size", "gone", "first", "gone_", "name", "key", "n", "output", "h1", "word", "row", "phrase", "f")
 SAME = "the very same words stand here in two rows of one small table"
 ROWS = [
     (1, None), (2, ""), (3, " \n\t"), (4, "ab " * 40_000), (5, "x" * 200_000), (6, SAME), (7, SAME), (7, SAME), (None, "a row without any id"),
