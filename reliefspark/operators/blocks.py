@@ -157,12 +157,17 @@ def with_halo(
     out: dict[str, str],
     halo: tuple[int, int],
     side: int = BLOCK,
+    mirror: bool = False,
 ) -> DataFrame:
     """Apply ``kernel(padded band, ...)`` to every block grown by ``halo`` rows and columns.
 
     The kernel returns arrays of the unpadded size.  A halo wider than a block reaches further blocks.
+    With ``mirror`` (halos along one axis only) the raster goes on beyond its outermost blocks as its mirror image;
+    which blocks those are shows in the messages that do not come, so the extent of the raster need not be known.
     """
     halo_rows, halo_cols = halo
+    if mirror and halo_rows and halo_cols:
+        raise ValueError("a mirrored halo has one axis")
     reach_rows, reach_cols = -(-halo_rows // side), -(-halo_cols // side)
     wide = 2 * reach_cols + 1
 
@@ -191,6 +196,17 @@ def with_halo(
             c0, c1 = overlap(dc, halo_cols)
             top, left = r0 - dr * side + halo_rows, c0 - dc * side + halo_cols
             padded[:, top:top + r1 - r0, left:left + c1 - c0] = values.reshape(len(bands), r1 - r0, c1 - c0)
+        if mirror:
+            axis, reach, margin, step = (1, reach_rows, halo_rows, wide) if halo_rows else (2, reach_cols, halo_cols, 1)
+            before = next((k for k in range(1, reach + 1) if centre + k * step not in parts), reach + 1)  # a part counts the steps it came
+            behind = next((k for k in range(1, reach + 1) if centre - k * step not in parts), reach + 1)
+            low, high = margin - (before - 1) * side, margin + behind * side
+            at = np.arange(padded.shape[axis])
+            low, high = max(low, 0), min(high, len(at))
+            while ((at < low) | (at >= high)).any():
+                at = np.where(at < low, 2 * low - 1 - at, at)
+                at = np.where(at >= high, 2 * high - 1 - at, at)
+            padded = np.take(padded, at, axis)
         return kernel(*padded)
 
     return exchange(blocks, bands, send, combine, out, side)

@@ -6,12 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefspark.functions import shade
 from reliefspark.functions.geo import _c
-from reliefspark.operators.blocks import BLOCK, with_halo
+from reliefspark.operators.blocks import BLOCK, exchange, with_halo
+from reliefspark.operators.blocks import _nested as nested
+from reliefspark.operators.blocks import _unnest as unnest
 
 SMOOTH_CUT = 4.0
 
@@ -78,8 +81,8 @@ def gaussian(blocks: DataFrame, sigmas: Sequence[float], band: str = "z", square
              side: int = BLOCK) -> DataFrame:
     """Gaussian means of ``band`` for several sigmas (pixels): bands ``z, g0, g1...`` (``s0...`` of z^2).
 
-    Unknown cells, also those beyond the edge, take no part: the mean is over known cells, weights
-    renormalised.  Two passes with a one-sided halo each keep the exchanged margin small.
+    Beyond its outermost blocks the raster goes on as its mirror image.  Unknown cells take no part: the mean is over
+    known cells, weights renormalised.  Two passes with a one-sided halo each keep the exchanged margin small.
     """
     kernels = [gaussian_weights(s) for s in sigmas]
     reach = max(len(k) // 2 for k in kernels)
@@ -116,9 +119,145 @@ def gaussian(blocks: DataFrame, sigmas: Sequence[float], band: str = "z", square
                     result[f"{target}{i}"] = np.where(np.isnan(centre), np.nan, total / weight)
         return result
 
-    across = with_halo(blocks, [band], rows_pass, {"z": "double", **{p: "double" for p in parts}}, (0, reach), side)
+    across = with_halo(blocks, [band], rows_pass, {"z": "double", **{p: "double" for p in parts}}, (0, reach), side, mirror=True)
     return with_halo(
-        across, ["z", *parts], columns_pass, {"z": "double", **{n: "double" for n in names}}, (reach, 0), side)
+        across, ["z", *parts], columns_pass, {"z": "double", **{n: "double" for n in names}}, (reach, 0), side, mirror=True)
+
+
+#: sigma in pixels from which smoothing is done on a reduced level, and what is left of it there
+REDUCED_FROM, REDUCED_SIGMA = 96.0, 10.0
+
+
+def reduction_factor(sigma: float, side: int) -> int:
+    """The largest divisor of the block side that leaves at least ``REDUCED_SIGMA`` pixels of a sigma."""
+    return max(f for f in range(1, side + 1) if side % f == 0 and (f == 1 or sigma / f >= REDUCED_SIGMA))
+
+
+def reduced_sigma(sigma: float, factor: int) -> float:
+    """Sigma on the reduced level: the means of ``factor`` pixels and the linear steps back bring the rest of the variance."""
+    return math.sqrt(sigma**2 - (factor**2 - 1) / 12 - factor**2 / 6) / factor
+
+
+def reduction_error(sigma: float, factor: int) -> float:
+    """Bound of the error of ``gaussian_reduced`` on fully known ground, as a share of half the range of heights in reach.
+
+    The way over the reduced level is itself a mean with some weights; the sum of the absolute differences to the
+    Gaussian's weights, over both axes, bounds what any terrain can do.  The worst place within a reduced pixel counts.
+    """
+    exact, coarse = gaussian_weights(sigma), gaussian_weights(reduced_sigma(sigma, factor))
+    radius, reach = len(exact) // 2, len(coarse) // 2
+    worst = 0.0
+    for phase in range(factor):
+        at = (phase + 0.5) / factor - 0.5
+        first, share = math.floor(at), at - math.floor(at)
+        steps = np.zeros(2 * reach + 2)
+        steps[:-1] += (1 - share) * coarse
+        steps[1:] += share * coarse
+        own = np.repeat(steps / factor, factor)
+        start = (first - reach) * factor - phase  # place of the first weight, seen from the pixel
+        low = min(start, -radius)
+        high = max(start + len(own), radius + 1)
+        line = np.zeros(high - low)
+        line[start - low:start - low + len(own)] += own
+        line[-radius - low:radius + 1 - low] -= exact
+        worst = max(worst, float(np.abs(line).sum()))
+    return 2 * worst + worst * worst
+
+
+def gaussian_reduced(blocks: DataFrame, sigma: float, band: str = "z", squares: bool = False, side: int = BLOCK) -> DataFrame:
+    """``gaussian`` for one large sigma, worked out on a reduced level: bands ``z, g0`` (and ``s0``).
+
+    Sums and counts of known cells over ``factor`` x ``factor`` pixels are smoothed as a raster of their own, whose blocks
+    cover ``factor`` x ``factor`` blocks, and come back by linear steps.  A kernel of over a thousand taps becomes one of
+    at most a few hundred, and no message goes further than one block of the reduced level.
+    ``reduction_error`` bounds the difference.  The raster's edge counts as that of the blocks of the reduced level,
+    beyond which it is mirrored; cells that do not exist weigh nothing.
+    """
+    factor = reduction_factor(sigma, side)
+    part = side // factor
+    layers = ("v", "w", "q") if squares else ("v", "w")
+
+    def shrink(brow, bcol, arrays):
+        z = arrays[0]
+        known = ~np.isnan(z)
+        filled = np.where(known, z, 0.0)
+
+        def mean(a):
+            return a.reshape(part, factor, part, factor).mean(axis=(1, 3))
+
+        stack = [mean(filled), mean(known.astype(float)), *([mean(filled * filled)] if squares else [])]
+        yield brow // factor, bcol // factor, (brow % factor) * factor + bcol % factor, np.stack(stack)
+
+    def gather(brow, bcol, parts):
+        out = np.zeros((len(layers), side, side))
+        for k, values in parts.items():
+            r, c = k // factor * part, k % factor * part
+            out[:, r:r + part, c:c + part] = values.reshape(len(layers), part, part)
+        return dict(zip(layers, out))
+
+    kernel = gaussian_weights(reduced_sigma(sigma, factor))
+    reach = len(kernel) // 2
+    kinds = {n: "double" for n in layers}
+
+    def along(axis):
+        def run(*bands):
+            # a block that does not exist holds no weight
+            turned = [np.nan_to_num(a).T if axis == 0 else np.nan_to_num(a) for a in bands]
+            done = [_smooth_rows(a, kernel) for a in turned]
+            return dict(zip(layers, [d.T for d in done] if axis == 0 else done))
+        return run
+
+    level = exchange(blocks, [band], shrink, gather, kinds, side)
+    level = with_halo(level, layers, along(1), kinds, (0, reach), side, mirror=True)
+    level = with_halo(level, layers, along(0), kinds, (reach, 0), side, mirror=True)
+    # one ring of neighbours more, so that each block of the raster gets all it needs for linear steps from one message
+    ringed = with_halo(level, layers, lambda *bands: {n: _edged(a) for n, a in zip(layers, bands)}, kinds, (1, 1), side)
+
+    def hand_back(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raster, brow, bcol = (batch.column(j)[i].as_py() for j in range(3))
+                bands = [unnest(batch.column(3 + j)[i]).reshape(side + 2, side + 2) for j in range(len(layers))]
+                rows, cols, payload = [], [], []
+                for r in range(factor):
+                    for c in range(factor):
+                        rows.append(brow * factor + r)
+                        cols.append(bcol * factor + c)
+                        payload.append(np.stack([b[r * part:r * part + part + 2, c * part:c * part + part + 2] for b in bands]).reshape(-1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([raster] * len(rows)), pa.array(rows), pa.array(cols), pa.array(payload, pa.list_(pa.float64()))], ["raster_id", "brow", "bcol", "coarse"])
+
+    back = ringed.mapInArrow(hand_back, "raster_id string, brow bigint, bcol bigint, coarse array<double>")
+    both = blocks.select("raster_id", "brow", "bcol", band).join(back, ["raster_id", "brow", "bcol"])
+    at = (np.arange(side) + 0.5) / factor + 0.5  # in the patch, whose first cell is a neighbour's
+    first, share = np.floor(at).astype(int), at - np.floor(at)
+
+    def grow(batches):
+        names = ["g0"] + ["s0"] * squares
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                z = unnest(batch.column(3)[i]).reshape(side, side)
+                patch = unnest(batch.column(4)[i]).reshape(len(layers), part + 2, part + 2)
+                rows = patch[:, first] * (1 - share)[:, None] + patch[:, first + 1] * share[:, None]
+                full = rows[:, :, first] * (1 - share) + rows[:, :, first + 1] * share
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out.append([np.where(np.isnan(z), np.nan, full[k] / full[1]).reshape(-1) for k in ([0, 2] if squares else [0])])
+            columns = [nested(np.stack([o[k] for o in out]), "double") for k in range(len(names))] if out else [pa.array([], pa.list_(pa.float64())) for _ in names]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], *columns], ["raster_id", "brow", "bcol", "z", *names])
+
+    schema = "raster_id string, brow bigint, bcol bigint, z array<double>, g0 array<double>" + ", s0 array<double>" * squares
+    return both.mapInArrow(grow, schema)
+
+
+def _edged(a: np.ndarray) -> np.ndarray:
+    """A padded array whose unknown outermost ring repeats what lies inside."""
+    a = a.copy()
+    for axis in (0, 1):
+        b = np.moveaxis(a, axis, 0)
+        b[0] = np.where(np.isnan(b[0]), b[1], b[0])
+        b[-1] = np.where(np.isnan(b[-1]), b[-2], b[-1])
+    return a
 
 
 def median_stand_in(blocks: DataFrame, band: str = "z", digits: int = 2, side: int = BLOCK) -> DataFrame:
@@ -158,18 +297,23 @@ def local_relief(blocks: DataFrame, sigma_px: float = 15.0, band: str = "z", hol
 def multiscale_deviation(blocks: DataFrame, res: float, band: str = "z", side: int = BLOCK) -> DataFrame:
     """Bands ``local, meso, broad``: per scale band the deviation of largest magnitude (own reducer).
 
-    Each scale band is smoothed on its own, so the fine ones exchange narrow margins only.
+    Each scale band is smoothed on its own, so the fine ones exchange narrow margins only, and sigmas of at least
+    ``REDUCED_FROM`` pixels on a reduced level (``reduction_error`` bounds the difference).
     """
     def pick(v):
         first, second = shade.deviation(v.z, v.g0, v.s0), shade.deviation(v.z, v.g1, v.s1)
         return F.when(F.abs(second) > F.abs(first), second).otherwise(first)
 
-    result = None
+    keys, result = ["raster_id", "brow", "bcol"], None
     for name, limits in shade.MSTP_BANDS.items():
-        smooth = gaussian(blocks, [metres / res for metres in limits], band, squares=True, side=side)
-        one = smooth.select(
-            "raster_id", "brow", "bcol", F.transform(F.arrays_zip("z", "g0", "s0", "g1", "s1"), pick).alias(name))
-        result = one if result is None else result.join(one, ["raster_id", "brow", "bcol"])
+        sigmas = [metres / res for metres in limits]
+        if max(sigmas) < REDUCED_FROM:
+            smooth = gaussian(blocks, sigmas, band, squares=True, side=side)
+        else:
+            one, two = (gaussian_reduced(blocks, s, band, True, side) if s >= REDUCED_FROM else gaussian(blocks, [s], band, True, side) for s in sigmas)
+            smooth = one.join(two.select(*keys, F.col("g0").alias("g1"), F.col("s0").alias("s1")), keys)
+        one = smooth.select(*keys, F.transform(F.arrays_zip("z", "g0", "s0", "g1", "s1"), pick).alias(name))
+        result = one if result is None else result.join(one, keys)
     return result
 
 

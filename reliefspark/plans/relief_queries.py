@@ -79,17 +79,24 @@ def sql_multi(altitude: float) -> str:
     return f"{total}/{weight}"
 
 
+def _mirrored(place: str, low: str, size: str) -> str:
+    """A place along an axis of ``size`` cells from ``low`` on, mirrored at both ends."""
+    turn = f"((({place} - {low}) % (2*{size}) + 2*{size}) % (2*{size}))"
+    return f"{low} + case when {turn} < {size} then {turn} else 2*{size} - 1 - {turn} end"
+
+
 def sql_gaussian(source: str, sigma: float, name: str, domain: str = "dom", square: bool = False) -> str:
-    """CTEs ``name(row, col, g)``: separable mean over known cells."""
+    """CTEs ``name(row, col, g)``: separable mean over known cells, the domain mirrored at its edges."""
     kernel = focal.gaussian_weights(sigma)
     reach = len(kernel) // 2
     values = ", ".join(f"({i - reach}, {_e(float(w))})" for i, w in enumerate(kernel))
     z = "b.z*b.z" if square else "b.z"
     return f"""{name}_k(d, w) as (values {values}),
+    {name}_e as (select min("row") as r0, max("row") - min("row") + 1 as nr, min(col) as c0, max(col) - min(col) + 1 as nc from {domain}),
     {name}_x as (select a."row", a.col, coalesce(sum(k.w*{z}), 0e0) as v, coalesce(sum(case when b.z is not null then k.w end), 0e0) as w
-      from {domain} a cross join {name}_k k left join {source} b on b."row" = a."row" and b.col = a.col + k.d group by all),
+      from {domain} a cross join {name}_k k cross join {name}_e e left join {source} b on b."row" = a."row" and b.col = {_mirrored('a.col + k.d', 'e.c0', 'e.nc')} group by all),
     {name} as (select a."row", a.col, sum(k.w*b.v)/nullif(sum(k.w*b.w), 0) as g
-      from {domain} a cross join {name}_k k join {name}_x b on b.col = a.col and b."row" = a."row" + k.d group by all)"""
+      from {domain} a cross join {name}_k k cross join {name}_e e join {name}_x b on b.col = a.col and b."row" = {_mirrored('a."row" + k.d', 'e.r0', 'e.nr')} group by all)"""
 
 
 HOLED = CELLS + """, src as (select "row", col, min(z) as z from useful where cls in (2, 9, 66) group by all)"""

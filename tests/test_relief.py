@@ -83,19 +83,66 @@ def test_nodata_forms(spark):
     assert known(float("nan")) == [True, False, False, False, True]
 
 
-def test_gaussian_over_block_borders(spark):
-    rng = np.random.default_rng(1)
-    z = rng.normal(0, 1, (50, 41))
-    z[rng.random(z.shape) < 0.2] = np.nan
-    got = to_array(focal.gaussian(to_blocks(spark, z), [7.0], side=SIDE), "g0", z.shape)
-    k = focal.gaussian_weights(7.0)
+def mirrored_mean(z, sigma):
+    """The definition, cell by cell: the array goes on as its mirror image, unknown cells take no part."""
+    k = focal.gaussian_weights(sigma)
     r = len(k) // 2
     known = ~np.isnan(z)
-    num = np.pad(np.where(known, z, 0), r)
-    den = np.pad(known.astype(float), r)
-    smooth = [sum(k[i] * k[j] * a[i:i + 50, j:j + 41] for i in range(len(k)) for j in range(len(k))) for a in (num, den)]
-    want = np.where(known, smooth[0] / smooth[1], np.nan)
-    assert np.allclose(got, want, equal_nan=True)
+    num, den = (np.pad(a, r, mode="symmetric") for a in (np.where(known, z, 0), known.astype(float)))
+    for axis in (0, 1):
+        num, den = (np.apply_along_axis(np.convolve, axis, a, k, "valid") for a in (num, den))
+    with np.errstate(invalid="ignore"):
+        return np.where(known, num / den, np.nan)
+
+
+@pytest.mark.parametrize("sigma", [3.0, 7.0, 30.0])
+def test_gaussian_over_block_borders(spark, sigma):
+    """Also with a reach over several blocks and over the whole raster."""
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 1, (48, 64))
+    z[rng.random(z.shape) < 0.2] = np.nan
+    got = to_array(focal.gaussian(to_blocks(spark, z), [sigma], side=SIDE), "g0", z.shape)
+    assert np.allclose(got, mirrored_mean(z, sigma), equal_nan=True)
+
+
+def test_a_slope_keeps_level_at_the_mirrored_edge(spark):
+    """On a tilted plane, folded half a cell beyond the edge, the mean at the edge is that of a folded normal distribution."""
+    z = np.tile(np.arange(64.0), (32, 1))
+    mean = to_array(focal.gaussian(to_blocks(spark, z), [4.0], side=SIDE), "g0", z.shape)
+    folded = 4.0 * math.sqrt(2 / math.pi) * math.exp(-0.5 * (0.5 / 4.0) ** 2) + 0.5 * math.erf(0.5 / 4.0 / math.sqrt(2))
+    assert np.allclose(mean[:, 20:44], z[:, 20:44]) and np.allclose(mean[5, 0], folded - 0.5, atol=0.02)
+    assert np.allclose(mean[:, 0], 63 - mean[:, -1])
+
+
+@pytest.mark.parametrize("sigma", [24.0, 40.0])
+def test_reduced_level_keeps_its_bound(spark, sigma):
+    """Rough, fully known ground against the exact kernel; the error stays under the bound, the bound is small."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 1, (128, 192)).cumsum(1) + np.where(np.indices((128, 192))[1] > 90, 50.0, 0.0)
+    factor = focal.reduction_factor(sigma, SIDE)
+    assert factor in (2, 4) and focal.reduction_error(sigma, factor) < 0.05
+    got = focal.gaussian_reduced(to_blocks(spark, z), sigma, squares=True, side=SIDE)
+    mean, square = (to_array(got, b, z.shape) for b in ("g0", "s0"))
+    for a, source in ((mean, z), (square, z * z)):
+        bound = focal.reduction_error(sigma, factor) * np.ptp(source) / 2
+        assert np.abs(a - mirrored_mean(source, sigma)).max() <= bound
+
+
+def test_reduced_level_of_a_broad_scale():
+    """The broad band at half a metre: sigma 110 and 200 pixels on blocks of 250, halos within one reduced block."""
+    for sigma in (110.0, 200.0):
+        factor = focal.reduction_factor(sigma, 250)
+        assert factor == 10 and focal.reduction_error(sigma, factor) < 0.04
+        assert len(focal.gaussian_weights(focal.reduced_sigma(sigma, factor))) // 2 <= 80 < 250
+
+
+def test_reduced_level_with_holes(spark):
+    z = np.indices((64, 64))[0] * 0.5
+    z[20:30, 10:50] = np.nan
+    out = focal.gaussian_reduced(to_blocks(spark, z), 24.0, side=SIDE)
+    got = to_array(out, "g0", z.shape)
+    want = mirrored_mean(z, 24.0)
+    assert np.array_equal(np.isnan(got), np.isnan(z)) and np.nanmax(np.abs(got - want)) < 0.2
 
 
 def test_local_relief_keeps_unknown_cells_and_shows_relief(spark):
