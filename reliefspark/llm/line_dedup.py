@@ -2,9 +2,9 @@
 
 Every line with a key becomes one narrow row (two 64-bit hashes of the key, the document, the position).  These
 rows are range-partitioned by hash, document and position, so a key that holds a third of all lines spreads over
-many partitions, and sorted within them.  One pass streams the runs of equal hashes.  A run inside a partition is
-decided on the spot.  A run at a partition's edge may go on next door: its rows are written as undecided together
-with its number of documents, and the at most two such runs per partition are summed and joined afterwards.
+many partitions, and sorted within them.  One pass streams the runs of equal hashes.  A run is decided as soon as it
+has enough documents, and its further rows pass through.  A run at a partition's edge may go on next door: what is
+open about it is written as undecided together with its number of documents, summed and joined afterwards.
 Texts are read twice and shuffled once; the sort moves hashes only.
 
 A line's key is the line without white space (``[\\x20\\x09-\\x0D]``) at its ends, A-Z lower-cased.  Lines without a
@@ -61,62 +61,106 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return source.mapInArrow(run, "key_hi long, key_lo long, row_hi long, row_lo int, position int")
 
 
-def _decide(min_docs: int, keep_first: bool):
-    """Streams sorted rows; gives the lines to drop, and those of runs that touch the partition's edges undecided."""
+#: rows of an undecided run that are held back; totals that are sent to all tasks
+HELD, FEW = 1 << 16, 1 << 20
+_NAMES = ["key_hi", "key_lo", "row_hi", "row_lo", "position", "docs", "edge", "leads"]
 
-    def run(batches: Iterator) -> Iterator:
+
+def _batch(rows, docs=0, edge=False, leads=False):
+    """Output rows; single values stand for all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(rows[0])
+    return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(n, docs, np.int64)), pa.array(np.full(n, edge)), pa.array(np.full(n, leads))], _NAMES)
+
+
+class _OpenRun:
+    """A run whose end has not come yet: its first row, its documents so far, and rows held back while it can stay.
+
+    As soon as enough documents are counted all further rows are handed out as dropped.  Rows beyond ``HELD`` that are
+    still undecided are handed out as such, so a run of any length takes no more memory.
+    """
+
+    def __init__(self, rows, first: bool, min_docs: int):
+        self.key, self.lead = (rows[0][0], rows[1][0]), [x[:1] for x in rows]
+        self.docs, self.last, self.held, self.edge, self.min_docs = 1, (rows[2][0], rows[3][0]), [], first, min_docs
+
+    def take(self, rows) -> Iterator:
+        """Further rows of the run."""
         import numpy as np
-        import pyarrow as pa
 
-        names = ["key_hi", "key_lo", "row_hi", "row_lo", "position", "docs", "edge", "leads"]
+        if not len(rows[0]):
+            return
+        new = np.r_[(rows[2][0], rows[3][0]) != self.last, (rows[2][1:] != rows[2][:-1]) | (rows[3][1:] != rows[3][:-1])]
+        self.docs += int(new.sum())
+        self.last = rows[2][-1], rows[3][-1]
+        self.held.append(rows)
+        if self.docs >= self.min_docs:
+            yield from map(_batch, self.held)
+            self.held = []
+        elif sum(len(x[0]) for x in self.held) > HELD:
+            self.edge = True
+            yield from (_batch(x, 0, True) for x in self.held)
+            self.held = []
+
+    def close(self, keep_first: bool) -> Iterator:
+        """A run at an edge of the partition, or one already handed out in part, tells its documents with its first row."""
+        if self.edge:
+            yield _batch(self.lead, self.docs, True, True)
+            yield from (_batch(x, 0, True) for x in self.held)
+        elif self.docs >= self.min_docs and not keep_first:
+            yield _batch(self.lead)
 
-        def out(rows, keep, docs, edge, leads):
-            columns = [x[keep] for x in rows] + [docs[keep], np.full(int(keep.sum()), edge), leads[keep]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-        rest, first = None, True
+def _decide(min_docs: int, keep_first: bool):
+    """Streams sorted rows; gives the lines to drop, and undecided ones of runs that may go on next door."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        now = None
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(5)]
-            if not len(rows[0]):
+            n = len(rows[0])
+            if not n:
                 continue
-            rows = [np.concatenate(x) for x in zip(rest, rows)] if rest else rows
             starts = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
-            # the last run may go on in the next batch; a long one is handed on in pieces by the count of its documents
-            if len(starts) == 1:
-                rest = rows
-                continue
-            closed = int(starts[-1])
-            rest = [x[closed:] for x in rows]
-            yield from _runs([x[:closed] for x in rows], starts[:-1], first, False, out, min_docs, keep_first)
-            first = False
-        if rest:
-            yield from _runs(rest, np.array([0]), first, True, out, min_docs, keep_first)
+            ends = np.r_[starts[1:], n]
+            if now is None or now.key != (rows[0][0], rows[1][0]):
+                if now is not None:
+                    yield from now.close(keep_first)
+                now, begun = _OpenRun([x[:ends[0]] for x in rows], now is None, min_docs), 1
+            else:
+                begun = 0
+            yield from now.take([x[begun:ends[0]] for x in rows])
+            if len(starts) > 1:
+                yield from now.close(keep_first)
+                low, high = ends[0], starts[-1]
+                yield from _whole_runs([x[low:high] for x in rows], starts[1:-1] - low, min_docs, keep_first)
+                now = _OpenRun([x[high:] for x in rows], False, min_docs)
+                yield from now.take([x[high + 1:] for x in rows])
+        if now is not None:
+            now.edge = True
+            yield from now.close(keep_first)
 
     return run
 
 
-def _runs(rows, starts, first, last, out, min_docs, keep_first):
-    """Decides whole runs of sorted rows; ``first`` and ``last`` tell whether the edges of the partition are among them."""
+def _whole_runs(rows, starts, min_docs: int, keep_first: bool) -> Iterator:
+    """The lines to drop of runs that begin and end in these rows."""
     import numpy as np
 
     n = len(rows[0])
-    sizes = np.diff(np.r_[starts, n])
+    if not n:
+        return
     new_doc = np.r_[True, (rows[2][1:] != rows[2][:-1]) | (rows[3][1:] != rows[3][:-1])]
     new_doc[starts] = True
-    docs = np.repeat(np.add.reduceat(new_doc.astype(np.int64), starts), sizes)
-    leads = np.zeros(n, bool)
-    leads[starts] = True
-    at_edge = np.zeros(n, bool)
-    if first:
-        at_edge[:sizes[0]] = True
-    if last:
-        at_edge[starts[-1]:] = True
-    drop = ~at_edge & (docs >= min_docs)
+    drop = np.repeat(np.add.reduceat(new_doc.astype(np.int64), starts) >= min_docs, np.diff(np.r_[starts, n]))
     if keep_first:
-        drop &= ~leads
-    yield out(rows, drop, docs, False, leads)
-    if at_edge.any():
-        yield out(rows, at_edge, docs, True, leads)
+        drop[starts] = False
+    if drop.any():
+        yield _batch([x[drop] for x in rows])
 
 
 def dropped_lines(lines: DataFrame, min_docs: int, keep_first: bool = False) -> DataFrame:
@@ -131,11 +175,12 @@ def dropped_lines(lines: DataFrame, min_docs: int, keep_first: bool = False) ->
     runs = lines.repartitionByRange(width, *order[:4]).sortWithinPartitions(*order)
     runs = stored(runs.mapInArrow(_decide(min_docs, keep_first), schema), "line-runs")
     edges = runs.where("edge")
-    # one row per undecided run and partition: its documents, and where it starts
+    # one row per run at an edge of a partition, or with over HELD rows of too few documents: its documents, and where it starts
     first = F.min(F.struct("row_hi", "row_lo", "position")).alias("first")
     totals = edges.where("leads").groupBy(*_RUN).agg(F.sum("docs").alias("all_docs"), first).where(F.col("all_docs") >= min_docs)
-    # at most two runs per partition: a side with a proven bound, so that no key's rows meet in one task
-    undecided = edges.drop("docs", "leads").join(F.broadcast(totals), list(_RUN))
+    # mostly two runs per partition; counted first, so that no key's rows meet in one task unless there are too many of them
+    few = totals.count() <= FEW
+    undecided = edges.drop("docs", "leads").join(F.broadcast(totals) if few else totals, list(_RUN))
     if keep_first:
         undecided = undecided.where(F.struct("row_hi", "row_lo", "position") != F.col("first"))
     columns = order[2:]

@@ -173,13 +173,20 @@ def _all_words(stretch: Stretch, filters: dict) -> Iterator:
     yield stretch.whole[1], 1
 
 
-def _longer_by_one(m: int):
-    """Windows of m words that extend a phrase of the filter ``prefix`` by a frequent word."""
+def _longer(begun: int, sizes: tuple):
+    """Windows of each size that extend a phrase of ``begun`` words of the filter ``prefix`` by frequent words."""
 
     def choose(stretch: Stretch, filters: dict) -> Iterator:
-        if len(stretch.words) >= m:
-            begun, common = stretch.in_filter(m - 1, filters["prefix"]), stretch.in_filter(1, filters["word"])
-            yield stretch.window(m)[1] & begun[:-1] & common[m - 1:], m
+        if len(stretch.words) <= begun:
+            return
+        prefix, common = stretch.in_filter(begun, filters["prefix"]), stretch.in_filter(1, filters["word"])
+        for m in sizes:
+            if len(stretch.words) >= m:
+                n = len(stretch.words) - m + 1
+                wanted = stretch.window(m)[1] & prefix[:n]
+                for k in range(begun, m):
+                    wanted &= common[k:k + n]
+                yield wanted, m
 
     return choose
 
@@ -200,13 +207,16 @@ def _rests_and_fronts(most: int):
 
 def _grown(source: DataFrame, words: DataFrame, common: tuple, least: int, most: int, size: int) -> DataFrame:
     """``lang, phrase, f, m``: all phrases of 2 to ``most`` words with at least ``least`` occurrences that begin with ``words``."""
-    out, prefix = None, words
+    out, prefix, size_of_prefix = None, words, 1
     begun = words.select("lang", F.col("phrase").alias("head"))
-    for m in range(2, most + 1):
-        level = _count(source, _longer_by_one(m), {"word": common, "prefix": (filter_bits(prefix, size), size)})
+    while size_of_prefix < most:
+        # few phrases are longer than three words: two sizes in one look at the texts
+        sizes = tuple(range(size_of_prefix + 1, min(size_of_prefix + (2 if size_of_prefix >= 3 else 1), most) + 1))
+        level = _count(source, _longer(size_of_prefix, sizes), {"word": common, "prefix": (filter_bits(prefix, size), size)})
         level = level.where(F.col("f") >= least).withColumn("head", F.split("phrase", " ")[0]).join(begun, ["lang", "head"], "left_semi")
-        level = stored(level.select("lang", "phrase", "f", F.lit(m).alias("m")), "phrases")
-        prefix, out = level, level if out is None else out.unionByName(level)
+        level = stored(level.select("lang", "phrase", "f", F.size(F.split("phrase", " ")).alias("m")), "phrases")
+        size_of_prefix = sizes[-1]
+        prefix, out = level.where(F.col("m") == size_of_prefix), level if out is None else out.unionByName(level)
         if level.isEmpty():
             break
     return out

@@ -38,39 +38,50 @@ def _before(z: np.ndarray, position: np.ndarray, value: np.ndarray) -> tuple[np.
     return np.arange(side)[None, :] - found, values
 
 
-def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep: Sequence[str] = (),
-               domain: DataFrame | None = None) -> DataFrame:
+def fill_holes(blocks: DataFrame, band: str | dict[str, int], reach: int | None = None, side: int = BLOCK, keep: Sequence[str] = (),
+               domain: DataFrame | None = None, per_tile: int | None = None) -> DataFrame:
     """``band`` filled for every block given; bands in ``keep`` stay as they are.
 
+    A dict of bands and reaches fills several bands in one exchange.
     ``domain`` (distinct raster_id, brow, bcol) names further blocks to fill, so that tiles come out complete
-    even where whole blocks hold no data; each of them costs one empty message.
+    even where whole blocks hold no data; each of them costs one empty message.  ``per_tile`` does the same without
+    a table of blocks: every block calls up the others of its tile of ``per_tile`` x ``per_tile`` blocks.
     """
-    steps = -(-reach // side)
+    reaches = band if isinstance(band, dict) else {band: reach}
+    names, count = list(reaches), len(reaches)
+    steps = {n: -(-r // side) for n, r in reaches.items()}
+    most = max(steps.values())
     # the four views turn every direction into "look back along the row"
     views = (lambda a: a, lambda a: a[:, ::-1], lambda a: a.T, lambda a: a.T[:, ::-1])
     moves = ((0, 1), (0, -1), (1, 0), (-1, 0))
 
-    present = 1 + 4 * steps
+    present = 1 + 4 * most * count
+
+    def part_of(way: int, step: int, k: int) -> int:
+        return 1 + (way * most + step - 1) * count + k
 
     def send(brow, bcol, arrays):
-        z = arrays[0]
         yield brow, bcol, 0, np.stack(arrays)
-        for way, (dr, dc) in enumerate(moves):
-            position, value = _last_known(views[way](z))
-            if (position >= 0).any():
-                for step in range(1, steps + 1):
-                    yield brow + dr * step, bcol + dc * step, 1 + way * steps + step - 1, np.stack([position, value])
-
-    def combine(brow, bcol, parts):
-        if 0 not in parts and present not in parts:
-            return None
-        own = parts.get(0, np.full((1 + len(keep)) * side * side, np.nan))
-        z, *kept = own.reshape(1 + len(keep), side, side)
+        if per_tile:
+            top, left = brow // per_tile * per_tile, bcol // per_tile * per_tile
+            for r in range(top, top + per_tile):
+                for c in range(left, left + per_tile):
+                    if (r, c) != (brow, bcol):
+                        yield r, c, present, np.empty(0)
+        for k, name in enumerate(names):
+            for way, (dr, dc) in enumerate(moves):
+                position, value = _last_known(views[way](arrays[k]))
+                if (position >= 0).any():
+                    for step in range(1, steps[name] + 1):
+                        yield brow + dr * step, bcol + dc * step, part_of(way, step, k), np.stack([position, value])
+
+    def filled(z: np.ndarray, parts: dict, k: int) -> np.ndarray:
+        reach = reaches[names[k]]
         weighted, weights = [], []
         for way, view in enumerate(views):
             position, value = np.full(side, -np.inf), np.full(side, np.nan)
-            for step in range(steps, 0, -1):
-                part = parts.get(1 + way * steps + step - 1)
+            for step in range(steps[names[k]], 0, -1):
+                part = parts.get(part_of(way, step, k))
                 if part is not None:
                     at, found = part.reshape(2, side)
                     use = at >= 0
@@ -88,7 +99,13 @@ def fill_holes(blocks: DataFrame, band: str, reach: int, side: int = BLOCK, keep
         value_sum = ((weighted[0] + weighted[1]) + weighted[2]) + weighted[3]
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = np.where(total > 0, value_sum / total, np.nan)
-        return {band: np.where(np.isnan(z), mean, z), **dict(zip(keep, kept))}
+        return np.where(np.isnan(z), mean, z)
+
+    def combine(brow, bcol, parts):
+        if 0 not in parts and present not in parts:
+            return None
+        own = parts.get(0, np.full((count + len(keep)) * side * side, np.nan)).reshape(-1, side, side)
+        return {n: filled(own[k], parts, k) for k, n in enumerate(names)} | dict(zip(keep, own[count:]))
 
-    bands = [band, *keep]
+    bands = [*names, *keep]
     return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side, domain, present)

@@ -163,11 +163,16 @@ def tile_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, area: str | No
     return _blocks_of_tiles(points.select(_raster(area), grid.row().alias("row"), grid.col().alias("col")), grid, side)
 
 
-def _blocks_of_tiles(cells: DataFrame, grid: Grid, side: int) -> DataFrame:
-    """All blocks of the nominal tiles that hold at least one of the cells; the tiles are found once, by key."""
+def _per_tile(grid: Grid, side: int) -> int:
+    """Blocks along a side of a nominal tile."""
     if side < 1 or grid.tile_cells % side:
         raise ValueError(f"the block side must divide the tile side: {side}, {grid.tile_cells}")
-    per_tile = grid.tile_cells // side
+    return grid.tile_cells // side
+
+
+def _blocks_of_tiles(cells: DataFrame, grid: Grid, side: int) -> DataFrame:
+    """All blocks of the nominal tiles that hold at least one of the cells; the tiles are found once, by key."""
+    per_tile = _per_tile(grid, side)
     tiles = cells.select(
         "raster_id", floor_long(F.col("row") / F.lit(grid.tile_cells)).alias("ty"), floor_long(F.col("col") / F.lit(grid.tile_cells)).alias("tx")).distinct()
     steps = F.sequence(F.lit(0), F.lit(per_tile - 1))
@@ -243,8 +248,7 @@ def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max
     used = points.filter(F.col("cls").isin(*classes)) if minimum is None else ground_or_all(points, classes, minimum)
     lowest = used.select(_raster(area), grid.cell().alias("cell"), "z").groupBy("raster_id", "cell").agg(F.min("z").alias("z"))
     cells = lowest.select("raster_id", key_row().alias("row"), key_col().alias("col"), "z")
-    return fill.fill_holes(
-        cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, domain=_blocks_of_tiles(cells, grid, side))
+    return fill.fill_holes(cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, per_tile=_per_tile(grid, side))
 
 
 def points_to_dtm(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
@@ -271,31 +275,66 @@ def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax
     bands = ("z_ref", "z_ground", "z_first", "z_last")
     raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_first": low}, {"z_last": low}, area)
     blocks = fill.fill_holes(
-        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], domain=_blocks_of_tiles(raw, grid, side))
+        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], per_tile=_per_tile(grid, side))
+    return _reinjected(blocks, keep_classes(useful, low), grid, hmin, hmax, side, area).select(*KEYS, "z_ref", "z_ground", "z_low")
+
 
+def _reinjected(blocks: DataFrame, low: DataFrame, grid: Grid, hmin: float, hmax: float, side: int, area: str | None, carry: Sequence[str] = ()) -> DataFrame:
+    """Blocks with ``z_ref, z_ground, z_low`` and the bands of ``carry`` from those with ``z_ref, z_ground, z_first, z_last``.
+
+    ``low`` are the points that may be put back.
+    """
     def in_band(height):
         return (height >= hmin) & (height <= hmax)
 
     salts = 4
+    bands = ("z_ref", "z_ground", "z_first", "z_last")
     reference, first, last = F.col("z_ref"), F.col("z_first"), F.col("z_last")
     undecided = (
         blocks_to_cells(blocks, bands, side)
         .filter(F.col("z_ground").isNull() & (first - reference < hmin) & (last - reference >= hmin))
         .select("raster_id", cell_key("row", "col").alias("cell"), "z_ref", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    candidates = keep_classes(useful, low).select(
-        _raster(area), grid.cell().alias("cell"), "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
+    candidates = low.select(_raster(area), grid.cell().alias("cell"), "z", F.pmod(F.hash("z"), F.lit(salts)).alias("salt"))
     found = (
         candidates.join(undecided.hint("shuffle_hash"), ["raster_id", "cell", "salt"])
         .filter(in_band(F.col("z") - reference)).groupBy("raster_id", "cell").agg(F.min("z").alias("z_found"))
         .select("raster_id", key_row().alias("row"), key_col().alias("col"), "z_found")
     )
     joined = fill_domain(
-        cells_to_blocks(found, ["z_found"], side), blocks, ["z_found"], side, carry=("z_ref", "z_ground", "z_first"))
+        cells_to_blocks(found, ["z_found"], side), blocks, ["z_found"], side, carry=("z_ref", "z_ground", "z_first", *carry))
     decided = F.transform(
         F.arrays_zip("z_ref", "z_ground", "z_first", "z_found"),
         lambda v: F.when(v.z_ground.isNull(), F.when(in_band(v.z_first - v.z_ref), v.z_first).otherwise(v.z_found)))
-    return joined.select(*KEYS, "z_ref", "z_ground", decided.alias("z_low"))
+    return joined.select(*KEYS, "z_ref", "z_ground", decided.alias("z_low"), *carry)
+
+
+def both_models(points: DataFrame, grid: Grid, side: int = BLOCK, hmin: float = HEIGHT_MIN, hmax: float = HEIGHT_MAX,
+                classes_low: Sequence[int] = LOW_CLASSES, classes_ground: Sequence[int] = GROUND_CLASSES, ref_ground: Sequence[int] = REFERENCE_CLASSES,
+                feature_fill_m: float = 200.0, bare_fill_m: float = 100.0, area: str | None = None) -> DataFrame:
+    """Feature model and bare-earth model as blocks with the bands ``z_feature`` and ``z_bare``, from one binning.
+
+    One aggregate gives the cells of both models (withheld points count for bare earth only, as in ``dtm_blocks`` without
+    a check for clouds without ground), one exchange fills both with their own reach, and the last fill carries the bare model along.
+    Tiles that hold a point of either model are filled.
+    """
+    clean = ~F.col("cls").isin(*NOISE_CLASSES) & ~F.coalesce(F.col("withheld"), F.lit(False))
+
+    def of(classes: Sequence[int], condition: Column = F.lit(True)) -> Column:
+        return F.when(F.col("cls").isin(*classes) & condition, F.col("z"))
+
+    low, ground, per_tile = list(classes_low), list(classes_ground), _per_tile(grid, side)
+    used = points.filter((F.col("cls").isin(*sorted({*low, *ground, *ref_ground})) & clean) | F.col("cls").isin(*ground))
+    bands = ("z_ref", "z_bare", "z_ground", "z_first", "z_last")
+    raw = used.select(_raster(area), grid.cell().alias("cell"), "z", "cls", "withheld").groupBy("raster_id", "cell").agg(
+        F.min(of(ref_ground, clean)).alias("z_ref"), F.min(of(ground)).alias("z_bare"), F.min(of(ground, clean)).alias("z_ground"),
+        F.min(of(low, clean)).alias("z_first"), F.max(of(low, clean)).alias("z_last"))
+    cells = raw.select("raster_id", key_row().alias("row"), key_col().alias("col"), *bands)
+    wide, narrow = int(feature_fill_m / grid.res), int(bare_fill_m / grid.res)
+    blocks = fill.fill_holes(cells_to_blocks(cells, bands, side), {"z_ref": wide, "z_bare": narrow}, side=side, keep=bands[2:], per_tile=per_tile)
+    decided = _reinjected(blocks, keep_classes(drop_noise(points), low), grid, hmin, hmax, side, area, carry=("z_bare",))
+    model = decided.select(*KEYS, F.zip_with("z_ground", "z_low", lambda g, low: F.coalesce(g, low)).alias("z_feature"), "z_bare")
+    return fill.fill_holes(model, {"z_feature": wide}, side=side, keep=["z_bare"])
 
 
 def points_to_dfm(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: float = 200.0, **settings) -> DataFrame:
@@ -342,6 +381,11 @@ def model_difference(feature: DataFrame, bare: DataFrame, threshold_m: float | N
 def block_difference(feature: DataFrame, bare: DataFrame, threshold_m: float, side: int = BLOCK) -> DataFrame:
     """``model_difference`` of two models as blocks: they meet block by block, and only cells above the threshold become rows."""
     both = feature.select(*KEYS, F.col("z").alias("z_feature")).join(bare.select(*KEYS, F.col("z").alias("z_bare")), list(KEYS))
+    return standing_out(both, threshold_m, side)
+
+
+def standing_out(both: DataFrame, threshold_m: float, side: int = BLOCK) -> DataFrame:
+    """Cells of blocks with ``z_feature`` and ``z_bare`` whose ``delta`` is above the threshold."""
     delta = F.zip_with("z_feature", "z_bare", lambda a, b: F.when(a - b > F.lit(float(threshold_m)), a - b))
     # all bands are empty but where the difference stands out
     out = both.withColumn("delta", delta).filter(F.exists("delta", lambda d: d.isNotNull()))

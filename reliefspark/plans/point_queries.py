@@ -14,10 +14,7 @@ from reliefspark.session import table
 
 def standing_structures(spark, sf_dir, threshold_m=0.4):
     """Cells where the feature model stands above the bare ground, and by how much."""
-    cloud = fx.points(spark, sf_dir)
-    feature = P.dfm_blocks(cloud, GRID, side=SIDE)
-    bare = P.dtm_blocks(cloud, GRID, classes=P.GROUND_CLASSES, max_fill_m=100.0, side=SIDE, minimum=None)
-    return P.block_difference(feature, bare, threshold_m, SIDE)
+    return P.standing_out(P.both_models(fx.points(spark, sf_dir), GRID, SIDE), threshold_m, SIDE)
 
 
 @query("standing_structures", f"""with {FEATURE}, bare_raw as (select "row", col, min(z) as z from addr where cls in (2, 9, 66) group by all),
