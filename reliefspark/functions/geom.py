@@ -120,3 +120,35 @@ def clip_ring(points: np.ndarray, x0: float, y0: float, x1: float, y1: float) ->
         both = np.stack([ring, cut], axis=1).reshape(-1, 2)
         ring = both[np.stack([inside, crosses], axis=1).reshape(-1)]
     return np.vstack([ring, ring[:1]]) if len(ring) else ring.reshape(0, 2)
+
+
+def clipped_ring(ring, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """Part of a ring inside a rectangle, closed, or an empty array: one half-plane after the other, in the JVM."""
+    planes = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(float(bound)).alias("bound"), F.lit(sign).alias("sign"))
+                       for axis, bound, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0))])
+
+    def vertex(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def half(left: Column, plane: Column) -> Column:
+        upright = plane.axis == 0
+
+        def depth(p: Column) -> Column:
+            return plane.sign * (F.when(upright, p.x).otherwise(p.y) - plane.bound)
+
+        def kept(p: Column, q: Column) -> Column:
+            here, there = depth(p), depth(q)
+            share = here / (here - there)
+            cut = vertex(F.when(upright, plane.bound).otherwise(p.x + share * (q.x - p.x)), F.when(upright, p.y + share * (q.y - p.y)).otherwise(plane.bound))
+            crosses = (here >= 0) != (there >= 0)
+            return (F.when((here >= 0) & crosses, F.array(p, cut)).when(here >= 0, F.array(p)).when(crosses, F.array(cut))
+                    .otherwise(F.array().cast("array<struct<x: double, y: double>>")))
+
+        # neighbours side by side; the last vertex meets the first
+        following = F.concat(F.slice(left, 2, F.size(left)), F.slice(left, 1, 1))
+        return F.flatten(F.zip_with(left, following, kept))
+
+    ring = F.transform(_c(ring), lambda p: vertex(p.x.cast("double"), p.y.cast("double")))
+    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    left = F.aggregate(planes, F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring), half)
+    return F.transform(F.array(left), lambda r: F.concat(r, F.slice(r, 1, 1)))[0]

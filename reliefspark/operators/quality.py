@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import _c
+from reliefspark.session import staging_folder
 
 # Error texts that mean the network failed, coordinate systems without ground metres.
 TRANSPORT_ERRORS = (
@@ -84,15 +85,54 @@ def status_summary(results: DataFrame) -> DataFrame:
         F.count_if((F.col("status") == "FAIL") & is_transport_error("detail")).alias("n_retry"))
 
 
+def exact_percentiles(counts: DataFrame, shares: dict[str, float], group: str, buckets: int = 1024) -> DataFrame:
+    """Percentiles of whole numbers ``step`` that occur ``n`` times, interpolated: the group and a column per share.
+
+    The two ranks that a share lies between are looked for in rounds.  A round counts what falls into each of ``buckets``
+    equal parts of the range that is left for a rank and goes on in the part that holds it, so after a few rounds the part is
+    one number.  No task ever sees more than ``buckets`` rows of a rank, however many different numbers there are.
+    ``counts`` is read once a round: give a stored table.
+    """
+    spark = counts.sparkSession
+    limits = counts.groupBy(group).agg(F.min("step").alias("low"), F.max("step").alias("high"), F.sum("n").alias("total"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("share"), (F.lit(float(p)) * (F.col("total") - 1)).alias("rank")) for name, p in shares.items()])).alias("w")
+    ends = F.explode(F.array(F.floor("w.rank"), F.ceil("w.rank"))).alias("rank")
+    found = limits.select(group, "low", "high", "total", wanted).select(group, F.col("w.share").alias("share"), F.col("w.rank").alias("exact"), "low", "high", ends)
+    found = found.distinct().withColumn("before", F.lit(0).cast("bigint"))
+    width = F.ceil((F.col("high") - F.col("low") + 1) / F.lit(buckets)).cast("bigint")
+    keys = [group, "share", "exact", "rank"]
+    while True:
+        folder = staging_folder(spark, "ranks")
+        found.write.parquet(folder)
+        found = spark.read.schema(found.schema).parquet(folder)
+        widest = found.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+        if not widest:
+            break
+        inside = counts.join(found, group).filter(F.col("step").between(F.col("low"), F.col("high")))
+        parts = inside.groupBy(*keys, "low", "high", "before", F.floor((F.col("step") - F.col("low")) / width).cast("bigint").alias("part")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("part"))
+        parts = parts.withColumn("upto", F.col("before") + upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        start = F.col("low") + F.col("part") * width
+        found = parts.select(*keys, start.alias("low"), F.least("high", start + width - 1).alias("high"), (F.col("upto") - F.col("n")).cast("bigint").alias("before"))
+        found = found.select(group, "share", "exact", "low", "high", "rank", "before")
+    values = found.groupBy(group, "share", "exact").agg(F.min("low").alias("a"), F.max("low").alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("exact") - F.floor("exact"))
+    return values.groupBy(group).agg(*[F.max(F.when(F.col("share") == name, value)).alias(name) for name in shares])
+
+
 def raster_difference(first: DataFrame, second: DataFrame, value: str, digits: int = 6) -> DataFrame:
-    """Mean and 95th percentile of the absolute difference of two rasters on the same cells."""
+    """Mean and 95th percentile of the absolute difference of two rasters on the same cells, rounded to ``digits``."""
     scale = float(10**digits)
+    spark = first.sparkSession
     steps = (
         first.select("raster_id", "row", "col", F.col(value).alias("a"))
         .join(second.select("raster_id", "row", "col", F.col(value).alias("b")), ["raster_id", "row", "col"])
         .groupBy(F.floor(F.abs(F.col("a") - F.col("b")) * scale + 0.5).cast("bigint").alias("step"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")).filter("step is not null")
     )
-    return steps.agg(
-        F.sum("n").alias("n_cells"), (F.sum(F.col("step") * F.col("n")) / F.sum("n") / scale).alias("mean_abs"),
-        (F.percentile("step", F.lit(0.95), F.col("n")) / scale).alias("p95_abs"))
+    folder = staging_folder(spark, "differences")
+    steps.write.parquet(folder)
+    steps = spark.read.schema(steps.schema).parquet(folder).withColumn("all", F.lit(0))
+    mean = steps.groupBy("all").agg(F.sum("n").alias("n_cells"), (F.sum(F.col("step") * F.col("n")) / F.sum("n") / scale).alias("mean_abs"))
+    high = exact_percentiles(steps, {"p95": 0.95}, "all")
+    return mean.join(high, "all", "left").select("n_cells", "mean_abs", (F.col("p95") / scale).alias("p95_abs"))

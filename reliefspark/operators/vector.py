@@ -158,10 +158,10 @@ def simplify(features: DataFrame, tolerance: str = "tolerance") -> DataFrame:
 
 
 def clip_polygons(features: DataFrame, box: Sequence[float]) -> DataFrame:
-    """Polygon rings cut to a rectangle; the box test runs before any geometry leaves the JVM."""
+    """Polygon rings cut to a rectangle without leaving the JVM; rings outside vanish, and polygons without any left."""
     x0, y0, x1, y1 = (float(v) for v in box)
-    clipped = _map_rings(in_area(features, box), lambda ring, _: geom.clip_ring(ring, x0, y0, x1, y1), F.lit(0.0))
-    return clipped.filter(F.size("rings") > 0)
+    clipped = F.filter(F.transform("rings", lambda ring: geom.clipped_ring(ring, x0, y0, x1, y1)), lambda ring: F.size(ring) > 0)
+    return in_area(features, box).withColumn("rings", clipped).filter(F.size("rings") > 0)
 
 
 # -- segments and tiles ---------------------------------------------------------------------------

@@ -198,6 +198,24 @@ def test_segment_and_box_cases(spark):
         assert one(spark, column).hit is want
 
 
+def test_rings_are_clipped_alike_in_the_jvm(spark):
+    rng = np.random.default_rng(8)
+    rings = [rng.uniform(-6, 16, (rng.integers(3, 9), 2)) for _ in range(120)]
+    rings = [np.vstack([r, r[:1]]) if i % 2 else r for i, r in enumerate(rings)] + [np.zeros((0, 2)), np.array([[5.0, 5.0]]), np.array([[0, 0], [10, 0], [10, 10], [0, 10.0]])]
+    rows = [(i, [[(float(x), float(y)) for x, y in r]]) for i, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>")
+    got = {r.id: np.array([(p.x, p.y) for p in r.ring]).reshape(-1, 2) for r in df.select("id", geom.clipped_ring(df.rings[0], 0, 0, 10, 10).alias("ring")).collect()}
+    for i, ring in enumerate(rings):
+        want = geom.clip_ring(ring, 0.0, 0.0, 10.0, 10.0)
+        assert got[i].shape == want.shape and np.allclose(got[i], want), i
+
+
+def test_clipping_runs_without_python(spark, capsys):
+    df = spark.createDataFrame([(1, [[(0.0, 0.0), (5.0, 0.0), (5.0, 5.0)]])], "id int, rings array<array<struct<x: double, y: double>>>")
+    V.clip_polygons(df, (1, 1, 3, 3)).explain()
+    assert "Python" not in capsys.readouterr().out
+
+
 def test_clip_and_simplify():
     def clip(*points):
         return geom.clip_ring(np.array(points, dtype=float), 0, 0, 10, 10)

@@ -227,3 +227,29 @@ def test_percentiles_are_exact(spark):
     df = spark.createDataFrame([("r", i, 0, float(x)) for i, x in enumerate(v)], "raster_id string, row long, col long, v double")
     b = focal.percentile_bounds(df, "v", 0.05, 0.95).first()
     assert np.allclose([b.p_low, b.p_high], np.percentile(v, [5, 95]))
+
+
+def test_exact_percentiles_of_many_numbers(spark):
+    """More different numbers than buckets, several groups, ties, one row, and a group without spread."""
+    from reliefspark.operators import quality
+
+    rng = np.random.default_rng(3)
+    groups = {0: rng.integers(0, 10**9, 4000), 1: rng.integers(-500, 500, 3000), 2: np.array([7]), 3: np.array([5] * 10), 4: np.array([1, 10**12])}
+    rows = [(g, int(v)) for g, values in groups.items() for v in values]
+    counts = spark.createDataFrame(rows, "g int, step long").groupBy("g", "step").agg(F.count("*").alias("n")).cache()
+    shares = {"low": 0.02, "mid": 0.5, "high": 0.95, "last": 1.0}
+    got = {r.g: r for r in quality.exact_percentiles(counts, shares, "g", buckets=16).collect()}
+    for g, values in groups.items():
+        for name, p in shares.items():
+            assert got[g][name] == pytest.approx(np.percentile(values, 100 * p), rel=1e-12), (g, name)
+
+
+def test_raster_difference_with_six_digits(spark):
+    from reliefspark.operators import quality
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, 3000), rng.normal(0, 1, 3000)
+    df = spark.createDataFrame([("r", i, 0, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "raster_id string, row long, col long, a double, b double")
+    got = quality.raster_difference(df.withColumnRenamed("a", "z"), df.withColumnRenamed("b", "z"), "z", digits=6).first()
+    steps = np.floor(np.abs(a - b) * 1e6 + 0.5)
+    assert got.n_cells == 3000 and got.p95_abs == pytest.approx(np.percentile(steps, 95) / 1e6, abs=1e-9) and got.mean_abs == pytest.approx(steps.mean() / 1e6)
