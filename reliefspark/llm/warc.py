@@ -7,7 +7,8 @@ of a key must agree in length and SHA-1; while reading, the stored bytes must gi
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the
 others revisit it; shorter ones are all responses.  A null html is an empty payload; a null url an empty target.  A
 repeated id with the same payload gives equal records, each a response if the id is the largest.  A null id is never
-the largest unless all ids of the payload are null.
+the largest unless all ids of the payload are null.  Line breaks cannot stand in a header: those of a url are written
+as %0D and %0A.  A payload is one value of a row, so a very long one has to fit into a task's memory once or twice.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def _header(kind: Column, record_id: Column, url: Column, sha1: Column, size: Co
     revisit = kind == "revisit"
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), _name(record_id)),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", "%0A")),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"), F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
         F.when(revisit, F.lit(f"WARC-Profile: {_PROFILE}")), F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _name(refers))),
         F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(size).cast("string"))]
@@ -70,24 +71,51 @@ def read_archive(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """``record_id, record``: the bytes of every record as an archive file holds them; a revisit has no payload of its own."""
+    """``record_id, record``: the bytes of every record as an archive file holds them.
+
+    Responses meet their payloads; a revisit has none of its own, so its payload is not carried to it either.
+    """
     headers, payloads = read_archive(spark, folder)
-    body = F.when(_field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    return headers.join(payloads, "payload_key").select("record_id", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"))
+    revisit = _field(F.col("header"), "WARC-Type") == "revisit"
+
+    def record(*body: Column) -> Column:
+        return F.concat(F.encode("header", "UTF-8"), *body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record")
+
+    full = headers.where(~revisit).join(payloads, "payload_key").select("record_id", record(F.col("payload")))
+    return full.unionAll(headers.where(revisit).select("record_id", record()))
+
+
+def parsed(found: DataFrame) -> DataFrame:
+    """``record_id, kind, told, size, digest, refers`` of records, from their bytes alone.
+
+    ``told`` is the digest in the header, ``size`` and ``digest`` are those of the bytes behind it.
+    """
+    header = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    lines = F.concat(header, F.lit("\r\n"))
+    body = F.substr(F.col("record"), F.octet_length("header") + 3, F.octet_length("record") - F.octet_length("header") - 6)
+    kind = found.schema["record_id"].dataType
+    refers = F.nullif(F.regexp_extract(_field(F.col("header"), "WARC-Refers-To"), "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    length = _field(F.col("header"), "Content-Length").cast("long")
+    size = F.when(F.octet_length(body) == length, length).otherwise(F.raise_error(F.lit("a record is not as long as its header says")))
+    return found.select("record_id", "record", lines.alias("header")).select(
+        "record_id", _field(F.col("header"), "WARC-Type").alias("kind"), F.regexp_replace(_field(F.col("header"), "WARC-Payload-Digest"), "^sha1:", "").alias("told"),
+        size.alias("size"), F.sha1(body).alias("digest"), refers.alias("refers"))
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Per record: id, size and SHA-1 of the full payload (from its stored bytes), type and the id it refers to (from its header)."""
-    headers, payloads = read_archive(spark, folder)
-    header = F.col("header")
-    facts = payloads.select("payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    told = F.regexp_replace(_field(header, "WARC-Payload-Digest"), "^sha1:", "")
-    digest = F.when(F.col("payload_digest") == told, told).otherwise(F.raise_error(F.lit("a header does not match its payload")))
-    kind = headers.schema["record_id"].dataType
-    refers = F.nullif(F.regexp_extract(_field(header, "WARC-Refers-To"), "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
-    return headers.join(facts, "payload_key").select(
-        "record_id", "payload_bytes", digest.alias("payload_digest"), _field(header, "WARC-Type").alias("record_type"), refers.alias("refers_to"))
+    """Per record: id, size and SHA-1 of the full payload, type and the id it refers to, all read from the rebuilt records.
+
+    A revisit takes its size from the response it refers to, found by id and digest.
+    """
+    facts = stored(parsed(records(spark, folder)), "records")
+    agrees = F.when(F.col("digest") == F.col("told"), F.col("digest")).otherwise(F.raise_error(F.lit("a header does not match its payload")))
+    responses = facts.where("kind = 'response'").select("record_id", F.col("size").alias("payload_bytes"), agrees.alias("payload_digest"), "kind", "refers")
+    # one row per response that may be referred to; the ids of repeated rows give it more than once
+    sizes = responses.select(F.coalesce(F.col("record_id").cast("string"), F.lit("")).alias("name"), F.col("payload_digest").alias("told"), "payload_bytes").distinct()
+    revisits = facts.where("kind = 'revisit'").withColumn("name", F.coalesce(F.col("refers").cast("string"), F.lit("")))
+    back = revisits.join(sizes, ["name", "told"], "left").select(
+        "record_id", F.coalesce("payload_bytes", F.raise_error(F.lit("a revisit refers to no response")).cast("long")).alias("payload_bytes"), F.col("told").alias("payload_digest"), "kind", "refers")
+    return responses.unionAll(back).select("record_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
 def archive(pages: DataFrame, **columns: str) -> str:
