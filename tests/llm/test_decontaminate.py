@@ -48,3 +48,24 @@ def test_nothing_to_find(spark):
     out = decontaminate.scan(awkward(spark), bench)
     assert out.count() == len(ROWS) and out.where("n_hit > 0 or size(items) > 0").count() == 0
     assert decontaminate.scan(awkward(spark, []), bench).count() == 0
+
+
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    """Several blocks: each is fetched when the one before it is done, and a worker holds one automaton."""
+    items = [(i, f"item {i} alpha beta gamma delta epsilon zeta eta theta iota") for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"before Item {i} alpha beta gamma delta epsilon zeta eta theta iota after") for i in range(40)] + [(50, None)]
+    blocks = list(decontaminate.item_blocks(bench, block_bytes=600))
+    assert len(blocks) >= 3 and sum(map(len, blocks)) == 40
+    built, kept = [], {}
+    monkeypatch.setattr(decontaminate, "per_worker", lambda key, build: kept.setdefault(key, build()))
+    monkeypatch.setattr(decontaminate, "Windows", lambda held, width: built.append(held) or held)
+    for mark in ("a", "a", "b", "c"):
+        decontaminate._one_automaton(type("Held", (), {"value": mark}), mark, 10)
+        assert list(kept[("windows",)]) == [mark]
+    assert built == ["a", "b", "c"]
+    monkeypatch.undo()
+    want = sorted(((i, *brute(t, items, 10)) for i, t in rows), key=repr)
+    out = decontaminate.scan(awkward(spark, rows), bench, 10, block_bytes=600)
+    assert by_id(out, "n_words", "n_hit", "items") == want
+    assert {tuple(rows[r.doc_id][1][s.start:s.end] for s in r.spans) for r in out.where("doc_id = 7").collect()} == {("Item 7 alpha beta gamma delta epsilon zeta eta theta iota",)}
