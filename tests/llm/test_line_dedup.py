@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from tables import ROWS, awkward
 
@@ -68,3 +69,43 @@ def test_key_length(spark):
     docs = awkward(spark, [(i, "é\nab") for i in range(5)])
     out = line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs, 3, min_key_chars=2))
     assert {r.kept_text for r in out.collect()} == {"é"}
+
+
+def sorted_batches(rows, size):
+    rows = sorted(rows)
+    for i in range(0, len(rows), size):
+        part = list(zip(*rows[i:i + size]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part[:3]] + [pa.array(x, pa.int32()) for x in part[3:]], ["key_hi", "key_lo", "row_hi", "row_lo", "position"])
+
+
+@pytest.mark.parametrize("docs_of_key", [40_000, 5])
+def test_a_hot_run_passes_through(docs_of_key, monkeypatch):
+    """One key over many batches: what is held back stays bounded, also if few documents hold it."""
+    monkeypatch.setattr(line_dedup, "HELD", 3000)
+    rows = [(1, 1, i % docs_of_key, 0, i) for i in range(40_000)] + [(2, 2, i, 0, 0) for i in range(12)] + [(3, 3, 1, 0, 0)]
+    taken, given = 0, []
+
+    def counted():
+        nonlocal taken
+        for batch in sorted_batches(rows, 500):
+            assert taken - sum(b.num_rows for b in given) <= 3000 + 500 + 12
+            taken += batch.num_rows
+            yield batch
+
+    for batch in line_dedup._decide(10, True)(counted()):
+        given.append(batch)
+    out = [r for b in given for r in b.to_pylist()]
+    hot = [r for r in out if r["key_hi"] == 1]
+    assert len(hot) == 40_000 and sum(r["docs"] for r in hot if r["leads"]) == docs_of_key and sum(r["leads"] for r in hot) == 1
+    assert all(r["edge"] for r in hot) if docs_of_key == 5 else sum(not r["edge"] for r in hot) == 39_999
+    assert sum(r["key_hi"] == 2 and not r["edge"] for r in out) == 11 and sum(r["key_hi"] == 3 and r["edge"] for r in out) == 1
+
+
+def test_few_documents_with_very_many_equal_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", 50)
+    rows = [(i, "same\n" * 200 + f"own {i}") for i in range(12)] + [(100 + i, "other\n" * 300) for i in range(4)]
+    docs = awkward(spark, rows)
+    for keep_first in (False, True):
+        out = line_dedup.with_kept_text(docs, line_dedup.keep_bitmaps(docs, 10, keep_first))
+        want = brute(rows, 10, keep_first, order_of(docs))
+        assert got(out) == sorted(((row[0], *want[row]) for row in rows), key=repr)

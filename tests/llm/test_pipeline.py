@@ -21,7 +21,7 @@ def by_hand(spark, rows, items):
     rows = [(i, t if not lines[i, t][1] else lines[i, t][2]) for i, t in rows if not lines[i, t][1] or lines[i, t][2].strip(" \t\n\x0b\x0c\r")]
     rows.sort(key=lambda r: (r[0] is None, r[0]))
     roots = components([fingerprint(t) for _, t in rows], 2)
-    rows = [r for i, r in enumerate(rows) if rows[roots[i]][0] == r[0] and r[0] is not None]
+    rows = [r for i, r in enumerate(rows) if rows[roots[i]][0] == r[0]]
     rows = [r for r in rows if not windows(r[1], items, 10)[1]]
     other = library()
     return sorted((i, hashlib.sha256(" ".join(map(str, other.encode_ordinary(t))).encode()).hexdigest()) for i, t in rows)
