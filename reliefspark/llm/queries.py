@@ -160,21 +160,24 @@ def _url_sql() -> str:
         return (f"case when strpos({url}, '://') > 0 then translate(regexp_extract({rest}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "
                 f"|| regexp_extract({rest}, '^[^/?#]*([^#]*)', 1) end")
 
-    quoted = {k: getattr(url_filter, k).replace("'", "''") for k in ("CANONICAL", "REFRESH", "HREF", "TARGET")}
+    quoted = {k: getattr(url_filter, k).replace("'", "''") for k in ("COMMENT", "TAG", "CANONICAL", "REFRESH", "HREF", "TARGET", "SCHEME")}
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     return f"""
 with recursive rules(verdict, h, p) as (values {rules}),
 pg as (select page_id, {node('url')} as node, html from pages),
-link as (select node as a, unnest([regexp_extract(regexp_extract(html, '{quoted["CANONICAL"]}'), '{quoted["HREF"]}', 1),
-                                   regexp_extract(regexp_extract(html, '{quoted["REFRESH"]}'), '{quoted["TARGET"]}', 1)]) as raw from pg where node is not null),
+tag as (select a, regexp_replace(tag, '\\s', ' ', 'g') as tag from (
+  select node as a, unnest(regexp_extract_all(regexp_replace(html, '{quoted["COMMENT"]}', '', 'g'), '{quoted["TAG"]}')) as tag from pg where node is not null)),
+link as (select a, case when regexp_matches(tag, '{quoted["CANONICAL"]}') then regexp_extract(tag, '{quoted["HREF"]}', 1)
+                        when regexp_matches(tag, '{quoted["REFRESH"]}') then regexp_extract(tag, '{quoted["TARGET"]}', 1) end as raw from tag),
 full_link as (select a, replace(raw, '&amp;', '&') as link, regexp_extract(a, '^[^/?#]*') as h, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) as p from link where raw <> ''),
-urls as (select a, case when strpos(link, '://') > 0 then link when starts_with(link, '//') then ':' || link when starts_with(link, '/') then '://' || h || link
+urls as (select a, case when regexp_matches(link, '{quoted["SCHEME"]}//') then link when regexp_matches(link, '{quoted["SCHEME"]}') then null
+           when starts_with(link, '//') then ':' || link when starts_with(link, '/') then '://' || h || link
            when starts_with(link, '?') then '://' || h || p || link when link = '' or starts_with(link, '#') then null
            else '://' || h || case when p = '' then '/' else regexp_replace(p, '[^/]*$', '') end || link end as url from full_link),
 edge as (select a, {node('url')} as b from urls),
 both_ways as (select a, b from edge where b is not null union select b, a from edge where b is not null),
 reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
-fit as (select n.node, h || p as rule, verdict, row_number() over (partition by n.node order by len(h || p) desc) as k
+fit as (select n.node, h || p as rule, verdict, row_number() over (partition by n.node order by len(h || p) desc, verdict desc, h desc, p desc) as k
         from (select node from pg union select a from both_ways) n join rules
         on (regexp_extract(node, '^[^/?#]*') = h or ends_with(regexp_extract(node, '^[^/?#]*'), '.' || h)) and starts_with(regexp_extract(node, '^[^/?#]*([^?#]*)', 1), p)),
 best as (select node, rule, verdict from fit where k = 1),

@@ -8,9 +8,15 @@ PAGES = [
     (5, "https://good.example.com/fr/1", "<link rel='canonical' href='https://bad.example.com/de/1'>"),  # an allowed alias goes first
     (6, "https://bad.example.com/de/1", None), (7, "https://third.test/q", "<link rel=canonical href=\"https://bad.example.com/de/1\">"),
     (8, None, "<link rel=canonical href='https://a.b/'>"), (9, "no scheme", ""), (10, "://", "x"), (11, "https://EXAMPLE.org/en/12", None), (12, "https://notexample.org/es/1", None),
+    (20, "https://one.test/a", "<link rel=canonical><link rel='canonical' href='https://pages.example.org/es/1'>"),  # the first tag names nothing
+    (21, "https://two.test/a", "<link rel=canonical href='/login?next=http://other.com/de/'>"),  # a url within a link
+    (22, "https://three.test/a", "<!-- <link rel=canonical href='https://bad.example.com/de/1'> --><p>text <!-- open"),
+    (23, "https://four.test/a", "<link rel=canonical href='mailto:x@bad.example.com/de/1'><link\n href='https://five.test/' \n rel=canonical>"),
+    (24, "https://five.test/", "<meta http-equiv=refresh content='0;url=https://four.test/b'><link rel=canonical href='https://bad.example.com/de/7'>"),
+    (25, "https://long.test/", "<link " * 30_000 + "rel=canonical href='https://bad.example.com/de/1'"),
     (13, "https://example.org", None), (14, "https://a.com/fr", None), (15, "https://x.test/p?u=://y", "<link rel=canonical href='#here'>"),
     (1, "https://Shop.Example.net/a?x=1#top", '<link rel="canonical" href="https://pages.example.org/es/9">')]
-WANT = {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "block", 12: "allow", 13: "allow", 14: "allow", 15: "allow"}
+WANT = {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "block", 12: "allow", 13: "allow", 14: "allow", 15: "allow", 20: "block", 21: "allow", 22: "allow", 23: "block", 24: "block", 25: "allow"}
 
 
 def pages(spark, rows=PAGES):
@@ -48,3 +54,13 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_no_python_in_the_plan(spark, capsys):
     url_filter.judge(pages(spark), RULES).explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def test_long_lists_of_rules_and_ties(spark):
+    """Thousands of rules as a table; of two rules of one length the later one by verdict, host and path decides."""
+    rules = [("block", f"h{i}.test", "/x") for i in range(5000)] + [("allow", "h7.test", "/x/y"), ("allow", "t.test", "/ab"), ("block", "t.test", "/ab"), ("allow", "test", "/")]
+    rows = [(i, f"https://sub.h{i}.test/x/y" if i % 2 else f"https://h{i}.test/z", None) for i in range(40)] + [(50, "http://t.test/abc", None), (51, "http://x/y", None)]
+    table = spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages(spark, rows), table).collect()}
+    want = {i: (f"h{i}.test/x", "block") if i % 2 else ("test/", "allow") for i in range(40)} | {7: ("h7.test/x/y", "allow"), 50: ("t.test/ab", "block"), 51: (None, "allow")}
+    assert got == want
