@@ -13,25 +13,34 @@ TRANSPORT_ERRORS = (
     "TimeoutError|URLError|RemoteDisconnected|HTTPError|ConnectionError|ConnectionResetError|"
     "IncompleteRead|RasterioIOError|socket.timeout")
 NOT_METRIC_EPSG = (3857, 4326)
+# How covered regions are drawn.
+FILL_OPACITY, STROKE_WIDTH = 0.35, 1.5
 
 
 def coverage_map(regions: DataFrame, providers: DataFrame) -> DataFrame:
     """Title and point-cloud flag per region.
 
     ``regions``: ``region, label, codes`` (array, ordered); ``providers``: ``code, name``.  A region has
-    point clouds when one of its codes is a cloud code or has a ``-laz`` twin.
+    point clouds when one of its codes is a cloud code or has a ``-laz`` twin.  Regions with a ``color`` also get
+    ``shown_as``, what a map viewer needs: label, description, fill and stroke.
     """
     one = regions.select("region", "label", F.posexplode("codes").alias("pos", "code"))
     twins = providers.filter(F.col("code").endswith("-laz")).select(
         F.regexp_replace("code", "-laz$", "").alias("code"), F.lit(True).alias("twin")).distinct()
     joined = one.join(providers.select("code", "name"), "code").join(twins, "code", "left")
-    return joined.groupBy("region").agg(
+    named = joined.groupBy("region").agg(
         F.max("label").alias("label"),
         F.array_sort(F.collect_list(F.struct("pos", "name", "code"))).alias("list"),
         F.bool_or(F.coalesce("twin", F.lit(False)) | F.col("code").endswith("-laz")).alias("has_cloud"),
-    ).select(
-        "region", F.coalesce("label", F.concat_ws(" + ", F.transform("list", lambda p: p["name"]))).alias("title"),
-        F.concat_ws(",", F.transform("list", lambda p: p["code"])).alias("codes"), "has_cloud")
+    )
+    codes = F.transform("list", lambda p: p["code"])
+    columns = ["region", F.coalesce("label", F.concat_ws(" + ", F.transform("list", lambda p: p["name"]))).alias("title"), F.concat_ws(",", codes).alias("codes"), "has_cloud"]
+    if "color" not in regions.columns:
+        return named.select(*columns)
+    shown_as = F.struct(
+        F.coalesce("label", F.col("region").cast("string")).alias("label"), F.concat(F.lit("Provider(s) : "), F.concat_ws(", ", codes)).alias("description"),
+        F.col("color").alias("fill"), F.lit(FILL_OPACITY).alias("fill_opacity"), F.col("color").alias("stroke"), F.lit(STROKE_WIDTH).alias("stroke_width"))
+    return named.join(regions.select("region", "color"), "region").select(*columns, shown_as.alias("shown_as"))
 
 
 def codes_without_provider(regions: DataFrame, providers: DataFrame) -> DataFrame:

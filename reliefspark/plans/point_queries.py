@@ -89,6 +89,15 @@ def _extent(spark, sf_dir):
     return P.extent_grid(P.drop_noise(fx.points(spark, sf_dir)), 0.5)
 
 
+@query("nominal_grid", """with b as (select o_orderkey, o_custkey*1e0 as x0, o_orderkey*5e-1 as y0, o_custkey + o_totalprice/1e3 as x1, o_orderkey*5e-1 + (o_orderkey % 7)*3e-1 as y1 from orders)
+    select o_orderkey, x0, y0, x1, y1, cast(greatest(1, round_even((x1 - x0)/5e-1, 0)) as int) as nx, cast(greatest(1, round_even((y1 - y0)/5e-1, 0)) as int) as ny from b""")
+def _nominal_grid(spark, sf_dir):
+    """Grids of nominal tile bounds; a tile flatter than a cell still has one row."""
+    b = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_custkey*1e0 as x0", "o_orderkey*5e-1 as y0", "o_custkey + o_totalprice/1e3 as x1", "o_orderkey*5e-1 + (o_orderkey % 7)*3e-1 as y1")
+    return b.select("o_orderkey", P.nominal_grid(F.struct("x0", "y0", "x1", "y1"), 0.5).alias("g")).select("o_orderkey", "g.*")
+
+
 @query("cloud_local_cells", f"""with {PTS}, lim as (select cloud_id, min(x) x0, max(x) x1, min(y) y0, max(y) ym from pts group by cloud_id),
     g as (select cloud_id, x0, cast(floor((x1 - x0)/4e0) + 1 as int) as nx, cast(floor((ym - y0)/4e0) + 1 as int) as ny,
       y0 + cast(floor((ym - y0)/4e0) + 1 as int)*4e0 as y1 from lim)

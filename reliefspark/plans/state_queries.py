@@ -179,6 +179,19 @@ def _coverage(spark, sf_dir):
     return Q.coverage_map(regions, providers)
 
 
+@query("coverage_style", """with r as (select c_custkey as region, case when c_custkey % 5 = 0 then c_name end as label, 'p' || c_custkey % 40 as a, 'p' || (c_custkey*7 + 1) % 40 as b, '#' || lpad(cast(c_custkey % 1000 as varchar), 6, '0') as color from customer),
+    p as (select distinct 'p' || o_custkey % 40 as code from orders)
+    select region, coalesce(label, cast(region as varchar)) as label, 'Provider(s) : ' || a || ', ' || b as description, color as fill, 0.35e0 as fill_opacity, color as stroke, 1.5e0 as stroke_width
+    from r where a in (select code from p) and b in (select code from p)""")
+def _coverage_style(spark, sf_dir):
+    """How each region is drawn."""
+    base = table(spark, sf_dir, "orders").selectExpr("concat('p', cast(o_custkey % 40 as string)) as code").distinct()
+    regions = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as region", "case when c_custkey % 5 = 0 then c_name end as label", "concat('#', lpad(cast(c_custkey % 1000 as string), 6, '0')) as color",
+        f"array({_PROVIDERS}, concat('p', cast((c_custkey*7 + 1) % 40 as string))) as codes")
+    return Q.coverage_map(regions, base.selectExpr("code", "concat('Name ', code) as name")).select("region", "shown_as.*")
+
+
 @query("region_codes_without_provider", """select distinct 'p' || c_custkey % 40 as code from customer where c_custkey % 40 not in (select o_custkey % 37 from orders)""")
 def _no_provider(spark, sf_dir):
     providers = table(spark, sf_dir, "orders").selectExpr("concat('p', cast(o_custkey % 37 as string)) as code").distinct()

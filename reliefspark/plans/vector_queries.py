@@ -131,6 +131,23 @@ def _simplified(spark, sf_dir):
     return V.simplify(lines).select("o_orderkey", F.size(ring).alias("n_vertices"), total("x").cast("bigint").alias("x_sum"), F.floor(total("y") * 1e6 + 0.5).cast("bigint").alias("y_sum_1e6"))
 
 
+@query("simplified_rings", """with s as (select o_orderkey, 2e1 + o_custkey % 30 as side, [((o_orderkey + i*3) % 5)*25e-2 for i in range(4)] as off from orders)
+    select o_orderkey, cast(5 + len(list_filter(off, lambda e: e > 5e-1)) as int) as n_vertices,
+      cast(floor((side*side + list_sum(list_transform(off, lambda e: case when e > 5e-1 then e*side/2e0 else 0e0 end)))*1e6 + 5e-1) as bigint) as area_1e6 from s""")
+def _simplified_rings(spark, sf_dir):
+    """Closed squares with a vertex in the middle of each side, pushed out more or less than the tolerance: corners and closure stay."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "2e1 + o_custkey % 30 as s", *[f"((o_orderkey + {3 * i}) % 5)*25e-2 as e{i}" for i in range(4)])
+    s, e = F.col("s"), [F.col(f"e{i}") for i in range(4)]
+    zero, half = F.lit(0.0), s / 2.0
+    vertices = ((zero, zero), (half, -e[0]), (s, zero), (s + e[1], half), (s, s), (half, s + e[2]), (zero, s), (-e[3], half), (zero, zero))
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in vertices])
+    done = F.element_at(F.col("rings"), 1)
+    out = V.simplify(o.select("o_orderkey", F.array(ring).alias("rings"), F.lit(0.5).alias("tolerance")))
+    sides = F.zip_with(F.slice(done, 1, F.size(done) - 1), F.slice(done, 2, F.size(done) - 1), lambda p, q: p.x * q.y - q.x * p.y)
+    area = F.abs(F.aggregate(sides, F.lit(0.0), lambda acc, v: acc + v)) / 2.0
+    return out.select("o_orderkey", F.size(done).alias("n_vertices"), F.floor(area * 1e6 + 0.5).cast("bigint").alias("area_1e6"))
+
+
 # a slanted square cut to a box: the twin adds up the trapezoids between all places where an edge bends
 @query("clipped_polygons", """with s as (select o_orderkey, (o_custkey % 20) - 5e0 as cx, (o_orderkey % 17) - 4e0 as cy, 1.5e0 + o_custkey % 6 as h from orders),
     b as (select *, unnest([cx - h, cx, cx + h, 0e0, 1e1, cx - (cy + h - 1e1), cx + (cy + h - 1e1), cx - (cy + h), cx + (cy + h), cx - (h - cy), cx + (h - cy), cx - (1e1 - cy + h), cx + (1e1 - cy + h)]) as x from s),

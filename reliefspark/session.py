@@ -40,10 +40,12 @@ def staging_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that one step writes and another reads.
 
     It lies in the shared folder of the cluster, ``spark.checkpoint.dir``; a folder of our own is used only where
-    none is configured (tests).
+    none is configured and all tasks run on this machine (tests).
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
