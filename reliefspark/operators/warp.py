@@ -55,14 +55,60 @@ def warp_bilinear(cells: DataFrame, targets: DataFrame, source_row: Column, sour
     )
 
 
+#: nodes along a side for interpolated positions, and how far (in cells) they may be off before every position is computed
+_NODES, _OFF = 10, 1e-8
+
+
+class _Positions:
+    """Source positions of all cells of a target block.
+
+    A mapping is smooth over a block, so it is evaluated at a few Chebyshev nodes and carried to all cells by a
+    polynomial, two small matrix products; where some cells in between show that this is not exact enough, the
+    mapping itself is evaluated everywhere.
+    """
+
+    def __init__(self, mapping, side: int):
+        self.mapping, self.side = mapping, side
+        k = min(_NODES, side)
+        self.nodes = (np.cos((2 * np.arange(k) + 1) * math.pi / (2 * k)) + 1) / 2 * (side - 1)
+
+        def terms(at):
+            return np.polynomial.chebyshev.chebvander(2 * at / max(side - 1, 1) - 1, k - 1)
+
+        self.spread = terms(np.arange(side, dtype=float)) @ np.linalg.inv(terms(self.nodes))
+        self.probes = np.unique(np.linspace(0, side - 1, 6).astype(int))
+
+    def of(self, brow: int, bcol: int) -> list[np.ndarray]:
+        top, left = brow * self.side, bcol * self.side
+
+        def exact(at):
+            r, c = np.meshgrid(at, at, indexing="ij")
+            return self.mapping.to_source(r + top, c + left)
+
+        out = []
+        for coarse in exact(self.nodes):
+            middle = coarse[0, 0]
+            out.append(self.spread @ (coarse - middle) @ self.spread.T + middle)
+        pick = np.ix_(self.probes, self.probes)
+        if any(np.abs(o[pick] - e).max() > _OFF for o, e in zip(out, exact(self.probes.astype(float)))):
+            return list(exact(np.arange(self.side, dtype=float)))
+        # a position on a cell stays there: a rounding error must not bring its neighbours in
+        return [np.where(np.abs(o - np.rint(o)) < _OFF, np.rint(o), o) for o in out]
+
+
 def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int, most_sources: int = 256) -> DataFrame:
     """Bilinear warp on blocks: ``band`` on the target grid, in blocks of ``target_side``.
 
     ``mapping.to_target(row, col)`` and ``mapping.to_source(row, col)`` work on arrays of cell positions
-    (centres at whole numbers).  Every source block goes to the target blocks its outline reaches, one
-    shuffle of arrays in all.  A target block receives about as many source blocks as its footprint
-    covers; where that would be over ``most_sources`` the job fails: build the pyramid first.
+    (centres at whole numbers).  Every source block sends to each target block its outline reaches the rectangle
+    that this one needs, one shuffle in all and hardly more than the raster itself.  A target block receives parts
+    of about as many source blocks as its footprint covers; where that would be over ``most_sources`` the job
+    fails: build the pyramid first.
     """
+    edge = np.linspace(-1.0, float(target_side), 33)
+    rim_rows = np.concatenate([np.full(33, -1.0), np.full(33, float(target_side)), edge, edge])
+    rim_cols = np.concatenate([edge, edge, np.full(33, -1.0), np.full(33, float(target_side))])
+
     def send(brow, bcol, arrays):
         if np.isnan(arrays[0]).all():
             return
@@ -78,29 +124,37 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
         if footprint > most_sources:
             raise ValueError(f"a target block would gather {footprint:.0f} source blocks: reduce first")
         part = (brow % 4096) * 4096 + bcol % 4096
-        payload = np.concatenate([[brow, bcol], arrays[0].reshape(-1)])
         for i in range(first_row, last_row + 1):
             for j in range(first_col, last_col + 1):
-                yield i, j, part, payload
+                need = mapping.to_source(rim_rows + i * target_side, rim_cols + j * target_side)
+                (r0, r1), (c0, c1) = ((max(int(v.min()) - 2 - o, 0), min(int(v.max()) + 3 - o, side)) for v, o in zip(need, (brow * side, bcol * side)))
+                if r0 < r1 and c0 < c1:
+                    yield i, j, part, np.concatenate([[brow * side + r0, bcol * side + c0, r1 - r0, c1 - c0], arrays[0][r0:r1, c0:c1].reshape(-1)])
+
+    positions = _Positions(mapping, target_side)
 
     def combine(brow, bcol, parts):
-        known = {(int(p[0]), int(p[1])): p[2:].reshape(side, side) for p in parts.values()}
-        first_row, first_col = min(k[0] for k in known), min(k[1] for k in known)
-        rows, cols = max(k[0] for k in known) - first_row + 1, max(k[1] for k in known) - first_col + 1
+        known = [(*map(int, p[:4]), p[4:]) for p in parts.values()]
+        top, left = min(k[0] for k in known), min(k[1] for k in known)
         # one cell of margin on each side keeps every corner index inside
-        source = np.full((rows * side + 2, cols * side + 2), np.nan)
-        for (i, j), values in known.items():
-            r, c = (i - first_row) * side + 1, (j - first_col) * side + 1
-            source[r:r + side, c:c + side] = values
-        row, col = np.mgrid[0:target_side, 0:target_side].astype(float)
-        from_row, from_col = mapping.to_source(row + brow * target_side, col + bcol * target_side)
+        source = np.full((max(k[0] + k[2] for k in known) - top + 2, max(k[1] + k[3] for k in known) - left + 2), np.nan)
+        for r, c, height, width, values in known:
+            source[r - top + 1:r - top + 1 + height, c - left + 1:c - left + 1 + width] = values.reshape(height, width)
+        from_row, from_col = positions.of(brow, bcol)
         r0, c0 = np.floor(from_row), np.floor(from_col)
         fr, fc = from_row - r0, from_col - c0
-        total, weight = np.zeros_like(row), np.zeros_like(row)
-        for dr, dc, w in ((0, 0, (1 - fr) * (1 - fc)), (0, 1, (1 - fr) * fc), (1, 0, fr * (1 - fc)), (1, 1, fr * fc)):
-            i = np.clip(r0 + dr - first_row * side + 1, 0, source.shape[0] - 1).astype(np.int64)
-            j = np.clip(c0 + dc - first_col * side + 1, 0, source.shape[1] - 1).astype(np.int64)
-            value = source[i, j]
+        height, width = source.shape
+        i, j = ((v - o + 1).clip(-1, n).astype(np.int64) for v, o, n in ((r0, top, height), (c0, left, width)))
+        up, down = (np.clip(i + d, 0, height - 1) * width for d in (0, 1))
+        ahead, behind = (np.clip(j + d, 0, width - 1) for d in (0, 1))
+        flat = source.reshape(-1)
+        corners = [flat[r + c] for r in (up, down) for c in (ahead, behind)]
+        weights = [(1 - fr) * (1 - fc), (1 - fr) * fc, fr * (1 - fc), fr * fc]
+        plain = ((corners[0] * weights[0] + corners[1] * weights[1]) + corners[2] * weights[2]) + corners[3] * weights[3]
+        if not np.isnan(plain).any():
+            return {band: plain / (((weights[0] + weights[1]) + weights[2]) + weights[3])}
+        total, weight = np.zeros_like(fr), np.zeros_like(fr)
+        for value, w in zip(corners, weights):
             use = ~np.isnan(value) & (w > 0)
             total += np.where(use, w * np.where(use, value, 0.0), 0.0)
             weight += np.where(use, w, 0.0)

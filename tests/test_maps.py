@@ -380,3 +380,22 @@ def test_stored_pyramid_equals_lazy_one(spark, tmp_path):
     stored = to_array(spark.read.parquet(str(tmp_path / "p" / "zoom=3")), "v", (8, 8), 8)
     lazy = to_array(T.pyramid(blocks, 3, 5, "v", 8).filter("zoom = 3").drop("zoom"), "v", (8, 8), 8)
     assert np.array_equal(stored, lazy) and (stored > 0).all()
+
+
+def test_positions_are_those_of_the_mapping():
+    """The polynomial against the projection itself, and a mapping that is no polynomial at all."""
+    from reliefspark.functions.arrays import LambertToPixels
+
+    mapping = LambertToPixels(900000.0, 6250000.0, 0.5, 18)
+    row, col = (int(v) // 256 for v in mapping.to_target(np.array([4000.0]), np.array([3000.0])))
+    r, c = np.meshgrid(np.arange(256.0) + 256 * row, np.arange(256.0) + 256 * col, indexing="ij")
+    for got, want in zip(warp._Positions(mapping, 256).of(row, col), mapping.to_source(r, c)):
+        assert np.abs(got - want).max() < 1e-7
+
+    class Bent:
+        def to_source(self, row, col):
+            return np.where(row > 100, row + 0.5, row), np.abs(col - 77.3)
+
+    r, c = np.meshgrid(np.arange(256.0), np.arange(256.0), indexing="ij")
+    for got, want in zip(warp._Positions(Bent(), 256).of(0, 0), Bent().to_source(r, c)):
+        assert np.array_equal(got, want)
