@@ -281,7 +281,9 @@ _ANSWER = f"""fl as (select {', '.join(_FETCH)} from events), an as (select *, c
 
 
 def _answers(spark, sf_dir):
-    log = table(spark, sf_dir, "events").selectExpr(*_FETCH)
+    # the twin's cast to whole numbers rounds, Spark's cuts off
+    fetch = [c.replace("cast(value*20 as int)", "cast(rint(value*20) as int)") for c in _FETCH]
+    log = table(spark, sf_dir, "events").selectExpr(*fetch)
     answer = T.answer_class("status", "content_type", F.unhex("head"), F.col("body_length"))
     return log.withColumn("answer", answer).withColumn("promised", T.promised_answer("answer", "discover_exact"))
 
