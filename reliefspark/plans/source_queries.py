@@ -34,7 +34,11 @@ def _docs(spark, sf_dir, expression, schema):
 
 @query("source_geojson_index", f"with {INDEX} select key_x, key_y, url from idx where order_id % 3 <> 0 and order_id % 7 <> 0")
 def _geojson(spark, sf_dir):
-    return indexes.geojson_index_rows(_docs(spark, sf_dir, _GEOJSON_DOC, indexes.FEATURE_SCHEMA), 2154)
+    # lpad cuts what is longer: keys of five digits must stay whole
+    doc = _GEOJSON_DOC
+    for key in ("key_x", "key_y"):
+        doc = doc.replace(f"lpad(cast({key} as string), 4, '0')", f"lpad(cast({key} as string), greatest(4, length(cast({key} as string))), '0')")
+    return indexes.geojson_index_rows(_docs(spark, sf_dir, doc, indexes.FEATURE_SCHEMA), 2154)
 
 
 @query("source_sheet_polygons", f"""with {INDEX} select cast(key_x*100 + key_y as string) as number, cast(case when order_id % 4 = 0 and vintage < 2020 then 2020 else vintage end as int) as year, key_x, key_y,

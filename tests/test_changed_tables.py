@@ -30,3 +30,7 @@ def agrees(spark, tmp_path):
 @pytest.mark.parametrize("name", ["tile_answer_class", "publish_gate"])
 def test_body_lengths_are_rounded(agrees, name):
     agrees(name, events="select * replace (24.98 as value) from old")
+
+
+def test_tile_keys_of_five_digits_stay_whole(agrees):
+    agrees("source_geojson_index", orders="select * replace (o_custkey + 500000 as o_custkey) from old")
