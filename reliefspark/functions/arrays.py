@@ -50,3 +50,12 @@ class LambertToPixels:
     def to_source(self, row, col):
         x, y = lambert93(*from_mercator((col + 0.5) * self.pixel - MERCATOR_HALF, MERCATOR_HALF - (row + 0.5) * self.pixel))
         return (self.top - y) / self.res - 0.5, (x - self.left) / self.res - 0.5
+
+    def to_source_one(self, row: int, col: int) -> tuple[float, float]:
+        """``to_source`` of one cell, by the functions of the C library: the same bits wherever these are used."""
+        lon = math.degrees(((col + 0.5) * self.pixel - MERCATOR_HALF) / EARTH_RADIUS)
+        phi, e = math.radians(math.degrees(math.atan(math.sinh((MERCATOR_HALF - (row + 0.5) * self.pixel) / EARTH_RADIUS)))), _GRS80_E
+        iso = math.log(math.tan(math.pi / 4 + phi / 2)) - e / 2 * math.log((1 + e * math.sin(phi)) / (1 - e * math.sin(phi)))
+        radius, gamma = LAMBERT93_C * math.exp(-LAMBERT93_N * iso), LAMBERT93_N * math.radians(lon - LAMBERT93_LON0)
+        x, y = LAMBERT93_XS + radius * math.sin(gamma), LAMBERT93_YS - radius * math.cos(gamma)
+        return (self.top - y) / self.res - 0.5, (x - self.left) / self.res - 0.5

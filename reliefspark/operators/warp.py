@@ -96,7 +96,23 @@ class _Positions:
         return [np.where(np.abs(o - np.rint(o)) < _OFF, np.rint(o), o) for o in out]
 
 
-def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int, most_sources: int = 256) -> DataFrame:
+def _one_cell(source: np.ndarray, top: int, left: int, position: tuple[float, float]) -> float:
+    """Bilinear value at one position; ``top, left`` are the place of ``source[0, 0]``."""
+    first_row, first_col = (math.floor(p) for p in position)
+    fr, fc = position[0] - first_row, position[1] - first_col
+    total = weight = 0.0
+    for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        r, c = first_row + dr - top, first_col + dc - left
+        if 0 <= r < source.shape[0] and 0 <= c < source.shape[1] and not math.isnan(source[r, c]):
+            w = (fr if dr else 1.0 - fr) * (fc if dc else 1.0 - fc)
+            if w > 0:
+                total += w * float(source[r, c])
+                weight += w
+    return total / weight if weight > 0 else math.nan
+
+
+def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: int, most_sources: int = 256,
+                steps: float | None = None) -> DataFrame:
     """Bilinear warp on blocks: ``band`` on the target grid, in blocks of ``target_side``.
 
     ``mapping.to_target(row, col)`` and ``mapping.to_source(row, col)`` work on arrays of cell positions
@@ -104,6 +120,10 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
     that this one needs, one shuffle in all and hardly more than the raster itself.  A target block receives parts
     of about as many source blocks as its footprint covers; where that would be over ``most_sources`` the job
     fails: build the pyramid first.
+
+    ``steps`` per unit names the steps that the values are cut to later.  Values that lie on one, as all do where a
+    plateau is as high as a step, would fall to either side by the last bits of their positions; they are worked out
+    anew one by one (``mapping.to_source_one(row, col)``).
     """
     edge = np.linspace(-1.0, float(target_side), 33)
     rim_rows = np.concatenate([np.full(33, -1.0), np.full(33, float(target_side)), edge, edge])
@@ -133,6 +153,19 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
 
     positions = _Positions(mapping, target_side)
 
+    def on_steps(z, brow, bcol, source, top, left):
+        """``z`` with the values that lie on a step worked out anew."""
+        if steps is None:
+            return z
+        low, high = np.nanmin(source), np.nanmax(source)
+        # positions are off by _OFF at most along both axes, sums by a few last bits
+        margin = steps * (4 * _OFF * (high - low) + 1e-14 * max(abs(low), abs(high)))
+        with np.errstate(invalid="ignore"):
+            near = np.abs(z * steps - np.rint(z * steps)) <= margin
+        for r, c in zip(*np.nonzero(near)):
+            z[r, c] = _one_cell(source, top, left, mapping.to_source_one(brow * target_side + int(r), bcol * target_side + int(c)))
+        return z
+
     def combine(brow, bcol, parts):
         known = [(*map(int, p[:4]), p[4:]) for p in parts.values()]
         top, left = min(k[0] for k in known), min(k[1] for k in known)
@@ -152,7 +185,7 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
         weights = [(1 - fr) * (1 - fc), (1 - fr) * fc, fr * (1 - fc), fr * fc]
         plain = ((corners[0] * weights[0] + corners[1] * weights[1]) + corners[2] * weights[2]) + corners[3] * weights[3]
         if not np.isnan(plain).any():
-            return {band: plain / (((weights[0] + weights[1]) + weights[2]) + weights[3])}
+            return {band: on_steps(plain / (((weights[0] + weights[1]) + weights[2]) + weights[3]), brow, bcol, source, top - 1, left - 1)}
         total, weight = np.zeros_like(fr), np.zeros_like(fr)
         for value, w in zip(corners, weights):
             use = ~np.isnan(value) & (w > 0)
@@ -161,7 +194,7 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
         if not (weight > 0).any():
             return None
         with np.errstate(invalid="ignore", divide="ignore"):
-            return {band: np.where(weight > 0, total / weight, np.nan)}
+            return {band: on_steps(np.where(weight > 0, total / weight, np.nan), brow, bcol, source, top - 1, left - 1)}
 
     return exchange(blocks, [band], send, combine, {band: "double"}, side)
 

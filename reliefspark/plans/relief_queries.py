@@ -508,9 +508,9 @@ def sql_warp(zoom: int) -> str:
 WARP = sql_warp(_ZOOM)
 
 
-def mercator_blocks(spark, sf_dir, side=256, zoom=_ZOOM):
+def mercator_blocks(spark, sf_dir, side=256, zoom=_ZOOM, steps=None):
     """The bare-earth model on global Mercator pixels, one block per map tile."""
-    return warp.warp_blocks(bare(spark, sf_dir), "z", LambertToPixels(_PLACE_X, _PLACE_Y, RES, zoom), SIDE, side)
+    return warp.warp_blocks(bare(spark, sf_dir), "z", LambertToPixels(_PLACE_X, _PLACE_Y, RES, zoom), SIDE, side, steps=steps)
 
 
 @query("warp_bilinear", f"""with {WARP} select "row", col, {sql_mm('z')} as z_mm from warped""")

@@ -94,7 +94,7 @@ def _summary(spark, sf_dir):
 
 def _pixel_blocks(spark, sf_dir, zoom=_ZOOM):
     code = F.transform("z", lambda z: F.floor(z * 10.0).cast("bigint") % 255 + 1)
-    return mercator_blocks(spark, sf_dir, zoom=zoom).select("raster_id", "brow", "bcol", code.cast("array<double>").alias("v"))
+    return mercator_blocks(spark, sf_dir, zoom=zoom, steps=10.0).select("raster_id", "brow", "bcol", code.cast("array<double>").alias("v"))
 
 
 @query("tile_packing", f"with {DEEP_PIXELS} " + _PACK.format(kind="int", more=f", {_PLACED}"))
