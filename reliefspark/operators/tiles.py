@@ -88,21 +88,40 @@ def cache_namespace(endpoint, layer, style, image_format) -> Column:
 def pixel_tiles(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Tiles from global Mercator pixels ``zoom, prow, pcol, value``: one row per non-empty tile.
 
-    ``filled`` counts known pixels (value above 0); a tile holds at most 65536, so the group is bounded.
+    ``filled`` counts known pixels (value above 0).  Pixels are put together per Arrow batch before the shuffle, three
+    bytes each: pixels that come in the order of their tiles cost one row a batch, those in any order one row each.
     """
+    kinds = pa.schema([("zoom", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("slots", pa.binary()), ("grey", pa.binary())])
     slots = pixels.filter(F.col(value) > 0).select(
-        "zoom", floor_long(F.col("pcol") / F.lit(TILE)).alias("x"), floor_long(F.col("prow") / F.lit(TILE)).alias("y"),
+        F.col("zoom").cast("int").alias("zoom"), floor_long(F.col("pcol") / F.lit(TILE)).alias("x"), floor_long(F.col("prow") / F.lit(TILE)).alias("y"),
         (F.pmod("prow", F.lit(TILE)) * TILE + F.pmod("pcol", F.lit(TILE))).cast("int").alias("slot"),
         F.col(value).cast("int").alias("v"))
 
-    def pack(part):
-        image = np.zeros(TILE * TILE, dtype=np.uint8)
-        image[part["slot"].to_numpy()] = part["v"].to_numpy()
-        first = part.iloc[0]
-        return pd.DataFrame({"zoom": [int(first.zoom)], "x": [int(first.x)], "y": [int(first.y)],
-                             "pixels": [image.tobytes()], "filled": [len(part)]})
-
-    return slots.groupBy("zoom", "x", "y").applyInPandas(
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zoom, x, y, slot, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(slot):
+                continue
+            order = np.lexsort((y, x, zoom))
+            zoom, x, y = zoom[order], x[order], y[order]
+            slot, v = slot[order].astype("<u2"), v[order].astype(np.uint8)
+            starts = np.flatnonzero(np.r_[True, (zoom[1:] != zoom[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            ends = np.r_[starts[1:], len(slot)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(zoom[starts], pa.int32()), pa.array(x[starts], pa.int64()), pa.array(y[starts], pa.int64()),
+                 pa.array([slot[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                 pa.array([v[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], schema=kinds)
+
+    def pack(key, parts):
+        image, filled = np.zeros(TILE * TILE, dtype=np.uint8), 0
+        for at, grey in zip(parts.column("slots").to_pylist(), parts.column("grey").to_pylist()):
+            image[np.frombuffer(at, "<u2")] = np.frombuffer(grey, np.uint8)
+            filled += len(grey)
+        return pa.table({
+            "zoom": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([key[1].as_py()], pa.int64()), "y": pa.array([key[2].as_py()], pa.int64()),
+            "pixels": pa.array([image.tobytes()], pa.binary()), "filled": pa.array([filled], pa.int32())})
+
+    return slots.mapInArrow(gather, "zoom int, x bigint, y bigint, slots binary, grey binary").groupBy("zoom", "x", "y").applyInArrow(
         pack, "zoom int, x bigint, y bigint, pixels binary, filled int")
 
 

@@ -14,7 +14,7 @@ from reliefspark.operators.blocks import blocks_to_cells
 from reliefspark.plans import fixtures as fx
 from reliefspark.plans.fixtures import BARE, FEATURES, TILES, mm, sql_mm
 from reliefspark.plans.registry import query
-from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, sql_warp, warp_to_mercator
+from reliefspark.plans.relief_queries import WARP, bare, cells_of, mercator_blocks, sql_warp
 from reliefspark.session import staging_folder, table
 from reliefspark.sinks import writers
 from reliefspark.sources.features import read_tile_set
@@ -54,7 +54,8 @@ _DEEP = 18
 
 
 def _pixels(spark, sf_dir, zoom=_ZOOM):
-    warped = warp_to_mercator(cells_of(bare(spark, sf_dir), "z"), zoom)
+    """One row a pixel; positions and corners are dealt with block by block, so no row is made for them."""
+    warped = blocks_to_cells(mercator_blocks(spark, sf_dir, zoom=zoom, steps=10.0), ["z"], T.TILE)
     code = (F.floor(F.col("z") * 10.0).cast("bigint") % 255 + 1).cast("int")
     return warped.select(F.lit(zoom).alias("zoom"), F.col("row").alias("prow"), F.col("col").alias("pcol"), code.alias("v"))
 
