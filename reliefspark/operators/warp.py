@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +38,33 @@ def warp_bilinear(cells: DataFrame, targets: DataFrame, source_row: Column, sour
     ``targets`` has ``raster_id, row, col``; the two columns give the position of the target centre in
     source cells (cell centres at whole numbers).  Unknown corners drop out and the other weights are
     scaled up.  Each target asks for at most four cells by equality, so the join spreads like a hash.
+
+    The corners are made from Arrow batches: as column expressions the two positions would be copied into every corner
+    and into the filter on their weights, each time with the whole projection in them.
     """
-    placed = targets.withColumn("_r", source_row).withColumn("_c", source_col)
-    r0, c0 = F.floor("_r"), F.floor("_c")
-    fr, fc = F.col("_r") - r0, F.col("_c") - c0
-    corners = F.array(*[
-        F.struct((r0 + dr).cast("bigint").alias("s_row"), (c0 + dc).cast("bigint").alias("s_col"),
-                 ((fr if dr else F.lit(1.0) - fr) * (fc if dc else F.lit(1.0) - fc)).alias("w"))
-        for dr in (0, 1) for dc in (0, 1)])
-    asked = placed.select("raster_id", "row", "col", F.inline(F.filter(corners, lambda c: c.w > 0)))
+    placed = targets.select("raster_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"),
+                            source_row.cast("double").alias("_r"), source_col.cast("double").alias("_c"))
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            r0, c0 = np.floor(r), np.floor(c)
+            fr, fc = r - r0, c - c0
+            for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                w = (fr if dr else 1.0 - fr) * (fc if dc else 1.0 - fc)
+                use = w > 0
+                own = batch.select([0, 1, 2]).filter(pa.array(use))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array((r0[use] + dr).astype(np.int64)), pa.array((c0[use] + dc).astype(np.int64)), pa.array(w[use])],
+                    ["raster_id", "row", "col", "s_row", "s_col", "w"])
+
+    kind = targets.schema["raster_id"].dataType.simpleString()
+    asked = placed.mapInArrow(corners, f"raster_id {kind}, row bigint, col bigint, s_row bigint, s_col bigint, w double")
     source = cells.filter(F.col(value).isNotNull()).select(
         "raster_id", F.col("row").alias("s_row"), F.col("col").alias("s_col"), F.col(value).alias("_v"))
     return (
-        asked.join(source, ["raster_id", "s_row", "s_col"])
+        # its size is guessed from the few blocks it was made of: it must not be gathered and sent to all
+        asked.hint("merge").join(source.hint("merge"), ["raster_id", "s_row", "s_col"])
         .groupBy("raster_id", "row", "col")
         .agg((F.sum(F.col("w") * F.col("_v")) / F.sum("w")).alias(value))
     )
@@ -200,9 +215,14 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
 
 
 def target_cells(blocks_of_targets: DataFrame, side: int) -> DataFrame:
-    """All cells of the given target blocks (raster_id, brow, bcol)."""
+    """All cells of the given target blocks (raster_id, brow, bcol).
+
+    The blocks are few bytes but many cells: an explicit width, or adaptive execution deals them all to one task; by a
+    hash, since a repartition by the keys of the blocks is left out where they come from an aggregate by the same.
+    """
     slots = F.sequence(F.lit(0), F.lit(side * side - 1))
-    return blocks_of_targets.select("raster_id", "brow", "bcol", F.explode(slots).alias("slot")).select(
+    width = int(blocks_of_targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks_of_targets.repartition(width, F.xxhash64("raster_id", "brow", "bcol")).select("raster_id", "brow", "bcol", F.explode(slots).alias("slot")).select(
         "raster_id", (F.col("brow") * side + floor_long(F.col("slot") / F.lit(side))).alias("row"),
         (F.col("bcol") * side + F.pmod(F.col("slot"), F.lit(side))).cast("bigint").alias("col"))
 

@@ -1,8 +1,10 @@
-"""Rows per pixel: what is sent for them."""
+"""Rows per pixel: what is sent for them, and how often their positions are worked out."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reliefspark.operators import tiles as T
+from reliefspark.operators import warp
 
 
 def _plan(df, kind):
@@ -30,6 +32,22 @@ def test_pixels_are_put_together_before_the_shuffle(spark):
     assert "MapInArrow" in plan and plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow")
 
 
+def test_positions_are_worked_out_once(spark):
+    cells = spark.createDataFrame([("r", 0, 0, 1.0), ("r", 0, 1, 3.0)], "raster_id string, row long, col long, z double")
+    targets = spark.range(4).selectExpr("'r' as raster_id", "id * 0 as row", "id as col")
+    moved = warp.warp_bilinear(cells, targets, F.sin(F.col("row") * 1.0), F.tan(F.atan(F.col("col") / 2.0)))
+    plan = _plan(moved, "optimizedPlan")
+    assert plan.count("SIN(") <= 1 and plan.count("ATAN(") <= 1
+    assert "Broadcast" not in _plan(moved, "sparkPlan")
+    assert {r.col: round(r.z, 9) for r in moved.collect()} == {0: 1.0, 1: 2.0, 2: 3.0, 3: 3.0}
+
+
+def test_cells_of_few_blocks_are_dealt_out(spark):
+    blocks = spark.range(400).selectExpr("'r' as raster_id", "id % 100 as brow", "id * 0 as bcol").distinct()
+    spread = warp.target_cells(blocks, 8).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 4 and sum(r["count"] for r in spread) == 6400
+
+
 def test_rows_of_map_pixels_come_from_blocks(spark):
     import __spark_entry__ as entry
 
