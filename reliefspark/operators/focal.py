@@ -260,6 +260,14 @@ def _edged(a: np.ndarray) -> np.ndarray:
     return a
 
 
+def _with_each(rows: DataFrame, per_raster: DataFrame) -> DataFrame:
+    """Rows with what is known of their raster, one small row a raster: these go to the rows.
+
+    A join that deals both out by raster would read a raster in one task.
+    """
+    return rows.join(F.broadcast(per_raster), "raster_id")
+
+
 def median_stand_in(blocks: DataFrame, band: str = "z", digits: int = 2, side: int = BLOCK) -> DataFrame:
     """Band ``base``: ``band`` with the median height of the raster where nothing is known.
 
@@ -273,7 +281,7 @@ def median_stand_in(blocks: DataFrame, band: str = "z", digits: int = 2, side: i
     )
     median = counts.groupBy("raster_id").agg(
         (F.percentile("step", F.lit(0.5), F.col("n")) / scale).alias("median"))
-    return blocks.join(median, "raster_id").select(
+    return _with_each(blocks, median).select(
         "raster_id", "brow", "bcol", band,
         F.transform(F.col(band), lambda v: F.coalesce(v, F.col("median"))).alias("base"))
 
@@ -404,7 +412,7 @@ def stretch_codes(cells: DataFrame, value: str, low: float, high: float, exponen
     curve = shade.mirror_gamma if mirror else shade.gamma
     unit = curve(shade.stretch(_c(value), F.col("p_low"), F.col("p_high")), exponent)
     return (
-        cells.join(bounds, "raster_id").withColumn("unit", unit)
+        _with_each(cells, bounds).withColumn("unit", unit)
         .withColumn("code", shade.code_unit(F.col("unit"))).drop("p_low", "p_high")
     )
 
@@ -433,7 +441,7 @@ def block_bounds(blocks: DataFrame, bands: dict[str, tuple[float, float, int]])
 def stretched_blocks(blocks: DataFrame, bands: dict[str, tuple[float, float, int]]) -> DataFrame:
     """The blocks with each of the bands replaced by its 0..1 stretch between two percentiles of its raster."""
     bounds = block_bounds(blocks, bands)  # one row per raster
-    out = blocks.join(bounds, "raster_id")
+    out = _with_each(blocks, bounds)
     for name in bands:
         low, high = F.col(f"bounds.{name}.low"), F.col(f"bounds.{name}.high")
         out = out.withColumn(name, _stretched(name, low, high))
