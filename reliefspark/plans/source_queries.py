@@ -52,10 +52,18 @@ _MEMBER = """concat('<wfs:member><gugik:Skorowidz><gml:boundedBy><gml:Envelope><
     case when order_id % 11 = 0 then '' else concat('<gugik:url_do_pobrania> ', url, ' </gugik:url_do_pobrania>') end, '</gugik:Skorowidz>') as value"""
 
 
-def _landed_lines(spark, rows, *by):
-    """A text column written to the shared folder, in a folder per value of the columns ``by``."""
+def _landed_lines(spark, rows, *by, spread=False):
+    """A text column written to the shared folder, in a folder per value of the columns ``by``.
+
+    With ``spread`` a folder holds several files: where values are few, no task gets all lines of one.
+    """
     folder = staging_folder(spark, "lines")
-    (rows.repartition(*by) if by else rows).write.partitionBy(*by).text(folder)
+    if spread:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(width, *by, F.pmod(F.xxhash64(*rows.columns), F.lit(width)))
+    elif by:
+        rows = rows.repartition(*by)
+    rows.write.partitionBy(*by).text(folder)
     return folder
 
 
@@ -70,8 +78,8 @@ def _landed_documents(rows, folder, head, tail):
 @query("source_gml_members", f"""with {INDEX}, r as (select *, row_number() over (partition by key_x, key_y order by vintage desc, url) as n from idx where order_id % 11 <> 0)
     select key_x*1000 as x, key_y*1000 as y, vintage as year, url from r where n = 1""")
 def _members(spark, sf_dir):
-    """One file a vintage, cut at the closing tags of its members; members without a link drop out."""
-    folder = _landed_lines(spark, fx.tile_index(spark, sf_dir).selectExpr(_MEMBER.replace("</gugik:Skorowidz>'", "</gugik:Skorowidz></wfs:member>'"), "vintage"), "vintage")
+    """Files by vintage, cut at the closing tags of its members; members without a link drop out."""
+    folder = _landed_lines(spark, fx.tile_index(spark, sf_dir).selectExpr(_MEMBER.replace("</gugik:Skorowidz>'", "</gugik:Skorowidz></wfs:member>'"), "vintage"), "vintage", spread=True)
     m = indexes.read_members(spark, folder)
     return indexes.gml_index_rows(m, F.regexp_extract("file", r"vintage=(\d+)", 1).cast("bigint")).select("x", "y", "year", "url")
 
