@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from reliefspark.functions.geo import (
     _GRS80_E, EARTH_RADIUS, GRS80_F, LAMBERT93_C, LAMBERT93_LON0, LAMBERT93_N, LAMBERT93_XS, LAMBERT93_YS, MERCATOR_HALF)
@@ -36,6 +39,22 @@ def from_lambert93(x, y):
     return LAMBERT93_LON0 + np.degrees(np.arctan2(dx, dy)) / LAMBERT93_N, np.degrees(phi)
 
 
+def transform_envelope(box: Column, transform, samples: int = 21) -> Column:
+    """``geo.bbox_transform_envelope`` for a transform of arrays: all points of a batch of boxes at once.
+
+    As a column expression the points are worked out once for every one of the four sides, value by value.
+    """
+    t = np.arange(samples + 1) / samples
+
+    def run(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
+        left, low, right, high = (v.to_numpy(dtype=float)[:, None] for v in (x0, y0, x1, y1))
+        across, up, still = left + (right - left) * t, low + (high - low) * t, np.zeros(samples + 1)
+        x, y = transform(np.hstack([across, across, left + still, right + still]), np.hstack([low + still, high + still, up, up]))
+        return pd.DataFrame({"x0": x.min(axis=1), "y0": y.min(axis=1), "x1": x.max(axis=1), "y1": y.max(axis=1)})
+
+    return F.pandas_udf(run, "x0 double, y0 double, x1 double, y1 double")(box.x0, box.y0, box.x1, box.y1)
+
+
 class LambertToPixels:
     """Cells of a Lambert-93 grid <-> global Web Mercator pixels of one zoom (centres at whole numbers)."""
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from reliefspark.functions import geo, shade
+from reliefspark.functions import arrays, geo, shade
 from reliefspark.functions.arrays import LambertToPixels
 from reliefspark.operators import focal, warp
 from reliefspark.operators import points as P
@@ -454,7 +454,7 @@ _EX, _EY = sql_lambert("px", "py")
 def _envelope(spark, sf_dir):
     box = geo.bbox("ax", "ay", F.col("ax") + 2.0, F.col("ay") + 1.0)
     f = fx.features(spark, sf_dir).select("feature_id", box.alias("b")).select(
-        "feature_id", geo.bbox_transform_envelope(F.col("b"), geo.lambert93_from_lonlat).alias("e"))
+        "feature_id", arrays.transform_envelope(F.col("b"), arrays.lambert93).alias("e"))
     return f.select("feature_id", *[F.floor(F.col(f"e.{k}") * 10.0 + 0.5).cast("bigint").alias(f"{k}_dm") for k in ("x0", "y0", "x1", "y1")])
 
 
