@@ -8,7 +8,8 @@ The predictors know how often each branch was taken in all training texts: at th
 hashed contexts (the last function word, the last token, the last two; while spelling the last one, two, three and
 five bytes of the word).  What they say, as log odds weighted by how much they have seen, is summed with weights that
 a gate picks by how many of the long contexts are known; the sum's logistic is the probability of the bit.  The
-weights are fitted to a few training texts and then refined online, in each text anew, after every ``STEP`` bits.
+weights are fitted to all training texts and then refined online, in each text anew, after every ``STEP`` bits.  For the
+fit the bits are counted by the level of what each predictor says, so one look at the texts serves all its rounds.
 
 How a word is spelled depends on the word alone, so it is worked out once for each different word, where its count is.
 Counts and spellings of rare words grow with the corpus and are never gathered in one place: the kernel hands out the
@@ -37,8 +38,9 @@ STEP, RATE = 128, 0.01
 TOKEN_CONTEXTS, BYTE_CONTEXTS, GATES, FUNCTION = 3, 4, 3, 64
 #: symbols of a text, and bytes of texts, that are worked off together
 STRETCH, PART = 1 << 18, 1 << 20
-#: training texts that the first weights are fitted to, those with the smallest hashes of their id, and their longest
-SAMPLE, SAMPLE_CHARS = 128, 20_000
+#: what a predictor says, for the fit of the first weights: nothing, or one of seven levels either way, which end at
+#: these shares of its mean size
+LEVELS, _ENDS = 16, (0.25, 0.5, 1.0, 1.5, 2.0, 3.0)
 _BLOCK = 1 << 13
 _PAD = 5
 
@@ -100,8 +102,8 @@ class Code:
         out[np.arange(len(symbols)) + np.repeat(pads, sizes)] = symbols
         return out, np.cumsum(sizes) - sizes + pads
 
-    def tokens(self, texts: list[bytes]) -> tuple:
-        """(symbols of all texts, where each begins, tokens per text, their symbols again without starts, the rare words)."""
+    def tokens(self, texts: list[bytes], spelled: bool = True) -> tuple:
+        """(symbols of all texts, where each begins, tokens per text, their symbols again without starts, the rare words if ``spelled``)."""
         import numpy as np
 
         words, sizes = [], []
@@ -112,8 +114,8 @@ class Code:
             sizes.append(len(own) + 1)
         get, escape = self.number.get, self.escape
         ids = np.array([get(w, escape) for w in words], np.int32)
-        rare = ids == escape
-        return *self._padded(ids, np.array(sizes), self.start), np.array(sizes), ids, [words[i] for i in np.flatnonzero(rare).tolist()]
+        rare = np.flatnonzero(ids == escape).tolist() if spelled else []
+        return *self._padded(ids, np.array(sizes), self.start), np.array(sizes), ids, [words[i] for i in rare]
 
     def letters(self, words: list[bytes]) -> tuple:
         """(symbols of the bytes of all words, each with its stop, where each begins, symbols per word)."""
@@ -180,27 +182,28 @@ def log_odds(zeros, ones):
 
 
 def inputs(said: Iterator, n: int, contexts: int):
-    """(inputs of the mixer: what the predictors say and a constant; gates) of n bits"""
+    """(inputs of the mixer: what the predictors say and a constant, column by column; gates) of n bits"""
     import numpy as np
 
-    x = np.full((n, contexts + 2), 0.3, np.float32)
+    x = np.full((n, contexts + 2), 0.3, np.float32, "F")
     for k, one in enumerate(said):
         x[:, k] = one
     return x, (x[:, -3] != 0).astype(np.int8) + (x[:, -2] != 0)
 
 
-def fitted(x, gates, y, rounds: int = 8):
-    """Weights of every gate by Newton's method on the log loss, drawn towards an even mix."""
+def fitted(x, gates, y, weight, rounds: int = 8):
+    """Weights of every gate by Newton's method on the log loss, drawn towards an even mix; a row counts ``weight`` times."""
     import numpy as np
 
     even = np.full(x.shape[1], 1.0 / (x.shape[1] - 1))
     out = np.tile(even, (GATES, 1))
     for g in range(GATES):
-        xs, ys, w = x[gates == g].astype(np.float64), y[gates == g], out[g]
+        of = gates == g
+        xs, ys, n, w = x[of].astype(np.float64), y[of], weight[of].astype(np.float64), out[g]
         for _ in range(rounds if len(ys) else 0):
             p = 1 / (1 + np.exp(-np.clip(xs @ w, -14, 14)))
-            slope = xs.T @ (ys - p) - 4.0 * (w - even)
-            w += np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs + 4.0 * np.eye(len(w)), slope)
+            slope = xs.T @ (n * (ys - p)) - 4.0 * (w - even)
+            w += np.linalg.solve((xs * (n * p * (1 - p))[:, None]).T @ xs + 4.0 * np.eye(len(w)), slope)
     return out.astype(np.float32)
 
 
@@ -214,26 +217,28 @@ def mix(x, gates, y, lengths, weights):
     order = np.argsort(-lengths, kind="stable")
     steps = -(-lengths[order] // STEP)
     starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    own, width = weights[order], weights.shape[2]
-    flat = own.reshape(-1, width)
+    own, width, columns = weights[order], weights.shape[2], x.T
+    flat = np.ascontiguousarray(own.reshape(-1, width).T)
     p = np.empty(len(y), np.float32)
-    spread, one = np.arange(STEP), np.arange(len(order)) * GATES
+    one = np.arange(len(order)) * GATES
     for t in range(int(steps[0]) if len(steps) else 0):
         k = int(np.searchsorted(-steps, -t, "left"))  # texts that go on
-        left = sizes[:k] - t * STEP
+        n = np.minimum(sizes[:k] - t * STEP, STEP)
         if k == 1:  # one long text goes on alone: no copies
-            at = slice(int(starts[0]) + t * STEP, int(starts[0]) + t * STEP + min(STEP, int(left[0])))
-            lane = gates[at].astype(np.int64)
+            at = slice(int(starts[0]) + t * STEP, int(starts[0]) + t * STEP + int(n[0]))
+            lane, xs = gates[at].astype(np.int64), columns[:, at]
         else:
-            at = (starts[:k, None] + (t * STEP + spread))[spread < left[:, None]]
-            lane = np.repeat(one[:k], np.minimum(left, STEP)) + gates[at]
-        xs = x[at]
-        q = 1 / (1 + np.exp(np.clip(-np.einsum("ak,ak->a", xs, flat[lane]), -14, 14)))
+            at = np.arange(int(n.sum())) + np.repeat(starts[:k] + t * STEP - (np.cumsum(n) - n), n)
+            lane, xs = np.repeat(one[:k], n) + gates[at], columns.take(at, 1)
+        said = xs[0] * flat[0].take(lane)
+        for j in range(1, width):
+            said += xs[j] * flat[j].take(lane)
+        q = 1 / (1 + np.exp(np.clip(-said, -14, 14)))
         p[at] = q
         error = (y[at] - q) * np.float32(RATE)
         for j in range(width):
-            flat[:k * GATES, j] += np.bincount(lane, error * xs[:, j], k * GATES)
-    weights[order] = own
+            flat[j, :k * GATES] += np.bincount(lane, error * xs[j], k * GATES)
+    weights[order] = flat.T.reshape(own.shape)
     return np.log2(np.where(y, p, 1 - p))
 
 
@@ -359,7 +364,7 @@ def branch_counts(docs: DataFrame, rare: DataFrame, held, mark: str, bits: int,
 
         def told(code: Code) -> Iterator:
             for batch in slices(batches, 0, PART):
-                symbols, begin, *_ = code.tokens(batch.column(0).cast(pa.binary()).to_pylist())
+                symbols, begin, *_ = code.tokens(batch.column(0).cast(pa.binary()).to_pylist(), False)
                 functions, at = code.function_words(symbols, begin), np.flatnonzero(symbols != code.start)
                 for i in range(0, len(at), STRETCH):
                     yield code.events(symbols, at[i:i + STRETCH], bits, functions), None
@@ -416,17 +421,127 @@ def branch_counts(docs: DataFrame, rare: DataFrame, held, mark: str, bits: int,
     return out
 
 
+def levels(code: Code, counts, bits: int) -> tuple:
+    """(level of what every slot says to a bit of 0 and of 1, which is taken out of the counts that foretell it; what a
+    level of a predictor says: the mean over all bits it foretells)"""
+    import numpy as np
+
+    edges = [0, *(code.nodes + (k << bits) for k in range(BYTE_CONTEXTS + 1))]
+    table, said = np.zeros((len(counts), 2), np.uint8), np.zeros((BYTE_CONTEXTS + 1, LEVELS))
+
+    def parts(low: int, high: int) -> Iterator:
+        for i in range(low, high, _BLOCK):
+            part = counts[i:min(i + _BLOCK, high)].astype("f8")
+            for bit in (0, 1):
+                own = np.maximum(part - (np.arange(2) == bit), 0)
+                yield slice(i, i + len(part)), bit, part[:, bit], log_odds(own[:, 0], own[:, 1])
+
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        size, n = np.sum([((seen * np.abs(odds)).sum(), seen[odds != 0].sum()) for _, _, seen, odds in parts(low, high)] or [(0, 0)], axis=0)
+        ends, sums, n = np.array(_ENDS) * size / max(n, 1), np.zeros(LEVELS), np.zeros(LEVELS)
+        for at, bit, seen, odds in parts(low, high):
+            level = np.where(odds == 0, 0, 1 + np.digitize(np.abs(odds), ends) + 7 * (odds < 0))
+            table[at, bit] = level
+            sums += np.bincount(level, seen * odds, LEVELS)
+            n += np.bincount(level, seen, LEVELS)
+        said[k] = sums / np.maximum(n, 1)
+    return table, said
+
+
+def cells(table, y, slots: Iterator, contexts: int, weight=None):
+    """How many bits of each value met each set of levels; the last predictor and the bit change fastest."""
+    import numpy as np
+
+    flat, at, one = table.reshape(-1), np.zeros(len(y), np.int32), y.astype(np.uint32)
+    for slot in slots:
+        at <<= 4
+        at |= flat[(slot.astype(np.uint32) << np.uint32(1)) | one]
+    return np.bincount((at << 1) | y, weight, 2 * LEVELS ** (contexts + 1)).astype(np.int64, copy=False)
+
+
+def weights_of(counted, said, contexts: int):
+    """Weights fitted to counted cells."""
+    import numpy as np
+
+    cell = np.flatnonzero(counted)
+    level = [(cell >> (1 + 4 * (contexts - k))) & (LEVELS - 1) for k in range(contexts + 1)]
+    x, _ = inputs((said[k][at] for k, at in enumerate(level)), len(cell), contexts)
+    return fitted(x, (level[-2] > 0).astype(np.int8) + (level[-1] > 0), cell & 1, counted[cell])
+
+
 def first_weights(code: Code, counts, texts: list[bytes], bits: int) -> tuple:
-    """Weights of tokens and of bytes fitted to training texts; each bit is taken out of the counts that foretell it."""
+    """Weights of tokens and of bytes fitted to texts in one process; each bit is taken out of the counts that foretell it."""
     import numpy as np
 
+    table, said = levels(code, counts, bits)
     symbols, begin, _, _, rare = code.tokens(texts or [b""])
     spelled, *_ = code.letters(rare)
     out = []
     for row, functions, contexts in ((symbols, code.function_words(symbols, begin), TOKEN_CONTEXTS), (spelled, None, BYTE_CONTEXTS)):
         _, y, slots = code.events(row, np.flatnonzero(row != code.start), bits, functions)
-        said = (log_odds(np.maximum(counts[s, 0].astype("f8") - (y == 0), 0), np.maximum(counts[s, 1].astype("f8") - (y == 1), 0)) for s in slots)
-        out.append(fitted(*inputs(said, len(y), contexts), y))
+        out.append(weights_of(cells(table, y, slots, contexts), said, contexts))
+    return tuple(out)
+
+
+def all_weights(docs: DataFrame, rare: DataFrame, held, mark: str, counts, bits: int, text_col: str = "text") -> tuple:
+    """``first_weights`` of all rows of ``docs``; ``rare`` are their rare words, each as often as it occurs.
+
+    The number of cells is fixed, so that is what is summed up and gathered.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    table, said = levels(Code(*held.value), counts, bits)
+    told = spark.sparkContext.broadcast(table)
+
+    def summed(contexts: int, events) -> Iterator:
+        """``events(code)`` gives branches, slots and the weight of each bit."""
+        import numpy as np
+        import pyarrow as pa
+
+        code = per_worker(("mixing code", mark), lambda: Code(*held.value))
+        total = np.zeros(2 * LEVELS ** (contexts + 1), np.int64)
+        for y, slots, weight in events(code):
+            total += cells(told.value, y, slots, contexts, weight)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), contexts)), pa.array(at), pa.array(total[at])], ["contexts", "cell", "n"])
+
+    def of_texts(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def events(code: Code) -> Iterator:
+            for batch in slices(batches, 0, PART):
+                symbols, begin, *_ = code.tokens(batch.column(0).cast(pa.binary()).to_pylist(), False)
+                functions, at = code.function_words(symbols, begin), np.flatnonzero(symbols != code.start)
+                for i in range(0, len(at), STRETCH):
+                    _, y, slots = code.events(symbols, at[i:i + STRETCH], bits, functions)
+                    yield y, slots, None
+
+        yield from summed(TOKEN_CONTEXTS, events)
+
+    def of_words(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def events(code: Code) -> Iterator:
+            for batch in slices(batches, 0, PART):
+                symbols, _, sizes = code.letters(batch.column(0).cast(pa.binary()).to_pylist())
+                weight, at = np.repeat(batch.column(1).to_numpy(), sizes), np.flatnonzero(symbols != code.start)
+                for i in range(0, len(at), STRETCH):
+                    told_bits, y, slots = code.events(symbols, at[i:i + STRETCH], bits)
+                    yield y, slots, np.repeat(weight[i:i + STRETCH], told_bits)
+
+        yield from summed(BYTE_CONTEXTS, events)
+
+    schema = "contexts long, cell long, n long"
+    both = _source(docs, text_col).mapInArrow(of_texts, schema).unionAll(rare.where("c > 0").select("word", "c").mapInArrow(of_words, schema))
+    found = both.groupBy("contexts", "cell").agg(F.sum("n").alias("n")).toArrow()
+    contexts, cell, n = (found.column(k).to_numpy() for k in range(3))
+    out = []
+    for k in (TOKEN_CONTEXTS, BYTE_CONTEXTS):
+        counted = np.zeros(2 * LEVELS ** (k + 1), np.int64)
+        counted[cell[contexts == k]] = n[contexts == k]
+        out.append(weights_of(counted, said, k))
+    told.unpersist()
     return tuple(out)
 
 
@@ -448,8 +563,7 @@ def score(docs: DataFrame, learn: Column, common_bits: int = 16, table_bits: int
     told = (common, rare, ends, _byte_counts(rare_words))
     held, mark = spark.sparkContext.broadcast(told), uuid.uuid4().hex
     branches = branch_counts(train, rare_words, held, mark, table_bits, text_col)
-    few = _source(train.where(F.length(text_col) <= SAMPLE_CHARS), text_col, F.xxhash64(F.col(id_col)).alias("order")).orderBy("order", "text").limit(SAMPLE)
-    weights = first_weights(Code(*told), branches, [r.text.encode() for r in few.collect()], table_bits)
+    weights = all_weights(train, rare_words, held, mark, branches, table_bits, text_col)
     model = spark.sparkContext.broadcast((branches, weights))
     lows = [(c + 0.5) / (n + 0.5 * (v + 1)) for c in (*(c for _, c in common), 0, ends)]
 

@@ -87,6 +87,20 @@ def test_counts_of_spark_are_those_of_one_process(spark):
     assert (mixing.branch_counts(docs.where(learn), words, held, "a test", 12) == table).all()
 
 
+def test_first_weights_come_from_all_training_texts(spark):
+    """Over 128 texts, and one of over 20,000 characters: every one of them counts."""
+    texts = [t for _, t in prose(3, 150)] + [" ".join(t for _, t in prose(6, 40))]
+    assert len(texts[-1]) > 20_000
+    ready, common, rare, ends, by_byte, table = model(texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    words = spark.createDataFrame([(w.decode(), c) for w, c in rare.items()] + [("unseen", 0)], "word string, c long").repartition(3)
+    held = spark.sparkContext.broadcast((common, sum(rare.values()), ends, by_byte))
+    got = mixing.all_weights(docs, words, held, "weights of all", table, 12)
+    raw = [t.encode() for t in texts]
+    for a, b, few in zip(got, mixing.first_weights(ready.code, table, raw, 12), mixing.first_weights(ready.code, table, raw[:128], 12)):
+        assert a == pytest.approx(b, abs=1e-6) and a != pytest.approx(few, abs=1e-3)
+
+
 def test_mixing_bit_by_bit():
     rng = np.random.default_rng(1)
     lengths = np.array([70, 0, 5, 200])
