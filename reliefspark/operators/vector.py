@@ -6,10 +6,12 @@ Features: ``feature_id``, ``rings`` (array of vertex arrays), ``kind`` (Point, L
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,11 +212,59 @@ def segment_tiles(segments: DataFrame, zoom: int | Column) -> DataFrame:
         clamp(F.least(entry, leaving)), clamp(F.greatest(entry, leaving))))).drop("_ax", "_ay", "_bx", "_by")
 
 
-_PIXELS = "zoom int, x bigint, y bigint, prow int, pcol int, alpha int"
+#: tasks that may share the geometry of one tile, and tiles that a kernel paints at a time
+_SALTS, _AT_ONCE = 16, 32
+_MASKS = "zoom int, x bigint, y bigint, kind int, mask binary"
+_LINE, _FILL = 1, 0
 
 
-def line_pixels(segments: DataFrame) -> DataFrame:
-    """Pixels of segments in their tiles: ``zoom, x, y`` and lon/lat ends in, one row per pixel out.
+def _steps(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every row ``i`` the whole numbers from ``first[i]``, ``count[i]`` of them: (i, number)."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
+
+
+def _painted(pairs: DataFrame, kind: int, spread: str, cover: Callable) -> DataFrame:
+    """Masks of the pixels that geometry covers in its tiles (``zoom, x, y`` first), put together tile by tile.
+
+    What belongs to a tile is dealt out over ``_SALTS`` tasks and comes sorted, so few masks are made of a tile.
+    ``cover(columns, tile, n)`` gives how often the pixels of ``n`` tiles are covered; ``tile`` is the number of each row's.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)))
+    dealt = salted.repartition(width, "zoom", "x", "y", "_salt").sortWithinPartitions("zoom", "x", "y").drop("_salt", spread)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            starts = np.flatnonzero(np.r_[True, (np.diff(keys) != 0).any(axis=0)][:batch.num_rows])
+            ends = [*starts[_AT_ONCE::_AT_ONCE].tolist(), batch.num_rows]
+            for low, high in zip([0, *ends[:-1]], ends):
+                own = starts[(low <= starts) & (starts < high)]
+                if not len(own):
+                    continue
+                tile = np.repeat(np.arange(len(own)), np.diff(np.r_[own, high]))
+                covered = cover(batch.slice(low, high - low), tile, len(own)) > 0
+                some = np.flatnonzero(covered.any(axis=(1, 2)))
+                masks = [zlib.compress(np.packbits(covered[i]).tobytes(), 1) for i in some]
+                zoom, x, y = keys[:, own[some]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(zoom.astype(np.int32)), pa.array(x), pa.array(y), pa.array(np.full(len(some), kind, np.int32)), pa.array(masks, pa.binary())],
+                    ["zoom", "x", "y", "kind", "mask"])
+
+    return dealt.mapInArrow(run, _MASKS)
+
+
+def merged_mask(masks) -> np.ndarray:
+    """The pixels that any of the masks covers."""
+    bits = np.zeros(TILE * TILE // 8, np.uint8)
+    for mask in masks:
+        bits |= np.frombuffer(zlib.decompress(mask), np.uint8)
+    return np.unpackbits(bits).reshape(TILE, TILE).astype(bool)
+
+
+def line_masks(segments: DataFrame) -> DataFrame:
+    """Masks of the pixels of segments in their tiles: ``feature_id, zoom, x, y`` and lon/lat ends in.
 
     The segment is cut to the pixel columns of its tile, and each column yields the rows it runs through:
     every pixel it touches, no other one.
@@ -227,44 +277,96 @@ def line_pixels(segments: DataFrame) -> DataFrame:
     def down(lat):
         return ((F.lit(1.0) - F.asinh(F.tan(F.radians(F.col(lat)))) / F.pi()) / 2.0 * n - F.col("y")) * float(TILE)
 
-    def steps(first, last):
-        """Whole numbers of the tile from one value to the other; none when they lie outside."""
-        low, high = F.greatest(floor_long(F.least(first, last)), F.lit(0)), F.least(floor_long(F.greatest(first, last)), F.lit(TILE - 1))
-        return F.explode(F.when(low <= high, F.sequence(low, high)))
+    flat = segments.select("zoom", "x", "y", across("ax").alias("_ax"), down("ay").alias("_ay"), across("bx").alias("_bx"), down("by").alias("_by"), "feature_id")
 
-    flat = segments.select("zoom", "x", "y", across("ax").alias("_ax"), down("ay").alias("_ay"), across("bx").alias("_bx"), down("by").alias("_by"))
-    columns = flat.withColumn("_c", steps(F.col("_ax"), F.col("_bx")))
-    span = F.col("_bx") - F.col("_ax")
-    upright = span == 0  # least and greatest skip nulls, so such a segment needs its own branch
+    def between(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First whole number of the tile from one value to the other, and how many; none when they lie outside."""
+        low = np.maximum(np.floor(np.minimum(one, two)), 0).astype(np.int64)
+        return low, np.maximum(np.minimum(np.floor(np.maximum(one, two)), TILE - 1).astype(np.int64) - low + 1, 0)
 
-    def at(edge):
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("_ax")) / F.nullif(span, F.lit(0.0))))
-        return F.col("_ay") + share * (F.col("_by") - F.col("_ay"))
+    def cover(batch, tile, count):
+        ax, ay, bx, by = (batch.column(i).to_numpy() for i in range(3, 7))
+        i, column = _steps(*between(ax, bx))
+        px, py, span, rise = ax[i], ay[i], (bx - ax)[i], (by - ay)[i]
 
-    entry = F.when(upright, F.col("_ay")).otherwise(at(F.col("_c").cast("double")))
-    leaving = F.when(upright, F.col("_by")).otherwise(at(F.col("_c") + 1.0))
-    rows = columns.withColumn("_r", steps(entry, leaving))
-    return rows.select("zoom", "x", "y", F.col("_r").cast("int").alias("prow"), F.col("_c").cast("int").alias("pcol"), F.lit(LINE_ALPHA).cast("int").alias("alpha"))
+        def at(edge):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return py + np.maximum(0.0, np.minimum(1.0, (edge - px) / span)) * rise
 
+        upright = span == 0
+        low, rows = between(np.where(upright, py, at(column)), np.where(upright, by[i], at(column + 1.0)))
+        some = rows > 0
+        place = (tile[i] * (TILE + 1) + low)[some] * TILE + column[some]
+        size = count * (TILE + 1) * TILE
+        change = np.bincount(place, minlength=size) - np.bincount(place + rows[some] * TILE, minlength=size)
+        return change.reshape(count, TILE + 1, TILE).cumsum(axis=1)[:, :TILE]
 
-def fill_pixels(polygons: DataFrame) -> DataFrame:
-    """Inner pixels of polygons in their tiles (``zoom, x, y, rings``) by the even-odd rule."""
+    return _painted(flat, _LINE, "feature_id", cover)
+
+
+def fill_masks(polygons: DataFrame) -> DataFrame:
+    """Masks of the inner pixels of polygons in their tiles (``feature_id, zoom, x, y, rings``) by the even-odd rule.
+
+    Each pixel row of a polygon is cut at its edges; the parts between the first and second cut, the third and fourth
+    and so on are inside.
+    """
     flat = F.flatten("rings")
     plain = polygons.select(
         "zoom", "x", "y", F.transform(flat, lambda p: p.x).alias("lon"), F.transform(flat, lambda p: p.y).alias("lat"),
-        F.transform("rings", F.size).alias("sizes"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            zoom, x, y = (part[c].to_numpy() for c in ("zoom", "x", "y"))
-            found = [inside_pixels(lon, lat, sizes, *tile) for lon, lat, sizes, *tile in zip(part["lon"], part["lat"], part["sizes"], zoom, x, y)]
-            counts = [len(rows) for rows, _ in found]
-            if sum(counts):
-                yield pd.DataFrame({
-                    "zoom": np.repeat(zoom, counts), "x": np.repeat(x, counts), "y": np.repeat(y, counts),
-                    "prow": np.concatenate([r for r, _ in found]), "pcol": np.concatenate([c for _, c in found]), "alpha": FILL_ALPHA})
-
-    return plain.mapInPandas(run, _PIXELS)
+        F.transform("rings", F.size).alias("sizes"), "feature_id")
+
+    def cover(batch, tile, count):
+        zoom, x, y = (batch.column(i).to_numpy() for i in range(3))
+        lon, lat, sizes = (batch.column(i) for i in range(3, 6))
+        points = np.diff(lon.offsets.to_numpy())
+        of_point = np.repeat(np.arange(len(points)), points)
+        n = 2.0 ** zoom[of_point]
+        px = ((lon.flatten().to_numpy() + 180.0) / 360.0 * n - x[of_point]) * TILE
+        py = ((1.0 - np.arcsinh(np.tan(np.radians(lat.flatten().to_numpy()))) / np.pi) / 2.0 * n - y[of_point]) * TILE
+        ring = sizes.flatten().to_numpy().astype(np.int64)
+        ring = ring[ring > 0]
+        following = np.arange(1, len(px) + 1)  # the last point of a ring leads back to its first
+        following[np.cumsum(ring) - 1] = np.cumsum(ring) - ring
+        first, some = (np.cumsum(points) - points)[points > 0], points > 0
+        c0, c1 = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+        if some.any():
+            c0[some] = np.clip(np.floor(np.minimum.reduceat(px, first)), 0, TILE)
+            c1[some] = np.clip(np.ceil(np.maximum.reduceat(px, first)), 0, TILE)
+        qx, qy = px[following], py[following]
+        upper = np.clip(np.ceil(np.minimum(py, qy) - 0.5), 0, TILE).astype(np.int64)
+        lower = np.clip(np.ceil(np.maximum(py, qy) - 0.5), 0, TILE).astype(np.int64)
+        change = np.zeros(count * TILE * (TILE + 1), np.int64)
+        crossed = np.cumsum((lower - upper)) if len(px) else np.zeros(0, np.int64)
+        ends = np.cumsum(points)  # whole polygons, about as many crossings as are worked off at a time
+        per_row = np.r_[0, crossed][ends]
+        at = 0
+        while at < len(points):
+            done = per_row[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(per_row, done + (1 << 20), "right")))
+            edge = slice(int(ends[at] - points[at]), int(ends[stop - 1]))
+            i, row = _steps(upper[edge], (lower - upper)[edge])
+            i += edge.start
+            cut = px[i] + (row + 0.5 - py[i]) / (qy[i] - py[i]) * (qx[i] - px[i])
+            own = of_point[i]
+            column = np.clip(np.floor(cut - 0.5) + 1, c0[own], c1[own]).astype(np.int64)
+            key = np.sort((own * TILE + row) * (TILE + 1) + column).reshape(-1, 2)
+            line, column = np.divmod(key, TILE + 1)
+            own, row = np.divmod(line[:, 0], TILE)
+            place = (tile[own] * TILE + row) * (TILE + 1)
+            change += np.bincount(place + column[:, 0], minlength=len(change)) - np.bincount(place + column[:, 1], minlength=len(change))
+            at = stop
+        return change.reshape(count, TILE, TILE + 1).cumsum(axis=2)[:, :, :TILE]
+
+    return _painted(plain, _FILL, "feature_id", cover)
+
+
+def fill_counts(polygons: DataFrame) -> DataFrame:
+    """How many pixels of each tile lie inside any polygon: ``zoom, x, y, n_pixels``."""
+    def count(key, table):
+        n = int(merged_mask(table.column("mask").to_pylist()).sum())
+        return pa.table({"zoom": pa.array([key[0].as_py()], pa.int32()), "x": [key[1].as_py()], "y": [key[2].as_py()], "n_pixels": pa.array([n], pa.int64())})
+
+    return fill_masks(polygons).groupBy("zoom", "x", "y").applyInArrow(count, "zoom int, x bigint, y bigint, n_pixels bigint")
 
 
 def inside_pixels(lon, lat, sizes, zoom: int, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,8 +394,8 @@ def feature_tiles(features: DataFrame, zoom_min: int, zoom_max: int) -> DataFram
     """Transparent tiles of lines and polygons: ``zoom, x, y, data, painted, fill_pixels``.
 
     Segments go to the tiles they cross, polygon surfaces to the tiles of their box; holes are left out
-    by the even-odd rule.  The (geometry, tile) pairs are spread evenly before painting, the pixels of a
-    tile are merged before the shuffle, and a group never holds more than the 65536 pixels of one tile.
+    by the even-odd rule.  The (geometry, tile) pairs are dealt out by tile and salt and painted into masks of one
+    bit a pixel; a group holds the masks of one tile, and no row per pixel is ever made.
     """
     if zoom_min < 13:
         raise ValueError("transparent tiles start at zoom 13")
@@ -308,23 +410,18 @@ def feature_tiles(features: DataFrame, zoom_min: int, zoom_max: int) -> DataFram
         .withColumn("x", F.explode(F.sequence(geo.tile_x(box.x0, F.col("zoom")), geo.tile_x(box.x1, F.col("zoom")))))
         .withColumn("y", F.explode(F.sequence(geo.tile_y(box.y1, F.col("zoom")), geo.tile_y(box.y0, F.col("zoom")))))
     )
-    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = ("feature_id", "zoom", "x", "y")
-    painted = (
-        line_pixels(lines.repartition(width, *spread)).unionByName(fill_pixels(surfaces.repartition(width, *spread)))
-        .groupBy("zoom", "x", "y", "prow", "pcol").agg(F.max("alpha").alias("alpha"))
-    )
 
-    def pack(part):
+    def pack(key, table):
+        masks = list(zip(table.column("kind").to_pylist(), table.column("mask").to_pylist()))
+        line, fill = (merged_mask(m for k, m in masks if k == kind) for kind in (_LINE, _FILL))
         image = np.zeros((TILE, TILE, 4), dtype=np.uint8)
-        alpha = part["alpha"].to_numpy().astype(np.uint8)
-        image[part["prow"].to_numpy(), part["pcol"].to_numpy(), 3] = alpha
-        first = part.iloc[0]
-        return pd.DataFrame({"zoom": [int(first.zoom)], "x": [int(first.x)], "y": [int(first.y)],
-                             "data": [encode_png(image)], "painted": [len(part)],
-                             "fill_pixels": [int((alpha == FILL_ALPHA).sum())]})
-
-    return painted.groupBy("zoom", "x", "y").applyInPandas(
+        image[fill, 3] = FILL_ALPHA
+        image[line, 3] = LINE_ALPHA
+        return pa.table({
+            "zoom": pa.array([key[0].as_py()], pa.int32()), "x": [key[1].as_py()], "y": [key[2].as_py()], "data": [encode_png(image)],
+            "painted": pa.array([int((line | fill).sum())], pa.int32()), "fill_pixels": pa.array([int((fill & ~line).sum())], pa.int32())})
+
+    return line_masks(lines).unionByName(fill_masks(surfaces)).groupBy("zoom", "x", "y").applyInArrow(
         pack, "zoom int, x bigint, y bigint, data binary, painted int, fill_pixels int")
 
 

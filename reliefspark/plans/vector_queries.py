@@ -214,7 +214,7 @@ def _fill_pixels(spark, sf_dir):
         rings.withColumn("zoom", F.lit(13))
         .withColumn("x", F.explode(F.sequence(geo.tile_x(box.x0, F.lit(13)), geo.tile_x(box.x1, F.lit(13)))))
         .withColumn("y", F.explode(F.sequence(geo.tile_y(box.y1, F.lit(13)), geo.tile_y(box.y0, F.lit(13))))))
-    return V.fill_pixels(placed).select("zoom", "x", "y", "prow", "pcol").distinct().groupBy("zoom", "x", "y").agg(F.count(F.lit(1)).alias("n_pixels"))
+    return V.fill_counts(placed)
 
 
 # outlines of lines and rings as every pixel column they cross and, in it, every row between entry and exit
