@@ -87,7 +87,7 @@ def exchange(
     blocks: DataFrame,
     bands: Sequence[str],
     send: Callable[[int, int, list[np.ndarray]], Iterable[tuple[int, int, int, np.ndarray]]],
-    combine: Callable[[int, int, dict[int, np.ndarray]], dict[str, np.ndarray] | None],
+    combine: Callable[[int, int, dict[int, np.ndarray]], dict[str, np.ndarray] | list[tuple[int, int, dict[str, np.ndarray]]] | None],
     out: dict[str, str],
     side: int = BLOCK,
     called: DataFrame | None = None,
@@ -96,7 +96,8 @@ def exchange(
     """One round of messages between blocks.
 
     ``send(brow, bcol, arrays)`` yields ``(target brow, target bcol, part, values)``; ``combine`` gets
-    all parts of one target and returns the output bands, or None when the target is no block.
+    all parts of one target and returns the output bands, or None when the target is no block, or, when the target
+    stands for several blocks, a list of (brow, bcol, output bands).
     ``part`` must be unique per target.  Every key of ``called`` (raster_id, brow, bcol; distinct) gets an
     empty message ``called_part``, once, whether or not it is a block.
     """
@@ -131,15 +132,11 @@ def exchange(
         payload = table.column("payload")
         parts = {p: _unnest(payload[i]) for i, p in enumerate(table.column("part").to_pylist())}
         result = combine(brow, bcol, parts)
-        if result is None:
-            return pa.table({
-                "raster_id": pa.array([], pa.string()), "brow": pa.array([], pa.int64()),
-                "bcol": pa.array([], pa.int64()),
-                **{name: pa.array([], pa.list_(_ARROW[kind])) for name, kind in out.items()}})
+        rows = result if isinstance(result, list) else [] if result is None else [(brow, bcol, result)]
         return pa.table({
-            "raster_id": pa.array([raster], pa.string()), "brow": pa.array([brow], pa.int64()),
-            "bcol": pa.array([bcol], pa.int64()),
-            **{name: _nested(result[name].reshape(1, -1), kind) for name, kind in out.items()}})
+            "raster_id": pa.array([raster] * len(rows), pa.string()), "brow": pa.array([r for r, _, _ in rows], pa.int64()),
+            "bcol": pa.array([c for _, c, _ in rows], pa.int64()),
+            **{name: _nested(np.stack([b[name].reshape(-1) for _, _, b in rows]), kind) if rows else pa.array([], pa.list_(_ARROW[kind])) for name, kind in out.items()}})
 
     messages = blocks.select(*KEYS, *bands).mapInArrow(
         emit, f"{_KEY_SCHEMA}, part int, payload array<double>")
@@ -162,12 +159,13 @@ def with_halo(
     """Apply ``kernel(padded band, ...)`` to every block grown by ``halo`` rows and columns.
 
     The kernel returns arrays of the unpadded size.  A halo wider than a block reaches further blocks.
-    With ``mirror`` (halos along one axis only) the raster goes on beyond its outermost blocks as its mirror image;
-    which blocks those are shows in the messages that do not come, so the extent of the raster need not be known.
+    With ``mirror`` (halos along one axis only) the raster goes on beyond its outermost blocks as its mirror image.
     """
     halo_rows, halo_cols = halo
     if mirror and halo_rows and halo_cols:
         raise ValueError("a mirrored halo has one axis")
+    if bool(halo_rows) != bool(halo_cols):
+        return _with_line(blocks, bands, kernel, out, halo_rows or halo_cols, 0 if halo_rows else 1, side, mirror)
     reach_rows, reach_cols = -(-halo_rows // side), -(-halo_cols // side)
     wide = 2 * reach_cols + 1
 
@@ -196,22 +194,81 @@ def with_halo(
             c0, c1 = overlap(dc, halo_cols)
             top, left = r0 - dr * side + halo_rows, c0 - dc * side + halo_cols
             padded[:, top:top + r1 - r0, left:left + c1 - c0] = values.reshape(len(bands), r1 - r0, c1 - c0)
-        if mirror:
-            axis, reach, margin, step = (1, reach_rows, halo_rows, wide) if halo_rows else (2, reach_cols, halo_cols, 1)
-            before = next((k for k in range(1, reach + 1) if centre + k * step not in parts), reach + 1)  # a part counts the steps it came
-            behind = next((k for k in range(1, reach + 1) if centre - k * step not in parts), reach + 1)
-            low, high = margin - (before - 1) * side, margin + behind * side
-            at = np.arange(padded.shape[axis])
-            low, high = max(low, 0), min(high, len(at))
-            while ((at < low) | (at >= high)).any():
-                at = np.where(at < low, 2 * low - 1 - at, at)
-                at = np.where(at >= high, 2 * high - 1 - at, at)
-            padded = np.take(padded, at, axis)
         return kernel(*padded)
 
     return exchange(blocks, bands, send, combine, out, side)
 
 
+#: bytes of the arrays that a stretch of blocks may hold
+STRETCH_BYTES = 32 << 20
+
+
+def stretch_length(side: int, margin: int, bands: int) -> int:
+    """Blocks that share one target of an exchange along one axis: four times the reach, as long as they stay small."""
+    reach = -(-margin // side)
+    return max(1, min(4 * reach, STRETCH_BYTES // (8 * side * side * bands) - 2 * reach))
+
+
+def stretches(at: int, side: int, margin: int, length: int) -> list[tuple[int, int, int]]:
+    """The stretches of ``length`` blocks that need block ``at`` of their line: (stretch, first own index, end)."""
+    reach, found = -(-margin // side), []
+    for stretch in range((at - reach) // length, (at + reach) // length + 1):
+        low, high = stretch * length * side - margin - at * side, (stretch + 1) * length * side + margin - at * side
+        if max(low, 0) < min(high, side):
+            found.append((stretch, max(low, 0), min(high, side)))
+    return found
+
+
+def _with_line(blocks: DataFrame, bands: Sequence[str], kernel: Callable[..., dict[str, np.ndarray]], out: dict[str, str], margin: int, axis: int, side: int, mirror: bool) -> DataFrame:
+    """``with_halo`` along one axis: neighbours on a line meet in stretches of some blocks.
+
+    Every block is sent to the stretch it belongs to and to those that it reaches into, so margins as wide as several blocks
+    cost half as much again as the blocks themselves, not a copy for each block in reach.
+    """
+    reach, length = -(-margin // side), stretch_length(side, margin, len(bands))
+
+    def cut(a: np.ndarray, low: int, high: int) -> np.ndarray:
+        return a[low:high] if axis == 0 else a[:, low:high]
+
+    def send(brow, bcol, arrays):
+        at = (brow, bcol)[axis]
+        for stretch, low, high in stretches(at, side, margin, length):
+            yield (stretch, bcol, at - stretch * length + reach, np.stack([cut(a, low, high) for a in arrays])) if axis == 0 else (
+                brow, stretch, at - stretch * length + reach, np.stack([cut(a, low, high) for a in arrays]))
+
+    def combine(brow, bcol, parts):
+        stretch = (brow, bcol)[axis]
+        size = (length + 2 * reach) * side
+        whole = np.full((len(bands), size, side) if axis == 0 else (len(bands), side, size), np.nan)
+        for part, values in parts.items():
+            at = stretch * length + part - reach
+            low, high = next((low, high) for other, low, high in stretches(at, side, margin, length) if other == stretch)
+            place = slice(part * side + low, part * side + high)
+            if axis == 0:
+                whole[:, place] = values.reshape(len(bands), high - low, side)
+            else:
+                whole[:, :, place] = values.reshape(len(bands), side, high - low)
+        found = []
+        for part in sorted(parts):
+            if not reach <= part < reach + length:
+                continue
+            start = part * side - margin
+            at = np.arange(start, start + side + 2 * margin)
+            if mirror:
+                # which blocks are the outermost shows in the messages that do not come
+                before = next((k for k in range(1, reach + 1) if part - k not in parts), reach + 1)
+                behind = next((k for k in range(1, reach + 1) if part + k not in parts), reach + 1)
+                low, high = max((part - before + 1) * side, start), min((part + behind) * side, start + len(at))
+                while ((at < low) | (at >= high)).any():
+                    at = np.where(at < low, 2 * low - 1 - at, at)
+                    at = np.where(at >= high, 2 * high - 1 - at, at)
+            own = stretch * length + part - reach
+            found.append(((own, bcol) if axis == 0 else (brow, own)) + (kernel(*np.take(whole, at, axis + 1)),))
+        return found
+
+    return exchange(blocks, bands, send, combine, out, side)
+
+
 def fill_domain(blocks: DataFrame, domain: DataFrame, bands: Sequence[str], side: int = BLOCK,
                 carry: Sequence[str] = ()) -> DataFrame:
     """Blocks for every key of ``domain`` (raster_id, brow, bcol); absent ones are all NULL.
