@@ -134,12 +134,12 @@ def read_ascii_grids(spark: SparkSession, path: str, epsg: int) -> DataFrame:
 def write_points(points: DataFrame, path: str, tile_m: float = 1000.0) -> None:
     """Points by tile, sorted, so windows prune folders and row groups.
 
-    A tile is dealt out in strips, which splits a crowded one over tasks.
+    Tasks take ranges of tiles and, in a crowded tile, of y: a tile is a file or a few, however many tasks there are.
     """
     keyed = points.withColumn("tile_x", floor_long(F.col("x") / tile_m)).withColumn("tile_y", floor_long(F.col("y") / tile_m))
     (
-        # strips of a tile, so that a full tile is not one task; a range partitioning would read the source twice
-        keyed.repartition("tile_x", "tile_y", F.floor(F.col("y") * 8.0 / tile_m)).sortWithinPartitions("tile_x", "tile_y", "y", "x")
+        # the source is looked at twice, for the ends of the ranges, which costs less than a file for each strip of a tile
+        keyed.repartitionByRange("tile_x", "tile_y", "y").sortWithinPartitions("tile_x", "tile_y", "y", "x")
         .write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(path)
     )
 
