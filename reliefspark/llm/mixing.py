@@ -32,6 +32,8 @@ from reliefspark.llm.common import per_worker, slices, stored
 
 #: A-Z to a-z
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: what stands between words
+SPACES = b" \t\n\v\f\r"
 #: bits that share one set of weights before it is refined, and how fast
 STEP, RATE = 128, 0.01
 #: hashed contexts beside the node alone, of tokens and of bytes; gates; words that count as function words
@@ -104,6 +106,8 @@ class Code:
 
     def tokens(self, texts: list[bytes], spelled: bool = True) -> tuple:
         """(symbols of all texts, where each begins, tokens per text, their symbols again without starts, the rare words if ``spelled``)."""
+        from itertools import repeat
+
         import numpy as np
 
         words, sizes = [], []
@@ -112,9 +116,8 @@ class Code:
             words += own
             words.append(b"")
             sizes.append(len(own) + 1)
-        get, escape = self.number.get, self.escape
-        ids = np.array([get(w, escape) for w in words], np.int32)
-        rare = np.flatnonzero(ids == escape).tolist() if spelled else []
+        ids = np.fromiter(map(self.number.get, words, repeat(self.escape)), np.int32, len(words))
+        rare = np.flatnonzero(ids == self.escape).tolist() if spelled else []
         return *self._padded(ids, np.array(sizes), self.start), np.array(sizes), ids, [words[i] for i in rare]
 
     def letters(self, words: list[bytes]) -> tuple:
@@ -210,35 +213,42 @@ def fitted(x, gates, y, weight, rounds: int = 8):
 def mix(x, gates, y, lengths, weights):
     """log2 of the probability of every bit; ``lengths`` bits belong to each text, ``weights`` (text, gate, input) are refined in place.
 
-    Texts are worked off side by side, ``STEP`` bits of each at a time.
+    Texts are worked off side by side, ``STEP`` bits of each at a time: what one step needs lies together, in one row for
+    each text that goes on, the longest first.
     """
     import numpy as np
 
-    order = np.argsort(-lengths, kind="stable")
-    steps = -(-lengths[order] // STEP)
-    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    own, width, columns = weights[order], weights.shape[2], x.T
-    flat = np.ascontiguousarray(own.reshape(-1, width).T)
-    p = np.empty(len(y), np.float32)
-    one = np.arange(len(order)) * GATES
-    for t in range(int(steps[0]) if len(steps) else 0):
-        k = int(np.searchsorted(-steps, -t, "left"))  # texts that go on
-        n = np.minimum(sizes[:k] - t * STEP, STEP)
-        if k == 1:  # one long text goes on alone: no copies
-            at = slice(int(starts[0]) + t * STEP, int(starts[0]) + t * STEP + int(n[0]))
-            lane, xs = gates[at].astype(np.int64), columns[:, at]
-        else:
-            at = np.arange(int(n.sum())) + np.repeat(starts[:k] + t * STEP - (np.cumsum(n) - n), n)
-            lane, xs = np.repeat(one[:k], n) + gates[at], columns.take(at, 1)
-        said = xs[0] * flat[0].take(lane)
-        for j in range(1, width):
-            said += xs[j] * flat[j].take(lane)
-        q = 1 / (1 + np.exp(np.clip(-said, -14, 14)))
-        p[at] = q
-        error = (y[at] - q) * np.float32(RATE)
-        for j in range(width):
-            flat[j, :k * GATES] += np.bincount(lane, error * xs[j], k * GATES)
-    weights[order] = flat.T.reshape(own.shape)
+    steps = -(-lengths // STEP)
+    order = np.argsort(-steps, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    going = np.searchsorted(-steps[order], -np.arange(int(steps.max()) if len(steps) else 0), "left")  # texts that go on, by step
+    first = np.cumsum(going) - going
+    step = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+    rows = first[step] + np.repeat(rank, steps)
+    sizes = np.minimum(np.repeat(lengths, steps) - step * STEP, STEP)
+    at = np.arange(len(y)) + np.repeat(rows * STEP - (np.cumsum(sizes) - sizes), sizes)
+
+    def placed(columns, kind):
+        out = np.zeros((len(columns), len(rows) * STEP), kind)
+        for row, values in zip(out, columns):
+            row[at] = values
+        return out.reshape(len(columns), -1, STEP)
+
+    columns, (lanes, bits) = placed(x.T, np.float32), placed((gates, y), np.int8)
+    own, p = weights[order], np.empty(bits.shape, np.float32)
+    every = np.arange(GATES, dtype=np.int8)[:, None]
+    for low, k in zip(first.tolist(), going.tolist()):
+        now = slice(low, low + k)
+        xs, gate = columns[:, now].transpose(1, 0, 2), (lanes[now, None] == every).astype(np.float32)
+        said = np.matmul(own[:k], xs)
+        said *= gate
+        q = 1 / (1 + np.exp(np.clip(-said.sum(1), -14, 14)))
+        p[now] = q
+        gate *= ((bits[now] - q) * np.float32(RATE))[:, None]
+        own[:k] += np.einsum("kgs,kjs->kgj", gate, xs)  # places without a bit have no input
+    weights[order] = own
+    p = p.reshape(-1)[at]
     return np.log2(np.where(y, p, 1 - p))
 
 
@@ -350,14 +360,14 @@ def branch_counts(docs: DataFrame, rare: DataFrame, held, mark: str, bits: int,
         code = per_worker(("mixing code", mark), lambda: Code(*held.value))
         counts = np.zeros(2 * (code.nodes + (BYTE_CONTEXTS << bits)), np.int64)
         for (sizes, y, slots), weight in told(code):
-            weight = None if weight is None else np.repeat(weight, sizes)
-            for k, slot in enumerate(slots):
-                low, size = (0, code.nodes) if k == 0 else (code.nodes + (k - 1 << bits), 1 << bits)
-                counts[2 * low:2 * (low + size)] += np.bincount((slot.astype(np.int64) - low << 1) + y, weight, 2 * size).astype(np.int64, copy=False)
+            weight = 1 if weight is None else np.repeat(weight, sizes)
+            for slot in slots:
+                np.add.at(counts, (slot.astype(np.int64) << 1) + y, weight)
         for i in range(0, len(counts), 2 * _BLOCK):
             part = counts[i:i + 2 * _BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // (2 * _BLOCK)]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "data"])
+            if most := int(part.max()):
+                short = part.astype(np.min_scalar_type(most))  # told and packed in as few bytes as they need
+                yield pa.RecordBatch.from_arrays([pa.array([i // (2 * _BLOCK)]), pa.array([short.itemsize]), pa.array([zlib.compress(short.tobytes(), 1)], pa.binary())], ["block", "width", "data"])
 
     def of_texts(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -398,8 +408,8 @@ def branch_counts(docs: DataFrame, rare: DataFrame, held, mark: str, bits: int,
 
         now, total = None, None
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), np.int64)
+            for block, size, data in zip(*(column.to_pylist() for column in batch.columns)):
+                part = np.frombuffer(zlib.decompress(data), f"u{size}").astype(np.int64)
                 if block == now:
                     total = total + part
                 else:
@@ -409,8 +419,8 @@ def branch_counts(docs: DataFrame, rare: DataFrame, held, mark: str, bits: int,
         if now is not None:
             yield closed(now, total)
 
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = _source(docs, text_col).mapInArrow(of_texts, "block long, data binary").unionAll(rare.where("c > 0").select("word", "c").mapInArrow(of_words, "block long, data binary"))
+    width, schema = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block long, width long, data binary"
+    both = _source(docs, text_col).mapInArrow(of_texts, schema).unionAll(rare.where("c > 0").select("word", "c").mapInArrow(of_words, schema))
     parts = both.repartition(width, "block").sortWithinPartitions("block")
     out = np.zeros((Code(*held.value).nodes + (BYTE_CONTEXTS << bits), 2), np.uint16)
     import zlib
@@ -582,7 +592,7 @@ def score(docs: DataFrame, learn: Column, common_bits: int = 16, table_bits: int
             own = np.add.reduceat(np.where(is_rare, 0, base[ids]), starts)
             n_rare = np.add.reduceat(is_rare.astype(np.int64), starts)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_rare)].astype(np.int32)), pa.array(words, pa.binary()).cast(pa.string()))
-            n_bytes = [sum(map(len, t.split())) + k for t, k in zip(texts, tokens.tolist())]
+            n_bytes = [len(t.translate(None, SPACES)) + k for t, k in zip(texts, tokens.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens), pa.array(n_bytes, pa.int64()), pa.array(own), pa.array(mixed * np.log10(2)), pa.array(n_rare), lists],
                 ["row", "row_id", "n_tokens", "n_bytes", "base", "mixed", "n_rare", "rare"])
@@ -605,7 +615,8 @@ def score(docs: DataFrame, learn: Column, common_bits: int = 16, table_bits: int
     words = rare_words.select("word", "c").mapInArrow(spell, "word string, c long, spelling double").select(
         "word", seen.cast("long").alias("found"), F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"),
         F.when(seen, mixed).otherwise(F.col("spelling") + F.log10(F.lit(1 - share))).alias("mixed"))
-    rare_tokens = parts.select("row", F.explode("rare").alias("word")).join(words, "word")
+    # a word is one row of the smaller side, which is never skewed, so the many occurrences need not be sorted
+    rare_tokens = parts.select("row", F.explode("rare").alias("word")).join(words.hint("shuffle_hash"), "word")
     of_rows = rare_tokens.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("mixed").alias("more_mixed"), F.sum("found").alias("n_found"))
     out = parts.drop("rare").join(of_rows, "row", "left").fillna(0, ["more_base", "more_mixed", "n_found"])
     end_known, total = F.lit(1 if ends else 0), F.col("mixed") + F.col("more_mixed")

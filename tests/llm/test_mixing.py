@@ -101,6 +101,19 @@ def test_first_weights_come_from_all_training_texts(spark):
         assert a == pytest.approx(b, abs=1e-6) and a != pytest.approx(few, abs=1e-3)
 
 
+def test_occurrences_of_rare_words_are_not_sorted(spark):
+    """They meet what is known of their words in a hash join; what follows sorts one row a text at most."""
+    found = mixing.score(awkward(spark, prose(8, 30)), F.col("doc_id") % 5 != 1, 6, 12)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [word" in plan and "SortMergeJoin [word" not in plan
+
+
+def test_letters_of_a_text_are_all_but_white_space(spark):
+    got = mixing.score(awkward(spark, [(5, "a\tbc\n\v\f\r d\u00a0\x1c\x85e")]), F.lit(False), table_bits=10).first()
+    n_bytes = -got.score * math.log2(10) / got.bits_per_byte
+    assert got.n_tokens == 4 and n_bytes == pytest.approx(sum(map(len, tokens("a\tbc\n\v\f\r d\u00a0\x1c\x85e"))) + 4)
+
+
 def test_mixing_bit_by_bit():
     rng = np.random.default_rng(1)
     lengths = np.array([70, 0, 5, 200])
