@@ -49,27 +49,32 @@ def _bands_schema(bands: dict[str, str]) -> str:
     return ", ".join(f"{name} array<{kind}>" for name, kind in bands.items())
 
 
-def cells_to_blocks(cells: DataFrame, values: Sequence[str], side: int = BLOCK) -> DataFrame:
-    """Dense blocks from cells; cells must be unique per (raster_id, row, col)."""
-    keyed = cells.select(
+def _slotted(cells: DataFrame, values: Sequence[str], side: int) -> DataFrame:
+    """Cells with the key of their block and their place in it."""
+    return cells.select(
         "raster_id",
         floor_long(F.col("row") / F.lit(side)).alias("brow"),
         floor_long(F.col("col") / F.lit(side)).alias("bcol"),
         (F.pmod(F.col("row"), F.lit(side)) * side + F.pmod(F.col("col"), F.lit(side))).cast("int").alias("slot"),
         *[F.col(v).cast("double").alias(v) for v in values],
     )
+
+
+def _dense(part: pa.Table, name: str, side: int) -> np.ndarray:
+    """A band of the slotted cells of one block; NaN where there is none."""
+    dense = np.full(side * side, np.nan)
+    dense[part.column("slot").to_numpy()] = part.column(name).to_numpy()
+    return dense
+
+
+def cells_to_blocks(cells: DataFrame, values: Sequence[str], side: int = BLOCK) -> DataFrame:
+    """Dense blocks from cells; cells must be unique per (raster_id, row, col)."""
     bands = {v: "double" for v in values}
 
     def scatter(key, part):
-        slots = part.column("slot").to_numpy()
-        columns = {k: pa.array([v.as_py()]) for k, v in zip(KEYS, key)}
-        for name in values:
-            dense = np.full(side * side, np.nan)
-            dense[slots] = part.column(name).to_numpy()
-            columns[name] = _nested(dense[None, :], "double")
-        return pa.table(columns)
+        return pa.table({k: pa.array([v.as_py()]) for k, v in zip(KEYS, key)} | {name: _nested(_dense(part, name, side)[None, :], "double") for name in values})
 
-    return keyed.groupBy(*KEYS).applyInArrow(scatter, f"{_KEY_SCHEMA}, {_bands_schema(bands)}")
+    return _slotted(cells, values, side).groupBy(*KEYS).applyInArrow(scatter, f"{_KEY_SCHEMA}, {_bands_schema(bands)}")
 
 
 def blocks_to_cells(blocks: DataFrame, values: Sequence[str], side: int = BLOCK) -> DataFrame:
@@ -92,6 +97,7 @@ def exchange(
     side: int = BLOCK,
     called: DataFrame | None = None,
     called_part: int = -1,
+    source: str = "blocks",
 ) -> DataFrame:
     """One round of messages between blocks.
 
@@ -100,32 +106,39 @@ def exchange(
     stands for several blocks, a list of (brow, bcol, output bands).
     ``part`` must be unique per target.  Every key of ``called`` (raster_id, brow, bcol; distinct) gets an
     empty message ``called_part``, once, whether or not it is a block.
+
+    ``source`` tells what ``blocks`` are.  'blocks' may lie anywhere and reach Python in batches of Arrow, which hold as
+    many of them as the session lets a batch have.  'keyed' ones come out of a join on their key, and 'cells' (as for
+    ``cells_to_blocks``) are put together here: both are handed to Python block by block, without a further shuffle.
     """
     message_schema = pa.schema([
         ("raster_id", pa.string()), ("brow", pa.int64()), ("bcol", pa.int64()),
         ("part", pa.int32()), ("payload", pa.list_(pa.float64())),
     ])
 
+    def sent(raster: str, brow: int, bcol: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+        ids, rows, cols, parts, payload = [], [], [], [], [pa.array([], pa.float64())]
+        for target_row, target_col, part, values in send(brow, bcol, [a.reshape(side, side) for a in arrays]):
+            ids.append(raster)
+            rows.append(target_row)
+            cols.append(target_col)
+            parts.append(part)
+            flat = np.ascontiguousarray(values, dtype=np.float64).reshape(-1)
+            payload.append(pa.array(flat))
+        lengths = np.cumsum([len(p) for p in payload]).astype(np.int32)
+        nested = pa.ListArray.from_arrays(pa.array(lengths), pa.concat_arrays(payload))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.string()), pa.array(rows, pa.int64()), pa.array(cols, pa.int64()),
+             pa.array(parts, pa.int32()), nested], schema=message_schema)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raster, brow, bcol = (batch.column(j)[i].as_py() for j in range(3))
-                arrays = [_unnest(batch.column(3 + j)[i]).reshape(side, side) for j in range(len(bands))]
-                ids, rows, cols, parts, payload = [], [], [], [], []
-                for target_row, target_col, part, values in send(brow, bcol, arrays):
-                    ids.append(raster)
-                    rows.append(target_row)
-                    cols.append(target_col)
-                    parts.append(part)
-                    flat = np.ascontiguousarray(values, dtype=np.float64).reshape(-1)
-                    payload.append(pa.array(flat))
-                if not ids:
-                    continue
-                lengths = np.concatenate([[0], np.cumsum([len(p) for p in payload])]).astype(np.int32)
-                nested = pa.ListArray.from_arrays(pa.array(lengths), pa.concat_arrays(payload))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string()), pa.array(rows, pa.int64()), pa.array(cols, pa.int64()),
-                     pa.array(parts, pa.int32()), nested], schema=message_schema)
+                yield sent(*(batch.column(j)[i].as_py() for j in range(3)), [_unnest(batch.column(3 + j)[i]) for j in range(len(bands))])
+
+    def emit_one(key, table):
+        arrays = [_dense(table, b, side) if source == "cells" else _unnest(table.column(b)[0]) for b in bands]
+        return pa.Table.from_batches([sent(*(v.as_py() for v in key), arrays)])
 
     def receive(key, table):
         raster, brow, bcol = (v.as_py() for v in key)
@@ -138,8 +151,12 @@ def exchange(
             "bcol": pa.array([c for _, c, _ in rows], pa.int64()),
             **{name: _nested(np.stack([b[name].reshape(-1) for _, _, b in rows]), kind) if rows else pa.array([], pa.list_(_ARROW[kind])) for name, kind in out.items()}})
 
-    messages = blocks.select(*KEYS, *bands).mapInArrow(
-        emit, f"{_KEY_SCHEMA}, part int, payload array<double>")
+    schema = f"{_KEY_SCHEMA}, part int, payload array<double>"
+    if source == "blocks":
+        messages = blocks.select(*KEYS, *bands).mapInArrow(emit, schema)
+    else:
+        keyed = _slotted(blocks, bands, side) if source == "cells" else blocks.select(*KEYS, *bands)
+        messages = keyed.groupBy(*KEYS).applyInArrow(emit_one, schema)
     if called is not None:
         messages = messages.unionByName(called.select(*KEYS, F.lit(called_part).alias("part"), F.array().cast("array<double>").alias("payload")))
     # an explicit width: adaptive execution sizes partitions by bytes, but a kernel costs per block

@@ -39,13 +39,14 @@ def _before(z: np.ndarray, position: np.ndarray, value: np.ndarray) -> tuple[np.
 
 
 def fill_holes(blocks: DataFrame, band: str | dict[str, int], reach: int | None = None, side: int = BLOCK, keep: Sequence[str] = (),
-               domain: DataFrame | None = None, per_tile: int | None = None) -> DataFrame:
+               domain: DataFrame | None = None, per_tile: int | None = None, source: str = "blocks") -> DataFrame:
     """``band`` filled for every block given; bands in ``keep`` stay as they are.
 
     A dict of bands and reaches fills several bands in one exchange.
     ``domain`` (distinct raster_id, brow, bcol) names further blocks to fill, so that tiles come out complete
     even where whole blocks hold no data; each of them costs one empty message.  ``per_tile`` does the same without
     a table of blocks: every block calls up the others of its tile of ``per_tile`` x ``per_tile`` blocks.
+    ``source`` tells what ``blocks`` are, see ``exchange``.
     """
     reaches = band if isinstance(band, dict) else {band: reach}
     names, count = list(reaches), len(reaches)
@@ -108,4 +109,4 @@ def fill_holes(blocks: DataFrame, band: str | dict[str, int], reach: int | None
         return {n: filled(own[k], parts, k) for k, n in enumerate(names)} | dict(zip(keep, own[count:]))
 
     bands = [*names, *keep]
-    return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side, domain, present)
+    return exchange(blocks, bands, send, combine, {b: "double" for b in bands}, side, domain, present, source)

@@ -234,7 +234,7 @@ def canopy_prefilter(points: DataFrame, grid: Grid, above_m: float = 3.5, area:
 def fill_cells(cells: DataFrame, value: str, domain: DataFrame, reach_cells: int, side: int = BLOCK) -> DataFrame:
     """Bounded hole fill over the blocks of ``domain``; cells out of reach stay unknown."""
     dense = fill_domain(cells_to_blocks(cells, [value], side), domain, [value], side)
-    return blocks_to_cells(fill.fill_holes(dense, value, reach_cells, side), [value], side)
+    return blocks_to_cells(fill.fill_holes(dense, value, reach_cells, side, source="keyed"), [value], side)
 
 
 def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
@@ -248,7 +248,7 @@ def dtm_blocks(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max
     used = points.filter(F.col("cls").isin(*classes)) if minimum is None else ground_or_all(points, classes, minimum)
     lowest = used.select(_raster(area), grid.cell().alias("cell"), "z").groupBy("raster_id", "cell").agg(F.min("z").alias("z"))
     cells = lowest.select("raster_id", key_row().alias("row"), key_col().alias("col"), "z")
-    return fill.fill_holes(cells_to_blocks(cells, ["z"], side), "z", int(max_fill_m / grid.res), side, per_tile=_per_tile(grid, side))
+    return fill.fill_holes(cells, "z", int(max_fill_m / grid.res), side, per_tile=_per_tile(grid, side), source="cells")
 
 
 def points_to_dtm(points: DataFrame, grid: Grid, classes: Sequence[int] = (2,), max_fill_m: float = 100.0,
@@ -274,8 +274,7 @@ def feature_blocks(points: DataFrame, grid: Grid, hmin: float = HEIGHT_MIN, hmax
     low, ground = list(classes_low), list(classes_ground) or [-1]
     bands = ("z_ref", "z_ground", "z_first", "z_last")
     raw = bin_min(useful, grid, {"z_ref": ref_ground, "z_ground": ground, "z_first": low}, {"z_last": low}, area)
-    blocks = fill.fill_holes(
-        cells_to_blocks(raw, bands, side), "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], per_tile=_per_tile(grid, side))
+    blocks = fill.fill_holes(raw, "z_ref", int(max_fill_m / grid.res), side, keep=bands[1:], per_tile=_per_tile(grid, side), source="cells")
     return _reinjected(blocks, keep_classes(useful, low), grid, hmin, hmax, side, area).select(*KEYS, "z_ref", "z_ground", "z_low")
 
 
@@ -331,10 +330,10 @@ def both_models(points: DataFrame, grid: Grid, side: int = BLOCK, hmin: float =
         F.min(of(low, clean)).alias("z_first"), F.max(of(low, clean)).alias("z_last"))
     cells = raw.select("raster_id", key_row().alias("row"), key_col().alias("col"), *bands)
     wide, narrow = int(feature_fill_m / grid.res), int(bare_fill_m / grid.res)
-    blocks = fill.fill_holes(cells_to_blocks(cells, bands, side), {"z_ref": wide, "z_bare": narrow}, side=side, keep=bands[2:], per_tile=per_tile)
+    blocks = fill.fill_holes(cells, {"z_ref": wide, "z_bare": narrow}, side=side, keep=bands[2:], per_tile=per_tile, source="cells")
     decided = _reinjected(blocks, keep_classes(drop_noise(points), low), grid, hmin, hmax, side, area, carry=("z_bare",))
     model = decided.select(*KEYS, F.zip_with("z_ground", "z_low", lambda g, low: F.coalesce(g, low)).alias("z_feature"), "z_bare")
-    return fill.fill_holes(model, {"z_feature": wide}, side=side, keep=["z_bare"])
+    return fill.fill_holes(model, {"z_feature": wide}, side=side, keep=["z_bare"], source="keyed")
 
 
 def points_to_dfm(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: float = 200.0, **settings) -> DataFrame:
@@ -351,7 +350,7 @@ def dfm_blocks(points: DataFrame, grid: Grid, side: int = BLOCK, max_fill_m: flo
     model = bands.select(*KEYS, F.zip_with("z_ground", "z_low", lambda g, low: F.coalesce(g, low)).alias("z"))
     if "classes_ground" in settings and not list(settings["classes_ground"]):
         return model
-    return fill.fill_holes(model, "z", int(max_fill_m / grid.res), side)
+    return fill.fill_holes(model, "z", int(max_fill_m / grid.res), side, source="keyed")
 
 
 def height_above_ground(points: DataFrame, ground: DataFrame, grid: Grid, side: int = BLOCK, area: str | None = None) -> DataFrame:

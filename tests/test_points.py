@@ -1,10 +1,14 @@
 """Synthetic clouds with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from reliefspark.operators import points as P
+from reliefspark.operators.blocks import KEYS, cells_to_blocks
+from reliefspark.operators.fill import fill_holes
 
 GRID = P.Grid(res=0.5, left=0.0, top=40.0, tile_cells=80)
 SIDE = 16
@@ -109,3 +113,25 @@ def test_smallest_gap_over_partitions(spark):
     frame = rows.distinct().toPandas()
     want = {k: float(np.diff(np.sort(g.v.unique())).min()) for k, g in frame.groupby("k")}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["feature_reinjection", "model_difference_mask", "standing_structures"])
+def test_models_hand_blocks_to_python_one_by_one(spark, name):
+    """No Python step gets batches of blocks, which grow with the blocks of a partition up to the size the session allows."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")
+
+
+def test_fill_of_cells_and_of_keyed_blocks_is_that_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame([("ab"[k], int(r), int(c), float(z), None if z < 0.3 else float(r)) for k in range(2) for r, c, z in zip(*np.divmod(rng.permutation(1600)[:300], 40), rng.random(300))], columns=["raster_id", "row", "col", "z", "kept"])
+    cells = spark.createDataFrame(frame)
+    blocks = cells_to_blocks(cells, ["z", "kept"], 8)
+    joined = blocks.join(blocks.select(*KEYS).distinct(), list(KEYS))
+
+    def filled(source, rows):
+        out = fill_holes(rows, "z", 12, 8, keep=["kept"], per_tile=5, source=source)
+        return sorted(map(repr, out.collect()))
+
+    want = filled("blocks", blocks)
+    assert len(want) == 50 and filled("cells", cells) == want == filled("keyed", joined)
