@@ -138,7 +138,8 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
 
     ``steps`` per unit names the steps that the values are cut to later.  Values that lie on one, as all do where a
     plateau is as high as a step, would fall to either side by the last bits of their positions; they are worked out
-    anew one by one (``mapping.to_source_one(row, col)``).
+    anew one by one (``mapping.to_source_one(row, col)``).  So are, where the mapping has that function, positions on a
+    line of cells with unknown ones around: a last bit decides there whether the cell before or behind has a say.
     """
     edge = np.linspace(-1.0, float(target_side), 33)
     rim_rows = np.concatenate([np.full(33, -1.0), np.full(33, float(target_side)), edge, edge])
@@ -181,6 +182,18 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
             z[r, c] = _one_cell(source, top, left, mapping.to_source_one(brow * target_side + int(r), bcol * target_side + int(c)))
         return z
 
+    def at_rim(z, brow, bcol, source, top, left, from_row, from_col):
+        """``z`` with the values worked out anew whose positions lie on a line of cells, where not all cells around are known."""
+        if not hasattr(mapping, "to_source_one"):
+            return z
+        on_row, on_col = np.rint(from_row), np.rint(from_col)
+        for r, c in zip(*np.nonzero((np.abs(from_row - on_row) <= 2 * _OFF) | (np.abs(from_col - on_col) <= 2 * _OFF))):
+            i, j = int(on_row[r, c]) - top, int(on_col[r, c]) - left
+            around = source[max(i - 1, 0):max(i + 2, 0), max(j - 1, 0):max(j + 2, 0)]
+            if not np.isnan(around).all() and (around.size < 9 or np.isnan(around).any()):
+                z[r, c] = _one_cell(source, top, left, mapping.to_source_one(brow * target_side + int(r), bcol * target_side + int(c)))
+        return z
+
     def combine(brow, bcol, parts):
         known = [(*map(int, p[:4]), p[4:]) for p in parts.values()]
         top, left = min(k[0] for k in known), min(k[1] for k in known)
@@ -206,10 +219,9 @@ def warp_blocks(blocks: DataFrame, band: str, mapping, side: int, target_side: i
             use = ~np.isnan(value) & (w > 0)
             total += np.where(use, w * np.where(use, value, 0.0), 0.0)
             weight += np.where(use, w, 0.0)
-        if not (weight > 0).any():
-            return None
         with np.errstate(invalid="ignore", divide="ignore"):
-            return {band: on_steps(np.where(weight > 0, total / weight, np.nan), brow, bcol, source, top - 1, left - 1)}
+            z = at_rim(np.where(weight > 0, total / weight, np.nan), brow, bcol, source, top - 1, left - 1, from_row, from_col)
+        return None if np.isnan(z).all() else {band: on_steps(z, brow, bcol, source, top - 1, left - 1)}
 
     return exchange(blocks, [band], send, combine, {band: "double"}, side)
 
